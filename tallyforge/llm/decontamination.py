@@ -37,7 +37,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = 10) -> DataFrame:
         return let(F.transform(w, lambda x: F.xxhash64(F.lower(x))), lambda h: F.concat(*(placed(h, n) for n in sizes)))
 
     rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), alnum_words(text).alias("w"))
-    rows = rows.select("doc_id", "text_hash", "w", F.explode(found(F.col("w"))).alias("x")).select("doc_id", "text_hash", "w", "x.*")
+    rows = rows.select("doc_id", "text_hash", "w", F.explode_outer(found(F.col("w"))).alias("x")).select("doc_id", "text_hash", "w", "x.*")
     same = ascii_lower(F.array_join(F.slice("w", F.col("first") + 1, F.col("n_words")), " ")) == F.col("words_text")
     return rows.join(windows, ["hash", "n_words"]).where(same).select("doc_id", "text_hash", "first", (F.col("first") + F.col("n_words") - 1).alias("last"), "items")
 

@@ -67,7 +67,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     both = let(F.transform("w", lambda x: F.xxhash64(F.lower(x))), lambda h: F.concat(placed(h, PHRASE_K), placed(h, TEXT_K)))
     rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), alnum_words(text).alias("w"))
-    rows = rows.select("doc_id", "text_hash", "w", F.explode(both).alias("x")).select("doc_id", "text_hash", "w", "x.*")
+    rows = rows.select("doc_id", "text_hash", "w", F.explode_outer(both).alias("x")).select("doc_id", "text_hash", "w", "x.*")
     same = ascii_lower(F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ")) == F.col("gram")
     votes = rows.join(F.broadcast(grams(docs.sparkSession)), ["hash", "k"]).where(same)
     key = ["doc_id", "text_hash", "template"]
