@@ -30,16 +30,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = 10) -> DataFrame:
         windows = F.broadcast(windows)
     text = F.col("text").cast("string")
 
-    def placed(h, n):
-        return F.transform(window_hashes(h, n), lambda x, i: F.struct(x.alias("hash"), i.alias("first"), F.lit(n).alias("n_words")))
-
     def found(w):
-        return let(F.transform(w, lambda x: F.xxhash64(F.lower(x))), lambda h: F.concat(*(placed(h, n) for n in sizes)))
+        return let(F.transform(w, lambda x: F.xxhash64(F.lower(x))), lambda h: F.concat(*(window_hashes(h, n) for n in sizes)))
 
     rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), alnum_words(text).alias("w"))
-    rows = rows.select("doc_id", "text_hash", "w", F.explode_outer(found(F.col("w"))).alias("x")).select("doc_id", "text_hash", "w", "x.*")
+    # bare hashes and their places keep the exploded rows and the hash set's key small
+    rows = rows.select("doc_id", "text_hash", "w", F.posexplode_outer(found(F.col("w"))).alias("at", "hash"))
+    first, before = F.lit(None), F.lit(0)  # the hashes of each size follow those of the one before
+    for n in sizes:
+        first = F.when(F.col("n_words") == n, F.col("at") - before).otherwise(first)
+        before = before + F.greatest(F.size("w") - (n - 1), F.lit(0))
+    met = rows.join(windows, "hash").withColumn("first", first)
     same = ascii_lower(F.array_join(F.slice("w", F.col("first") + 1, F.col("n_words")), " ")) == F.col("words_text")
-    return rows.join(windows, ["hash", "n_words"]).where(same).select("doc_id", "text_hash", "first", (F.col("first") + F.col("n_words") - 1).alias("last"), "items")
+    return met.where((F.col("first") >= 0) & (F.col("first") <= F.size("w") - F.col("n_words"))).where(same).select(
+        "doc_id", "text_hash", "first", (F.col("first") + F.col("n_words") - 1).alias("last"), "items"
+    )
 
 
 def covered(spans):

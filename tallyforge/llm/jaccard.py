@@ -6,7 +6,7 @@ first few (prefix filter). The tokens' lists are the index. Two relations betwee
 * index level: a list is sorted by set size and read in blocks; partners whose size or whose place
   in the list leave too little to share are skipped as a block;
 * answer level: equal sets are one set with one answer, and in a long list the sets are compared with
-  that of most frequent tokens (the centre of a group of near copies) first. What links to the centre
+  the one of most frequent tokens (the centre of a group of near copies) first. What links to the centre
   has the centre's answer, its component; only pairs whose components still differ are compared after.
 
 So a group of m near copies costs about m comparisons, and no link between components is lost.
@@ -30,9 +30,12 @@ U = np.uint64
 #: Tokens are counted for frequency if their hash is in the lowest quarter: prefixes lie there.
 ZONE = U(1 << 62)
 #: A list of up to so many sets is compared in full at once; a longer one goes by its centre first.
-FULL_LIST = 48
+FULL_LIST = 8
 #: The broadcast array of frequent tokens has this many at most: the limit of frequency rises with the corpus.
 MOST_FREQUENT = 1 << 20
+#: Bits of a set's sketch. Bit b is the parity of the set's tokens that fall on b, so that two sketches differ in
+#: no more bits than the sets differ in tokens: pairs that differ in more than the threshold allows go unread.
+SKETCH = 1024
 #: Texts of this many partners are compared with a set in one task.
 PARTNERS = 256
 
@@ -67,6 +70,11 @@ def packed(parts: list[np.ndarray], shard: np.ndarray, k: int) -> Iterator[tuple
             yield (s, *(p[edges[s] : edges[s + 1]].tobytes() for p in parts))
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    odd = np.bincount((s >> U(11)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def unpacked(t: pa.Table, **kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in kinds.items()]
 
@@ -107,12 +115,12 @@ def frequent(docs: DataFrame, n: int, shards: int) -> tuple[np.ndarray, int]:
 
 
 def described(docs: DataFrame, n: int, percent: int, hot) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (of the whole set), share of frequent tokens, prefix (tokens by the order), row by row."""
+    """doc_id, n_shingles, f1, f2 (of the whole set), share of frequent tokens, sketch, prefix (tokens by the order), row by row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = hot.value
         for b in batches:
-            size, f1, f2, share, prefix = [], [], [], [], []
+            size, f1, f2, share, bits, prefix = [], [], [], [], [], []
             for s in sets(b.column(1), n):
                 size.append(len(s))
                 f1.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0)
@@ -123,18 +131,19 @@ def described(docs: DataFrame, n: int, percent: int, hot) -> DataFrame:
                 if len(freq):
                     often[: len(low)] = freq[np.minimum(at, len(freq) - 1)] == low
                 share.append(float(often.sum() / max(1, len(low))))
+                bits.append(sketch(s))
                 keep = len(s) - -(-percent * len(s) // 100) + 1
                 prefix.append(np.concatenate([s[~often][:keep], s[often][:keep]])[:keep].tobytes() if len(s) else b"")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(share, pa.float32()), pa.array(prefix, pa.binary())],
-                names=["doc_id", "n_shingles", "f1", "f2", "share", "prefix"],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(share, pa.float32()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefix, pa.binary())],
+                names=["doc_id", "n_shingles", "f1", "f2", "share", "sketch", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(rows, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, share float, prefix binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(rows, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, share float, sketch array<bigint>, prefix binary")
 
 
 def postings(nodes: DataFrame, shards: int) -> DataFrame:
-    """The index: lists' entries dealt by token into `shards` groups. nodes: id, n_shingles, share, prefix, label."""
+    """The index: lists' entries dealt by token into `shards` groups. nodes: id, n_shingles, share, prefix."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,55 +154,91 @@ def postings(nodes: DataFrame, shards: int) -> DataFrame:
             tok = np.concatenate(tokens)
             place = np.arange(total) - np.repeat(np.cumsum(reps) - reps, reps)
             one = lambda k, kind: np.repeat(b.column(k).to_numpy(zero_copy_only=False).astype(kind), reps)
-            rows = list(packed([tok, one(0, "<i8"), one(1, "<i4"), one(2, "<f4"), place.astype("<i4"), one(4, "<i8")], (tok >> U(20)) % U(shards), shards))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 6], strict=True)], names=["shard", "tok", "id", "size", "share", "place", "label"])
+            rows = list(packed([tok, one(0, "<i8"), one(1, "<i4"), one(2, "<f4"), place.astype("<i4")], (tok >> U(20)) % U(shards), shards))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["shard", "tok", "id", "size", "share", "place"])
+
+    return nodes.select("id", "n_shingles", "share", "prefix").mapInArrow(dealt, "shard int, tok binary, id binary, size binary, share binary, place binary")
+
 
-    return nodes.select("id", "n_shingles", "share", "prefix", "label").mapInArrow(dealt, "shard int, tok binary, id binary, size binary, share binary, place binary, label binary")
+def fits(percent: int, size_i, size_j, place_i, place_j) -> np.ndarray:
+    """Whether sets of these sizes (size_i <= size_j) with a common token at these places may reach the threshold."""
+    need = -(-percent * (size_i.astype(np.int64) + size_j) // (100 + percent))
+    return (size_i * 100 >= percent * size_j.astype(np.int64)) & (np.minimum(place_i, place_j) + np.minimum(size_i - place_i, size_j - place_j) >= need)
 
 
-def partners(t: pa.Table, percent: int, centres: bool) -> pa.Table:
-    """Pairs a < b to compare, from one group of lists. centres: long lists give pairs with their centre only, else short ones give none
-    and long ones all pairs with different labels."""
-    tok, ids, size, share, place, label = unpacked(t, tok="<u8", id="<i8", size="<i4", share="<f4", place="<i4", label="<i8")
+def partners(t: pa.Table, percent: int) -> pa.Table:
+    """Of one group of lists: pairs a, b to compare (tok null), of long lists those with the centre; and the long lists' entries (b null)."""
+    tok, ids, size, share, place = unpacked(t, tok="<u8", id="<i8", size="<i4", share="<f4", place="<i4")
     order = np.lexsort((ids, size, tok))
-    tok, ids, size, share, place, label = (x[order] for x in (tok, ids, size, share, place, label))
+    tok, ids, size, share, place = (x[order] for x in (tok, ids, size, share, place))
     edges = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]])) if len(tok) else np.zeros(1, np.int64)
     runs = np.diff(edges)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        need = -(-percent * (size[i].astype(np.int64) + size[j]) // (100 + percent))
-        rest = 1 + np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j]) - 1
-        return (size[i] * 100 >= percent * size[j].astype(np.int64)) & (rest >= need) & (label[i] != label[j])
+    pairs = [np.zeros((0, 2), np.int64)]
 
     def take(i: np.ndarray, j: np.ndarray) -> None:
-        ok = fits(i, j)
-        left.append(ids[i[ok]])
-        right.append(ids[j[ok]])
-
-    if centres:
-        for length in np.unique(runs[(runs > 1) & (runs <= FULL_LIST)]):  # all short lists of one length at once
-            i, j = np.triu_indices(length, 1)
-            at = edges[:-1][runs == length]
-            for part in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
-                take((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
+        ok = fits(percent, size[i], size[j], place[i], place[j])
+        pairs.append(np.sort(np.stack([ids[i[ok]], ids[j[ok]]], 1), axis=1))
+
+    for length in np.unique(runs[(runs > 1) & (runs <= FULL_LIST)]):  # all short lists of one length at once
+        i, j = np.triu_indices(length, 1)
+        at = edges[:-1][runs == length]
+        for part in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
+            take((part[:, None] + i).ravel(), (part[:, None] + j).ravel())
+    long = np.zeros(len(tok), bool)
     for k in np.flatnonzero(runs > FULL_LIST):
         lo, hi = edges[k], edges[k + 1]
-        if centres:
-            # the fullest of frequent tokens is the centre, and each size's neighbour in the list goes along
-            c = lo + int(np.lexsort((ids[lo:hi], -share[lo:hi]))[0])
-            every = np.arange(lo, hi)
-            take(np.minimum(every, c)[every != c], np.maximum(every, c)[every != c])
-            take(every[:-1], every[1:])
-        elif (label[lo:hi] != label[lo]).any():
-            for i in range(lo, hi):  # sizes rise: what is too large for i is skipped at once
-                end = lo + np.searchsorted(size[lo:hi], size[i] * 100 // percent, side="right")
-                if end > i + 1:
-                    j = np.arange(i + 1, end)
-                    take(np.full(len(j), i), j)
-    a, b = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        long[lo:hi] = True
+        c = lo + int(np.lexsort((ids[lo:hi], -share[lo:hi]))[0])  # the fullest of frequent tokens
+        rest = np.delete(np.arange(lo, hi), c - lo)
+        take(np.minimum(rest, c), np.maximum(rest, c))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    n, m = len(found), int(long.sum())
+    column = lambda first, second, kind: pa.concat_arrays([pa.array(first, kind), pa.array(second, kind)])
+    none = lambda k: [None] * k
+    return pa.table({
+        "a": column(found[:, 0], ids[long], pa.int64()), "b": column(found[:, 1], none(m), pa.int64()), "tok": column(none(n), tok[long].view(np.int64), pa.int64()),
+        "size": column(none(n), size[long], pa.int32()), "place": column(none(n), place[long], pa.int32()),
+    })
+
+
+def crossing(t: pa.Table, percent: int) -> pa.Table:
+    """Of one group of long lists: pairs with different labels that may reach the threshold, by size, place and sketch."""
+    tok, ids, size, place, label = (t[c].to_numpy() for c in ("tok", "id", "size", "place", "label"))
+    order = np.lexsort((ids, size, tok))
+    bits = t["sketch"].combine_chunks().values.to_numpy().reshape(len(ids), -1)[order].view(np.uint64)
+    tok, ids, size, place, label = (x[order] for x in (tok, ids, size, place, label))
+    edges = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]]))
+    pairs = [np.zeros((0, 2), np.int64)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        kinds, back, n = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+        if len(kinds) == 1:
+            continue
+        most = back == n.argmax()  # no pair lies within the largest component
+        for i in lo + np.flatnonzero(~most):
+            # sizes rise: what is too large or too small for i is skipped as a block
+            first = lo + np.searchsorted(size[lo:hi], -(-percent * int(size[i]) // 100))
+            last = lo + np.searchsorted(size[lo:hi], int(size[i]) * 100 // percent, side="right")
+            j = np.arange(first, last)
+            j = j[(label[j] != label[i]) & (most[j - lo] | (j > i))]
+            small = j < i
+            a, b = np.where(small, j, i), np.where(small, i, j)
+            ok = fits(percent, size[a], size[b], place[a], place[b])
+            a, b = a[ok], b[ok]
+            total = size[a].astype(np.int64) + size[b]
+            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
+            ok = differ <= total - 2 * -(-percent * total // (100 + percent))
+            pairs.append(np.sort(np.stack([ids[a[ok]], ids[b[ok]]], 1), axis=1))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches don't differ in more bits than sets over the threshold may differ in tokens."""
+    one = nodes.select("id", "n_shingles", "sketch")
+    both = pairs.join(one.toDF("a", "n_a", "s_a"), "a").join(one.toDF("b", "n_b", "s_b"), "b")
+    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    total = F.col("n_a") + F.col("n_b")
+    return both.where(bits <= total - 2 * F.ceil(percent * total / (100 + percent) - 1e-9)).select("a", "b")
 
 
 def decided(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -230,7 +275,7 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rows = checkpointed(described(docs, n, percent, spark.sparkContext.broadcast(hot)))
     key = ["n_shingles", "f1", "f2"]
     some = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    equal = checkpointed(some.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("share").alias("share"), F.first("prefix").alias("prefix")))
+    equal = checkpointed(some.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("share").alias("share"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
     nodes = equal.select("id", "n_shingles", "share", "prefix")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     whole = rows.select("doc_id", *key)
@@ -238,17 +283,16 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     twice = of.groupBy("doc_id").agg(F.count("*").alias("m"), F.min("id").alias("lo")).where("m > 1").select("doc_id", "lo")
     same = of.join(twice, "doc_id").select(F.col("lo").alias("a"), F.col("id").alias("b"))  # an id with several sets
 
-    def found(labels: DataFrame | None) -> DataFrame:
-        labelled = nodes.withColumn("label", F.col("id")) if labels is None else nodes.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
-        centres = labels is None
-        lists = postings(labelled, shards).groupBy("shard").applyInArrow(lambda t: partners(t, percent, centres), "a bigint, b bigint")
-        return checkpointed(decided(checkpointed(lists.distinct()), single, n, percent))
-
     # of an id that repeats, the text of the set that the node stands for
     single = texts if not twice.head(1) else one_text(texts, equal, n)
-    links = found(None).unionByName(same)
-    label = checkpointed(components(links))
-    more = found(label)
+    met = checkpointed(postings(nodes, shards).groupBy("shard").applyInArrow(lambda t: partners(t, percent), "a bigint, b bigint, tok bigint, size int, place int"))
+    first = checkpointed(possible(met.where("tok is null").select("a", "b").distinct(), equal, percent))
+    label = checkpointed(components(decided(first, single, n, percent).unionByName(same)))
+    long = met.where("tok is not null").select(F.col("a").alias("id"), "tok", "size", "place").join(label, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    mixed = long.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("tok")
+    long = long.join(mixed, "tok").join(equal.select("id", "sketch"), "id").withColumn("shard", F.pmod(F.xxhash64("tok"), F.lit(shards)))
+    cross = long.select("shard", "tok", "id", "size", "place", "label", "sketch").groupBy("shard").applyInArrow(lambda t: crossing(t, percent), "a bigint, b bigint")
+    more = checkpointed(decided(checkpointed(cross.distinct()), single, n, percent))
     if more.head(1):
         label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = whole.join(equal.select(*key, "id"), key, "left").join(label, "id", "left")

@@ -62,14 +62,14 @@ def spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, label, base, first (word where the template begins), last, cover: every verified span."""
     text = F.col("text").cast("string")
 
-    def placed(h, k):
-        return F.transform(window_hashes(h, k), lambda x, i: F.struct(x.alias("hash"), i.alias("at"), F.lit(k).alias("k")))
-
-    both = let(F.transform("w", lambda x: F.xxhash64(F.lower(x))), lambda h: F.concat(placed(h, PHRASE_K), placed(h, TEXT_K)))
+    both = let(F.transform("w", lambda x: F.xxhash64(F.lower(x))), lambda h: F.concat(window_hashes(h, PHRASE_K), window_hashes(h, TEXT_K)))
     rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), alnum_words(text).alias("w"))
-    rows = rows.select("doc_id", "text_hash", "w", F.explode_outer(both).alias("x")).select("doc_id", "text_hash", "w", "x.*")
+    # bare hashes and their places keep the exploded rows and the hash table's key small
+    rows = rows.select("doc_id", "text_hash", "w", F.posexplode_outer(both).alias("spot", "hash"))
+    short = F.greatest(F.size("w") - (PHRASE_K - 1), F.lit(0))  # the phrases' hashes come first
+    votes = rows.join(F.broadcast(grams(docs.sparkSession)), "hash").withColumn("at", F.when(F.col("k") == PHRASE_K, F.col("spot")).otherwise(F.col("spot") - short))
     same = ascii_lower(F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ")) == F.col("gram")
-    votes = rows.join(F.broadcast(grams(docs.sparkSession)), ["hash", "k"]).where(same)
+    votes = votes.where((F.col("at") >= 0) & (F.col("at") <= F.size("w") - F.col("k"))).where(same)
     key = ["doc_id", "text_hash", "template"]
     lines = votes.groupBy(*key, "label", "base", "k", "n_grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.countDistinct("place").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last")
