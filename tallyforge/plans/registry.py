@@ -1,6 +1,248 @@
-"""All queries by name, each over whole tables, and their SQL."""
+"""All queries by name, each over whole tables, and the DuckDB SQL that says the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyforge.functions import scalars as S
+from tallyforge.operators import classify, insights, opslog, reconcile, review, validate
+from tallyforge.sources import views as V
+from tallyforge.streaming import alerts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+#: Columns are made inside the queries: the module is imported without a session.
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = V.oracle(sql)
+        return f
+
+    return add
+
+
+def projection(name: str, view, sql: str, columns) -> None:
+    query(name, sql)(lambda s, d: view(s, d).select(*columns()))
+
+
+c, tx, inv, lines = F.col, V.transactions, V.invoices, V.invoice_lines
+
+# scalar rules over whole tables
+projection("scl_01", tx, "SELECT transaction_id, amount::DECIMAL(38,10) AS parsed FROM transactions", lambda: ["transaction_id", S.parse_decimal(F.concat(F.lit(" "), F.format_number("amount", 2), F.lit(" "))).alias("parsed")])
+projection("scl_02", inv, "SELECT invoice_id, CASE WHEN invoice_id % 2 = 0 THEN issue_date END AS parsed FROM invoices", lambda: ["invoice_id", S.parse_iso_date(F.when(c("invoice_id") % 2 == 0, c("issue_date").cast("string")).otherwise(F.date_format("issue_date", "d/M/yyyy"))).alias("parsed")])
+projection("scl_03", tx, "SELECT transaction_id, posted_at AS parsed FROM transactions", lambda: ["transaction_id", S.statement_date(F.when(c("amount") > 0, F.date_format("posted_at", "M/d/yyyy")).otherwise(c("posted_at").cast("string"))).alias("parsed")])
+projection("scl_04", lines, "SELECT invoice_id, line_number, part_id, net, round_even(net * 0.125, 2)::DECIMAL(18,2) AS part FROM lines", lambda: ["invoice_id", "line_number", "part_id", "net", S.money(c("net") * F.lit("0.125").cast("decimal(4,3)")).alias("part")])
+projection("scl_05", lines, "SELECT invoice_id, line_number, part_id, net, round(net::DECIMAL(18,2) * 0.125::DECIMAL(4,3), 2)::DECIMAL(18,2) AS part FROM lines", lambda: ["invoice_id", "line_number", "part_id", "net", S.percentage(c("net") * F.lit("0.125").cast("decimal(4,3)")).cast("decimal(18,2)").alias("part")])
+projection("scl_06", tx, "SELECT transaction_id, CASE direction WHEN 'inflow' THEN abs(amount) ELSE -abs(amount) END AS signed FROM transactions", lambda: ["transaction_id", S.signed_amount(F.abs("amount"), c("direction")).alias("signed")])
+projection("scl_07", tx, "SELECT transaction_id, coalesce(currency, 'UNK') AS bucket FROM transactions", lambda: ["transaction_id", S.currency_bucket(c("currency")).alias("bucket")])
+projection("scl_08", inv, "SELECT invoice_id, CASE WHEN invoice_id % 5 = 4 THEN NULL ELSE ['USD','EUR','GBP','JPY'][invoice_id % 5 + 1] END AS code FROM invoices", lambda: ["invoice_id", S.currency_code(F.element_at(F.array(*map(F.lit, (" $", "euro ", "£", "jpy", "12"))), (c("invoice_id") % 5 + 1).cast("int"))).alias("code")])
+projection("scl_09", tx, r"SELECT transaction_id, regexp_replace(lower(trim(description)), '\s+', ' ', 'g') AS plain, replace(regexp_replace(lower(trim(description)), '\s+', ' ', 'g'), '-', '') AS compact FROM transactions", lambda: ["transaction_id", S.normal_reference(c("description")).alias("plain"), S.compact_reference(c("description")).alias("compact")])
+projection("scl_10", tx, r"SELECT transaction_id, nullif(regexp_extract(replace(description, '#', ' '), '(?:^|\s)(\S*-\S*[0-9]\S*|\S*[0-9]\S*-\S*)(?:\s|$)', 1), '') AS found FROM transactions", lambda: ["transaction_id", S.extract_reference(c("description")).alias("found")])
+projection("scl_11", tx, r"SELECT transaction_id, nullif(trim(replace(regexp_replace(regexp_replace(description, '^(ACH PAYMENT|PAYMENT) ', ''), 'INV-[0-9]+|Customer#[0-9]+-?[0-9]*$', ''), '#', '')), '') AS party FROM transactions WHERE direction = 'outflow'", lambda: ["transaction_id", S.extract_counterparty(c("description")).alias("party")])
+QUERIES["scl_11"] = lambda s, d: tx(s, d).where("direction = 'outflow'").select("transaction_id", S.extract_counterparty(c("description")).alias("party"))
+projection("scl_12", tx, "SELECT transaction_id, sha256(concat_ws('|', account_id::VARCHAR, posted_at::VARCHAR, description, amount::VARCHAR, coalesce(reference, 'None'))) AS hash FROM transactions", lambda: ["transaction_id", S.content_hash(c("account_id"), c("posted_at"), c("description"), c("amount"), c("reference")).alias("hash")])
+query("scl_13", "SELECT DISTINCT account_id, sha256(tenant_id || '|' || account_id) AS hash FROM transactions")(lambda s, d: tx(s, d).select("account_id", S.content_hash(c("tenant_id"), c("account_id")).alias("hash")).distinct())
+projection("scl_14", tx, "SELECT transaction_id, concat_ws(' ', nullif(trim(description), ''), nullif(trim(reference), '')) AS text FROM transactions", lambda: ["transaction_id", S.descriptor(c("description"), c("reference")).alias("text")])
+projection("scl_15", tx, r"SELECT transaction_id, regexp_matches(lower(description), '\bbank\s+fee\b') AS hit FROM transactions", lambda: ["transaction_id", S.keyword(c("description"), "bank fee").alias("hit")])
+projection("scl_16", inv, "SELECT invoice_id, CASE WHEN invoice_id % 101 >= 85 THEN 'high' WHEN invoice_id % 101 >= 70 THEN 'medium' WHEN invoice_id % 101 > 0 THEN 'low' ELSE 'unknown' END AS confidence FROM invoices", lambda: ["invoice_id", S.score_confidence(c("invoice_id") % 101).alias("confidence")])
+projection("scl_17", inv, "SELECT invoice_id, CASE WHEN invoice_id % 101 >= 85 THEN 3 WHEN invoice_id % 101 >= 70 THEN 2 WHEN invoice_id % 101 > 0 THEN 1 ELSE 0 END AS rank FROM invoices", lambda: ["invoice_id", S.confidence_rank(S.score_confidence(c("invoice_id") % 101)).alias("rank")])
+projection("scl_19", V.steps, "SELECT event_id, CASE WHEN ms < 0 THEN NULL WHEN ms <= 1 THEN ms WHEN ms <= 100 THEN ms / 100 END AS confidence FROM steps", lambda: ["event_id", S.ocr_confidence(c("ms")).alias("confidence")])
+projection("scl_20", tx, "SELECT transaction_id, amount AS cleaned FROM transactions", lambda: ["transaction_id", S.clean_money(F.when(c("direction") == "inflow", F.format_number("amount", 2)).otherwise(F.translate(F.format_number("amount", 2), ",.", ".,"))).alias("cleaned")])
+projection("scl_24", inv, "SELECT invoice_id, regexp_replace(number, '[^0-9]', '', 'g') AS id FROM invoices", lambda: ["invoice_id", S.identifier(c("number")).alias("id")])
+projection("scl_36", V.steps, "SELECT event_id, (attempt::DECIMAL(18,0) * 0.003)::DECIMAL(18,6) AS cost FROM steps", lambda: ["event_id", S.token_cost(c("attempt") * 1000, F.lit("0.003").cast("decimal(6,3)")).alias("cost")])
+projection("scl_40", tx, "SELECT transaction_id, CASE direction WHEN 'inflow' THEN 'uncategorized_income' ELSE 'uncategorized_expense' END AS category FROM transactions", lambda: ["transaction_id", S.fallback_category(c("direction"), c("amount")).alias("category")])
+
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+@query("ex_12", rf"SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}')) AS emails FROM documents")
+def ex_12(s, d):
+    """Redaction over the whole corpus; the oracle counts the addresses."""
+    docs = V.table(s, d, "documents")
+    text, _ = S.redacted(c("text"))
+    return docs.select("doc_id", text.alias("redacted"), c("text")).select("doc_id", (F.regexp_count("redacted", F.lit(r"\[EMAIL\]")) - F.regexp_count("text", F.lit(r"\[EMAIL\]"))).alias("emails"))
+
+
+@query("ex_01", r"SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS n_chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS line FROM documents) WHERE line <> '' GROUP BY doc_id")
+def ex_01(s, d):
+    docs = V.table(s, d, "documents")
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).where("line <> ''")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query("src_08", "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS kept FROM documents GROUP BY text")
+def src_08(s, d):
+    """Intake by content hash: of equal documents the first is kept."""
+    return V.table(s, d, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("kept"))
+
+
+# filters
+def filtered(name: str, view, sql: str, columns) -> None:
+    """columns: the test, then what to return."""
+    query(name, sql)(lambda s, d: (lambda test, *out: view(s, d).where(test).select(*out))(*columns()))
+
+
+filtered("flt_01", inv, "SELECT invoice_id, total FROM invoices WHERE tenant_id = 3", lambda: [c("tenant_id") == 3, "invoice_id", "total"])
+filtered("flt_02", tx, "SELECT transaction_id, amount FROM transactions WHERE status = 'posted'", lambda: [c("status") == "posted", "transaction_id", "amount"])
+filtered("flt_03", inv, "SELECT invoice_id, status FROM invoices WHERE status <> 'superseded'", lambda: [c("status") != "superseded", "invoice_id", "status"])
+filtered("flt_05", inv, "SELECT invoice_id, priority FROM invoices WHERE status = 'pending_review'", lambda: [c("status") == "pending_review", "invoice_id", "priority"])
+filtered("flt_06", tx, "SELECT transaction_id FROM transactions WHERE contains(lower(concat_ws(chr(1), description, reference, currency)), 'rent')", lambda: [F.lower(F.concat_ws("\x01", "description", "reference", "currency")).contains("rent"), "transaction_id"])
+filtered("flt_07", tx, "SELECT transaction_id, amount FROM transactions WHERE direction = 'inflow' OR amount > 0", lambda: [(c("direction") == "inflow") | (c("amount") > 0), "transaction_id", "amount"])
+
+# joins
+SCORE = """
+pairs AS (SELECT i.tenant_id, invoice_id, transaction_id, total, amount, abs(total - abs(amount)) AS diff, date_diff('day', due_date, posted_at) AS late, date_diff('day', posted_at, issue_date) AS early,
+  posted_at, issue_date, due_date, lower(number) AS num, lower(concat_ws(' ', reference, description)) AS txt, coalesce(i.currency <> t.currency, false) AS clash
+  FROM invoices i JOIN transactions t ON i.tenant_id = t.tenant_id AND abs(t.amount) BETWEEN i.total - greatest(i.total / 100, 1) - 1 AND i.total + greatest(i.total / 100, 1) + 1),
+parts AS (SELECT *, CASE WHEN diff <= 0.01 THEN 50 WHEN diff <= greatest(total::DECIMAL(30,4) / 100, 1) THEN 35 WHEN diff <= greatest(total / 20, 5) THEN 15 ELSE 0 END AS amount_score,
+  CASE WHEN posted_at BETWEEN issue_date AND due_date THEN 20 WHEN late BETWEEN 1 AND 7 THEN 15 WHEN early BETWEEN 1 AND 7 THEN 10 ELSE 0 END AS date_score,
+  CASE WHEN contains(txt, num) THEN 30 WHEN contains(replace(txt, '-', ''), replace(num, '-', '')) THEN 25 ELSE 0 END AS reference_score FROM pairs),
+found AS (SELECT tenant_id, invoice_id, transaction_id, total, amount, amount_score, date_score, reference_score, CASE WHEN clash THEN 0 ELSE least(100, amount_score + date_score + reference_score) END AS score FROM parts),
+kept AS (SELECT * FROM found WHERE score >= 70),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY invoice_id) AS n_candidates, row_number() OVER (PARTITION BY invoice_id ORDER BY score DESC, transaction_id) AS rn FROM kept)
+"""
+
+
+def scored(sql: str) -> str:
+    return V.oracle("SELECT 1").rsplit("\nSELECT 1", 1)[0].rstrip() + ",\n" + SCORE.strip() + "\n" + sql
+
+
+def found(s, d):
+    return reconcile.candidates(inv(s, d), tx(s, d))
+
+
+QUERIES["jn_01"], ORACLES["jn_01"] = (lambda s, d: found(s, d)), scored("SELECT * FROM kept")
+QUERIES["wn_04"], ORACLES["wn_04"] = (lambda s, d: reconcile.best(found(s, d)).select("invoice_id", "transaction_id", "score", "n_candidates")), scored("SELECT invoice_id, transaction_id, score, n_candidates FROM ranked WHERE rn = 1")
+QUERIES["bd_04"] = lambda s, d: reconcile.proposals(reconcile.best(found(s, d))).drop("tenant_id")
+ORACLES["bd_04"] = scored("SELECT invoice_id, transaction_id, score, n_candidates, CASE WHEN n_candidates > 1 OR score < 85 THEN 'pending_review' ELSE 'proposed' END AS status, CASE WHEN score >= 85 THEN 'high' ELSE 'medium' END AS confidence, (abs(amount) - total)::DECIMAL(18,2) AS difference FROM ranked WHERE rn = 1")
+
+
+def bd_05(s, d):
+    b = reconcile.best(found(s, d)).select("invoice_id", "score", "n_candidates")
+    return inv(s, d).select("invoice_id").join(b, "invoice_id", "left").select("invoice_id", reconcile.decision(c("score"), c("n_candidates")).alias("decision"))
+
+
+QUERIES["bd_05"] = bd_05
+ORACLES["bd_05"] = scored("SELECT i.invoice_id, CASE WHEN n_candidates IS NULL THEN 'no_matching_transaction' WHEN n_candidates > 1 THEN 'ambiguous_match' WHEN score < 85 THEN 'low_confidence_match' ELSE 'ready' END AS decision FROM invoices i LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (invoice_id)")
+QUERIES["jn_04"] = lambda s, d: tx(s, d).select("transaction_id").join(found(s, d).select("transaction_id", F.lit(True).alias("hit")).distinct(), "transaction_id", "left").select("transaction_id", F.when(c("hit"), "matched").otherwise("unmatched").alias("state"))
+ORACLES["jn_04"] = scored("SELECT transaction_id, CASE WHEN transaction_id IN (SELECT transaction_id FROM kept) THEN 'matched' ELSE 'unmatched' END AS state FROM transactions")
+QUERIES["so_06"] = lambda s, d: tx(s, d).join(found(s, d), "transaction_id", "left_anti").select("transaction_id", "amount")
+ORACLES["so_06"] = scored("SELECT transaction_id, amount FROM transactions WHERE transaction_id NOT IN (SELECT transaction_id FROM kept)")
+QUERIES["tk_01"] = lambda s, d: found(s, d).withColumn("place", F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("score"), "transaction_id", "invoice_id"))).where("place <= 20").select("tenant_id", "place", "transaction_id", "invoice_id", "score")
+ORACLES["tk_01"] = scored("SELECT tenant_id, place, transaction_id, invoice_id, score FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY score DESC, transaction_id, invoice_id) AS place FROM kept) WHERE place <= 20")
+
+
+@query("jn_07", "SELECT i.invoice_id, i.total, n_lines, line_net FROM invoices i LEFT JOIN (SELECT invoice_id, count(*) AS n_lines, sum(net) AS line_net FROM lines GROUP BY invoice_id) USING (invoice_id)")
+def jn_07(s, d):
+    """Children are summed before they join, so no row fans out."""
+    sums = lines(s, d).groupBy("invoice_id").agg(F.count("*").alias("n_lines"), F.sum("net").alias("line_net"))
+    return inv(s, d).join(sums, "invoice_id", "left").select("invoice_id", "total", "n_lines", "line_net")
+
+
+# aggregations
+FLOW = """SELECT {k}, count(*) AS n, count(*) FILTER (direction = 'inflow' OR amount > 0) AS n_in, count(*) FILTER (direction = 'outflow' OR amount < 0) AS n_out,
+  coalesce(sum(abs(amount)) FILTER (direction = 'inflow' OR amount > 0), 0)::DECIMAL(28,2) AS total_in, coalesce(sum(-abs(amount)) FILTER (direction = 'outflow' OR amount < 0), 0)::DECIMAL(28,2) AS total_out,
+  first(transaction_id ORDER BY abs(amount) DESC, posted_at, substr(transaction_id, 2)::BIGINT) FILTER (direction = 'inflow' OR amount > 0) AS largest_in, first(transaction_id ORDER BY abs(amount) DESC, posted_at, substr(transaction_id, 2)::BIGINT) FILTER (direction = 'outflow' OR amount < 0) AS largest_out,
+  (coalesce(sum(abs(amount)) FILTER (direction = 'inflow' OR amount > 0), 0) + coalesce(sum(-abs(amount)) FILTER (direction = 'outflow' OR amount < 0), 0))::DECIMAL(29,2) AS net FROM {f} GROUP BY {g}"""
+
+
+def monthly(s, d):
+    return tx(s, d).withColumn("month", F.trunc("posted_at", "month"))
+
+
+query("ag_01", FLOW.format(k="account_id, month", g="account_id, month", f="(SELECT *, date_trunc('month', posted_at)::DATE AS month FROM transactions)"))(lambda s, d: insights.cash_flow(monthly(s, d), "account_id", "month"))
+query("ag_03", FLOW.format(k="tenant_id, currency", g="tenant_id, currency", f="(SELECT * REPLACE (coalesce(currency, 'UNK') AS currency) FROM transactions WHERE status = 'posted')"))(lambda s, d: insights.cash_flow(tx(s, d).where("status = 'posted'").withColumn("currency", S.currency_bucket(c("currency"))), "tenant_id", "currency"))
+
+CATEGORY = """CASE WHEN regexp_matches(description, '\\bCLOUD\\b|\\bHOSTING\\b') THEN 'software_hosting' WHEN contains(description, 'OFFICE RENT') THEN 'rent' WHEN contains(description, 'PAYROLL RUN') THEN 'payroll'
+ WHEN contains(description, 'GOOGLE ADS') THEN 'marketing' WHEN contains(description, 'BANK FEE') THEN 'bank_fees' ELSE 'sales' END"""
+
+
+def labelled(s, d):
+    return classify.classified(tx(s, d), c("description"), c("direction"), c("amount"))
+
+
+query("bd_01", f"SELECT transaction_id, {CATEGORY} AS category FROM transactions")(lambda s, d: labelled(s, d).select("transaction_id", "category"))
+query("ag_02", f"SELECT tenant_id, {CATEGORY} AS category, count(*) AS n, sum(amount) AS total FROM transactions GROUP BY ALL")(lambda s, d: labelled(s, d).groupBy("tenant_id", "category").agg(F.count("*").alias("n"), F.sum("amount").alias("total")))
+query("ag_05", "SELECT invoice_id, line_number, count(*) AS n, min(part_id) AS first_entity, max(part_id) AS last_entity FROM lines GROUP BY 1, 2 HAVING count(*) > 1")(lambda s, d: validate.duplicates(lines(s, d), ["invoice_id", "line_number"], "part_id"))
+query("ag_07", "SELECT tenant_id, count(*) AS total FROM invoices GROUP BY 1")(lambda s, d: inv(s, d).groupBy("tenant_id").agg(F.count("*").alias("total")))
+query("ag_09", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_blocks, length(text) AS n_chars FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("n_blocks"), F.length("text").alias("n_chars")))
+query("ag_11", "SELECT tenant_id, count(*) AS shown, sum(abs(amount)) AS total, count(DISTINCT currency) AS currencies, count(*) FILTER (status = 'pending') AS waiting FROM transactions GROUP BY 1")(lambda s, d: tx(s, d).groupBy("tenant_id").agg(F.count("*").alias("shown"), F.sum(F.abs("amount")).alias("total"), F.count_distinct("currency").alias("currencies"), F.count_if(c("status") == "pending").alias("waiting")))
+query("ag_06", "SELECT account_id, count(*) AS n, count(*) - count(DISTINCT (posted_at, amount)) AS n_duplicates FROM transactions GROUP BY 1")(lambda s, d: tx(s, d).groupBy("account_id").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("posted_at", "amount")).alias("n_duplicates")))
+
+
+# windows
+query("wn_01", "SELECT account_id, transaction_id, amount FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY posted_at DESC, transaction_id) AS rn FROM transactions WHERE status = 'posted') WHERE rn = 1")(lambda s, d: insights.latest(tx(s, d).where("status = 'posted'"), ["account_id"], F.desc("posted_at"), c("transaction_id")).select("account_id", "transaction_id", "amount"))
+query("wn_03", "SELECT user_id, event_id, agent FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM steps) WHERE rn = 1")(lambda s, d: insights.latest(V.steps(s, d), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "agent"))
+query("wn_08", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM steps")(lambda s, d: V.steps(s, d).select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step")))
+query("jn_11", """SELECT a.event_id AS handoff, b.event_id AS signal FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM steps WHERE failed) a
+ JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM steps WHERE agent = 'click') b ON a.user_id = b.user_id AND a.n = b.n""")(
+    lambda s, d: (lambda e, w: e.where("failed").select("user_id", c("event_id").alias("handoff"), w.alias("n")).join(e.where("agent = 'click'").select("user_id", c("event_id").alias("signal"), w.alias("n")), ["user_id", "n"]).select("handoff", "signal"))(V.steps(s, d), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+)
+query("tk_02", "SELECT transaction_id, posted_at, amount FROM transactions ORDER BY posted_at DESC, transaction_id LIMIT 50 OFFSET 50")(lambda s, d: tx(s, d).orderBy(F.desc_nulls_last("posted_at"), "transaction_id").offset(50).limit(50).select("transaction_id", "posted_at", "amount"))
+query("tk_03", "SELECT invoice_id, issue_date FROM invoices ORDER BY issue_date DESC, invoice_id LIMIT 50")(lambda s, d: inv(s, d).orderBy(F.desc("issue_date"), "invoice_id").limit(50).select("invoice_id", "issue_date"))
+query("tk_04", "SELECT user_id, count(*) FILTER (failed) AS failures FROM steps GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda s, d: V.steps(s, d).groupBy("user_id").agg(F.count_if("failed").alias("failures")).orderBy(F.desc("failures"), "user_id").limit(10))
+
+# validation
+query("vl_01", """SELECT invoice_id AS entity_id, 'arithmetic' AS validator, code, severity, field_path, expected, observed FROM (
+ SELECT invoice_id, CASE WHEN l IS NULL THEN 'missing_lines' WHEN l - total > 0.01 THEN 'inferred_discount_amount' WHEN total - l > 0.01 THEN 'line_sum_below_total' END AS code,
+ CASE WHEN l IS NULL THEN 'warning' WHEN l - total > 0.01 THEN 'info' ELSE 'error' END AS severity, CASE WHEN l IS NULL THEN 'lines' ELSE 'total' END AS field_path,
+ CASE WHEN l IS NULL THEN 'lines' ELSE l::DECIMAL(28,2)::VARCHAR END AS expected, CASE WHEN l IS NOT NULL THEN total::VARCHAR END AS observed
+ FROM invoices LEFT JOIN (SELECT invoice_id, sum(net) AS l FROM lines GROUP BY 1) USING (invoice_id)) WHERE code IS NOT NULL""")(lambda s, d: validate.arithmetic(inv(s, d), lines(s, d)))
+query("vl_02", "SELECT invoice_id AS entity_id, 'dates' AS validator, 'due_before_issue' AS code, 'error' AS severity, 'due_date' AS field_path, issue_date::VARCHAR AS expected, (issue_date - 1)::VARCHAR AS observed FROM invoices WHERE invoice_id % 7 = 0")(lambda s, d: validate.dates(inv(s, d).withColumn("due_date", F.when(c("invoice_id") % 7 == 0, F.date_sub("issue_date", 1)).otherwise(c("due_date")))))
+query("vl_03", "SELECT transaction_id AS entity_id, 'currency' AS validator, 'missing_currency' AS code, 'warning' AS severity, 'currency' AS field_path, 'code' AS expected, NULL::VARCHAR AS observed FROM transactions WHERE currency IS NULL")(lambda s, d: validate.currencies(tx(s, d), "transaction_id"))
+query("vl_06", "SELECT t.transaction_id, i.currency AS expected, t.currency AS observed FROM transactions t JOIN tenants i USING (tenant_id) WHERE t.currency IS DISTINCT FROM i.currency")(lambda s, d: tx(s, d).join(F.broadcast(V.tenants(s, d).select("tenant_id", c("currency").alias("expected"))), "tenant_id").where(~c("currency").eqNullSafe(c("expected"))).select("transaction_id", "expected", c("currency").alias("observed")))
+
+# insights, review
+@query("bd_13", """SELECT account_id, type, severity, metric::DECIMAL(38,2) AS metric FROM (
+ SELECT account_id, 'cashflow' AS type, CASE WHEN i + o < 0 THEN 'high' ELSE 'info' END AS severity, i + o AS metric FROM f
+ UNION ALL SELECT account_id, 'expense', 'info', o FROM f WHERE o < 0
+ UNION ALL SELECT account_id, 'revenue', CASE WHEN round(m * 100 / i, 2) >= 75 THEN 'high' ELSE 'medium' END, round((m * 100)::DECIMAL(38,10) / i, 2) FROM f WHERE i > 0 AND round(m * 100 / i, 2) >= 50)""")
+def bd_13(s, d):
+    t = tx(s, d)
+    top = t.where("amount > 0").groupBy("account_id").agg(F.max("amount").alias("largest_amount"))
+    return insights.insights(insights.cash_flow(t, "account_id").join(top, "account_id", "left"), "account_id")
+
+
+ORACLES["bd_13"] = ORACLES["bd_13"].replace("\nSELECT account_id, type", ",\nf AS (SELECT account_id, coalesce(sum(amount) FILTER (amount > 0), 0) AS i, coalesce(sum(amount) FILTER (amount < 0), 0) AS o, max(amount) FILTER (amount > 0) AS m FROM transactions GROUP BY 1)\nSELECT account_id, type", 1)
+
+
+@query("bd_10", "SELECT invoice_id AS task_id, 'resolved' AS status, CASE WHEN invoice_id % 3 = 0 THEN 'rejected' ELSE 'approved' END AS resource_status FROM invoices WHERE status = 'pending_review'")
+def bd_10(s, d):
+    tasks = inv(s, d).select(c("invoice_id").alias("task_id"), F.when(c("status") == "pending_review", "open").otherwise("resolved").alias("status"))
+    decisions = inv(s, d).select(c("invoice_id").alias("task_id"), F.when(c("invoice_id") % 3 == 0, "reject").otherwise("approve").alias("decision"))
+    return review.decide(tasks, decisions)[0]
+
+
+@query("bd_11", "SELECT invoice_id, 1 AS version, CASE WHEN invoice_id % 5 = 0 THEN 'superseded' ELSE status END AS status, total FROM invoices UNION ALL SELECT invoice_id, 2, 'extracted', (total + 1)::DECIMAL(18,2) FROM invoices WHERE invoice_id % 5 = 0")
+def bd_11(s, d):
+    i = inv(s, d).select("invoice_id", F.lit(1).alias("version"), "status", "total")
+    corrections = i.where("invoice_id % 5 = 0").select("invoice_id", F.create_map(F.lit("total"), (c("total") + 1).cast("string")).alias("changes"))
+    return review.correct(i, corrections, ["total"])
+
+
+query("wn_10", "SELECT invoice_id, CASE WHEN invoice_id % 5 = 0 THEN 2 ELSE 1 END AS version FROM invoices")(lambda s, d: insights.latest(bd_11(s, d), ["invoice_id"], F.desc("version")).select("invoice_id", "version"))
+
+# operations log
+ROLL = "SELECT {k}, count(*) AS n, count(*) FILTER (failed) AS failures, sum(greatest(attempt - 1, 0))::BIGINT AS retries, sum(ms) / count(*) AS avg_ms, max(ms) AS max_ms FROM steps GROUP BY {k}"
+rounded = lambda df: df.withColumn("avg_ms", F.round("avg_ms", 6))
+query("op_01", f"SELECT * REPLACE (round(avg_ms, 6) AS avg_ms) FROM ({ROLL.format(k='agent')})")(lambda s, d: rounded(opslog.rollup(V.steps(s, d), "agent")))
+query("op_03", f"SELECT * REPLACE (round(avg_ms, 6) AS avg_ms) FROM ({ROLL.format(k='tenant_id, agent')})")(lambda s, d: rounded(opslog.rollup(V.steps(s, d), "tenant_id", "agent")))
+query("op_06", "SELECT tenant_id, round(count(*) FILTER (agent = 'purchase') / count(*), 4) AS correction_rate FROM steps GROUP BY 1")(lambda s, d: V.steps(s, d).groupBy("tenant_id").agg(F.round(F.count_if(c("agent") == "purchase") / F.count("*"), 4).alias("correction_rate")))
+query("op_07", "SELECT tenant_id, coalesce(priority, 'all') AS priority, count(*) AS n FROM invoices WHERE status = 'pending_review' GROUP BY GROUPING SETS ((tenant_id, priority), (tenant_id))")(lambda s, d: inv(s, d).where("status = 'pending_review'").rollup("tenant_id", "priority").agg(F.count("*").alias("n")).where("tenant_id is not null").select("tenant_id", F.coalesce("priority", F.lit("all")).alias("priority"), "n"))
+query("op_09", "SELECT agent AS event, count(*) AS n FROM steps GROUP BY 1")(lambda s, d: V.steps(s, d).groupBy(c("agent").alias("event")).agg(F.count("*").alias("n")))
+
+# alert windows: batch twins of the streams
+query("sm_03", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, agent, count(*) AS n FROM steps GROUP BY 1, 2 HAVING count(*) > 2")(lambda s, d: alerts.over_budget(V.steps(s, d), "agent", 2, "1 minute"))
+query("sm_04", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, tenant_id, count(*) AS n, count(*) FILTER (failed) AS failures FROM steps GROUP BY 1, 2 HAVING count(*) FILTER (failed) > 0.1 * count(*)")(lambda s, d: alerts.failure_rate(V.steps(s, d), "tenant_id"))
+query("sm_05", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, agent, count(*) AS n FROM steps WHERE failed AND attempt >= 2 GROUP BY 1, 2 HAVING count(*) > 3")(lambda s, d: alerts.retry_exhaustion(V.steps(s, d), "agent", 2, 3, "1 hour"))
+query("sm_09", """SELECT tenant_id, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY tenant_id ORDER BY ts, event_id) AS island FROM steps)
+ WHERE failed GROUP BY tenant_id, island HAVING count(*) >= 2""")(lambda s, d: opslog.failure_runs(V.steps(s, d), "tenant_id", 2))
+query("sm_11", "SELECT event_id, tenant_id FROM steps WHERE failed")(lambda s, d: alerts.new_failures(V.steps(s, d)).select("event_id", "tenant_id"))

@@ -1,0 +1 @@
+"""Reading tables and the statement formats."""
