@@ -38,6 +38,8 @@ MOST_FREQUENT = 1 << 20
 SKETCH = 1024
 #: Texts of this many partners are compared with a set in one task.
 PARTNERS = 256
+#: So many ids (8 bytes each) may be broadcast to pick the texts that are compared; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
@@ -246,7 +248,11 @@ def decided(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("k"))
     member = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("chunk"), F.col("b").alias("id"))
     own = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("chunk"), F.col("a").alias("id"))
-    rows = member.unionByName(own).join(texts, "id")
+    wanted = checkpointed(member.unionByName(own))
+    ids = wanted.select("id").distinct()
+    if ids.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
+    rows = wanted.join(texts.join(ids, "id", "left_semi"), "id")
 
     def compared(t: pa.Table) -> pa.Table:
         ids, a = t["id"].to_numpy(), t["a"][0].as_py()

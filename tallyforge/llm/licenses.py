@@ -74,15 +74,15 @@ def spans(docs: DataFrame) -> DataFrame:
     lines = votes.groupBy(*key, "label", "base", "k", "n_grams", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.countDistinct("place").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last")
     )
-    phrases = lines.where((F.col("k") == PHRASE_K) & (F.col("votes") == F.col("n_grams")))
-    phrases = phrases.select("doc_id", "text_hash", "label", "base", F.col("diagonal").alias("first"), (F.col("last") + F.col("k") - 1).alias("last"), F.lit(1.0).alias("cover"))
+    # of a text, neighbouring diagonals are one line; of a phrase, each diagonal is one by itself
     w = Window.partitionBy(*key).orderBy("diagonal")
-    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > NEAR, F.lit(True)).cast("int")
-    merged = lines.where(F.col("k") == TEXT_K).withColumn("fresh", fresh).withColumn("line", F.sum("fresh").over(w))
+    near = F.when(F.col("k") == TEXT_K, NEAR).otherwise(0)
+    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > near, F.lit(True)).cast("int")
+    merged = lines.withColumn("fresh", fresh).withColumn("line", F.sum("fresh").over(w))
     merged = merged.groupBy(*key, "label", "base", "k", "n_grams", "line").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     cover = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    texts = merged.where((cover >= LEAST_COVER) & (F.col("last") - F.col("first") < 2 * F.col("n_grams")))
-    return phrases.unionByName(texts.select("doc_id", "text_hash", "label", "base", "first", (F.col("last") + F.col("k") - 1).alias("last"), cover.alias("cover")))
+    whole = F.when(F.col("k") == TEXT_K, (cover >= LEAST_COVER) & (F.col("last") - F.col("first") < 2 * F.col("n_grams"))).otherwise(F.col("votes") == F.col("n_grams"))
+    return merged.where(whole).select("doc_id", "text_hash", "label", "base", "first", (F.col("last") + F.col("k") - 1).alias("last"), cover.alias("cover"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
