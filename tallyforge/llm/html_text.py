@@ -2,7 +2,7 @@
 
 Pass 1 decides blocks by where they stand (menus, footers, ... and articles), by link density, length
 and stop-word density; short blocks and middling ones stay open. Pass 2 gives each open block the
-label of its nearest decided neighbours: both alike decide, else the nearer one does.
+label of its nearest decided neighbours: the nearer one decides, the one before on a tie.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def main_text(page: str) -> tuple[str, int]:
     for i in range(len(found) - 1, -1, -1):
         label, far = (first[i], 0) if first[i] else (label, far + 1)
         left, d = before[i]
-        if first[i] > 0 or (not first[i] and (left if d <= far else label) > 0 and (left == label or len(found[i][0]) >= SHORT)):
+        if first[i] > 0 or (not first[i] and (left if d <= far else label) > 0):
             keep.append(found[i][0])
     if not keep and not article and not any(x < 0 for x in first):
         keep = [t for t, _, _ in reversed(found)]  # only open blocks: nothing speaks against them

@@ -33,8 +33,9 @@ ZONE = U(1 << 62)
 FULL_LIST = 8
 #: The broadcast array of frequent tokens has this many at most: the limit of frequency rises with the corpus.
 MOST_FREQUENT = 1 << 20
-#: Bits of a set's sketch. Bit b is the parity of the set's tokens that fall on b, so that two sketches differ in
-#: no more bits than the sets differ in tokens: pairs that differ in more than the threshold allows go unread.
+#: Least bits of a set's sketch; a set of more tokens has the next power of two. A bit is the parity of the set's tokens
+#: that fall on it, so that two sketches differ in no more bits than the sets differ in tokens: pairs that differ in
+#: more than the threshold allows go unread. A sketch folds to half its bits, as sets in a pair may lie on either side of a power.
 SKETCH = 1024
 #: Texts of this many partners are compared with a set in one task.
 PARTNERS = 256
@@ -73,10 +74,42 @@ def packed(parts: list[np.ndarray], shard: np.ndarray, k: int) -> Iterator[tuple
 
 
 def sketch(s: np.ndarray) -> list[int]:
-    odd = np.bincount((s >> U(11)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    bits = max(SKETCH, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((s >> U(11)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+class Sketches:
+    """Sketches of different widths, rows side by side."""
+
+    def __init__(self, column: pa.ListArray, order: np.ndarray) -> None:
+        self.values, starts = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        self.starts, self.width = starts[:-1][order], np.diff(starts)[order]
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def level(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """At w words: the sketches of width w and, folded, of 2w; which row of them each set has."""
+        if w not in self.levels:
+            at, parts, n = np.full(len(self.width), -1), [], 0
+            for own in (w, 2 * w):
+                rows = np.flatnonzero(self.width == own)
+                x = self.values[self.starts[rows][:, None] + np.arange(own)]
+                parts.append(x if own == w else x[:, :w] ^ x[:, w:])
+                at[rows] = n + np.arange(len(rows))
+                n += len(rows)
+            self.levels[w] = np.concatenate(parts), at
+        return self.levels[w]
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which pairs differ; widths of a pair are equal or one twice the other."""
+        out, least = np.zeros(len(a), np.int64), np.minimum(self.width[a], self.width[b])
+        for w in np.unique(least):
+            m, at = self.level(int(w))
+            k = np.flatnonzero(least == w)
+            out[k] = np.bitwise_count(m[at[a[k]]] ^ m[at[b[k]]]).sum(1, dtype=np.int64)
+        return out
+
+
 def unpacked(t: pa.Table, **kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in kinds.items()]
 
@@ -207,7 +240,7 @@ def crossing(t: pa.Table, percent: int) -> pa.Table:
     """Of one group of long lists: pairs with different labels that may reach the threshold, by size, place and sketch."""
     tok, ids, size, place, label = (t[c].to_numpy() for c in ("tok", "id", "size", "place", "label"))
     order = np.lexsort((ids, size, tok))
-    bits = t["sketch"].combine_chunks().values.to_numpy().reshape(len(ids), -1)[order].view(np.uint64)
+    bits = Sketches(t["sketch"].combine_chunks(), order)
     tok, ids, size, place, label = (x[order] for x in (tok, ids, size, place, label))
     edges = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]]))
     pairs = [np.zeros((0, 2), np.int64)]
@@ -227,8 +260,7 @@ def crossing(t: pa.Table, percent: int) -> pa.Table:
             ok = fits(percent, size[a], size[b], place[a], place[b])
             a, b = a[ok], b[ok]
             total = size[a].astype(np.int64) + size[b]
-            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-            ok = differ <= total - 2 * -(-percent * total // (100 + percent))
+            ok = bits.differ(a, b) <= total - 2 * -(-percent * total // (100 + percent))
             pairs.append(np.sort(np.stack([ids[a[ok]], ids[b[ok]]], 1), axis=1))
     found = np.unique(np.concatenate(pairs), axis=0)
     return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
@@ -238,7 +270,12 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches don't differ in more bits than sets over the threshold may differ in tokens."""
     one = nodes.select("id", "n_shingles", "sketch")
     both = pairs.join(one.toDF("a", "n_a", "s_a"), "a").join(one.toDF("b", "n_b", "s_b"), "b")
-    bits = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+    def folded(s, other):
+        half = F.size(other)
+        return F.when(F.size(s) > half, F.zip_with(F.slice(s, 1, half), F.slice(s, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(s)
+
+    bits = F.aggregate(F.zip_with(folded(F.col("s_a"), F.col("s_b")), folded(F.col("s_b"), F.col("s_a")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     total = F.col("n_a") + F.col("n_b")
     return both.where(bits <= total - 2 * F.ceil(percent * total / (100 + percent) - 1e-9)).select("a", "b")
 
