@@ -69,7 +69,7 @@ def features(kind: str, value: str, before: str, after: str) -> list[float]:
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     near = re.findall(r"[a-z_]+", f"{before} {after}".lower())
     named = any(w in NAMING or any(w.endswith(x) for x in ("token", "secret", "password", "key")) for w in near)
-    fake = any(w in PLACEHOLDER for w in re.findall(r"[a-z]+", f"{before[-20:]} {value} {after[:20]}".lower())) or len(set(value)) <= 3
+    fake = any(w in PLACEHOLDER for w in re.findall(r"[a-z]+", " ".join([*before.split()[-1:], value]).lower())) or len(set(value)) <= 3
     path = value.count("/") >= 2 or bool(re.search(r"\.[a-z]{2,4}$", value)) or value.startswith(("/", "./", "http"))
     return [
         *(float(kind == x) for x in KINDS), float(n), sum(a != b for a, b in zip(k, k[1:], strict=False)) / max(1, n - 1), entropy,
