@@ -160,7 +160,9 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> Data
     step = lambda a, s: F.struct((s["start"] + s["length"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"))
     new = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     new = F.when(F.col("spans").isNull(), text).otherwise(new)
-    columns = [new.alias(c) if c == "text" else F.when(F.col("spans").isNull(), F.col(c)).otherwise(F.length(new).cast(t)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    gone = F.aggregate("spans", F.lit(0), lambda a, s: a + s["length"])
+    n_chars = F.length(text) - gone + F.size("spans") * len(mark)
+    columns = [new.alias(c) if c == "text" else F.when(F.col("spans").isNull(), F.col(c)).otherwise(n_chars.cast(t)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
     return joined.select(*columns)
 
 
