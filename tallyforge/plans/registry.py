@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.operators import classify, insights, opslog, reconcile, review, validate
+from tallyforge.plans.catalog import ORACLES, QUERIES, projection, query
 from tallyforge.sources import views as V
 from tallyforge.streaming import alerts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-#: Columns are made inside the queries: the module is imported without a session.
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = V.oracle(sql)
-        return f
-
-    return add
-
-
-def projection(name: str, view, sql: str, columns) -> None:
-    query(name, sql)(lambda s, d: view(s, d).select(*columns()))
-
-
 c, tx, inv, lines = F.col, V.transactions, V.invoices, V.invoice_lines
 
 # scalar rules over whole tables
@@ -246,3 +224,5 @@ query("sm_05", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, agent,
 query("sm_09", """SELECT tenant_id, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY tenant_id ORDER BY ts, event_id) AS island FROM steps)
  WHERE failed GROUP BY tenant_id, island HAVING count(*) >= 2""")(lambda s, d: opslog.failure_runs(V.steps(s, d), "tenant_id", 2))
 query("sm_11", "SELECT event_id, tenant_id FROM steps WHERE failed")(lambda s, d: alerts.new_failures(V.steps(s, d)).select("event_id", "tenant_id"))
+
+from tallyforge.plans import decisions, extraction, operations  # noqa: E402, F401  (they add their queries)

@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_of(name: str):
+    """The table as a view."""
+    return lambda spark, sf_dir: table(spark, sf_dir, name)
+
+
 def money(c: Column) -> Column:
     """Doubles become decimals before any arithmetic."""
     return c.cast("decimal(18,2)")
@@ -70,6 +75,21 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", (F.col("user_id") % 25).alias("tenant_id"), "user_id", F.col("event_type").alias("agent"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("ms"), attempt.alias("attempt"))
 
 
+def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: each invoice as a printed page, with the labels and layouts that the field rules read."""
+    item = F.struct("line_number", "part_id", "quantity", "net")
+    sums = invoice_lines(spark, sf_dir).groupBy(F.col("invoice_id").alias("doc_id")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum("net").alias("net_sum"))
+    j = invoices(spark, sf_dir).join(tenants(spark, sf_dir).select("tenant_id", "tenant_name"), "tenant_id").join(sums, F.col("invoice_id") == F.col("doc_id"), "left").drop("doc_id")
+    row = F.transform("items", lambda x: F.concat_ws(" ", F.lit("Part"), x["part_id"].cast("string"), x["quantity"].cast("string"), F.format_number(x["net"], 2)))
+    nine = lambda c: F.lpad(c.cast("string"), 9, "1")
+    text = F.concat_ws(
+        "\n", F.concat("tenant_name", F.lit(" TRADING LTD")), F.concat(F.lit("VAT Reg No: "), nine(F.col("tenant_id"))), F.concat(F.lit("Invoice No: "), F.col("number")), F.lit("Invoice Date"), F.col("issue_date").cast("string"),
+        F.when(F.col("invoice_id") % 4 == 0, "Payment is due in 30 days").otherwise(F.concat(F.lit("Due Date: "), F.date_format("due_date", "dd/MM/yyyy"))), F.lit("Bill To"), F.col("customer"), F.concat(F.lit("NIF: "), nine(F.col("customer_id"))),
+        F.lit("Description Quantity Amount"), F.array_join(row, "\n"), F.concat(F.lit("Subtotal: "), F.format_number("net_sum", 2)), F.concat(F.lit("Total ("), F.col("currency"), F.lit("): "), F.format_number("total", 2)),
+    )
+    return j.select(F.col("invoice_id").alias("doc_id"), text.alias("text"))
+
+
 CTE = """
 tenants AS (SELECT n_nationkey AS tenant_id, n_name AS tenant_name, ['USD','EUR','GBP','JPY','SGD'][n_regionkey + 1] AS currency FROM nation),
 invoices AS (SELECT tenant_id, o_orderkey AS invoice_id, 'INV-' || lpad(o_orderkey::VARCHAR, 7, '0') AS number,

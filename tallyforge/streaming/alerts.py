@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,20 @@ def new_failures(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Failed rows, each event once."""
     f = watermarked(rows, late).where("failed")
     return f.dropDuplicatesWithinWatermark(["event_id"]) if rows.isStreaming else f.dropDuplicates(["event_id"])
+
+
+def slow(rows: DataFrame, key: str, limit: float, size: str = "10 minutes", share: float = 0.05) -> DataFrame:
+    """Windows whose 95th percentile is over the limit: more than a twentieth of the rows are. Counts combine before the shuffle, percentiles don't."""
+    g = watermarked(rows).groupBy(F.window("ts", size).alias("w"), key).agg(F.count("ms").alias("n"), F.count_if(F.col("ms") > limit).alias("slow"))
+    return g.where(F.col("slow") > share * F.col("n")).select(F.col("w.start").alias("window_start"), key, "n", "slow")
+
+
+def stale(rows: DataFrame, expired: Column, most: int) -> DataFrame:
+    """Rows with an expired lease as lost, or dead_letter when no attempt is left."""
+    return rows.where(expired).withColumn("state", F.when(F.col("attempt") >= most, "dead_letter").otherwise("lost"))
+
+
+def new_documents(rows: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Documents (ts, text), each content once by its hash."""
+    hashed = rows.withColumn("content_hash", F.sha2("text", 256))
+    return hashed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["content_hash"]) if rows.isStreaming else hashed.dropDuplicates(["content_hash"])
