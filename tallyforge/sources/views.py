@@ -70,7 +70,11 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a log of steps: user_id is the tenant, error a failure, value milliseconds, props.k the attempt."""
-    e = table(spark, sf_dir, "events")
+    return steps_of(table(spark, sf_dir, "events"))
+
+
+def steps_of(e: DataFrame) -> DataFrame:
+    """The same of an event table or stream."""
     attempt = F.get_json_object("props", "$.k").cast("int")
     return e.select("event_id", "ts", (F.col("user_id") % 25).alias("tenant_id"), "user_id", F.col("event_type").alias("agent"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("ms"), attempt.alias("attempt"))
 

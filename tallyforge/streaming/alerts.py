@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def watermarked(rows: DataFrame, late: str = "10 minutes") -> DataFrame:
-    return rows.withWatermark("ts", late) if rows.isStreaming else rows
+    """A stream's event time has to carry a zone: one without is read in the session's."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if rows.isStreaming else rows
 
 
 def failure_rate(rows: DataFrame, key: str, size: str = "10 minutes", slide: str | None = None, over: float = 0.10) -> DataFrame:
@@ -47,4 +48,4 @@ def stale(rows: DataFrame, expired: Column, most: int) -> DataFrame:
 def new_documents(rows: DataFrame, late: str = "1 hour") -> DataFrame:
     """Documents (ts, text), each content once by its hash."""
     hashed = rows.withColumn("content_hash", F.sha2("text", 256))
-    return hashed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["content_hash"]) if rows.isStreaming else hashed.dropDuplicates(["content_hash"])
+    return watermarked(hashed, late).dropDuplicatesWithinWatermark(["content_hash"]) if rows.isStreaming else hashed.dropDuplicates(["content_hash"])
