@@ -16,42 +16,67 @@ def amount_bucket(x: Column) -> Column:
     return F.when(d < 100, F.floor(d)).otherwise(100 + F.floor(F.log(d / 100) / math.log(1.01))).cast("bigint")
 
 
-def scores(total: Column, amount: Column, issue: Column, due: Column, paid: Column, number: Column, text: Column, clash: Column) -> dict[str, Column]:
-    """The four parts of a pair's score."""
-    diff = F.abs(F.abs(total) - F.abs(amount))
-    unit = F.abs(total)
-    by_amount = F.when(total.isNull() | amount.isNull(), 0).when(diff <= F.lit("0.01").cast("decimal(18,2)"), 50).when(diff <= F.greatest(unit / 100, F.lit(1)), 35).when(diff <= F.greatest(unit / 20, F.lit(5)), 15).otherwise(0)
+def cents(x: Column) -> Column:
+    """Whole cents, so that pairs compare longs."""
+    return (F.abs(x).cast("decimal(18,2)") * 100).cast("bigint")
+
+
+def _invoice_side(invoices: DataFrame, *more: str) -> DataFrame:
+    """What a pair needs of an invoice, worked out once a row instead of once a pair."""
+    reference = F.nullif(S.normal_reference(F.col("number")), F.lit(""))
+    return invoices.select(
+        "tenant_id", "invoice_id", "total", cents(F.col("total")).alias("i_cents"), "issue_date", "due_date", F.upper("currency").alias("i_currency"),
+        reference.alias("i_ref"), F.replace(reference, F.lit("-"), F.lit("")).alias("i_compact"), *more,
+    )
+
+
+def _transaction_side(transactions: DataFrame, *more: str) -> DataFrame:
+    words = S.normal_reference(F.concat_ws(" ", "reference", "description"))
+    return transactions.select(
+        "tenant_id", "transaction_id", "amount", cents(F.col("amount")).alias("t_cents"), "posted_at", F.upper("currency").alias("t_currency"),
+        words.alias("t_words"), F.replace(words, F.lit("-"), F.lit("")).alias("t_compact"), *more,
+    )
+
+
+def scores() -> dict[str, Column]:
+    """The parts of a pair's score, from the columns of both sides; currencies that are known and differ make it 0."""
+    i, t = F.col("i_cents"), F.col("t_cents")
+    diff, issue, due, paid = F.abs(i - t), F.col("issue_date"), F.col("due_date"), F.col("posted_at")
+    wide = F.greatest(i, F.lit(10000))
+    by_amount = F.when(diff.isNull(), 0).when(diff <= 1, 50).when(diff * 100 <= wide, 35).when(diff * 20 <= wide, 15).otherwise(0)
     late, early = F.datediff(paid, due), F.datediff(issue, paid)
     both = issue.isNotNull() & due.isNotNull()
     by_date = F.when(both & (paid >= issue) & (paid <= due), 20).when(both & late.between(1, 7), 15).when(both & early.between(1, 7), 10).when(F.abs(late) <= 7, 12).when(F.abs(early) <= 7, 8).otherwise(0)
-    n, t = S.normal_reference(number), S.normal_reference(text)
-    by_reference = F.when(F.length(n) == 0, 0).when(t.contains(n), 30).when(F.replace(t, F.lit("-"), F.lit("")).contains(F.replace(n, F.lit("-"), F.lit(""))), 25).otherwise(0)
-    parts = {"amount_score": by_amount, "date_score": F.coalesce(by_date, F.lit(0)), "reference_score": F.coalesce(by_reference, F.lit(0))}
-    total_score = F.least(F.lit(100), parts["amount_score"] + parts["date_score"] + parts["reference_score"])
-    return parts | {"score": F.when(clash, 0).otherwise(total_score)}
+    by_reference = F.when(F.contains("t_words", "i_ref"), 30).when(F.contains("t_compact", "i_compact"), 25).otherwise(0)
+    total = F.least(F.lit(100), by_amount + by_date + by_reference)
+    return {"amount_score": by_amount, "date_score": by_date, "reference_score": by_reference, "score": F.when(F.col("i_currency") != F.col("t_currency"), 0).otherwise(total)}
 
 
 def candidates(invoices: DataFrame, transactions: DataFrame, min_score: int = 70) -> DataFrame:
     """Pairs of one tenant with score >= min_score, which has to be 66 or more.
 
     A pair without an amount score of 35 reaches 65 at most, so amounts lie within max(1 %, 1.00): an invoice meets the few
-    buckets of that band, a transaction its own one, and each pair meets once.
+    buckets of that band, a transaction its own one, and each pair meets once. Nulls of total or amount meet nothing.
     """
     if min_score < 66:
         raise ValueError("below 66 amounts need not be near: use scored_pairs on pairs of one import")
     unit = F.abs(F.col("total"))
     wide = F.greatest(unit / 100, F.lit(1))
     buckets = F.sequence(F.greatest(amount_bucket(F.greatest(unit - wide, F.lit(0))) - 1, F.lit(0)), amount_bucket(unit + wide) + 1)
-    i = invoices.where("total is not null").select("tenant_id", "invoice_id", "number", "issue_date", "due_date", F.col("currency").alias("i_currency"), "total").withColumn("bucket", F.explode(buckets))
-    t = transactions.where("amount is not null").select("tenant_id", "transaction_id", "posted_at", "amount", F.col("currency").alias("t_currency"), F.concat_ws(" ", "reference", "description").alias("t_text"))
-    t = t.withColumn("bucket", amount_bucket(F.abs("amount")))
-    return _scored(i.join(t, ["tenant_id", "bucket"])).where(F.col("score") >= min_score)
+    i = _invoice_side(invoices.where("total is not null")).withColumn("bucket", F.explode(buckets))
+    t = _transaction_side(transactions.where("amount is not null")).withColumn("bucket", amount_bucket(F.abs("amount")))
+    near = F.abs(F.col("i_cents") - F.col("t_cents")) * 100 <= F.greatest("i_cents", F.lit(10000))
+    return _scored(i.join(t, ["tenant_id", "bucket"]).where(near), min_score)
+
+
+def scored_pairs(invoices: DataFrame, transactions: DataFrame, scope: str, min_score: int = 1) -> DataFrame:
+    """Any pair of one tenant and scope (an import, an account) that scores; a scope is bounded by what a statement holds."""
+    return _scored(_invoice_side(invoices, scope).join(_transaction_side(transactions, scope), ["tenant_id", scope]), min_score)
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    clash = F.coalesce(F.upper("i_currency") != F.upper("t_currency"), F.lit(False))
-    s = scores(F.col("total"), F.col("amount"), F.col("issue_date"), F.col("due_date"), F.col("posted_at"), F.col("number"), F.col("t_text"), clash)
-    return pairs.withColumns(s).select("tenant_id", "invoice_id", "transaction_id", "total", "amount", *s)
+def _scored(pairs: DataFrame, min_score: int) -> DataFrame:
+    s = scores()
+    return pairs.where(s["score"] >= min_score).select("tenant_id", "invoice_id", "transaction_id", "total", "amount", *(v.alias(k) for k, v in s.items()))
 
 
 def best(found: DataFrame) -> DataFrame:
