@@ -42,3 +42,13 @@ def classified(rows: DataFrame, text: Column, direction: Column, amount: Column,
     return out.withColumns({
         "category": F.coalesce("best.code", S.fallback_category(direction, amount)), "rule_score": F.coalesce("best.score", F.lit(0)), "confidence": F.coalesce("best.confidence", F.lit("low")),
     }).drop("best")
+
+
+#: Codes that a stored label may have.
+TAXONOMY = ["sales", "software_hosting", "rent", "payroll", "bank_fees", "marketing", "travel", "utilities", "taxes", "supplies", "professional_services"]
+
+
+def with_stored_labels(rows: DataFrame) -> DataFrame:
+    """rows(category, confidence, label): the label replaces a category of low or unknown confidence if the taxonomy has it."""
+    use = F.col("confidence").isin("low", "unknown") & F.col("label").isin(TAXONOMY)
+    return rows.withColumn("category", F.when(use, F.col("label")).otherwise(F.col("category")))

@@ -130,3 +130,68 @@ def evidence(docs: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
     each = rows.select("doc_id", "l", F.explode(F.map_filter(F.create_map(*(x for n in names for x in (F.lit(n), F.col(n).cast("string")))), lambda k, v: v.isNotNull())).alias("field", "value"))
     at = F.array_min(F.transform("l", lambda x, i: F.when((key(F.col("value")) != "") & x.contains(key(F.col("value"))), i)))
     return each.select("doc_id", "field", at.alias("line_no"), F.when(at.isNull(), "unresolved").otherwise("grounded").alias("state"))
+
+
+#: Patterns of invoice numbers, tried in this order on each line.
+NUMBER_PATTERNS = [
+    r"\b(?:fatura|factura)(?:\s*/\s*recibo)?\s*(?:n[º°.]?)?\s*[:#-]?\s*([A-Z0-9][A-Z0-9/-]*\d[A-Z0-9/-]*)",
+    r"\b(?:recibo|doc(?:umento)?)\.?\s*(?:n[º°.]?)?\s*[:#-]?\s*([A-Z0-9][A-Z0-9/-]*\d[A-Z0-9/-]*)",
+    r"\b(?:bill|receipt)\s*no\.?\s*:?\s*([A-Z0-9][A-Z0-9-]*\d[A-Z0-9-]*)",
+    r"\binvoice\s*(?:#|no\.?|number|num)?\s*[#:]*\s*([A-Z0-9][A-Z0-9-]*\d[A-Z0-9-]*)",
+    r"\bno\.?\s*([0-9]{3,})\b",
+]
+
+
+def number_by_patterns(rows: Column) -> Column:
+    """The first pattern in order that some line matches, on the first line that it matches."""
+
+    def tried(p: str) -> Column:
+        return first_of(F.transform(rows, lambda x: F.nullif(F.regexp_extract(x, "(?i)" + p, 1), F.lit(""))))
+
+    return F.coalesce(*map(tried, NUMBER_PATTERNS))
+
+
+def vat_amount(values: Column) -> Column:
+    """The tax of a VAT table's amounts in print order: net and tax side by side whose sum is a later amount (0.02 off
+    at most, the last such amount first), else the smallest of two or more. A table holds a dozen amounts or so."""
+    n = F.size(values)
+    cent = F.lit("0.02").cast("decimal(4,2)")
+
+    def before(j: Column) -> Column:
+        def tax(i: Column) -> Column:
+            net, part = F.get(values, i), F.get(values, i + 1)
+            return F.when((part > 0) & (F.abs(net + part - F.get(values, j)) <= cent), part)
+
+        return F.transform(F.sequence(F.lit(0), j - 2), tax)
+
+    triples = F.when(n >= 3, F.flatten(F.transform(F.sequence(n - 1, F.lit(2), F.lit(-1)), before)))
+    return F.coalesce(first_of(triples), F.when(n >= 2, F.array_min(values)))
+
+
+def within_lines(rows: Column, label: str, value: str, k: int) -> Column:
+    """The first value on one of the k lines after a line with the label."""
+    at = place(rows, label)
+    return first_of(F.transform(F.slice(rows, at + 2, k), lambda x: F.nullif(F.regexp_extract(x, value, 1), F.lit(""))))
+
+
+def free_line_numbers(numbers: Column) -> Column:
+    """Line numbers in print order made unique: a missing, non-positive or repeated one becomes the next free number."""
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(1).alias("auto"))
+
+    def step(state: Column, x: Column) -> Column:
+        out, auto = state["out"], state["auto"]
+        taken = F.coalesce((x <= 0) | F.array_contains(out, x), F.lit(True))
+        free = F.array_min(F.array_except(F.sequence(auto, auto + F.size(out)), out))
+        return F.struct(F.concat(out, F.array(F.when(taken, free).otherwise(x))).alias("out"), F.when(taken, free + 1).otherwise(auto).alias("auto"))
+
+    return F.aggregate(numbers, start, step, lambda state: state["out"])
+
+
+def merged(rules: str, model: str) -> list[Column]:
+    """Fields of two structs: number, customer and dates by the rules where they have them; supplier and currency by the
+    model; the total by the rules when they are sure. A due date that only repeats the issue date goes."""
+    r, m = F.col(rules), F.col(model)
+    issue = F.coalesce(r["issue_date"], m["issue_date"])
+    due = F.coalesce(r["due_date"], F.when(~m["due_date"].eqNullSafe(issue), m["due_date"]))
+    total = F.when(r["confidence"] == "high", F.coalesce(r["total"], m["total"])).otherwise(F.coalesce(m["total"], r["total"]))
+    return [F.coalesce(r[n], m[n]).alias(n) for n in ("number", "customer")] + [F.coalesce(m[n], r[n]).alias(n) for n in ("supplier", "currency")] + [issue.alias("issue_date"), due.alias("due_date"), total.alias("total")]

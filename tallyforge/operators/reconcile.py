@@ -74,6 +74,16 @@ def scored_pairs(invoices: DataFrame, transactions: DataFrame, scope: str, min_s
     return _scored(_invoice_side(invoices, scope).join(_transaction_side(transactions, scope), ["tenant_id", scope]), min_score)
 
 
+def near_amounts(invoices: DataFrame, transactions: DataFrame, share: str = "0.10") -> DataFrame:
+    """Pairs of one tenant whose signed amount lies within a share of the total: a band join on amount buckets."""
+    part = F.lit(share).cast("decimal(4,3)")
+    low, high = F.col("total") * (1 - part), F.col("total") * (1 + part)
+    ends = F.sequence(F.greatest(amount_bucket(F.col("low")) - 1, F.lit(0)), amount_bucket(F.col("high")) + 1)
+    i = invoices.where("total > 0").select("tenant_id", "invoice_id", low.alias("low"), high.alias("high")).withColumn("bucket", F.explode(ends))
+    t = transactions.where("amount > 0").select("tenant_id", "transaction_id", "amount", amount_bucket(F.col("amount")).alias("bucket"))
+    return i.join(t, ["tenant_id", "bucket"]).where(F.col("amount").between(F.col("low"), F.col("high"))).select("tenant_id", "invoice_id", "transaction_id", "amount")
+
+
 def _scored(pairs: DataFrame, min_score: int) -> DataFrame:
     s = scores()
     return pairs.where(s["score"] >= min_score).select("tenant_id", "invoice_id", "transaction_id", "total", "amount", *(v.alias(k) for k, v in s.items()))

@@ -24,3 +24,21 @@ def correct(invoices: DataFrame, corrections: DataFrame, fields: list[str]) -> D
         kind = invoices.schema[f].dataType
         new = new.withColumn(f, F.coalesce(F.try_element_at("changes", F.lit(f)).try_cast(kind), F.col(f)))
     return old.unionByName(new.withColumn("version", F.col("version") + 1).withColumn("status", F.lit("extracted")).select(invoices.columns))
+
+
+#: Priority and allowed actions of a task type (fixed values).
+TASK_TYPES = {
+    "extraction": ("high", ["approve_proposal", "reject_proposal", "correct_extraction"]),
+    "classification": ("normal", ["approve_proposal", "reject_proposal", "correct_classification"]),
+    "reconciliation": ("high", ["approve_proposal", "reject_proposal", "correct_reconciliation"]),
+    "policy": ("urgent", ["acknowledge_policy"]),
+    "insight": ("normal", ["approve_proposal", "reject_proposal", "dismiss_insight"]),
+    "other": ("normal", ["reject_proposal"]),
+}
+
+
+def allowed(tasks: DataFrame) -> DataFrame:
+    """tasks(task_type, action) with the type's priority and whether the action is allowed; an unknown type allows nothing."""
+    kinds = tasks.sparkSession.createDataFrame([(k, p, xs) for k, (p, xs) in TASK_TYPES.items()], "task_type string, priority string, actions array<string>")
+    j = tasks.join(F.broadcast(kinds), "task_type", "left")
+    return j.withColumn("allowed", F.coalesce(F.array_contains("actions", F.col("action")), F.lit(False))).drop("actions")

@@ -57,3 +57,8 @@ def class_quality(rows: DataFrame, expected: str, actual: str) -> DataFrame:
     share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return g.select("label", "tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def member(allowed: Column, a: Column) -> Column:
+    """Null is no member."""
+    return F.coalesce(F.array_contains(allowed, a), F.lit(False))

@@ -225,4 +225,4 @@ query("sm_09", """SELECT tenant_id, count(*) AS n, min(event_id) AS first_event
  WHERE failed GROUP BY tenant_id, island HAVING count(*) >= 2""")(lambda s, d: opslog.failure_runs(V.steps(s, d), "tenant_id", 2))
 query("sm_11", "SELECT event_id, tenant_id FROM steps WHERE failed")(lambda s, d: alerts.new_failures(V.steps(s, d)).select("event_id", "tenant_id"))
 
-from tallyforge.plans import decisions, extraction, operations, policies  # noqa: E402, F401  (they add their queries)
+from tallyforge.plans import decisions, extraction, matching, operations, policies, texts  # noqa: E402, F401  (they add their queries)
