@@ -195,3 +195,45 @@ def merged(rules: str, model: str) -> list[Column]:
     due = F.coalesce(r["due_date"], F.when(~m["due_date"].eqNullSafe(issue), m["due_date"]))
     total = F.when(r["confidence"] == "high", F.coalesce(r["total"], m["total"])).otherwise(F.coalesce(m["total"], r["total"]))
     return [F.coalesce(r[n], m[n]).alias(n) for n in ("number", "customer")] + [F.coalesce(m[n], r[n]).alias(n) for n in ("supplier", "currency")] + [issue.alias("issue_date"), due.alias("due_date"), total.alias("total")]
+
+
+#: Words that stand at a field (fixed values).
+ANCHORS = {
+    "number": ["invoice", "invoice no", "invoice number"], "supplier": ["supplier", "vendor", "seller"], "customer": ["bill to", "customer", "client"], "issue_date": ["invoice date", "issue date", "date", "data"],
+    "due_date": ["due date", "payment due"], "total": ["total", "amount due", "balance due"], "subtotal": ["subtotal", "sub total"], "tax": ["tax", "vat", "iva", "valor iva", "tx iva"],
+}
+DATES, AMOUNTS = ("issue_date", "due_date"), ("total", "subtotal", "tax")
+
+
+def graded_evidence(docs: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
+    """doc_id, field, line_no, score: the line that speaks most for a field's value, the first on ties; no row where none does.
+
+    The same text 100, the same date 95, the same amount 85, one inside the other 75; 25 more with an anchor word on the
+    line, and 20 less the distance to the last line before it that begins with one.
+    """
+    words = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
+    rows = docs.select("doc_id", lines(F.col("text")).alias("raw")).withColumn("key", F.transform("raw", words)).join(fields, "doc_id")
+
+    def best(name: str) -> Column:
+        value = F.col(name)
+        key, anchors = words(value.cast("string")), "|".join(ANCHORS[name])
+        starts = F.filter(F.transform("key", lambda x, i: F.when(x.rlike(f"^(?:{anchors})(?: |$)"), i)), lambda i: i.isNotNull())
+
+        def graded(x: Column, i: Column) -> Column:
+            raw = F.get("raw", i)
+            score = F.when(x == key, 100)
+            if name in DATES:
+                seen = F.regexp_extract(raw, DATE, 1)
+                score = score.when((day(seen, True) == value) | (day(seen, False) == value), 95)
+            if name in AMOUNTS:
+                score = score.when(F.array_contains(F.transform(F.regexp_extract_all(raw, F.lit(MONEY), F.lit(1)), S.clean_money), value), 85)
+            score = score.when((F.length(key) >= 3) & (x.contains(key) | ((F.length(x) >= 4) & key.contains(x))), 75)
+            last = F.array_max(F.filter(starts, lambda a: a < i))
+            extra = F.when(x.rlike(anchors), 25).otherwise(0) + F.coalesce(F.greatest(F.lit(0), 20 - (i - last)), F.lit(0))
+            return F.when(key != "", F.struct((score + extra).alias("score"), (-i).alias("back")))
+
+        top = F.array_max(F.filter(F.transform("key", graded), lambda g: g["score"].isNotNull()))
+        return F.struct(F.lit(name).alias("field"), top.alias("top"))
+
+    each = rows.select("doc_id", F.inline(F.array(*map(best, names)))).where("top is not null")
+    return each.select("doc_id", "field", (-F.col("top.back")).alias("line_no"), "top.score")

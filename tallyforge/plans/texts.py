@@ -180,3 +180,13 @@ query("src_12", "SELECT '| agent | n | failures |' || chr(10) || '| --- | --- |
     lambda s, d: payloads.markdown(opslog.rollup(steps(s, d), "agent"), ["agent", "n", "failures"], c("agent"))
 )
 query("src_14", "SELECT 'invoices' AS \"table\", count(*) FILTER (tenant_id = 3) AS n_erased FROM invoices UNION ALL SELECT 'transactions', count(*) FILTER (tenant_id = 3) FROM transactions")(lambda s, d: payloads.erased({"invoices": inv(s, d), "transactions": tx(s, d)}, F.lit(3))[1])
+
+
+@query("jn_14", """SELECT invoice_id AS doc_id, field, CASE WHEN field = 'total' THEN 10 + coalesce(n + 1, 0) WHEN both_ways AND field = 'issue_date' THEN 5 ELSE at_line END AS line_no,
+ CASE WHEN both_ways AND field = 'issue_date' THEN 138 ELSE score END AS score FROM (SELECT *, invoice_id % 4 <> 0 AND strftime(due_date, '%Y-%d-%m') = issue_date::VARCHAR AS both_ways FROM invoices) LEFT JOIN (SELECT invoice_id, count(*) AS n FROM lines GROUP BY 1) USING (invoice_id),
+ (VALUES ('number', 2, 100), ('customer', 7, 144), ('issue_date', 4, 119), ('total', 0, 110)) f(field, at_line, score)""")
+def jn_14(s, d):
+    """Invoice fields against the lines of their texts: every line is graded, the best one is the evidence. A printed day that may be read
+    either way counts for both dates, so a due date of 05/06 is evidence for an issue date of May 6."""
+    known = inv(s, d).select(c(k).alias("doc_id"), "number", "customer", "issue_date", "total")
+    return documents.graded_evidence(texts(s, d), known, ["number", "customer", "issue_date", "total"])
