@@ -3,8 +3,8 @@
 Training counts, for each language, the hashed character trigrams of all training texts (Spark sums
 them by language and bucket). A document is a mixture of languages; each word's likelihood under
 each language is the product over its trigrams. EM estimates the proportions, once with all
-languages and again for the 1, 2, ... most likely of them, and the set with the best penalised
-likelihood is kept. The model has buckets x languages cells whatever the input's size.
+languages and again for the 1, 2, ... up to all of them, most likely first, and the set with the best
+penalised likelihood is kept. A text's fit is its likelihood per trigram against equally likely buckets. The model has buckets x languages cells whatever the input's size.
 """
 
 from __future__ import annotations
@@ -118,63 +118,83 @@ def mixture(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.nda
     return share, np.add.reduceat(total, starts)
 
 
-def identify(texts: list[str], model: np.ndarray, most: int, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: whether it has a letter, proportions by language, and the size of the chosen set."""
+def identify(texts: list[str], model: np.ndarray, most: int | None, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: whether it has a letter, proportions by language, the size of the chosen set, and its fit.
+
+    most: the largest set, all languages if None. fit: what the chosen mixture's log likelihood per trigram is above that
+    of equally likely buckets; 0 or less where the learned languages tell nothing about the text.
+    """
     code, begins = letters(texts)
     at, bucket = trigrams(code)
     has = np.zeros(len(texts), bool)
-    out, sizes = np.zeros((len(texts), model.shape[1]), np.float32), np.zeros(len(texts), np.int32)
+    out, sizes, fits = np.zeros((len(texts), model.shape[1]), np.float32), np.zeros(len(texts), np.int32), np.zeros(len(texts))
     if not len(at) or not model.shape[1]:
         has[:] = np.diff(np.searchsorted(at, begins)) > 0
-        return has, out, sizes
+        return has, out, sizes, fits
     first = np.flatnonzero(np.diff(at, prepend=-5) > 1)  # of each word
     ll = np.add.reduceat(model[bucket], first, axis=0)
-    like = np.maximum(np.exp(ll - ll.max(1, keepdims=True)), np.float32(1e-12))
+    top = ll.max(1, keepdims=True)
+    like = np.maximum(np.exp(ll - top), np.float32(1e-12))
     doc = np.searchsorted(begins, at[first], side="right") - 1
     docs, starts = np.unique(doc, return_index=True)
     has[docs] = True
-    d = np.repeat(np.arange(len(docs)), np.diff(np.append(starts, len(doc))))
-    langs = model.shape[1]
     n = np.diff(np.append(starts, len(doc)))
-    full, _ = mixture(like, d, starts, np.full((len(docs), langs), 1 / langs, np.float32), 8)
+    d = np.repeat(np.arange(len(docs)), n)
+    langs = model.shape[1]
+    full, likely = mixture(like, d, starts, np.full((len(docs), langs), 1 / langs, np.float32), 8)
+    # no mixture of any languages is likelier than this: the likelihood is concave in the proportions
+    gain = np.add.reduceat(like / ((full[d] * like).sum(1, keepdims=True) + 1e-30), starts, axis=0).max(1) / n
+    bound = likely + n * np.log(np.maximum(gain, 1)) + 1e-3 * (1 + np.abs(likely))
     order = np.argsort(-full, axis=1, kind="stable")
-    best, kept, size = np.full(len(docs), -np.inf), np.zeros_like(full), np.zeros(len(docs), np.int32)
-    for k in range(1, min(most, langs) + 1):
-        share = np.zeros_like(full)
-        rows = np.arange(len(docs))[:, None]
-        share[rows, order[:, :k]] = full[rows, order[:, :k]] + 1e-6
+    best, kept, size, fitted = np.full(len(docs), -np.inf), np.zeros_like(full), np.zeros(len(docs), np.int32), np.zeros(len(docs))
+    cost = penalty * np.log(n + 1)
+    for k in range(1, min(most or langs, langs) + 1):
+        left = np.flatnonzero(bound - k * cost > best)  # the others can't gain by k languages or more
+        if not len(left):
+            break
+        of = slice(None) if len(left) == len(docs) else (bound - k * cost > best)[d]
+        m, rows = n[left], np.arange(len(left))[:, None]
+        begin, member = np.cumsum(m) - m, np.repeat(np.arange(len(left)), m)
+        share = np.zeros((len(left), langs), np.float32)
+        share[rows, order[left, :k]] = full[left[:, None], order[left, :k]] + 1e-6
         share /= share.sum(1, keepdims=True)
-        share, fitted = mixture(like, d, starts, share, 0 if k == 1 else 6)
-        value = fitted - penalty * k * np.log(n + 1)
-        better = value > best
-        best[better], kept[better], size[better] = value[better], share[better], k
+        share, got = mixture(like[of], member, begin, share, 0 if k == 1 else 6)
+        value = got - k * cost[left]
+        better = value > best[left]
+        won = left[better]
+        best[won], kept[won], size[won], fitted[won] = value[better], share[better], k, got[better]
+    grams = np.add.reduceat(np.diff(np.append(first, len(at))), starts)
     out[docs], sizes[docs] = kept, size
-    return has, out, sizes
+    fits[docs] = (fitted + np.add.reduceat(top[:, 0].astype(float), starts)) / grams + BITS * np.log(2)
+    return has, out, sizes, fits
 
 
-def predict(docs: DataFrame, langs: list[str], model: np.ndarray, most: int = 3, penalty: float = 1.0) -> DataFrame:
-    """Adds to docs(doc_id, text, ...) its lang_pred, score (the share of that language) and languages (the chosen set, largest first).
+def predict(docs: DataFrame, langs: list[str], model: np.ndarray, most: int | None = None, penalty: float = 1.0) -> DataFrame:
+    """Adds to docs(doc_id, text, ...) its lang_pred, score (the share of that language), languages (the chosen set, largest first) and fit.
 
-    A null text or one without a letter is `und` with score 0 and no languages, as is every text where nothing was learned.
-    Only doc_id and text are read; repeated rows are kept.
+    The set may hold all learned languages, or `most`. fit: nats per trigram by which the chosen mixture explains the text better than
+    equally likely trigrams do; letters of no learned language have 0 or less. A null text or one without a letter is `und` with score 0,
+    fit 0 and no languages, as is every text where nothing was learned. Only doc_id and text are read; repeated rows are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            pred, score, sets = [], [], []
+            pred, score, sets, fits = [], [], [], []
             for _, texts in chunks(b, 1):
-                has, share, size = identify(texts, m, most, penalty)
+                has, share, size, fit = identify(texts, m, most, penalty)
                 order = np.argsort(-share, axis=1, kind="stable")
                 for i, known in enumerate(has):
                     known = known and bool(langs)
                     pred.append(langs[order[i, 0]] if known else "und")
                     score.append(min(1.0, float(share[i, order[i, 0]])) if known else 0.0)
                     sets.append([langs[x] for x in order[i, : size[i]]] if known else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], names=["doc_id", "lang_pred", "score", "languages"])
+                    fits.append(float(fit[i]))
+            columns = [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(fits, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "languages", "fit"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(predicted, "doc_id bigint, lang_pred string, score double, languages array<string>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(predicted, "doc_id bigint, lang_pred string, score double, languages array<string>, fit double")
 
 
 def held_out(doc_id) -> F.Column:
@@ -188,8 +208,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a letter go, and those of which no language makes up `0.3` of the words."""
+    """Pipeline stage: documents without a letter go, those of which no language makes up `0.3` of the words, and those that fit no learned language."""
     langs, model = fit(docs.where(~held_out(F.col("doc_id"))))
     found = predict(docs, langs, model)
-    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < 0.3)).select(F.col("doc_id").alias("gone")).distinct()
+    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < 0.3) | (F.col("fit") <= 0)).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")

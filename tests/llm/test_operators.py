@@ -177,6 +177,19 @@ def test_language_id(spark):
     assert language_id.predict(test.limit(0), langs, model).count() == 0
 
 
+def test_language_id_of_four_languages_and_of_none(spark):
+    """A set may hold all languages, and the stage's rejections can happen: no main language, letters of no language."""
+    own = [("en", "the house and the garden of the old man were"), ("fr", "la maison et le jardin du vieil homme étaient"), ("de", "das haus und der garten vom alten mann waren schön"), ("es", "los perros y gatos viven cerca de nuestra ciudad")]
+    docs = documents(spark, [(10 * i + j, t + " " + t, x) for i, (x, t) in enumerate(own) for j in range(8)])
+    langs, model = language_id.fit(docs)
+    hard = documents(spark, [(1, " ".join(t for _, t in own for _ in range(4)), None), (2, "xqzvw kjqxz wvzqk zzxqj qkwxv", None), (3, "щука жабо эхо", None), (4, own[0][1], None)])
+    got = {r.doc_id: r for r in language_id.predict(hard, langs, model).collect()}
+    assert set(got[1].languages) == set(langs) and got[1].score < 0.3 and got[1].fit > 0
+    assert got[2].fit <= 0 and got[3].fit <= 0 and got[4].fit > 0 and got[4].lang_pred == "en"
+    kept = language_id.stage(spark, docs.unionByName(hard.withColumns({"doc_id": hard["doc_id"] + 100})), "")
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id > 100) == [104]
+
+
 def test_decontamination(spark):
     words = [f"b{i}" for i in range(14)]
     bench = spark.createDataFrame([(1, " ".join(words)), (10, " ".join(words[2:13])), (3, "Short Item"), (4, None), (5, "...")], "item_id long, text string")
