@@ -24,25 +24,39 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Kinds of candidates, the first that fits counts.
-CANDIDATE = re.compile(
-    r"(?P<private_key>-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]{0,8000}-----END [A-Z ]*PRIVATE KEY-----)?)"
+PRIVATE_KEY = r"PRIVATE KEY(?: BLOCK)?-----"
+#: A key runs to its END line, headers included; without one, over the lines that look like a key's.
+KEY = (
+    rf"(?P<private_key>-----BEGIN [A-Z ]*{PRIVATE_KEY}(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*{PRIVATE_KEY}"
+    r"|(?:\s+(?:(?:Proc-Type|DEK-Info):[^\r\n]*|[A-Za-z0-9+/]{32,}={0,2}(?:\s+[A-Za-z0-9+/]{1,31}={1,2})?))*))"
     r"|(?<![A-Za-z0-9])(?P<access_key>(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16})(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9])(?P<prefixed>gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|sk-[A-Za-z0-9_-]{20,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)"
-    r"|(?i:password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential)[A-Za-z0-9_]{0,20}[\"']?\s{0,4}(?:=|:|=>)\s{0,4}[\"']?(?P<assigned>[^\s\"'<>,;|]{4,200})"
-    r"|(?<![A-Za-z0-9])(?P<hex>(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128})(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9+/=_-])(?P<mixed>(?=[A-Za-z+/_-]{0,80}[0-9])(?=[a-z0-9+/_-]{0,80}[A-Z])(?=[A-Z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{24,200}={0,2})"
+)
+NAMED = r"(?ai:password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential)[A-Za-z0-9_]{0,20}"
+HEX = r"(?<![A-Za-z0-9])(?P<hex>(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,})(?![A-Za-z0-9])"
+#: Kinds of candidates, the first that fits counts. Values are taken whole, however long.
+CANDIDATE = re.compile(
+    rf"{KEY}|{NAMED}[\"']?\s{{0,4}}(?:=|:|=>)\s{{0,4}}[\"']?(?P<assigned>[^\s\"'<>,;|]{{4,}})|{HEX}"
+    r"|(?<![A-Za-z0-9+/=_-])(?P<mixed>(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2})"
     r"|(?P<address>[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,200}\.[A-Za-z]{2,10})"
-    r"|(?P<link>https?://[^\s\"'<>]{4,500})",
+    r"|(?P<link>https?://[^\s\"'<>]{4,})",
+)
+#: Inside a link: values end with their parameter or part of the path; the password before the host is a value too.
+IN_LINK = re.compile(
+    rf"{KEY}|(?<=://)[^\s/@:?#]*:(?P<assigned>[^\s/@?#]{{4,}})(?=@)"
+    rf"|{NAMED}(?:=|:|%3[ADad])(?P<assigned_>[^\s&#;,|]{{4,}})|{HEX}"
+    r"|(?<==)(?P<mixed>(?=[A-Za-z+/_%-]*[0-9])(?=[a-z0-9+/_%-]*[A-Z])(?=[A-Z0-9+/_%-]*[a-z])[A-Za-z0-9+/_%-]{24,}={0,2})"
+    r"|(?<![A-Za-z0-9+_%-])(?P<mixed_>(?=[A-Za-z+_%-]*[0-9])(?=[a-z0-9+_%-]*[A-Z])(?=[A-Z0-9+_%-]*[a-z])[A-Za-z0-9+_%-]{24,}={0,2})",
 )
+KNOWN, SCHEME = re.compile(KEY), re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
 #: Only a text with a naming word, an address, a link or a long word with a digit or a known prefix can hold a candidate.
 NAMES = ("passw", "pwd", "secret", "token", "apikey", "api_key", "accesskey", "access_key", "auth", "credential")
-PREFIXED = re.compile(r"gh[pousr]_|github_pat|sk[-_]|xox[abprs]-|AIza|glpat-|eyJ")
-LONG_WORD, DIGIT = 16, re.compile(r"[0-9]").search
+PREFIXED = re.compile(r"gh[pousr]_|github_pat|sk[-_]|xox[abprs]-|AIza|glpat-|eyJ|A(?:KIA|SIA|GPA|IDA|ROA)")
+LONG_WORD, DIGIT = 15, re.compile(r"[0-9]").search
 
 
 def may_hold(text: str) -> bool:
-    """Whether a candidate may stand in a text: plain substring tests, so that few texts meet the patterns."""
+    """Whether a candidate may stand in a text: plain substring tests, so that few texts meet the patterns. True wherever CANDIDATE matches."""
     if "@" in text or "://" in text or "PRIVATE KEY" in text:
         return True
     low = text.lower()
@@ -51,6 +65,26 @@ def may_hold(text: str) -> bool:
     return any(len(w) >= LONG_WORD and (DIGIT(w) or PREFIXED.search(w)) for w in text.split())
 
 
+def matches(text: str) -> Iterator[tuple[str, int, int, str, str]]:
+    """Kind, begin, end, and what stands before and after, of each candidate by place; none overlap.
+
+    A value with a link is searched for the other kinds; only if none is inside, it is a candidate as a whole.
+    """
+    for m in CANDIDATE.finditer(text):
+        kind = m.lastgroup
+        at, end = m.span(kind)
+        inside = False
+        if kind == "link" or (kind == "assigned" and SCHEME.match(m[kind])):
+            for x in IN_LINK.finditer(text, at, end):
+                lo, hi = x.span(x.lastgroup)
+                known = KNOWN.fullmatch(text, lo, hi)
+                # the name of the parameter alone: the host isn't about the value
+                yield (known or x).lastgroup.rstrip("_"), lo, hi, re.split(r"[/?&@#;]", text[max(at, lo - 40) : lo])[-1], text[hi : min(end, hi + 40)]
+                inside = True
+        if not inside:
+            yield kind, at, end, text[max(0, at - 40) : at], text[end : end + 40]
+
+
 KINDS = ["private_key", "access_key", "prefixed", "assigned", "hex", "mixed", "address", "link"]
 NAMING = frozenset("password passwd pwd secret token key apikey api_key access_key accesskey auth credential credentials bearer private".split())
 PLACEHOLDER = frozenset("example sample test dummy changeme placeholder xxxx your none null true false todo redacted".split())
@@ -91,11 +125,9 @@ def candidates(docs: DataFrame) -> DataFrame:
                 text = t.as_py() or ""
                 if not may_hold(text):
                     continue
-                for m in CANDIDATE.finditer(text):
-                    kind = m.lastgroup
-                    at, end = m.span(kind)
-                    before, after = text[max(0, at - 40) : at], text[end : end + 40]
-                    rows.append((doc_id, row_hash, at, end - at, kind, m[kind], before, after, *features(kind, m[kind], before, after)))
+                for kind, at, end, before, after in matches(text):
+                    value = text[at:end]
+                    rows.append((doc_id, row_hash, at, end - at, kind, value, before, after, *features(kind, value, before, after)))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4, *[pa.float64()] * len(FEATURES)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
