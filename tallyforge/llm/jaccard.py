@@ -360,7 +360,28 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates (word 5-grams, Jaccard 0.8) the document with the smallest id stays."""
+    """Pipeline stage: of each group of near duplicates (word 5-grams, Jaccard 0.8) one row stays, that with the smallest id.
+
+    Rows without an id come after all ids; of rows that repeat id and text one stays, and texts that share an id are decided each for itself.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1):
+        return one_row_each(docs, 5, 80)
     found = similar(docs, n=5, percent=80)
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def one_row_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """docs, one row of each group of near duplicates, where ids are null or repeat: the texts are compared by their hash instead."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("row_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    found = similar(rows.groupBy(F.col("row_hash").alias("doc_id")).agg(F.first("text").alias("text")), n, percent)
+    found = found.where("n_shingles > 0").select(F.col("doc_id").alias("row_hash"), "component_id")
+    of = rows.groupBy("row_id", "row_hash").agg(F.count("*").alias("n")).join(found, "row_hash")
+    of = checkpointed(of.withColumn("rank", F.struct(F.col("row_id").isNull().alias("none"), "row_id", "row_hash")))
+    least = of.groupBy("component_id").agg(F.min("rank").alias("least"))
+    of = of.join(least, "component_id").withColumn("stays", F.col("rank").eqNullSafe(F.col("least")))
+    gone, twice = of.where(~F.col("stays")), of.where(F.col("stays") & (F.col("n") > 1))
+    met = lambda d, k: d["doc_id"].cast("bigint").eqNullSafe(k["row_id"]) & (F.xxhash64(d["text"].cast("string")) == k["row_hash"])
+    left = docs.join(gone, met(docs, gone), "left_anti")
+    return left.join(twice, met(left, twice), "left_anti").unionByName(left.join(twice, met(left, twice), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -208,8 +208,20 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a letter go, those of which no language makes up `0.3` of the words, and those that fit no learned language."""
-    langs, model = fit(docs.where(~held_out(F.col("doc_id"))))
-    found = predict(docs, langs, model)
-    gone = found.where((F.col("lang_pred") == "und") | (F.col("score") < 0.3) | (F.col("fit") <= 0)).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    """Pipeline stage: documents without a letter go, those of which no language makes up `0.3` of the words, and those that fit no learned language.
+
+    Each row is decided by its own text, whatever its doc_id; all columns pass through.
+    """
+    _, model = fit(docs.where(~held_out(F.col("doc_id"))))
+    shared = spark.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            last = b.num_columns - 1
+            keep = [np.zeros(0, bool)]
+            for _, texts in chunks(b, last):
+                has, share, _, fits = identify(texts, shared.value, None, 1.0)
+                keep.append(has & (share.max(1, initial=0) >= 0.3) & (fits > 0))
+            yield b.select(list(range(last))).filter(pa.array(np.concatenate(keep)))
+
+    return docs.select("*", F.col("text").cast("string").alias("text as string")).mapInArrow(kept, docs.schema)

@@ -76,6 +76,19 @@ def test_sketches_never_exceed_the_difference():
         assert s.differ(np.array([0]), np.array([1]))[0] <= len(np.setxor1d(a, b))
 
 
+def test_stages_decide_by_row(spark):
+    """Null and repeated ids: a row's fate follows from its own text, and one row of each group of copies stays."""
+    one, two, three = (" ".join(f"{x}{chr(97 + i)}" for i in range(20)) for x in ("house", "garden", "river"))
+    rows = [(None, one, "en"), (None, one, "en"), (None, "123 !!", "en"), (7, two, "en"), (7, "...", "en"), (7, three, "en"), (8, three + " more", "en"), (9, two, "en"), (9, two, "en"), (None, two, "en")]
+    docs = documents(spark, rows)
+    kept = language_id.stage(spark, docs, "").collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept) == sorted(str(r[:2]) for r in rows if any(c.isalpha() for c in r[1]))
+    got = jaccard.stage(spark, documents(spark, [(r.doc_id, r.text, r.lang) for r in kept]), "").collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(x) for x in [(None, one), (7, two), (7, three)])
+    got = jaccard.stage(spark, documents(spark, [(3, one, "en"), (3, one, "en"), (4, one, "en"), (5, None, "en"), (None, None, "en")]), "").collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(x) for x in [(3, one), (5, None), (None, None)])
+
+
 def test_packing_is_a_round_trip(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
