@@ -1,15 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
-Pass 1 decides blocks by where they stand (menus, footers, ... and articles), by link density, length
-and stop-word density; short blocks and middling ones stay open. Pass 2 gives each open block the
-label of its nearest decided neighbours: the nearer one decides, the one before on a tie.
+Pass 1 decides blocks by link density, length and stop-word density; where a block stands (menus,
+footers, ..., articles) shifts its limits. Short blocks and middling ones stay open. Pass 2 gives each
+open block the label of its nearest decided neighbours: the nearer one decides, the one before on a
+tie. Pages are scanned once from left to right, in time that is linear in their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +27,10 @@ STOP = frozenset(
     "als am auch auf aus bei das dass dem den der die ein eine einer er es für hat ich im ist mit nach nicht noch nur oder sich sie sind über um und von war wie wird zu zum zur "
     "al como con del el ella en es esta este la las lo los más me no o para pero por que se sin sobre son su sus un una y ya".split()
 )
-RAW = r"script|style|noscript|template|svg|iframe|object|canvas|textarea|select|button|title|math|video|audio"
-PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.S | re.I)
+RAW = frozenset("script style noscript template svg iframe object canvas textarea select button title video audio".split())
+NAME, TAG_END = re.compile(r"/?([a-zA-Z][\w:-]*)"), re.compile("[>\"']")
+CLOSING = {x: re.compile(rf"</{x}(?![\w:-])[^>]*(?:>|\Z)", re.I) for x in RAW}
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav header footer aside form dialog menu fieldset".split())
@@ -39,10 +44,19 @@ GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|main|article-?b
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\shidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 LONG, SHORT = 200, 70
+#: Numbers of character references as int() takes them: no leading zeros, those beyond Unicode as one that is too.
+ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,}")
+
+
+class Block(NamedTuple):
+    text: str
+    place: int  # -1 inside what isn't article, 1 inside the article, 0 where nothing tells
+    linked: int  # characters inside links
+    heading: bool
 
 
 def placing(tag: str, attrs: str, above: int) -> int:
-    """-1 inside what isn't article, 1 inside the article, 0 where nothing tells; from the place above."""
+    """The place inside an element, from the place above."""
     if above < 0:
         return -1
     names = " ".join("".join(m) for m in NAMES.findall(attrs)) if attrs else ""
@@ -53,92 +67,170 @@ def placing(tag: str, attrs: str, above: int) -> int:
     return 1 if tag in GOOD_TAGS or (names and tag not in INLINE and GOOD_NAME.search(names)) else above
 
 
-def blocks(page: str) -> list[tuple[str, int, int]]:
-    """Text, place and characters inside links of each block that has text."""
-    out: list[tuple[str, int, int]] = []
+def pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """Text, or tag, whether it closes, and attributes, one after the other. Comments, declarations and raw elements are left out.
+
+    What isn't closed runs to the end; a tag of which no `>` follows is text. No part of the page is read more than a few times.
+    """
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+    ends = {q: page.rfind(q) for q in "\"'"}
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], "", False, ""
+            return
+        if lt > at:
+            yield page[at:lt], "", False, ""
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if page[lt + 1 : lt + 2] in ("!", "?"):
+            end = page.find(">", lt)
+            at = n if end < 0 else end + 1
+            continue
+        m = NAME.match(page, lt + 1)
+        if not m or lt > last:
+            yield "<", "", False, ""
+            at = lt + 1
+            continue
+        end = m.end()
+        while quotes:
+            found = TAG_END.search(page, end)
+            if not found:
+                quotes = False  # every > that is left stands in quotes that were never meant so
+            elif found[0] == ">":
+                end = found.start()
+                break
+            else:
+                end = page.find(found[0], found.end()) + 1 if ends[found[0]] > found.start() else found.end()
+        if not quotes:
+            end = page.find(">", m.end())
+        tag, closes, at = m[1].lower(), page[lt + 1] == "/", end + 1
+        if tag in RAW:
+            if not closes:
+                found = CLOSING[tag].search(page, at)
+                at = found.end() if found else n
+            continue
+        yield "", tag, closes, page[m.end() : end]
+
+
+def blocks(page: str) -> list[Block]:
+    """Each block that has text."""
+    out: list[Block] = []
     stack: list[tuple[str, int]] = []  # open elements other than plain inline ones
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     place = linked = in_link = 0
 
     def end() -> None:
         nonlocal linked
-        if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-            out.append((text, place, linked))
+        if parts:
+            text = "".join(parts)
+            if "&#" in text:
+                text = TOO_LARGE.sub("&#1114112", ZEROS.sub("&#", text))
+            if text := " ".join(html.unescape(text).split()):
+                out.append(Block(text, place, linked, any(opened[h] for h in HEADINGS)))
         parts.clear()
         linked = 0
 
-    for raw, slash, tag, attrs, text in PIECE.findall(page):
-        if text:
+    def close(tag: str) -> None:
+        while True:
+            x = stack.pop()[0]
+            opened[x] -= 1
+            if x == tag:
+                return
+
+    for text, tag, closes, attrs in pieces(page):
+        if not tag:
             parts.append(text)
             if in_link:
                 linked += len(text.strip())
-        elif tag:
-            tag = tag.lower()
-            if tag == "br":
-                parts.append(" ")
-            elif tag == "a":
-                in_link = 0 if slash else 1
-            elif tag in INLINE and not (attrs and not slash and tag not in VOID and placing(tag, attrs, place) != place):
-                if slash and any(x == tag for x, _ in stack[-3:]):
-                    end()
-                    while stack.pop()[0] != tag:
-                        pass
-                    place = stack[-1][1] if stack else 0
-            else:
+        elif tag == "br":
+            parts.append(" ")
+        elif tag == "a":
+            in_link = 0 if closes else 1
+        elif tag in INLINE and not (attrs and not closes and tag not in VOID and placing(tag, attrs, place) != place):
+            if closes and any(x == tag for x, _ in stack[-3:]):
                 end()
-                if slash:
-                    if any(x == tag for x, _ in stack):
-                        while stack.pop()[0] != tag:
-                            pass
-                elif tag not in VOID and not attrs.endswith("/"):
-                    if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
-                        stack.pop()
-                    stack.append((tag, placing(tag, attrs, stack[-1][1] if stack else 0)))
+                close(tag)
                 place = stack[-1][1] if stack else 0
+        else:
+            end()
+            if closes:
+                if opened[tag]:
+                    close(tag)
+            elif tag not in VOID and not attrs.endswith("/"):
+                if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
+                    close(tag)
+                stack.append((tag, placing(tag, attrs, stack[-1][1] if stack else 0)))
+                opened[tag] += 1
+            place = stack[-1][1] if stack else 0
     end()
     return out
 
 
-def decided(text: str, place: int, linked: int, article: bool) -> int:
-    """Pass 1: 1 keep, -1 drop, 0 open."""
-    if place < 0 or (article and place == 0):
-        return -1
-    if place > 0:
-        return 1
-    if linked > 0.5 * len(text):
+def density(text: str) -> float:
+    """The share of stop words."""
+    words = text.lower().split()
+    return sum(w in STOP or w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
+
+
+def decided(b: Block, stops: float) -> int:
+    """Pass 1: 1 keep, -1 drop, 0 open. stops: the block's density, or a middling one where the page's language isn't known."""
+    n = len(b.text)
+    if b.place < 0:
         return -1
-    if len(text) < SHORT:
+    if b.linked > 0.5 * n:
+        return 0 if b.place > 0 and b.heading else -1
+    if b.place > 0:
+        return 1 if n >= SHORT and stops >= 0.1 else 0
+    if n < SHORT:
         return 0
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
-    if density >= 0.25:
-        return 1 if len(text) > LONG or density >= 0.3 else 0
-    return -1 if density < 0.1 or linked > 0.2 * len(text) else 0
+    if stops >= 0.25:
+        return 1 if n > LONG or stops >= 0.3 else 0
+    return -1 if stops < 0.1 or b.linked > 0.2 * n else 0
+
+
+def nearest(labels: list[int]) -> list[int]:
+    """Pass 2: of each open label the nearest decided one, the one before on a tie; 0 if there is none."""
+    left, label, far = [], 0, 1 << 30
+    for x in labels:
+        label, far = (x, 0) if x else (label, far + 1)
+        left.append((label, far))
+    out, label, far = list(labels), 0, 1 << 30
+    for i in range(len(labels) - 1, -1, -1):
+        label, far = (labels[i], 0) if labels[i] else (label, far + 1)
+        before, d = left[i]
+        out[i] = before if before and (d <= far or not label) else label
+    return out
 
 
 def main_text(page: str) -> tuple[str, int]:
     found = blocks(page)
-    article = any(place > 0 for _, place, _ in found)
-    first = [decided(*b, article) for b in found]
-    before, label, far = [], -1, 1 << 30
-    for x in first:  # nearest decided block on the left, and how far
-        label, far = (x, 0) if x else (label, far + 1)
-        before.append((label, far))
-    keep, label, far = [], -1, 1 << 30
-    for i in range(len(found) - 1, -1, -1):
-        label, far = (first[i], 0) if first[i] else (label, far + 1)
-        left, d = before[i]
-        if first[i] > 0 or (not first[i] and (left if d <= far else label) > 0):
-            keep.append(found[i][0])
-    if not keep and not article and not any(x < 0 for x in first):
-        keep = [t for t, _, _ in reversed(found)]  # only open blocks: nothing speaks against them
-    return "\n\n".join(reversed(keep)), len(found)
+    stops = [0.0 if b.place < 0 else density(b.text) for b in found]
+    long = [x for b, x in zip(found, stops, strict=True) if b.place >= 0 and len(b.text) >= SHORT and 2 * b.linked <= len(b.text)]
+    if long and max(long) < 0.1:  # no language of the list: density tells nothing here
+        stops = [0.26] * len(found)
+    first = [decided(b, x) for b, x in zip(found, stops, strict=True)]
+    inside = sum(len(b.text) for b, x in zip(found, first, strict=True) if b.place > 0 and x >= 0)
+    outside = sum(len(b.text) for b, x in zip(found, first, strict=True) if b.place == 0 and x > 0)
+    if inside > outside:  # the article is marked: what stands beside it has to be long and dense
+        first = [-1 if b.place == 0 and not (x > 0 and len(b.text) > LONG and d >= 0.3) else x for b, x, d in zip(found, first, stops, strict=True)]
+    every = nearest(first)
+    own = [i for i, b in enumerate(found) if b.place > 0]
+    for i, x in zip(own, nearest([first[i] for i in own]), strict=True):
+        every[i] = x or 1  # inside an article only its own blocks count as neighbours
+    if not any(first):
+        every = [1] * len(found)  # only open blocks: nothing speaks against them
+    return "\n\n".join(b.text for b, x in zip(found, every, strict=True) if x > 0), len(found)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks of each row of pages(page_id, url, html), repeated rows included.
 
-    Null and empty html, and pages without an article, give an empty text; markup that isn't closed is read to the end; other columns are dropped.
+    Null and empty html, and pages without main text, give an empty text; markup that isn't closed is read to the end; other columns are
+    dropped; an empty table gives no rows.
     """
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
