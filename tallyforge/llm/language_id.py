@@ -4,7 +4,8 @@ Training counts, for each language, the hashed character trigrams of all trainin
 them by language and bucket). A document is a mixture of languages; each word's likelihood under
 each language is the product over its trigrams. EM estimates the proportions, once with all
 languages and again for the 1, 2, ... up to all of them, most likely first, and the set with the best
-penalised likelihood is kept. A text's fit is its likelihood per trigram against equally likely buckets. The model has buckets x languages cells whatever the input's size.
+penalised likelihood is kept. A text's fit is its likelihood per trigram against equally likely buckets.
+The model has buckets x languages cells, at most CELLS: with more than 512 languages neighbouring buckets are one.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from .common import remainder_of_id, table
 
 BITS = 16
-#: The driver holds buckets x languages counts; more languages than this are an error.
-MOST_LANGUAGES = 512
-#: Characters that are worked on at once.
+#: Most cells of the model, 128 MB: the bound of what the driver holds and sends to the workers.
+CELLS = 1 << 25
+#: Characters that are worked on at once, with up to eight languages; with more it is less.
 CHARS = 1 << 20
 
 _folded: list[np.ndarray] = []
@@ -31,7 +32,7 @@ def folding() -> np.ndarray:
     """Of each code point: its lower-case letter, or a space if it isn't a letter."""
     if not _folded:
         t = np.full(0x110000, 32, np.uint32)
-        for i in range(0x30000):
+        for i in range(len(t)):
             if (c := chr(i)).isalpha():
                 t[i] = ord(low) if len(low := c.lower()) == 1 else i
         _folded.append(t)
@@ -45,22 +46,22 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code, starts
 
 
-def trigrams(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of letters and the bucket of the trigram around each."""
+def trigrams(code: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of letters and the bucket, of 2^bits, of the trigram around each."""
     at = np.flatnonzero(code != 32)
     at = at[(at > 0) & (at < len(code) - 1)]
     h = code[at - 1] * np.uint32(0x9E3779B1) + code[at] * np.uint32(0x85EBCA77) + code[at + 1] * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
-    return at, (h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - BITS)
+    return at, (h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - bits)
 
 
-def chunks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, list[str]]]:
-    """First row and texts of runs of rows of about CHARS characters."""
+def chunks(batch: pa.RecordBatch, text: int, size: int = CHARS) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of runs of rows of about `size` characters."""
     first, run, n = 0, [], 0
     for i, t in enumerate(batch.column(text)):
         run.append(t.as_py() or "")
         n += len(run[-1])
-        if n >= CHARS:
+        if n >= size:
             yield first, run
             first, run, n = i + 1, [], 0
     if run:
@@ -70,6 +71,11 @@ def chunks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, list[str]]]:
 def counts(docs: DataFrame) -> DataFrame:
     """lang, bucket, n over all rows of docs(lang, text) with a language."""
 
+    def rows(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, s in sums.items():
+            at = np.flatnonzero(s)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], names=["lang", "bucket", "n"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -81,25 +87,31 @@ def counts(docs: DataFrame) -> DataFrame:
                 for lang, own in by.items():
                     got = np.bincount(trigrams(letters(own)[0])[1], minlength=1 << BITS)
                     sums[lang] = sums[lang] + got if lang in sums else got
-        for lang, s in sums.items():
-            at = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], names=["lang", "bucket", "n"])
+                    if len(sums) > 256:
+                        yield from rows(sums)
+                        sums = {}
+        yield from rows(sums)
 
     kept = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"))
     return kept.mapInArrow(counted, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """The languages of docs(lang, text), sorted, and log probabilities by bucket and language."""
+def fit(docs: DataFrame, alpha: float = 0.5, cells: int = CELLS) -> tuple[list[str], np.ndarray]:
+    """The languages of docs(lang, text), sorted, and log probabilities by bucket and language.
+
+    More languages make fewer buckets, so that the model stays within `cells`. More than cells / 2 languages are an error.
+    """
     summed = counts(docs).persist()
     try:
-        langs = sorted(r[0] for r in summed.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-        if len(langs) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        got = summed.toArrow()
+        langs = sorted(r[0] for r in summed.select("lang").distinct().limit(cells // 2 + 1).collect())
+        bits = min(BITS, (cells // max(1, len(langs))).bit_length() - 1)
+        if bits < 1:
+            raise ValueError(f"more than {cells // 2} languages")
+        less = summed.groupBy("lang", F.shiftright("bucket", BITS - bits).alias("bucket")).agg(F.sum("n").alias("n")) if bits < BITS else summed
+        got = less.toArrow()
     finally:
         summed.unpersist()
-    n = np.full((1 << BITS, len(langs)), alpha)
+    n = np.full((1 << bits, len(langs)), alpha)
     where = {x: i for i, x in enumerate(langs)}
     if got.num_rows:
         column = np.asarray([where[x] for x in got["lang"].to_pylist()])
@@ -107,6 +119,11 @@ def fit(docs: DataFrame, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
     return langs, np.log(n / n.sum(0)).astype(np.float32)
 
 
+def chars(model: np.ndarray) -> int:
+    """How many characters are worked on at once: tables of words x languages bound the memory."""
+    return CHARS * 8 // max(8, model.shape[1])
+
+
 def mixture(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """EM: proportions by document, and the documents' log likelihoods. like: words x languages; share: documents x languages, 0 where left out."""
     n = np.diff(np.append(starts, len(like)))[:, None]
@@ -125,7 +142,8 @@ def identify(texts: list[str], model: np.ndarray, most: int | None, penalty: flo
     of equally likely buckets; 0 or less where the learned languages tell nothing about the text.
     """
     code, begins = letters(texts)
-    at, bucket = trigrams(code)
+    bits = max(1, len(model).bit_length() - 1)
+    at, bucket = trigrams(code, bits)
     has = np.zeros(len(texts), bool)
     out, sizes, fits = np.zeros((len(texts), model.shape[1]), np.float32), np.zeros(len(texts), np.int32), np.zeros(len(texts))
     if not len(at) or not model.shape[1]:
@@ -165,7 +183,7 @@ def identify(texts: list[str], model: np.ndarray, most: int | None, penalty: flo
         best[won], kept[won], size[won], fitted[won] = value[better], share[better], k, got[better]
     grams = np.add.reduceat(np.diff(np.append(first, len(at))), starts)
     out[docs], sizes[docs] = kept, size
-    fits[docs] = (fitted + np.add.reduceat(top[:, 0].astype(float), starts)) / grams + BITS * np.log(2)
+    fits[docs] = (fitted + np.add.reduceat(top[:, 0].astype(float), starts)) / grams + bits * np.log(2)
     return has, out, sizes, fits
 
 
@@ -182,7 +200,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, most: int | No
         m = shared.value
         for b in batches:
             pred, score, sets, fits = [], [], [], []
-            for _, texts in chunks(b, 1):
+            for _, texts in chunks(b, 1, chars(m)):
                 has, share, size, fit = identify(texts, m, most, penalty)
                 order = np.argsort(-share, axis=1, kind="stable")
                 for i, known in enumerate(has):
@@ -210,7 +228,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a letter go, those of which no language makes up `0.3` of the words, and those that fit no learned language.
 
-    Each row is decided by its own text, whatever its doc_id; all columns pass through.
+    Each row is decided by its own text, whatever its doc_id: repeated rows share their fate, null ids are kept or go like others; null
+    and empty texts go. Where no row has a language nothing is learned, and all rows go. All columns pass through, whatever their names;
+    an empty table gives no rows.
     """
     _, model = fit(docs.where(~held_out(F.col("doc_id"))))
     shared = spark.sparkContext.broadcast(model)
@@ -219,7 +239,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             last = b.num_columns - 1
             keep = [np.zeros(0, bool)]
-            for _, texts in chunks(b, last):
+            for _, texts in chunks(b, last, chars(shared.value)):
                 has, share, _, fits = identify(texts, shared.value, None, 1.0)
                 keep.append(has & (share.max(1, initial=0) >= 0.3) & (fits > 0))
             yield b.select(list(range(last))).filter(pa.array(np.concatenate(keep)))

@@ -1,19 +1,21 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are key-like strings of any document. Their features: kind, length, how often the character
-class changes, entropy, how much of the string is made of words of the corpus-independent fixed list,
-whether it looks like a path, and which words stand before and after it. The forest (Spark ML) is
-trained on labelled findings; where none are given, findings that a rule can tell for sure (known
-prefixes with the right alphabet and length beside a naming word; addresses, numbers and words as
-false ones) are the labels. The training sample is bounded by `most_labelled`; every document is scanned.
+Candidates are key-like strings of any document. Their features: kind, length, transitions between
+classes of characters, letter pairs, entropy, how much of the string a dictionary covers (longest
+words first), whether it looks like a path, and the words at each place beside it. The forest (Spark
+ML) is trained on labelled findings; where none are given, on `planted` ones: findings written down
+with their label, not labelled by a rule over their features. The labelled sample is bounded by
+`most_labelled`; every document is scanned.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -86,31 +88,107 @@ def matches(text: str) -> Iterator[tuple[str, int, int, str, str]]:
 
 
 KINDS = ["private_key", "access_key", "prefixed", "assigned", "hex", "mixed", "address", "link"]
-NAMING = frozenset("password passwd pwd secret token key apikey api_key access_key accesskey auth credential credentials bearer private".split())
-PLACEHOLDER = frozenset("example sample test dummy changeme placeholder xxxx your none null true false todo redacted".split())
-#: Common words and syllables of code and configuration; a secret holds few of them.
-DICTIONARY = re.compile(r"password|secret|token|example|sample|test|user|admin|name|value|string|config|default|public|local|host|server|http|www|com|org|net|file|path|data|index|image|page|the|and|ing|tion|for", re.I)
-FEATURES = [*(f"is_{k}" for k in KINDS), "length", "changes", "entropy", "covered", "is_path", "digits", "upper", "named_before", "placeholder"]
+NAMING = frozenset("password passwd pwd secret token key apikey api_key access_key accesskey auth credential credentials bearer private login signing".split())
+#: Words that name what looks like a key and is none.
+PUBLIC = frozenset("sha sha1 sha256 sha512 md5 checksum digest commit revision etag hash hashes integrity fingerprint version build image icon uuid guid blob tree object author authors public type".split())
+PLACEHOLDER = frozenset("example sample test dummy changeme placeholder xxxx your none null true false todo redacted insert replace foo bar".split())
+#: Common words of code, configuration and prose; a secret holds few of them. Callers may give more.
+WORDS = (
+    "about access account action active address admin after agent alert alias allow also amount android answer any app apple application archive argument array article asset async "
+    "attribute author auto back base basic batch before binary block board body bool border browser buffer build business button cache call camera cancel card case catalog center chain "
+    "change channel char check child city class clean click client close cloud code collection color column comment common company component config connect console contact container "
+    "content context control cookie copy core count country create current custom daily data database date debug default delete demo deploy description detail device directory display "
+    "document domain download draft driver each edit editor element email empty enable encode engine entry environment error event example export field file filter final find first flag "
+    "folder font form format frame from function general get global graph group handle header health hello help history home host html http icon image import index info input install "
+    "internal item java key label language last layout length level library license line link list load local locale location login main manager market master member memory menu message"
+).split()
+#: Letter pairs that are frequent in words.
+PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
+TRANSITIONS = [f"{a}{b}" for a in "dlus" for b in "dlus"]  # digit, lower, upper, sign
+PLACES = ["before_1", "before_2", "before_3", "after_1"]
+FEATURES = [
+    *(f"is_{k}" for k in KINDS), *(f"from_{t}" for t in TRANSITIONS), "length", "log_length", "changes", "entropy", "distinct", "covered", "pairs", "is_path", "dots", "brackets", "placeholder", "quoted",
+    *(f"naming_{p}" for p in PLACES), *(f"public_{p}" for p in PLACES),
+]
 SCHEMA = "doc_id bigint, row_hash bigint, start int, length int, kind string, value string, before string, after string, " + ", ".join(f"x_{f} double" for f in FEATURES)
 
 
-def classes(s: str) -> list[int]:
-    return [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in s]
+def dictionary(words: Iterable[str] = ()) -> re.Pattern[str]:
+    """What finds words of three letters and more, the longest first."""
+    return re.compile("|".join(sorted({re.escape(w.lower()) for w in (*WORDS, *NAMING, *words) if len(w) > 2}, key=lambda w: (-len(w), w))), re.I)
 
 
-def features(kind: str, value: str, before: str, after: str) -> list[float]:
-    n, k = len(value), classes(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    near = re.findall(r"[a-z_]+", f"{before} {after}".lower())
-    named = any(w in NAMING or any(w.endswith(x) for x in ("token", "secret", "password", "key")) for w in near)
-    fake = any(w in PLACEHOLDER for w in re.findall(r"[a-z]+", " ".join([*before.split()[-1:], value]).lower())) or len(set(value)) <= 3
+DICTIONARY = dictionary()
+
+
+def class_of(c: str) -> str:
+    return "d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s"
+
+
+def features(kind: str, value: str, before: str, after: str, known: re.Pattern[str] = DICTIONARY) -> list[float]:
+    n, k = len(value), "".join(map(class_of, value))
+    steps = Counter(x + y for x, y in pairwise(k))
+    counts = Counter(value).values()
+    entropy = -sum(c / n * math.log2(c / n) for c in counts)
+    low = value.lower()
+    letters = [x + y for x, y in pairwise(low) if x.isalpha() and y.isalpha()]
+    words = [*re.findall(r"[a-z][a-z0-9_]*", before.lower())[:-4:-1], "", "", ""][:3] + [*re.findall(r"[a-z][a-z0-9_]*", after.lower())[:1], ""][:1]
+    parts = [set(re.split(r"[_\d]+", w)) | {w} for w in words]
+    naming = [bool(x & NAMING) or any(w.endswith(y) for y in ("token", "secret", "password", "passwd", "key")) for w, x in zip(words, parts, strict=True)]
+    fake = any(w in PLACEHOLDER for w in re.findall(r"[a-z]+", " ".join([*before.split()[-1:], low]).lower())) or any(x in low for x in ("example", "changeme", "xxxx", "your")) or len(counts) <= 3
     path = value.count("/") >= 2 or bool(re.search(r"\.[a-z]{2,4}$", value)) or value.startswith(("/", "./", "http"))
+    total = max(1, n - 1)
     return [
-        *(float(kind == x) for x in KINDS), float(n), sum(a != b for a, b in zip(k, k[1:], strict=False)) / max(1, n - 1), entropy,
-        sum(len(m) for m in DICTIONARY.findall(value)) / n, float(path), k.count(0) / n, k.count(2) / n, float(named), float(fake),
+        *(float(kind == x) for x in KINDS), *(steps[t] / total for t in TRANSITIONS), float(n), math.log2(n), sum(v for t, v in steps.items() if t[0] != t[1]) / total, entropy, len(counts) / n,
+        sum(len(m) for m in known.findall(value)) / n, sum(x in PAIRS for x in letters) / max(1, len(letters)), float(path), value.count(".") / n, float(any(c in value for c in "(){}[]$<>%")), float(fake),
+        float(before[-1:] in "\"'" and before != ""), *map(float, naming), *(float(bool(x & PUBLIC)) for x in parts),
     ]
 
 
+def planted(n: int = 4000, seed: int = 7) -> Iterator[tuple[str, str, float]]:
+    """Text, the finding in it, and whether it is a secret: n findings written down by kind of secret and of what is taken for one."""
+    rng = random.Random(seed)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    some = lambda letters, a, b=None: "".join(rng.choices(letters, k=rng.randint(a, b or a)))
+    hexa, every = (lambda a, b=None: some(digits + "abcdef", a, b)), (lambda a, b=None: some(lower + upper + digits, a, b))
+    word = lambda: rng.choice(WORDS)
+    name = lambda: rng.choice(["password", "db_password", "API_KEY", "api_key", "secret", "client_secret", "token", "auth_token", "ACCESS_TOKEN", "pwd", "passwd", "credential", "secretKey"])
+    sign = lambda: rng.choice([" = ", "=", ": ", " => ", ":"])
+    quote = lambda v: rng.choice(['"{}"', "'{}'", "{}"]).format(v)
+    prose = lambda: " ".join(some(lower, 2, 9) if rng.random() < 0.5 else word() for _ in range(rng.randint(3, 9)))
+    camel = lambda: "".join(word().title() for _ in range(rng.randint(4, 7))) + some(digits, 1, 2)
+    strong = lambda: every(6, 24) + rng.choice("!#%*_-") + some(digits, 1, 3)
+    true = [
+        lambda: (name() + sign(), hexa(32, 64), True), lambda: (name() + sign(), every(16, 60), True), lambda: (name() + sign(), strong(), True),
+        lambda: (name() + sign(), some(lower, 3, 6) + some(digits, 3, 6), True), lambda: ("", "AKIA" + some(upper + digits, 16), False), lambda: ("", "ghp_" + every(36), False),
+        lambda: ("", "sk-" + every(40, 48), False), lambda: ("", "sk_live_" + every(24), False), lambda: ("", "xoxb-" + some(digits, 12) + "-" + every(24), False), lambda: ("", "AIza" + every(35), False),
+        lambda: ("", "glpat-" + every(20), False), lambda: ("", f"eyJ{every(20, 40)}.{every(40, 90)}.{every(43)}", False), lambda: ("", f"-----BEGIN PRIVATE KEY-----\n{every(64)}\n{every(64)}\n-----END PRIVATE KEY-----", False),
+        lambda: ("", every(32, 64), False), lambda: ("Authorization Bearer ", every(40, 64), False), lambda: ("key ", hexa(32, 64), False), lambda: (word() + " ", hexa(40, 64), False),
+    ]
+    false = [
+        lambda: (name() + sign(), rng.choice(["changeme", "example", "your_password", "your-api-key-here", "password", "xxxxxxxxxxxx", "null", "None", "true", "false", "REDACTED", "placeholder", "test"]), True),
+        lambda: (name() + sign(), rng.choice(["${%s}", "{{ %s }}", "os.environ[%s]", "getenv(%s)", "process.env.%s", "<%s>", "self.%s", "config.get(%s)"]) % word(), False), lambda: (name() + sign(), word(), True),
+        lambda: ("author: ", word().title(), False), lambda: (rng.choice(["token_type", "auth_type", "password_field", "token_name"]) + sign(), word() + "_" + word(), True), lambda: (rng.choice(["commit ", "sha1 ", "md5: ", "checksum ", "etag: ", "sha256 = "]), hexa(32, 64), False),
+        lambda: ("integrity sha512-", every(60, 86) + "==", False), lambda: ("", camel(), False), lambda: ("", "/".join([word() for _ in range(5)]) + "/V" + some(digits, 2), False), lambda: ("image ", "iVBORw0KGgo" + every(60, 300), False),
+        lambda: ("", f"{word()}.{word()}@{word()}.com", False), lambda: ("", f"https://{word()}.com/{word()}/{word()}", False), lambda: ("", "AKIA" + some(upper, 9) + "EXAMPLE", False), lambda: ("", "sk-" + "x" * rng.randint(24, 40), False),
+        lambda: ("version ", "V" + "-".join(some(digits, 2, 4) + word() for _ in range(4)), False), lambda: (name() + sign(), "/".join(["", word(), word(), word() + ".txt"]), True),
+    ]
+    for i in range(n):
+        label = float(i % 2)
+        context, value, quoted = rng.choice(true if label else false)()
+        yield f"{prose()} {context}{quote(value) if quoted else value} {prose()}", value, label
+
+
+def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> DataFrame:
+    """The planted findings as rows of candidates() with their label."""
+    rows = []
+    for text, value, label in planted(n, seed):
+        for kind, at, end, before, after in matches(text):
+            if text[at:end].strip("\"'=") == value.strip("="):
+                rows.append((None, None, at, end - at, kind, text[at:end], before, after, *features(kind, text[at:end], before, after), label))
+    return spark.createDataFrame(rows, SCHEMA + ", label double")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """A row per candidate of docs(doc_id, text): its place (code points), kind, value, neighbouring words and features.
 
@@ -136,16 +214,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     return docs.where(text.isNotNull()).select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("h"), text).mapInArrow(found, SCHEMA)
 
 
-def sure_label(c=F.col):
-    """1 or 0 for candidates that a rule can tell for sure, else null: the labelled findings where none are given."""
-    named, fake = c("x_named_before") > 0, c("x_placeholder") > 0
-    strong = c("kind").isin("private_key", "access_key", "prefixed") & ~fake
-    true = strong | (c("kind").isin("hex", "mixed", "assigned") & named & ~fake & (c("x_entropy") > 3.0) & (c("length") >= 20) & (c("x_covered") < 0.2) & (c("x_is_path") == 0))
-    false = c("kind").isin("address", "link") | fake | ((c("x_covered") > 0.5) & ~strong) | ((c("kind") == "mixed") & ~named & (c("x_digits") < 0.05))
-    return F.when(true & ~false, 1.0).when(false, 0.0)
-
-
-def train(labelled: DataFrame, most_labelled: int = 20_000, trees: int = 20, depth: int = 6) -> RandomForestClassificationModel | None:
+def train(labelled: DataFrame, most_labelled: int = 20_000, trees: int = 30, depth: int = 8) -> RandomForestClassificationModel | None:
     """A forest on rows with the x_ columns and label; at most `most_labelled` rows, taken by hash. None unless both labels occur."""
     taken = labelled.orderBy(F.xxhash64("value", "before", "after")).limit(most_labelled)
     taken = VectorAssembler(inputCols=[f"x_{f}" for f in FEATURES], outputCol="x").transform(taken).select("x", "label").persist()
@@ -157,17 +226,22 @@ def train(labelled: DataFrame, most_labelled: int = 20_000, trees: int = 20, dep
         taken.unpersist()
 
 
+def scored(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
+    """Candidates with their score, the forest's probability of a secret; 1 for known formats and 0 for others where there is no forest."""
+    if model is None:
+        return found.withColumn("score", F.col("kind").isin("private_key", "access_key", "prefixed").cast("double"))
+    return model.transform(VectorAssembler(inputCols=[f"x_{f}" for f in FEATURES], outputCol="x").transform(found)).withColumn("score", vector_to_array("probability")[1])
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Findings: doc_id, row_hash, start, length, kind, score of each candidate that the forest takes for a secret.
 
-    labelled: rows of candidates() with a label (1 secret, 0 not). Where both labels don't occur, the sure rules decide alone.
+    labelled: rows of candidates() with a label (1 secret, 0 not), the planted ones if None; without both labels only keys of known
+    formats are found. Null and empty texts hold nothing; rows of one id are told apart by row_hash, and repeated rows give their findings
+    each; other columns are ignored; an empty table gives no rows.
     """
-    every = candidates(docs).persist()
-    model = train(labelled if labelled is not None else every.withColumn("label", sure_label()).where(F.col("label").isNotNull()))
-    if model is None:
-        return every.withColumn("score", F.coalesce(sure_label(), F.lit(0.0))).where(F.col("score") >= threshold).select("doc_id", "row_hash", "start", "length", "kind", "score")
-    scored = model.transform(VectorAssembler(inputCols=[f"x_{f}" for f in FEATURES], outputCol="x").transform(every))
-    return scored.withColumn("score", vector_to_array("probability")[1]).where(F.col("score") >= threshold).select("doc_id", "row_hash", "start", "length", "kind", "score")
+    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
+    return scored(candidates(docs), model).where(F.col("score") >= threshold).select("doc_id", "row_hash", "start", "length", "kind", "score")
 
 
 def per_document(docs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -183,18 +257,30 @@ def per_document(docs: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each finding's characters replaced by `mark` and n_chars (if there) counted anew; other rows and columns as they were."""
-    spans = findings.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans")).withColumnsRenamed({"doc_id": "d_", "row_hash": "t_"})
+    """docs with each finding's characters replaced by `mark` and n_chars (if there) counted anew; other rows and columns as they were.
+
+    Rows without findings, null and empty texts among them, stay as they are; repeated rows are changed alike; columns may have any names.
+    """
+    spans = findings.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
     text = F.col("text").cast("string")
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["d_"]) & (F.xxhash64(docs["text"].cast("string")) == spans["t_"]), "left")
-    # pieces between the spans, each followed by the mark but the last
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct((s["start"] + s["length"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"))
-    new = F.aggregate("spans", zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    new = F.when(F.col("spans").isNull(), text).otherwise(new)
-    gone = F.aggregate("spans", F.lit(0), lambda a, s: a + s["length"])
-    n_chars = F.length(text) - gone + F.size("spans") * len(mark)
-    columns = [new.alias(c) if c == "text" else F.when(F.col("spans").isNull(), F.col(c)).otherwise(n_chars.cast(t)).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    # the row as one struct: its columns may have any names
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("own_id"), F.xxhash64(text).alias("own_hash"))
+    joined = rows.join(spans, rows["own_id"].eqNullSafe(spans["doc_id"]) & (rows["own_hash"] == spans["row_hash"]), "left").select("row", "spans")
+    text = F.col("row.text").cast("string")
+    # pieces between the spans, each followed by the mark but the last; of spans that overlap each character counts once
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("gone"))
+
+    def step(a, s):
+        begin, end = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["start"] + s["length"])
+        return F.when(end == a["at"], a).otherwise(
+            F.struct(end.alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, begin - a["at"]), F.lit(mark)).alias("out"), (a["gone"] + end - begin - len(mark)).alias("gone"))
+        )
+
+    joined = joined.withColumn("new", F.aggregate("spans", zero, step))
+    new = F.when(F.col("spans").isNull(), text).otherwise(F.concat("new.out", F.substring(text, F.col("new.at") + 1, F.length(text))))
+    n_chars = F.length(text) - F.col("new.gone")
+    field = lambda c: F.col("row").getField(c)
+    columns = [new.alias(c) if c == "text" else F.when(F.col("spans").isNull(), field(c)).otherwise(n_chars.cast(t)).alias(c) if c == "n_chars" else field(c).alias(c) for c, t in docs.dtypes]
     return joined.select(*columns)
 
 
@@ -204,5 +290,5 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets in the texts are replaced by [SECRET]; all documents stay."""
+    """Pipeline stage: secrets in the texts are replaced by [SECRET]; all documents stay, whatever their ids, repeats, nulls and further columns."""
     return redact(docs, scan(docs))
