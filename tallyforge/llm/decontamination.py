@@ -1,15 +1,21 @@
 """Benchmark decontamination with DataFrame functions: all windows of k words of the training texts
-meet the hash set of the benchmark's windows; hits are verified word by word."""
+meet the hash set of the benchmark's windows; hits are verified word by word.
+
+The hash set is broadcast up to a checked size. A larger one is joined by a shuffle of bare hashes and
+places; words of the few rows with hits are fetched after.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ascii_lower, let, table, window_hashes
+from .common import alnum_words, ascii_lower, checkpointed, let, table, window_hashes
 
 #: A hash set of up to so many windows (some 100 MB) is broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: Keys of so many rows with hits (16 bytes each) are broadcast to fetch their words; more are joined by a shuffle.
+MOST_ROWS = 2_000_000
 
 
 def benchmark_windows(benchmark: DataFrame, k: int) -> DataFrame:
@@ -22,27 +28,37 @@ def benchmark_windows(benchmark: DataFrame, k: int) -> DataFrame:
     return each.groupBy("hash", "n_words", "words_text").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, k: int = 10) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, k: int = 10, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, text_hash, first (place of the window's first word), last, items: every verified occurrence, one row each."""
     windows = benchmark_windows(benchmark, k)
-    sizes = [r[0] for r in windows.select("n_words").distinct().collect()] or [k]  # k values at most
-    if windows.count() <= MOST_BROADCAST:
-        windows = F.broadcast(windows)
+    sizes, n_windows = windows.agg(F.sort_array(F.collect_set("n_words")), F.count("*")).first()  # k sizes at most
+    sizes = sizes or [k]
     text = F.col("text").cast("string")
 
     def found(w):
         return let(F.transform(w, lambda x: F.xxhash64(F.lower(x))), lambda h: F.concat(*(window_hashes(h, n) for n in sizes)))
 
     rows = docs.where(text.isNotNull()).select("doc_id", F.xxhash64(text).alias("text_hash"), alnum_words(text).alias("w"))
-    # bare hashes and their places keep the exploded rows and the hash set's key small
-    rows = rows.select("doc_id", "text_hash", "w", F.posexplode_outer(found(F.col("w"))).alias("at", "hash"))
-    first, before = F.lit(None), F.lit(0)  # the hashes of each size follow those of the one before
+    # bare hashes and their places keep the exploded rows and the hash set's key small; the hashes of each size follow those of the one before
+    first, before = F.lit(None), F.lit(0)
     for n in sizes:
         first = F.when(F.col("n_words") == n, F.col("at") - before).otherwise(first)
-        before = before + F.greatest(F.size("w") - (n - 1), F.lit(0))
-    met = rows.join(windows, "hash").withColumn("first", first)
+        before = before + F.greatest(F.col("n") - (n - 1), F.lit(0))
+    if n_windows <= most_broadcast:
+        each = rows.select("doc_id", "text_hash", "w", F.size("w").alias("n"), F.posexplode_outer(found(F.col("w"))).alias("at", "hash"))
+        met = each.join(F.broadcast(windows), "hash").withColumn("first", first)
+    else:
+        each = rows.select("doc_id", "text_hash", F.size("w").alias("n"), F.posexplode(found(F.col("w"))).alias("at", "hash"))
+        bare = each.join(windows.select("hash", "n_words").distinct(), "hash").withColumn("first", first)
+        bare = checkpointed(bare.select("doc_id", "text_hash", "hash", "n_words", "first", "n").distinct())
+        own = bare.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+        if own.count() <= MOST_ROWS:
+            own = F.broadcast(own)
+        words = rows.join(own, rows["doc_id"].eqNullSafe(own["d"]) & (rows["text_hash"] == own["t"]), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        words = words.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+        met = bare.join(words, bare["doc_id"].eqNullSafe(words["d"]) & (bare["text_hash"] == words["t"])).join(windows, ["hash", "n_words"])
     same = ascii_lower(F.array_join(F.slice("w", F.col("first") + 1, F.col("n_words")), " ")) == F.col("words_text")
-    return met.where((F.col("first") >= 0) & (F.col("first") <= F.size("w") - F.col("n_words"))).where(same).select(
+    return met.where((F.col("first") >= 0) & (F.col("first") <= F.col("n") - F.col("n_words"))).where(same).select(
         "doc_id", "text_hash", "first", (F.col("first") + F.col("n_words") - 1).alias("last"), "items"
     )
 
@@ -54,14 +70,14 @@ def covered(spans):
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """One row per row of docs(doc_id, text): n_words, n_hit (words inside a benchmark window), n_items, items_sha256, contaminated and the hit spans.
 
     A null or empty text has no words; rows that repeat get the same result each; null ids are kept; an empty benchmark hits nothing;
     benchmark items without words are ignored; extra columns are dropped.
     """
     text = F.col("text").cast("string")
-    found = hits(docs, benchmark, k).groupBy("doc_id", "text_hash").agg(
+    found = hits(docs, benchmark, k, most_broadcast).groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "spans", "items")
@@ -75,7 +91,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 10) -> DataFra
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 10) -> DataFrame:
-    """docs without the rows in which a benchmark window occurs; columns as they were."""
+    """docs without the rows in which a benchmark window occurs; columns as they were, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go alike; a row is known by its id, null or not, and its text; an empty benchmark
+    takes nothing away; an empty table gives no rows.
+    """
     bad = hits(docs, benchmark, k).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_text")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["bad_text"]), "left_anti")
 
@@ -85,5 +105,5 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in which a benchmark window occurs go."""
+    """Pipeline stage: documents in which a benchmark window occurs go; the others stay as they are (see decontaminate)."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))

@@ -8,10 +8,13 @@ merged span has to cover enough of the template.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import alnum_words, ascii_lower, let, table, window_hashes
+from .license_texts import TEXTS
 
 #: (label, phrase, whether its places are counted as base places)
 PHRASES = [
@@ -33,33 +36,34 @@ PHRASES = [
     ("cc0", "cc0 1 0 universal", False),
     ("cc", "creative commons attribution", False),
 ]
-#: (label, text): opening grants of well-known licenses
-TEXTS = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"),
-]
 PHRASE_K, TEXT_K = 2, 4
 #: A text needs this share of its k-grams, and diagonals up to so many words apart are one.
 LEAST_COVER, NEAR = 0.6, 5
 
 
-def grams(spark: SparkSession) -> DataFrame:
-    """hash, k, gram, template, label, base, place, n_grams of all templates (fixed, some 300 rows)."""
+#: Grams of the templates that are broadcast at most (some 20 MB).
+MOST_GRAMS = 100_000
+
+
+def grams(spark: SparkSession, texts: Sequence[tuple[str, str]] = TEXTS) -> DataFrame:
+    """hash, k, gram, template, label, base, place, n_grams of all templates, some 3,000 rows with the texts given here."""
+    words = sum(len(t.split()) for _, t in texts)
+    if words > MOST_GRAMS:
+        raise ValueError(f"templates of {words} words: the table of their grams is broadcast, so {MOST_GRAMS} are the most")
     rows = [(i, label, text, PHRASE_K, base) for i, (label, text, base) in enumerate(PHRASES)]
-    rows += [(len(PHRASES) + i, label, text, TEXT_K, False) for i, (label, text) in enumerate(TEXTS)]
+    rows += [(len(PHRASES) + i, label, text, TEXT_K, False) for i, (label, text) in enumerate(texts)]
     t = spark.createDataFrame(rows, "template int, label string, text string, k int, base boolean")
-    t = t.withColumn("w", alnum_words(ascii_lower(F.col("text")))).withColumn("n_grams", F.size("w") - F.col("k") + 1)
+    t = t.withColumn("w", alnum_words(ascii_lower(F.col("text")))).withColumn("n_grams", F.size("w") - F.col("k") + 1).where("n_grams > 0")
     t = t.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n_grams")), lambda i: F.slice("w", i, F.col("k")))).alias("place", "x"))
     return t.select(F.xxhash64(F.transform("x", lambda w: F.xxhash64(w))).alias("hash"), "k", F.array_join("x", " ").alias("gram"), "template", "label", "base", "place", "n_grams")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, label, base, first (word where the template begins), last, cover: every verified span."""
+def spans(docs: DataFrame, texts: Sequence[tuple[str, str]] = TEXTS) -> DataFrame:
+    """doc_id, text_hash, label, base, first (word where the template begins), last, cover: every verified span.
+
+    texts: (label, wording) of the templates beside the phrases. Null and empty texts have no span; rows of one id are told apart by
+    text_hash; rows that repeat id and text count once; other columns are ignored; an empty table gives no rows.
+    """
     text = F.col("text").cast("string")
 
     both = let(F.transform("w", lambda x: F.xxhash64(F.lower(x))), lambda h: F.concat(window_hashes(h, PHRASE_K), window_hashes(h, TEXT_K)))
@@ -67,7 +71,7 @@ def spans(docs: DataFrame) -> DataFrame:
     # bare hashes and their places keep the exploded rows and the hash table's key small
     rows = rows.select("doc_id", "text_hash", "w", F.posexplode_outer(both).alias("spot", "hash"))
     short = F.greatest(F.size("w") - (PHRASE_K - 1), F.lit(0))  # the phrases' hashes come first
-    votes = rows.join(F.broadcast(grams(docs.sparkSession)), "hash").withColumn("at", F.when(F.col("k") == PHRASE_K, F.col("spot")).otherwise(F.col("spot") - short))
+    votes = rows.join(F.broadcast(grams(docs.sparkSession, texts)), "hash").withColumn("at", F.when(F.col("k") == PHRASE_K, F.col("spot")).otherwise(F.col("spot") - short))
     same = ascii_lower(F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ")) == F.col("gram")
     votes = votes.where((F.col("at") >= 0) & (F.col("at") <= F.size("w") - F.col("k"))).where(same)
     key = ["doc_id", "text_hash", "template"]
@@ -85,14 +89,14 @@ def spans(docs: DataFrame) -> DataFrame:
     return merged.where(whole).select("doc_id", "text_hash", "label", "base", "first", (F.col("last") + F.col("k") - 1).alias("last"), cover.alias("cover"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, texts: Sequence[tuple[str, str]] = TEXTS) -> DataFrame:
     """One row per row of docs(doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words, no labels and score 0; repeated rows get the same result each; null ids are kept;
     other columns are dropped. score is the largest share of a template that a verified span covers.
     """
     base = F.col("base")
-    found = spans(docs).groupBy("doc_id", "text_hash").agg(
+    found = spans(docs, texts).groupBy("doc_id", "text_hash").agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("cover").alias("score"),
     ).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})

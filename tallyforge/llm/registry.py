@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+
+def template_rows() -> str:
+    """The templates' grams as SQL rows: template, label, base, k, n_grams, place, gram."""
+    every = [(label, text, licenses.PHRASE_K, base) for label, text, base in licenses.PHRASES] + [(label, text, licenses.TEXT_K, False) for label, text in licenses.TEXTS]
+    rows = []
+    for i, (label, text, k, base) in enumerate(every):
+        w = re.findall("[a-z0-9]+", text.lower())
+        rows += [f"({i}, '{label}', {base}, {k}, {len(w) - k + 1}, {p}, '{' '.join(w[p : p + k])}')" for p in range(len(w) - k + 1)]
+    return ", ".join(rows)
+
+
 ORACLES: dict[str, str] = {
+    "op10_licenses": f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+g(template, label, base, k, n_grams, place, gram) AS (VALUES {template_rows()}),
+dw AS (SELECT doc_id, k, i - 1 AS spot, array_to_string(w[i : i + k - 1], ' ') AS gram
+       FROM d, (VALUES ({licenses.PHRASE_K}), ({licenses.TEXT_K})) AS ks(k), unnest(range(1, greatest(1, len(w) - k + 2))) AS u(i)),
+lines AS (SELECT doc_id, template, label, base, g.k, n_grams, spot - place AS diagonal, count(DISTINCT place) AS votes, min(spot) AS lo, max(spot) AS hi
+          FROM dw JOIN g ON dw.gram = g.gram AND dw.k = g.k GROUP BY ALL),
+fresh AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > CASE WHEN k = {licenses.TEXT_K} THEN {licenses.NEAR} ELSE 0 END, true) AS f FROM lines),
+numbered AS (SELECT *, sum(f::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS line FROM fresh),
+merged AS (SELECT doc_id, template, label, base, k, n_grams, line, sum(votes) AS votes, min(lo) AS lo, max(hi) AS hi FROM numbered GROUP BY ALL),
+spans AS (SELECT *, least(1.0::DOUBLE, votes / n_grams) AS cover FROM merged
+          WHERE CASE WHEN k = {licenses.TEXT_K} THEN votes / n_grams >= {licenses.LEAST_COVER}::DOUBLE AND hi - lo < 2 * n_grams ELSE votes = n_grams END),
+q AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(lo) FILTER (base) AS first_word, max(lo) FILTER (base) AS last_word,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(cover) AS score FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN q USING (doc_id)""",
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 b AS (SELECT item_id, {WORDS} AS w FROM benchmark),

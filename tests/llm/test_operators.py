@@ -143,39 +143,53 @@ def test_best_cuts_is_least_cost():
         assert abs(total - cost[-1]) < 1e-9
 
 
-def test_kneser_ney(spark):
-    texts = ["a b c", "a b d", "A b c", "e a b", None, "", "c"]
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney(spark, order):
+    """Scores against the textbook formulas, order by order; probabilities add up to one."""
+    rng = np.random.default_rng(order)
+    texts = ["a b c", "a b d", "A b c", "e a b", None, "", "c", " ".join(f"w{x}" for x in rng.zipf(1.5, 300) % 40), "a b " + "x y " * 300]
     docs = documents(spark, [(i, t, "en") for i, t in enumerate(texts)])
-    model = kneser_ney.train(docs)
-    got = {r.doc_id: r for r in kneser_ney.score(documents(spark, [(0, "a b zz", "en"), (1, None, "en")]), model).collect()}
+    model = kneser_ney.train(docs, order)
+    hard = ["a b zz", None, "w1 w2 w1 w3 b c", "x y x y"]
+    got = {r.doc_id: r for r in kneser_ney.score(documents(spark, [(i, t, "en") for i, t in enumerate(hard)]), model).collect()}
     tokens = [[*(t or "").lower().split(), "</s>"] for t in texts]
     uni = Counter(w for t in tokens for w in t)
-    pairs = Counter(p for t in tokens for p in zip(["<s>", *t[:-1]], t, strict=True))
     n, v = sum(uni.values()), len(uni)
-    follow = Counter(w for _, w in pairs)
 
-    def discounts(counts):
-        c = [sum(x == k for x in counts) for k in (1, 2, 3, 4)]
-        return kneser_ney.discounts(np.asarray(c, float))
-
-    d2, d1 = discounts(pairs.values()), discounts(follow.values())
-    total = sum(follow.values())
-    gamma1 = sum(d1[min(x, 3)] for x in follow.values()) / total
-
-    def p1(w):
-        return max(follow[w] - d1[min(follow[w], 3)], 0) / total + gamma1 / (v + 1)
-
-    def p2(u, w):
-        own = {x: k for (a, x), k in pairs.items() if a == u}
+    def grams(t, m):
+        padded = ["<s>"] * (m - 1) + t
+        return [tuple(padded[i : i + m]) for i in range(len(t))]
+
+    counts = {order: Counter(g for t in tokens for g in grams(t, order))}
+    for m in range(order - 1, 0, -1):
+        counts[m] = Counter()
+        for g, c in counts[m + 1].items():
+            counts[m][g[1:]] += c if m > 1 and g[:2] == ("<s>", "<s>") else 1
+    d = {m: kneser_ney.discounts(np.asarray([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)], float)) for m, c in counts.items()}
+
+    def p(context, w):
+        m = len(context) + 1
+        own = {g[-1]: c for g, c in counts[m].items() if g[:-1] == context}
+        low = p(context[1:], w) if m > 1 else 1 / (v + 1)
         if not own:
-            return p1(w)
-        return max(pairs[u, w] - d2[min(pairs[u, w], 3)], 0) / sum(own.values()) + sum(d2[min(k, 3)] for k in own.values()) / sum(own.values()) * p1(w)
+            return low
+        total = sum(own.values())
+        return max(own.get(w, 0) - d[m][min(own.get(w, 0), 3)], 0) / total + sum(d[m][min(c, 3)] for c in own.values()) / total * low
 
-    for i, t in ((0, ["a", "b", "zz", "</s>"]), (1, ["</s>"])):
+    for i, t in enumerate(hard):
+        t = [*(t or "").split(), "</s>"]
         assert got[i].n_tokens == len(t) and got[i].train_tokens == n and got[i].n_known == sum(uni[w] > 0 for w in t)
         assert abs(got[i].base_score - sum(np.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) < 1e-9
-        assert abs(got[i].score - sum(np.log10(p2(u, w)) for u, w in zip(["<s>", *t[:-1]], t, strict=True))) < 1e-9
-    assert abs(sum(p2("a", w) for w in uni) + p2("a", "zz") - 1) < 1e-9
+        assert abs(got[i].score - sum(np.log10(p(g[:-1], g[-1])) for g in grams(t, order))) < 1e-9
+    context = ("a", "b", "x")[: order - 1]
+    assert abs(sum(p(context, w) for w in uni) + p(context, "zz") - 1) < 1e-9
+
+
+def test_kneser_ney_counts_beyond_bytes():
+    """Counts of 255 and more, and contexts of many words."""
+    assert (kneser_ney.restored(kneser_ney.squeezed(np.asarray([1 << 40, 3, (1 << 64) - 1], np.uint64))) == np.asarray([1 << 40, 3, (1 << 64) - 1], np.uint64)).all()
+    x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
+    assert (kneser_ney.restored(kneser_ney.squeezed(x, True), True) == x).all()
 
 
 def test_language_id(spark):
@@ -203,11 +217,12 @@ def test_language_id_of_four_languages_and_of_none(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id > 100) == [104]
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("most_broadcast", [500_000, 0])
+def test_decontamination(spark, most_broadcast):
     words = [f"b{i}" for i in range(14)]
     bench = spark.createDataFrame([(1, " ".join(words)), (10, " ".join(words[2:13])), (3, "Short Item"), (4, None), (5, "...")], "item_id long, text string")
     rows = [(1, "x " + " ".join(words).upper() + ", y", "en"), (2, " ".join(words[:9]), "en"), (3, "a short-item here short item", "en"), (4, None, "en"), (5, "É", "en"), (1, "x " + " ".join(words).upper() + ", y", "en")]
-    got = decontamination.contamination(documents(spark, rows), bench).collect()
+    got = decontamination.contamination(documents(spark, rows), bench, most_broadcast=most_broadcast).collect()
     by = {(r.doc_id, r.n_words): (r.n_hit, r.n_items, r.contaminated) for r in got}
     assert len(got) == 6 and by == {(1, 16): (14, 2, True), (2, 9): (0, 0, False), (3, 6): (4, 1, True), (4, 0): (0, 0, False), (5, 1): (0, 0, False)}
     assert sorted(r.doc_id for r in decontamination.decontaminate(documents(spark, rows), bench).collect()) == [2, 4, 5]
