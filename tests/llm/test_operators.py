@@ -52,10 +52,23 @@ def groups(ids, linked):
     return {i: find(i) for i in ids}
 
 
+PLANS = [{}, {"full_list": 100, "most_frequent": 0}, {"full_list": 1, "most_broadcast": 0}]
+
+
+@pytest.mark.parametrize("plan", PLANS)
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_jaccard(spark, n, percent):
+def test_jaccard(spark, n, percent, plan):
+    """Both sides of each choice between plans; chains of near copies, whose ends don't link, make lists with several components."""
+    rng = np.random.default_rng(n)
     rows = many(40)
-    got = jaccard.similar(documents(spark, rows), n, percent).collect()
+    for f in range(6):  # families that share a passage with the others
+        words = BASE[:60] + [f"own{f}x{i}" for i in range(200)]
+        for step in range(12):
+            for i in rng.integers(0, len(words), 4):
+                words[i] = f"f{f}s{step}i{i}"
+            rows.append((2000 + 100 * f + step, " ".join(words), "en"))
+    rows += [(5000 + i, "x", "en") for i in range(60)] + [(6000, "very " * 50_000, "en"), (6001, "very " * 50_001, "en")]
+    got = jaccard.similar(documents(spark, rows), n, percent, **plan).collect()
     assert len(got) == len(rows)
     sets = {i: shingles(t, n) for i, t, _ in rows if i is not None}
     ids = sorted(sets)
@@ -65,6 +78,12 @@ def test_jaccard(spark, n, percent):
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_jaccard_splits_lists(spark, monkeypatch):
+    """Lists of many parts give the same groups."""
+    monkeypatch.setattr(jaccard, "ENTRIES", 3)
+    test_jaccard(spark, 3, 90, {"full_list": 2})
+
+
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(1)
     for size in (10, 900, 1020, 3000):
