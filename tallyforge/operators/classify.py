@@ -1,4 +1,4 @@
-"""Keyword rules that sort transactions into categories, as one column expression."""
+"""Keyword rules that sort invoices, lines and transactions into categories, as one column expression."""
 
 from __future__ import annotations
 
@@ -12,43 +12,90 @@ from tallyforge.functions import scalars as S
 
 @dataclass(frozen=True)
 class Rule:
+    """targets: kinds of rows that it is for, all if empty; direction: what a row's has to be, any if None."""
+
+    id: str
     code: str
-    direction: str
+    type: str
     keywords: tuple[str, ...]
-    base: int = 70
-    each: int = 10
-    confidence: str = "high"
+    base: int
+    each: int
+    confidence: str
+    targets: tuple[str, ...] = ()
+    direction: str | None = None
 
 
+BROAD = ("invoice", "invoice_line_item", "transaction")
+#: The default rules (fixed values).
 RULES = [
-    Rule("software_hosting", "outflow", ("hosting", "cloud", "saas")),
-    Rule("rent", "outflow", ("rent", "lease")),
-    Rule("payroll", "outflow", ("payroll", "salary")),
-    Rule("bank_fees", "outflow", ("bank fee", "fee"), 60, 10, "medium"),
-    Rule("marketing", "outflow", ("google ads", "ads", "marketing")),
-    Rule("sales", "inflow", ("payment", "invoice"), 60, 10, "medium"),
+    Rule("revenue_professional_services", "professional_services", "revenue", ("consulting", "advisory", "retainer", "professional service"), 8, 14, "high", BROAD),
+    Rule("revenue_sales_invoice_payment", "sales_revenue", "revenue", ("invoice", "inv-", "ach credit", "wire credit", "payment received"), 6, 12, "medium", ("transaction",), "inflow"),
+    Rule("expense_software_subscription", "software_subscription", "expense", ("cloud hosting", "hosting", "software", "saas", "subscription", "aws", "vercel", "openai", "github"), 8, 14, "high", BROAD),
+    Rule("expense_advertising", "advertising_expense", "expense", ("google ads", "meta ads", "facebook ads", "advertising", "marketing", "campaign"), 8, 14, "high"),
+    Rule("expense_rent", "rent_expense", "expense", ("office rent", "rent", "lease", "coworking"), 6, 12, "medium"),
+    Rule("expense_utilities", "utilities_expense", "expense", ("electricity", "water", "utility", "utilities", "internet"), 6, 12, "medium"),
+    Rule("expense_bank_fees", "bank_fees", "expense", ("bank fee", "service charge", "monthly fee", "wire fee"), 6, 12, "medium"),
+    Rule("expense_payroll", "payroll_expense", "expense", ("payroll", "salary", "wages", "contractor payroll"), 6, 12, "medium"),
 ]
+#: Direction that agrees with a type of category.
+AGREES = {"revenue": "inflow", "expense": "outflow"}
+
+
+def haystack(*parts: Column) -> Column:
+    """Text, counterparty, reference and currency as one lower-case text; empty ones are left out."""
+    return F.lower(F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts)))
+
 
+def classified(rows: DataFrame, text: Column, direction: Column, amount: Column, target: str = "transaction", rules: list[Rule] = RULES) -> DataFrame:
+    """Adds category, category_type, rule_id, rule_score, n_keywords, confidence: the best rule by (score, confidence, keywords), the earlier on ties.
 
-def classified(rows: DataFrame, text: Column, direction: Column, amount: Column, rules: list[Rule] = RULES) -> DataFrame:
-    """Adds category, rule_score, confidence: the best rule by (score, confidence, keywords), the earlier on ties; without one the fallback."""
+    Without a rule the fallback has score 0 and low confidence. A keyword's pattern is only tried where its first word stands at all.
+    """
+    rows = rows.withColumn("text_", F.lower(text))
     tried = []
     for i, r in enumerate(rules):
-        n = sum((S.keyword(text, k).cast("int") for k in r.keywords), F.lit(0))
-        score = F.lit(r.base) + n * r.each + F.when(direction == r.direction, 5).otherwise(0)
-        tried.append(F.when(n > 0, F.struct(F.least(F.lit(100), score).alias("score"), F.lit(S.CONFIDENCE_RANK[r.confidence]).alias("rank"), n.alias("n"), F.lit(-i).alias("order"), F.lit(r.code).alias("code"), F.lit(r.confidence).alias("confidence"))))
-    best = F.array_max(F.array(*tried))
-    out = rows.withColumn("best", best)
+        if r.targets and target not in r.targets:
+            continue
+        n = sum((F.when(F.col("text_").contains(k.split()[0]), S.keyword(F.col("text_"), k)).otherwise(False).cast("int") for k in r.keywords), F.lit(0))
+        found = F.struct(
+            (r.base + n * r.each + F.when(direction == AGREES.get(r.type), 5).otherwise(0)).alias("score"), F.lit(S.CONFIDENCE_RANK[r.confidence]).alias("rank"), n.alias("n"), F.lit(-i).alias("order"),
+            F.lit(r.code).alias("code"), F.lit(r.type).alias("type"), F.lit(r.id).alias("id"), F.lit(r.confidence).alias("confidence"),
+        )
+        tried.append(F.when((n > 0) & (F.coalesce(direction == r.direction, F.lit(False)) if r.direction else F.lit(True)), found))
+    out = rows.withColumn("best_", F.array_max(F.array(*tried)))
     return out.withColumns({
-        "category": F.coalesce("best.code", S.fallback_category(direction, amount)), "rule_score": F.coalesce("best.score", F.lit(0)), "confidence": F.coalesce("best.confidence", F.lit("low")),
-    }).drop("best")
+        "category": F.coalesce("best_.code", S.fallback_category(direction, amount)), "category_type": F.coalesce("best_.type", S.fallback_type(direction, amount)), "rule_id": F.col("best_.id"),
+        "rule_score": F.coalesce("best_.score", F.lit(0)), "n_keywords": F.coalesce("best_.n", F.lit(0)), "confidence": F.coalesce("best_.confidence", F.lit("low")),
+    }).drop("best_", "text_")
 
 
-#: Codes that a stored label may have.
-TAXONOMY = ["sales", "software_hosting", "rent", "payroll", "bank_fees", "marketing", "travel", "utilities", "taxes", "supplies", "professional_services"]
+#: Codes that a stored label may have, with type (fixed values).
+TAXONOMY = {
+    "sales_revenue": "revenue", "professional_services": "revenue", "software_subscription": "expense", "repairs_and_maintenance": "expense", "meals_and_entertainment": "expense", "office_supplies": "expense",
+    "rent_expense": "expense", "utilities_expense": "expense", "uncategorized_revenue": "revenue", "uncategorized_expense": "expense", "uncategorized_other": "other",
+}
 
 
 def with_stored_labels(rows: DataFrame) -> DataFrame:
-    """rows(category, confidence, label): the label replaces a category of low or unknown confidence if the taxonomy has it."""
-    use = F.col("confidence").isin("low", "unknown") & F.col("label").isin(TAXONOMY)
-    return rows.withColumn("category", F.when(use, F.col("label")).otherwise(F.col("category")))
+    """rows(category, category_type, confidence, label, label_confidence): the label replaces a category of low or unknown confidence, with its
+    type and confidence, if the taxonomy has it."""
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in TAXONOMY.items() for x in kv)), F.col("label"))
+    use = F.col("confidence").isin("low", "unknown") & kind.isNotNull()
+    return rows.withColumns({
+        "category": F.when(use, F.col("label")).otherwise(F.col("category")), "category_type": F.when(use, kind).otherwise(F.col("category_type")),
+        "confidence": F.when(use, S.label_confidence(F.col("label_confidence"))).otherwise(F.col("confidence")),
+    })
+
+
+def oracle(target: str = "transaction", text: str = "concat_ws(' ', description, counterparty, reference, currency)") -> str:
+    """The same best rule as SQL: a struct score, rank, n, ord, code, type, id, confidence of a row with direction, or null."""
+    tried = []
+    for i, r in enumerate(RULES):
+        if r.targets and target not in r.targets:
+            continue
+        edge = lambda k: ("(^|[^a-z0-9_])" if k[0].isalnum() else "") + k.replace(" ", "\\s+") + ("($|[^a-z0-9_])" if k[-1].isalnum() else "")
+        n = " + ".join(f"regexp_matches(lower({text}), '{edge(k)}')::INT" for k in r.keywords)
+        fits = f"({n}) > 0" + (f" AND coalesce(direction = '{r.direction}', false)" if r.direction else "")
+        score = f"{r.base} + ({n}) * {r.each} + CASE WHEN direction = '{AGREES[r.type]}' THEN 5 ELSE 0 END"
+        tried.append(f"CASE WHEN {fits} THEN {{'score': {score}, 'rank': {S.CONFIDENCE_RANK[r.confidence]}, 'n': {n}, 'ord': {-i}, 'code': '{r.code}', 'type': '{r.type}', 'id': '{r.id}', 'confidence': '{r.confidence}'}} END")
+    return f"list_reverse_sort(list_filter([{', '.join(tried)}], lambda x: x IS NOT NULL))[1]"

@@ -49,12 +49,7 @@ def place(rows: Column, pattern: str) -> Column:
     return F.coalesce(F.array_min(hits), F.size(rows))
 
 
-def day(text: Column, day_first: Column | bool = True) -> Column:
-    """Year first; else day or month first by the hint, the other order where that is no date."""
-    t = F.regexp_replace(text, "[/.]", "-")
-    d, m = F.try_to_date(t, "d-M-yyyy"), F.try_to_date(t, "M-d-yyyy")
-    hint = day_first if isinstance(day_first, Column) else F.lit(day_first)
-    return F.when(t.rlike(r"^\d{4}-"), F.try_to_date(t, "yyyy-M-d")).otherwise(F.when(hint, F.coalesce(d, m)).otherwise(F.coalesce(m, d)))
+day = S.day
 
 
 def header(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def proposals(s, d):
     return reconcile.proposals(reconcile.best(R.found(s, d)))
 
 
-@scored("jn_05", "SELECT invoice_id, transaction_id, score FROM kept WHERE (invoice_id, transaction_id) NOT IN (SELECT (invoice_id, transaction_id) FROM ranked WHERE rn = 1)")
+@scored("jn_05", "SELECT invoice_id, transaction_id, score FROM kept EXCEPT ALL SELECT invoice_id, transaction_id, score FROM ranked WHERE rn = 1")
 def jn_05(s, d):
     """Candidates but for the pairs that a proposal has allocated."""
     return R.found(s, d).join(proposals(s, d).select("invoice_id", "transaction_id"), ["invoice_id", "transaction_id"], "left_anti").select("invoice_id", "transaction_id", "score")
@@ -90,17 +90,6 @@ def ev_04(s, d):
     return j.groupBy("tenant_id").agg(F.count("*").alias("n"), F.count("transaction_id").alias("n_found"), F.count_if(c("transaction_id") == F.concat(F.lit("T"), c("invoice_id").cast("string"))).alias("n_right"))
 
 
-QUALITY = f"""SELECT label, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM (
- SELECT label, count(*) FILTER (e = label AND a = label) AS tp, count(*) FILTER (e <> label AND a = label) AS fp, count(*) FILTER (e = label AND a <> label) AS fn
- FROM (SELECT e, CASE WHEN abs(amount) < 1000 THEN 'rent' ELSE e END AS a, unnest(list_distinct([e, CASE WHEN abs(amount) < 1000 THEN 'rent' ELSE e END])) AS label FROM (SELECT amount, {R.CATEGORY} AS e FROM transactions)) GROUP BY label)"""
-
-
-@query("ev_12", QUALITY)
-def ev_12(s, d):
-    rows = R.labelled(s, d).select(c("category").alias("e"), F.when(F.abs("amount") < 1000, "rent").otherwise(c("category")).alias("a"))
-    return scoring.class_quality(rows, "e", "a")
-
-
 @query("vl_07", "SELECT account_id, posted_at, amount, count(*) AS n, min(transaction_id) AS first_entity, max(transaction_id) AS last_entity FROM transactions GROUP BY 1, 2, 3 HAVING count(*) > 1")
 def vl_07(s, d):
     return validate.duplicates(tx(s, d), ["account_id", "posted_at", "amount"], "transaction_id")
@@ -123,11 +112,6 @@ def bd_15(s, d):
     return i.select("invoice_id").join(n, "invoice_id", "left").select("invoice_id", F.when(c("errors") > 0, "correction_required").when(c("warnings") > 0, "review_required").otherwise("passed").alias("outcome"))
 
 
-@query("ag_04", "SELECT tenant_id, currency, sum(balance) AS cash FROM (SELECT tenant_id, account_id, coalesce(currency, 'UNK') AS currency, sum(amount) AS balance FROM transactions GROUP BY ALL) GROUP BY 1, 2")
-def ag_04(s, d):
-    """The latest running balance of an account is the sum of its amounts: no window is needed."""
-    t = tx(s, d).withColumn("currency", F.coalesce("currency", F.lit("UNK")))
-    return t.groupBy("tenant_id", "currency").agg(F.sum("amount").alias("cash"))
 
 
 @query("ag_12", "SELECT tenant_id, month, net, round(net::DOUBLE / nullif(max(abs(net)) OVER (PARTITION BY tenant_id), 0)::DOUBLE, 6) AS share FROM (SELECT tenant_id, date_trunc('month', posted_at)::DATE AS month, sum(amount) AS net FROM transactions GROUP BY 1, 2)")
@@ -137,9 +121,6 @@ def ag_12(s, d):
     return g.withColumn("share", F.round(c("net").cast("double") / F.nullif(top, F.lit(0).cast("decimal(28,2)")).cast("double"), 6))
 
 
-@query("wn_02", "SELECT account_id, month, net FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY month DESC) AS rn FROM (SELECT account_id, date_trunc('month', posted_at)::DATE AS month, sum(amount) AS net FROM transactions GROUP BY 1, 2)) WHERE rn = 1")
-def wn_02(s, d):
-    return insights.latest(R.monthly(s, d).groupBy("account_id", "month").agg(F.sum("amount").alias("net")), ["account_id"], F.desc("month"))
 
 
 @query("so_03", "SELECT invoice_id, list_aggregate(list_sort(list_distinct(list(part_id))), 'string_agg', ',') AS refs FROM lines GROUP BY 1")
@@ -148,11 +129,6 @@ def so_03(s, d):
     return lines(s, d).groupBy("invoice_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("part_id")), lambda x: x.cast("string")), ",").alias("refs"))
 
 
-@query("bd_14", "SELECT tenant_id, count(*) AS n, count(*) FILTER (net < 0) AS n_high FROM (SELECT tenant_id, account_id, sum(amount) AS net FROM transactions GROUP BY 1, 2) GROUP BY 1")
-def bd_14(s, d):
-    """Cash-flow insights of a tenant's accounts, and how many are grave."""
-    rows = insights.insights(insights.cash_flow(tx(s, d), "tenant_id", "account_id").withColumn("largest_amount", F.lit(0)), "tenant_id", "account_id").where("type = 'cashflow'")
-    return rows.groupBy("tenant_id").agg(F.count("*").alias("n"), F.count_if(c("severity") == "high").alias("n_high"))
 
 
 query("tk_05", "SELECT transaction_id, posted_at FROM transactions WHERE status = 'pending' ORDER BY posted_at, transaction_id LIMIT 100")(lambda s, d: tx(s, d).where("status = 'pending'").orderBy("posted_at", "transaction_id").limit(100).select("transaction_id", "posted_at"))

@@ -34,12 +34,6 @@ def jn_03(s, d):
 CODES = ["software_hosting", "rent", "payroll", "bank_fees", "sales", "marketing"]
 
 
-@query("jn_08", f"SELECT transaction_id, CASE WHEN category <> 'marketing' OR tenant_id % 2 = 1 THEN tenant_id || ':' || category END AS category_id FROM (SELECT transaction_id, tenant_id, {R.CATEGORY} AS category FROM transactions)")
-def jn_08(s, d):
-    """Category rows by tenant and slug (even tenants have no marketing); the side grows with tenants, so no broadcast is forced."""
-    slugs = V.tenants(s, d).select("tenant_id", F.explode(F.array(*map(F.lit, CODES))).alias("category")).where("category <> 'marketing' OR tenant_id % 2 = 1")
-    known = slugs.withColumn("category_id", F.concat_ws(":", c("tenant_id").cast("string"), "category"))
-    return R.labelled(s, d).select("transaction_id", "tenant_id", "category").join(known, ["tenant_id", "category"], "left").select("transaction_id", "category_id")
 
 
 @query("jn_10", "SELECT DISTINCT doc_id, event_id FROM documents JOIN steps ON user_id = doc_id OR event_id = doc_id OR event_id = doc_id * 3 WHERE agent <> 'view'")
@@ -85,24 +79,8 @@ def jn_16(s, d):
     return tx(s, d).where("direction = 'outflow'").select("transaction_id").join(hit, "transaction_id", "left").select("transaction_id", c("hit").isNull().alias("passed"))
 
 
-@query("bd_03", f"SELECT transaction_id, CASE WHEN abs(amount) < 50000 AND k % 3 <> 1 THEN CASE k % 3 WHEN 0 THEN 'travel' ELSE 'utilities' END ELSE category END AS category FROM (SELECT transaction_id, amount, substr(transaction_id, 2)::BIGINT AS k, {R.CATEGORY} AS category FROM transactions)")
-def bd_03(s, d):
-    """Stored labels count where the rules are unsure (small amounts here) and the code is in the taxonomy."""
-    k = F.substr("transaction_id", F.lit(2)).cast("bigint")
-    rows = R.labelled(s, d).withColumn("confidence", F.when(F.abs("amount") < 50000, "low").otherwise(c("confidence")))
-    stored = tx(s, d).select("transaction_id", F.when(k % 3 == 0, "travel").when(k % 3 == 1, "no_such_code").otherwise("utilities").alias("label"))
-    return classify.with_stored_labels(rows.join(stored, "transaction_id", "left")).select("transaction_id", "category")
-
-
-@query("bd_09", """SELECT invoice_id, kind, status FROM (SELECT invoice_id, 'classification' AS kind, CASE WHEN invoice_id % 2 = 0 THEN 'proposed' ELSE 'pending_review' END AS status FROM invoices WHERE status = 'approved'
- UNION ALL SELECT invoice_id, 'reconciliation', 'pending_review' FROM invoices WHERE status = 'approved')""")
-def bd_09(s, d):
-    """What an approved invoice sets off: a label by the rules, and a reconciliation to be filled."""
-    done = inv(s, d).where("status = 'approved'")
-    text = F.concat_ws(" ", F.when(c("invoice_id") % 2 == 0, "payment of"), "customer")
-    named = classify.classified(done, text, F.lit("inflow"), c("total"))
-    state = F.when(c("confidence").isin("low", "unknown"), "pending_review").otherwise("proposed")
-    return named.select("invoice_id", F.lit("classification").alias("kind"), state.alias("status")).unionByName(done.select("invoice_id", F.lit("reconciliation").alias("kind"), F.lit("pending_review").alias("status")))
+
+
 
 
 KINDS, ACTIONS = list(review.TASK_TYPES), sorted({a for _, xs in review.TASK_TYPES.values() for a in xs})

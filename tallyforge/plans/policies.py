@@ -60,22 +60,8 @@ def bd_07(s, d):
     return rows.select("invoice_id", F.array_join(F.concat(F.coalesce("codes", none), F.array_compact(F.array(F.nullif("decision", F.lit("ready"))))), ",").alias("reasons"))
 
 
-@query("ev_03", f"SELECT n.check_name, count(*) AS n, count(*) FILTER (n.check_name <> 'category' OR e = a) AS n_passed FROM (SELECT e, CASE WHEN abs(amount) < 1000 THEN 'rent' ELSE e END AS a FROM (SELECT amount, {R.CATEGORY} AS e FROM transactions)), (VALUES ('present'), ('category'), ('direction')) n(check_name) GROUP BY 1")
-def ev_03(s, d):
-    """Labels against the rules; small amounts are labelled wrongly here."""
-    rows = R.labelled(s, d).select("transaction_id", "tenant_id", "category", "direction", "amount")
-    actual = rows.withColumn("category", F.when(F.abs("amount") < 1000, "rent").otherwise(c("category")))
-    found = scoring.checks(rows, actual, ["transaction_id"], "tenant_id", "classification", {"category": scoring.text, "direction": scoring.text})
-    return found.groupBy("check_name").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
-
-
-@query("ev_05", "SELECT account_id, account_id % 10 <> 0 AS grounded FROM transactions WHERE amount > 0 GROUP BY 1")
-def ev_05(s, d):
-    """An insight is grounded if what it cites is a row of its account (every tenth account cites none here)."""
-    t = tx(s, d)
-    cited = insights.cash_flow(t, "account_id").where("largest_in IS NOT NULL").select("account_id", F.when(c("account_id") % 10 == 0, "none").otherwise(c("largest_in")).alias("transaction_id"))
-    known = t.select("account_id", "transaction_id", F.lit(True).alias("known"))
-    return cited.join(known, ["account_id", "transaction_id"], "left").select("account_id", F.coalesce("known", F.lit(False)).alias("grounded"))
+
+
 
 
 @query("ev_06", "SELECT tenant_id, count(*) FILTER (status = 'pending_review' AND invoice_id % 10 = 0) AS missing, count(*) FILTER (status = 'extracted' AND invoice_id % 10 = 0) AS unexpected FROM invoices WHERE status = 'pending_review' OR (status = 'extracted' AND invoice_id % 10 = 0) GROUP BY 1")

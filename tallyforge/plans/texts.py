@@ -24,13 +24,11 @@ def choose(key: str, *columns):
 
 
 # scalar rules
-projection("scl_21", lines, "SELECT invoice_id, line_number, part_id, net, quantity AS n FROM lines", lambda: [k, "line_number", "part_id", S.money_token(F.when(c("part_id") % 2 == 0, (c("net") * 100).cast("bigint").cast("string")).otherwise(F.format_number("net", 2))).alias("net"), S.quantity_token(F.lit("1"), F.lit("7.25").cast("decimal(18,2)"), (c("quantity") * F.lit("7.25").cast("decimal(18,2)")).cast("decimal(18,2)")).alias("n")])
 projection("scl_22", tx, "SELECT transaction_id, CASE direction WHEN 'inflow' THEN amount ELSE trunc(amount) END::DECIMAL(18,2) AS amount FROM transactions", lambda: ["transaction_id", S.scored_amount(F.when(c("direction") == "inflow", F.translate(F.format_number("amount", 2), ",.", ".,")).otherwise(F.concat(F.regexp_extract(c("amount").cast("string"), r"^(-?\d+)", 1), F.lit(",00 EUR")))).alias("amount")])
 projection("scl_23", inv, "SELECT invoice_id, regexp_replace(lower(customer), '[^a-z0-9]+', ' ', 'g') || ' fi 2' AS folded FROM invoices", lambda: [k, S.scored_text(F.concat("customer", F.lit(" - ﬁ ²"))).alias("folded")])
 projection("scl_25", inv, "SELECT invoice_id, issue_date AS parsed FROM invoices", lambda: [k, S.scored_date(choose(k, *(F.date_format("issue_date", f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy")), F.concat_ws(" ", F.date_format("issue_date", "d"), F.get(F.array(*map(F.lit, S.MONTHS)), F.month("issue_date") - 1), F.date_format("issue_date", "yyyy")))).alias("parsed")])
 projection("scl_26", inv, "SELECT invoice_id, number FROM invoices", lambda: [k, S.canonical_number(F.concat(choose(k, *map(F.lit, ("Fatura ", "fatura recibo ", "", "FT "))), "number")).alias("number")])
 projection("scl_31", inv, "SELECT invoice_id, CASE WHEN invoice_id % 2 = 0 THEN 5.00::DECIMAL(18,2) END AS tax, invoice_id % 4 <> 3 AS consistent FROM invoices", lambda: [k, S.inferred_tax(c("total") + choose(k, F.lit(-5), F.lit(5)), c("total")).alias("tax"), S.consistent(c("total"), choose(k, *(F.lit(x).cast("decimal(4,2)") for x in ("0.01", "0.02", "0.00", "0.03"))), c("total")).alias("consistent")])
-projection("scl_34", docs, "SELECT doc_id, 'mail [EMAIL], card [NUMBER], id [SSN]' AS redacted, 3 AS n FROM documents", lambda: (lambda r: ["doc_id", r[0].alias("redacted"), r[1].alias("n")])(S.redacted(F.concat(F.lit("mail a"), c("doc_id").cast("string"), F.lit("@x.org, card 4111 1111 1111 1111, id 123-45-6789")))))
 projection("scl_37", steps, "SELECT event_id, greatest(0, ((epoch_us(date_trunc('hour', ts)) + 1800000000 - epoch_us(ts)) + 5) // 10)::DECIMAL(20,0) / 100 AS ms FROM steps", lambda: ["event_id", S.duration_ms(c("ts"), F.date_trunc("hour", "ts") + F.expr("interval 30 minutes")).alias("ms")])
 projection("scl_39", V.table_of("events"), "SELECT event_id, printf('%d.00', (props->>'$.k')::INT) AS n FROM events", lambda: ["event_id", F.coalesce(*(F.get_json_object("props", f"$.{a}") for a in ("count", "n", "k"))).try_cast("decimal(18,2)").cast("string").alias("n")])
 projection("scl_41", lines, "SELECT invoice_id, line_number, part_id, 'spark plugs per hour ' || part_id AS description FROM lines", lambda: [k, "line_number", "part_id", S.line_description(F.concat(F.lit(" SparkPiugs perhour "), c("part_id").cast("string"))).alias("description")])

@@ -47,25 +47,36 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import of a bank statement per customer: its account, period, balances, currency and status."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (k % 365).cast("int"))
+    return c.join(tenants(spark, sf_dir), F.col("c_nationkey") == F.col("tenant_id")).select(
+        "tenant_id", k.alias("import_id"), k.alias("account_id"), F.col("tenant_name").alias("bank_name"), F.lpad(k.cast("string"), 10, "0").alias("account_number"), start.alias("period_start"),
+        F.when(k % 50 == 0, F.date_sub(start, 1)).otherwise(F.date_add(start, 1000)).alias("period_end"), money(F.col("c_acctbal")).alias("opening_balance"),
+        F.when(k % 4 != 0, money(F.col("c_acctbal")) + (k % 100).cast("decimal(18,2)")).cast("decimal(18,2)").alias("closing_balance"), F.when(k % 23 != 0, F.col("currency")).alias("currency"),
+        F.when(k % 10 == 9, "failed").otherwise("parsed").alias("status"),
+    )
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An inflow per invoice, its amount, day and reference off by rules on the key, and an outflow per odd invoice."""
-    i = invoices(spark, sf_dir)
+    """An inflow per invoice, its amount, day and reference off by rules on the key, and an outflow per odd invoice; one pass over the invoices."""
     k = F.col("invoice_id")
+    sides = F.when(k % 2 == 1, F.array(F.lit("inflow"), F.lit("outflow"))).otherwise(F.array(F.lit("inflow")))
+    i = invoices(spark, sf_dir).withColumn("direction", F.explode(sides))
+    into = F.col("direction") == "inflow"
     factor = F.element_at(F.array(*(F.lit(x).cast("decimal(4,3)") for x in ("1.000", "1.005", "1.030", "1.120"))), (k % 4 + 1).cast("int"))
-    amount = (F.col("total") * factor).cast("decimal(18,2)")
-    reference = F.when(k % 3 == 0, F.col("number")).when(k % 3 == 1, F.replace(F.col("number"), F.lit("-"), F.lit("")))
-    paid = F.date_add("issue_date", (k % 40).cast("int"))
-    inflow = i.select(
-        "tenant_id", F.concat(F.lit("T"), k.cast("string")).alias("transaction_id"), F.col("customer_id").alias("account_id"), F.lit("inflow").alias("direction"), F.when(k % 10 == 9, "pending").otherwise("posted").alias("status"),
-        paid.alias("posted_at"), F.concat_ws(" ", F.lit("PAYMENT"), reference, F.col("customer")).alias("description"), reference.alias("reference"), F.when(k % 17 == 0, F.lit(None)).otherwise(F.col("currency")).alias("currency"), amount.alias("amount"),
-    )
+    amount = F.when(into, (F.col("total") * factor).cast("decimal(18,2)")).otherwise((-F.col("total") / 2).cast("decimal(18,2)"))
+    reference = F.when(into & (k % 3 == 0), F.col("number")).when(into & (k % 3 == 1), F.replace(F.col("number"), F.lit("-"), F.lit("")))
     kind = F.element_at(F.array(*map(F.lit, ("CLOUD HOSTING", "OFFICE RENT", "PAYROLL RUN", "BANK FEE", "GOOGLE ADS", "MISC"))), (k % 6 + 1).cast("int"))
-    outflow = i.where(k % 2 == 1).select(
-        "tenant_id", F.concat(F.lit("U"), k.cast("string")).alias("transaction_id"), F.col("customer_id").alias("account_id"), F.lit("outflow").alias("direction"), F.lit("posted").alias("status"),
-        F.date_add("issue_date", 15).alias("posted_at"), F.concat(F.lit("ACH PAYMENT "), kind, F.lit(" #"), F.col("number")).alias("description"), F.lit(None).cast("string").alias("reference"), "currency",
-        (-F.col("total") / 2).cast("decimal(18,2)").alias("amount"),
+    posted = F.when(into, F.date_add("issue_date", (k % 40).cast("int"))).otherwise(F.date_add("issue_date", 15))
+    text = F.when(into, F.concat_ws(" ", F.lit("PAYMENT"), reference, F.col("customer"))).otherwise(F.concat(F.lit("ACH PAYMENT "), kind, F.lit(" #"), F.col("number")))
+    return i.select(
+        "tenant_id", F.concat(F.when(into, "T").otherwise("U"), k.cast("string")).alias("transaction_id"), F.col("customer_id").alias("account_id"), "direction",
+        F.when(into & (k % 10 == 9), "pending").otherwise("posted").alias("status"), posted.alias("posted_at"), text.alias("description"), reference.alias("reference"),
+        F.when(into & (k % 17 == 0), F.lit(None)).otherwise(F.col("currency")).alias("currency"), amount.alias("amount"), F.date_add(posted, 1).alias("value_at"),
+        F.when(into, F.col("customer")).otherwise(kind).alias("counterparty"), F.when(k % 5 != 0, amount + 1000).cast("decimal(18,2)").alias("running_balance"), (k % 97).cast("int").alias("row_index"),
     )
-    return inflow.unionByName(outflow)
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +116,16 @@ lines AS (SELECT l_orderkey AS invoice_id, l_linenumber AS line_number, l_partke
 inflows AS (SELECT tenant_id, 'T' || invoice_id AS transaction_id, customer_id AS account_id, 'inflow' AS direction, CASE WHEN invoice_id % 10 = 9 THEN 'pending' ELSE 'posted' END AS status,
   issue_date + (invoice_id % 40)::INT AS posted_at, CASE invoice_id % 3 WHEN 0 THEN number WHEN 1 THEN replace(number, '-', '') END AS reference, customer,
   CASE WHEN invoice_id % 17 = 0 THEN NULL ELSE currency END AS currency, (total * [1.000, 1.005, 1.030, 1.120][invoice_id % 4 + 1]::DECIMAL(4,3))::DECIMAL(18,2) AS amount FROM invoices),
-transactions AS (SELECT tenant_id, transaction_id, account_id, direction, status, posted_at, concat_ws(' ', 'PAYMENT', reference, customer) AS description, reference, currency, amount FROM inflows
+transactions AS (SELECT *, posted_at + 1 AS value_at, CASE WHEN direction = 'inflow' THEN party ELSE split_part(substr(description, 13), ' #', 1) END AS counterparty,
+  CASE WHEN k % 5 <> 0 THEN (amount + 1000)::DECIMAL(18,2) END AS running_balance, (k % 97)::INT AS row_index FROM (
+  SELECT tenant_id, transaction_id, account_id, direction, status, posted_at, concat_ws(' ', 'PAYMENT', reference, customer) AS description, reference, currency, amount, customer AS party, substr(transaction_id, 2)::BIGINT AS k FROM inflows
   UNION ALL SELECT tenant_id, 'U' || invoice_id, customer_id, 'outflow', 'posted', issue_date + 15,
   'ACH PAYMENT ' || ['CLOUD HOSTING','OFFICE RENT','PAYROLL RUN','BANK FEE','GOOGLE ADS','MISC'][invoice_id % 6 + 1] || ' #' || number, NULL, currency,
-  (-(total::DECIMAL(30,3) * 0.5))::DECIMAL(18,2) FROM invoices WHERE invoice_id % 2 = 1),
+  (-(total::DECIMAL(30,3) * 0.5))::DECIMAL(18,2), NULL, invoice_id FROM invoices WHERE invoice_id % 2 = 1)),
+statements AS (SELECT tenant_id, c_custkey AS import_id, c_custkey AS account_id, tenant_name AS bank_name, lpad(c_custkey::VARCHAR, 10, '0') AS account_number, DATE '1995-01-01' + (c_custkey % 365)::INT AS period_start,
+  DATE '1995-01-01' + (c_custkey % 365)::INT + CASE WHEN c_custkey % 50 = 0 THEN -1 ELSE 1000 END AS period_end, c_acctbal::DECIMAL(18,2) AS opening_balance,
+  CASE WHEN c_custkey % 4 <> 0 THEN (c_acctbal::DECIMAL(18,2) + c_custkey % 100)::DECIMAL(18,2) END AS closing_balance, CASE WHEN c_custkey % 23 <> 0 THEN currency END AS currency,
+  CASE WHEN c_custkey % 10 = 9 THEN 'failed' ELSE 'parsed' END AS status FROM customer JOIN tenants ON c_nationkey = tenant_id),
 steps AS (SELECT event_id, ts, user_id % 25 AS tenant_id, user_id, event_type AS agent, event_type = 'error' AS failed, value AS ms, (props->>'$.k')::INT AS attempt FROM events)
 """
 
