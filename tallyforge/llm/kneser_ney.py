@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, kept as sorted hash arrays that workers map.
 
-1. Words: each task counts the hashes of its training words; groups by hash range sum them. A word's
-   number is its rank among all hashes.
+1. Words: each task counts the hashes of its training words; groups by hash range sum them. Words are
+   numbered by their counts within a range, range after range, so that frequent ones have small numbers.
 2. n-grams of the highest order: each task maps its words to numbers, counts n-grams and deals them by
    the hash of the context, all words but the last; a group has all n-grams of its contexts and writes
    their sorted keys and counts. For the next lower order it deals out how many words stand before
@@ -33,8 +33,8 @@ from . import hashing
 from .common import mounted, remainder_of_id, shared_path, table
 
 U = np.uint64
-START = (1 << 64) - 1  # stands before a text's first word
-UNKNOWN = (1 << 64) - 2
+START = 0  # stands before a text's first word
+UNKNOWN = (1 << 64) - 1
 #: Tokens that are counted together before they are dealt out.
 HELD = 1 << 20
 #: Bits of a key that the last word has.
@@ -163,7 +163,7 @@ def distinct(words: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarr
     return [w[first] for w in words], np.bincount(back, counts, len(h)).astype(np.uint64)
 
 
-def write_grams(t: pa.Table, order: int, folder: str, n: int, v: int) -> pa.Table:
+def write_grams(t: pa.Table, order: int, folder: str, n: int, top: int) -> pa.Table:
     """Writes the arrays of one shard of n-grams; returns what it has for the next lower order, and its counts of counts."""
     s = t["shard"][0].as_py()
     if s < 0:
@@ -185,7 +185,7 @@ def write_grams(t: pa.Table, order: int, folder: str, n: int, v: int) -> pa.Tabl
         out = dealt_grams(less, follow, n)
     else:
         by = np.argsort(less[0])
-        out = dealt_rows(less[0][by], follow[by], word_bounds(v, n))
+        out = dealt_rows(less[0][by], follow[by], word_bounds(top, n))
     return pa.Table.from_batches([out, told(order, *of_counts(counts))])
 
 
@@ -212,7 +212,7 @@ class Words:
     def __init__(self, folder: str, sizes: list[int]) -> None:
         self.parts = [mapped(folder, f"words-{s}") if n else np.zeros(0, np.uint64) for s, n in enumerate(sizes)]
         self.counts = [mapped(folder, f"counts-{s}") if n else np.zeros(0, np.int64) for s, n in enumerate(sizes)]
-        self.base = np.concatenate([[0], np.cumsum(sizes)])
+        self.ranks = [mapped(folder, f"ranks-{s}") if n else np.zeros(0, np.uint32) for s, n in enumerate(sizes)]
         self.bounds = spread(1 << 64, len(sizes))
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +224,7 @@ class Words:
             if lo < hi and len(part):
                 at = np.minimum(np.searchsorted(part, h[lo:hi]), len(part) - 1)
                 known = part[at] == h[lo:hi]
-                out[lo:hi][known] = self.base[s] + at[known]
+                out[lo:hi][known] = 1 + self.ranks[s][at[known]].astype(np.uint64) * U(len(self.parts)) + U(s)
                 count[lo:hi][known] = self.counts[s][at[known]]
         return out, count
 
@@ -264,7 +264,7 @@ class Model:
     def __init__(self, folder: str, sizes: list[int], total: int, ranges: int, order: int, counts: dict[int, np.ndarray]) -> None:
         """counts: of each order how many n-grams have a count of 1 to 4; of order 1 also the sum of the counts and how many are 3 and more."""
         self.folder, self.sizes, self.total, self.ranges, self.order = folder, sizes, total, ranges, order
-        self.v = sum(sizes)
+        self.v, self.top = sum(sizes), top_number(sizes)
         self.d = {m: discounts(c[:4].astype(float)) for m, c in counts.items()}
         self.follow_total, self.opened = int(counts[1][4]), False
         self.left1 = float(np.dot([*counts[1][:2], counts[1][5]], self.d[1][1:]))  # what the discounts take from the words
@@ -286,13 +286,13 @@ class Model:
     def unigram(self, ids: np.ndarray) -> np.ndarray:
         """Probabilities of distinct sorted word numbers from how many contexts they follow."""
         n = np.zeros(len(ids), np.int64)
-        bounds = word_bounds(self.v, self.ranges)
+        bounds = word_bounds(self.top, self.ranges)
         edges = np.concatenate([[0], np.searchsorted(ids, bounds), [len(ids)]])
         for s in range(self.ranges):
             lo, hi = edges[s], edges[s + 1]
             if lo < hi and os.path.exists(path := f"{self.folder}/follow-{s}.npy"):
                 own = np.load(path, mmap_mode="r")
-                known = ids[lo:hi] < self.v
+                known = ids[lo:hi] < self.top
                 n[lo:hi][known] = own[(ids[lo:hi][known] - U(int(bounds[s - 1]) if s else 0)).astype(np.int64)]
         rest = 1 / (self.v + 1)
         if not self.follow_total:
@@ -349,8 +349,13 @@ class Model:
         return p
 
 
-def word_bounds(v: int, n: int) -> np.ndarray:
-    return spread(v, n)
+def top_number(sizes: list[int]) -> int:
+    """All words have smaller numbers."""
+    return max(sizes) * len(sizes) + 1
+
+
+def word_bounds(top: int, n: int) -> np.ndarray:
+    return spread(top, n)
 
 
 def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
@@ -380,6 +385,9 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
     def write_words(t: pa.Table) -> pa.Table:
         s, k, c = merged(t)
         saved(folder, f"counts-{s}", c)
+        rank = np.empty(len(k), np.uint32 if len(k) < 1 << 32 else np.uint64)
+        rank[np.argsort(-c, kind="stable")] = np.arange(len(k))
+        saved(folder, f"ranks-{s}", rank)
         saved(folder, f"words-{s}", k)
         return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(k)], pa.int64()), "total": pa.array([int(c.sum())], pa.int64())})
 
@@ -387,7 +395,7 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
     sizes = [0] * ranges
     for r in got:
         sizes[r["shard"]] = r["n"]
-    v = sum(sizes)
+    top = top_number(sizes)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Words(folder, sizes)
@@ -402,14 +410,14 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
         if t["shard"][0].as_py() < 0:
             return t
         s, k, c = merged(t)
-        edges = [0, *word_bounds(v, ranges).tolist(), v]
+        edges = [0, *word_bounds(top, ranges).tolist(), top]
         out = np.zeros(edges[s + 1] - edges[s], np.uint32 if c.max(initial=0) < 1 << 32 else np.uint64)
         out[(k - U(edges[s])).astype(np.int64)] = c
         saved(folder, f"follow-{s}", out)
         return pa.Table.from_batches([told(1, *of_counts(c), int(c.sum()), int((c >= 3).sum()))])
 
     def writer(m: int):
-        return lambda t: write_grams(t, m, folder, ranges, v)
+        return lambda t: write_grams(t, m, folder, ranges, top)
 
     dealt = text.mapInArrow(grams, ROW)
     for m in range(order, 1, -1):

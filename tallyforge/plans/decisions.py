@@ -90,17 +90,8 @@ def ev_04(s, d):
     return j.groupBy("tenant_id").agg(F.count("*").alias("n"), F.count("transaction_id").alias("n_found"), F.count_if(c("transaction_id") == F.concat(F.lit("T"), c("invoice_id").cast("string"))).alias("n_right"))
 
 
-@query("vl_07", "SELECT account_id, posted_at, amount, count(*) AS n, min(transaction_id) AS first_entity, max(transaction_id) AS last_entity FROM transactions GROUP BY 1, 2, 3 HAVING count(*) > 1")
-def vl_07(s, d):
-    return validate.duplicates(tx(s, d), ["account_id", "posted_at", "amount"], "transaction_id")
 
 
-@query("vl_05", "SELECT transaction_id, 'transactions[' || rn || '].posted_at' AS field_path FROM (SELECT transaction_id, posted_at, row_number() OVER (PARTITION BY account_id ORDER BY posted_at, transaction_id) - 1 AS rn, min(posted_at) OVER (PARTITION BY account_id) AS m FROM transactions) WHERE posted_at > m + 365")
-def vl_05(s, d):
-    """Transactions after the year that an account's first one opens, with their place in the account."""
-    w = Window.partitionBy("account_id")
-    rows = tx(s, d).select("transaction_id", "posted_at", (F.row_number().over(w.orderBy("posted_at", "transaction_id")) - 1).alias("rn"), F.min("posted_at").over(w).alias("m"))
-    return rows.where(c("posted_at") > F.date_add("m", 365)).select("transaction_id", F.concat(F.lit("transactions["), c("rn").cast("string"), F.lit("].posted_at")).alias("field_path"))
 
 
 @query("bd_15", """SELECT invoice_id, CASE WHEN l IS NULL THEN 'review_required' WHEN total - l > 0.01 THEN 'correction_required' ELSE 'passed' END AS outcome

@@ -14,33 +14,12 @@ from tallyforge.sources import views as V
 c, inv, tx, lines, steps = F.col, V.invoices, V.transactions, V.invoice_lines, V.steps
 
 
-@query("vl_04", "SELECT invoice_id AS entity_id, 'totals_currency' AS validator, 'currency_mismatch' AS code, 'error' AS severity, 'currency' AS field_path, currency AS expected, 'XXX' AS observed FROM invoices WHERE invoice_id % 9 = 0")
-def vl_04(s, d):
-    """The currency of the header against that of the totals (every ninth is off here)."""
-    rows = documents.header(V.invoice_texts(s, d)).select("doc_id", "currency", F.when(c("doc_id") % 9 == 0, "XXX").otherwise(c("currency")).alias("seen"))
-    return validate.issues(rows, "doc_id", validate.issue(c("currency") != c("seen"), "totals_currency", "currency_mismatch", "error", "currency", c("currency"), c("seen")))
 
 
-@query("vl_08", "SELECT invoice_id AS entity_id, 'party_roles' AS validator, 'same_party' AS code, 'error' AS severity, 'customer' AS field_path, 'another party' AS expected, tenant_name AS observed FROM invoices JOIN tenants USING (tenant_id) WHERE invoice_id % 13 = 0")
-def vl_08(s, d):
-    """Supplier and customer are one party when their letters and digits are the same (every thirteenth here)."""
-    rows = inv(s, d).join(F.broadcast(V.tenants(s, d).select("tenant_id", "tenant_name")), "tenant_id").withColumn("buyer", F.when(c("invoice_id") % 13 == 0, c("tenant_name")).otherwise(c("customer")))
-    return validate.issues(rows, "invoice_id", validate.issue(S.party_key(c("tenant_name")) == S.party_key(c("buyer")), "party_roles", "same_party", "error", "customer", F.lit("another party"), c("buyer")))
 
 
-@query("vl_10", "SELECT event_id, event_id % 7 <> 0 AS valid FROM events")
-def vl_10(s, d):
-    """Payloads against their contract: what doesn't parse or lacks a value is invalid (every seventh is cut short here)."""
-    e = V.table(s, d, "events").select("event_id", F.when(c("event_id") % 7 == 0, F.expr("left(props, length(props) - 1)")).otherwise(c("props")).alias("props"))
-    read = F.from_json("props", "k int, bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
-    return e.withColumn("p", read).select("event_id", (c("p.bad").isNull() & c("p.k").isNotNull()).alias("valid"))
 
 
-@query("vl_11", f"SELECT doc_id, CASE WHEN length(text) > 20000 THEN 'blocked' WHEN regexp_matches(text, '{R.EMAIL}') THEN 'allowed_with_redaction' ELSE 'allowed' END AS gate FROM documents")
-def vl_11(s, d):
-    """The privacy gate: payloads over the limit are blocked, those with addresses go on redacted."""
-    docs = V.table(s, d, "documents")
-    return docs.select("doc_id", F.when(F.length("text") > 20000, "blocked").when(c("text").rlike(S.REDACTIONS[0][1]), "allowed_with_redaction").otherwise("allowed").alias("gate"))
 
 
 @query("bd_02", "SELECT invoice_id, customer || coalesce(' ' || p, '') AS text FROM invoices LEFT JOIN (SELECT invoice_id, string_agg('Part ' || part_id, ' ' ORDER BY line_number, part_id) AS p FROM lines GROUP BY 1) USING (invoice_id)")

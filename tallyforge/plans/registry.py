@@ -61,11 +61,8 @@ def filtered(name: str, view, sql: str, columns) -> None:
     query(name, sql)(lambda s, d: (lambda test, *out: view(s, d).where(test).select(*out))(*columns()))
 
 
-filtered("flt_01", inv, "SELECT invoice_id, total FROM invoices WHERE tenant_id = 3", lambda: [c("tenant_id") == 3, "invoice_id", "total"])
-filtered("flt_02", tx, "SELECT transaction_id, amount FROM transactions WHERE status = 'posted'", lambda: [c("status") == "posted", "transaction_id", "amount"])
 filtered("flt_03", inv, "SELECT invoice_id, status FROM invoices WHERE status <> 'superseded'", lambda: [c("status") != "superseded", "invoice_id", "status"])
 filtered("flt_05", inv, "SELECT invoice_id, priority FROM invoices WHERE status = 'pending_review'", lambda: [c("status") == "pending_review", "invoice_id", "priority"])
-filtered("flt_06", tx, "SELECT transaction_id FROM transactions WHERE contains(lower(concat_ws(chr(1), description, reference, currency)), 'rent')", lambda: [F.lower(F.concat_ws("\x01", "description", "reference", "currency")).contains("rent"), "transaction_id"])
 filtered("flt_07", tx, "SELECT transaction_id, amount FROM transactions WHERE direction = 'inflow' OR amount > 0", lambda: [(c("direction") == "inflow") | (c("amount") > 0), "transaction_id", "amount"])
 
 # joins
@@ -124,11 +121,9 @@ def monthly(s, d):
 
 
 
-query("ag_05", "SELECT invoice_id, line_number, count(*) AS n, min(part_id) AS first_entity, max(part_id) AS last_entity FROM lines GROUP BY 1, 2 HAVING count(*) > 1")(lambda s, d: validate.duplicates(lines(s, d), ["invoice_id", "line_number"], "part_id"))
 query("ag_07", "SELECT tenant_id, count(*) AS total FROM invoices GROUP BY 1")(lambda s, d: inv(s, d).groupBy("tenant_id").agg(F.count("*").alias("total")))
 query("ag_09", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_blocks, length(text) AS n_chars FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("n_blocks"), F.length("text").alias("n_chars")))
 query("ag_11", "SELECT tenant_id, count(*) AS shown, sum(abs(amount)) AS total, count(DISTINCT currency) AS currencies, count(*) FILTER (status = 'pending') AS waiting FROM transactions GROUP BY 1")(lambda s, d: tx(s, d).groupBy("tenant_id").agg(F.count("*").alias("shown"), F.sum(F.abs("amount")).alias("total"), F.count_distinct("currency").alias("currencies"), F.count_if(c("status") == "pending").alias("waiting")))
-query("ag_06", "SELECT account_id, count(*) AS n, count(*) - count(DISTINCT (posted_at, amount)) AS n_duplicates FROM transactions GROUP BY 1")(lambda s, d: tx(s, d).groupBy("account_id").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("posted_at", "amount")).alias("n_duplicates")))
 
 
 # windows
@@ -143,35 +138,16 @@ query("tk_03", "SELECT invoice_id, issue_date FROM invoices ORDER BY issue_date
 query("tk_04", "SELECT user_id, count(*) FILTER (failed) AS failures FROM steps GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda s, d: V.steps(s, d).groupBy("user_id").agg(F.count_if("failed").alias("failures")).orderBy(F.desc("failures"), "user_id").limit(10))
 
 # validation
-query("vl_01", """SELECT invoice_id AS entity_id, 'arithmetic' AS validator, code, severity, field_path, expected, observed FROM (
- SELECT invoice_id, CASE WHEN l IS NULL THEN 'missing_lines' WHEN l - total > 0.01 THEN 'inferred_discount_amount' WHEN total - l > 0.01 THEN 'line_sum_below_total' END AS code,
- CASE WHEN l IS NULL THEN 'warning' WHEN l - total > 0.01 THEN 'info' ELSE 'error' END AS severity, CASE WHEN l IS NULL THEN 'lines' ELSE 'total' END AS field_path,
- CASE WHEN l IS NULL THEN 'lines' ELSE l::DECIMAL(28,2)::VARCHAR END AS expected, CASE WHEN l IS NOT NULL THEN total::VARCHAR END AS observed
- FROM invoices LEFT JOIN (SELECT invoice_id, sum(net) AS l FROM lines GROUP BY 1) USING (invoice_id)) WHERE code IS NOT NULL""")(lambda s, d: validate.arithmetic(inv(s, d), lines(s, d)))
-query("vl_02", "SELECT invoice_id AS entity_id, 'dates' AS validator, 'due_before_issue' AS code, 'error' AS severity, 'due_date' AS field_path, issue_date::VARCHAR AS expected, (issue_date - 1)::VARCHAR AS observed FROM invoices WHERE invoice_id % 7 = 0")(lambda s, d: validate.dates(inv(s, d).withColumn("due_date", F.when(c("invoice_id") % 7 == 0, F.date_sub("issue_date", 1)).otherwise(c("due_date")))))
-query("vl_03", "SELECT transaction_id AS entity_id, 'currency' AS validator, 'missing_currency' AS code, 'warning' AS severity, 'currency' AS field_path, 'code' AS expected, NULL::VARCHAR AS observed FROM transactions WHERE currency IS NULL")(lambda s, d: validate.currencies(tx(s, d), "transaction_id"))
-query("vl_06", "SELECT t.transaction_id, i.currency AS expected, t.currency AS observed FROM transactions t JOIN tenants i USING (tenant_id) WHERE t.currency IS DISTINCT FROM i.currency")(lambda s, d: tx(s, d).join(F.broadcast(V.tenants(s, d).select("tenant_id", c("currency").alias("expected"))), "tenant_id").where(~c("currency").eqNullSafe(c("expected"))).select("transaction_id", "expected", c("currency").alias("observed")))
 
 # insights, review
 
 
 
 
-@query("bd_10", "SELECT invoice_id AS task_id, 'resolved' AS status, CASE WHEN invoice_id % 3 = 0 THEN 'rejected' ELSE 'approved' END AS resource_status FROM invoices WHERE status = 'pending_review'")
-def bd_10(s, d):
-    tasks = inv(s, d).select(c("invoice_id").alias("task_id"), F.when(c("status") == "pending_review", "open").otherwise("resolved").alias("status"))
-    decisions = inv(s, d).select(c("invoice_id").alias("task_id"), F.when(c("invoice_id") % 3 == 0, "reject").otherwise("approve").alias("decision"))
-    return review.decide(tasks, decisions)[0]
 
 
-@query("bd_11", "SELECT invoice_id, 1 AS version, CASE WHEN invoice_id % 5 = 0 THEN 'superseded' ELSE status END AS status, total FROM invoices UNION ALL SELECT invoice_id, 2, 'extracted', (total + 1)::DECIMAL(18,2) FROM invoices WHERE invoice_id % 5 = 0")
-def bd_11(s, d):
-    i = inv(s, d).select("invoice_id", F.lit(1).alias("version"), "status", "total")
-    corrections = i.where("invoice_id % 5 = 0").select("invoice_id", F.create_map(F.lit("total"), (c("total") + 1).cast("string")).alias("changes"))
-    return review.correct(i, corrections, ["total"])
 
 
-query("wn_10", "SELECT invoice_id, CASE WHEN invoice_id % 5 = 0 THEN 2 ELSE 1 END AS version FROM invoices")(lambda s, d: insights.latest(bd_11(s, d), ["invoice_id"], F.desc("version")).select("invoice_id", "version"))
 
 # operations log
 ROLL = "SELECT {k}, count(*) AS n, count(*) FILTER (failed) AS failures, sum(greatest(attempt - 1, 0))::BIGINT AS retries, sum(ms) / count(*) AS avg_ms, max(ms) AS max_ms FROM steps GROUP BY {k}"
@@ -190,4 +166,4 @@ query("sm_09", """SELECT tenant_id, count(*) AS n, min(event_id) AS first_event
  WHERE failed GROUP BY tenant_id, island HAVING count(*) >= 2""")(lambda s, d: opslog.failure_runs(V.steps(s, d), "tenant_id", 2))
 query("sm_11", "SELECT event_id, tenant_id FROM steps WHERE failed")(lambda s, d: alerts.new_failures(V.steps(s, d)).select("event_id", "tenant_id"))
 
-from tallyforge.plans import decisions, extraction, ledger, matching, operations, policies, rules, texts  # noqa: E402, F401  (they add their queries)
+from tallyforge.plans import checks, decisions, extraction, ledger, matching, operations, policies, rules, texts  # noqa: E402, F401  (they add their queries)

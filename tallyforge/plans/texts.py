@@ -33,23 +33,6 @@ projection("scl_37", steps, "SELECT event_id, greatest(0, ((epoch_us(date_trunc(
 projection("scl_39", V.table_of("events"), "SELECT event_id, printf('%d.00', (props->>'$.k')::INT) AS n FROM events", lambda: ["event_id", F.coalesce(*(F.get_json_object("props", f"$.{a}") for a in ("count", "n", "k"))).try_cast("decimal(18,2)").cast("string").alias("n")])
 projection("scl_41", lines, "SELECT invoice_id, line_number, part_id, 'spark plugs per hour ' || part_id AS description FROM lines", lambda: [k, "line_number", "part_id", S.line_description(F.concat(F.lit(" SparkPiugs perhour "), c("part_id").cast("string"))).alias("description")])
 
-#: Phase and percent of a stage (fixed values).
-STAGES = {
-    "ingested": ("queued", 0), "document_intake": ("intake", 8), "layout_analysis": ("ocr", 25), "privacy_policy_gate": ("privacy", 32), "metadata_extraction": ("extraction", 44),
-    "table_extraction": ("extraction", 54), "totals_extraction": ("extraction", 64), "invoice_assembly": ("extraction", 70), "qa_validation": ("qa", 78), "classification": ("classification", 85),
-    "reconciliation": ("reconciliation", 92), "review_coordination": ("review", 96), "insight_generation": ("insights", 99), "completed": ("completed", 100), "failed": ("failed", 100),
-}
-NAMES = [*STAGES, "no_such_stage"]
-
-
-@query("scl_42", f"SELECT event_id, CASE WHEN failed THEN 'failed' ELSE coalesce(phase, 'processing') END AS phase, CASE WHEN failed THEN 100 ELSE coalesce(percent, 5) END AS percent FROM steps LEFT JOIN (VALUES {', '.join(f'({i}, {p[0]!r}, {p[1]})' for i, p in enumerate(STAGES.values()))}) v(i, phase, percent) ON i = event_id % {len(NAMES)}")
-def scl_42(s, d):
-    """A run's phase and percent: by status when it has ended, else by its stage in a table of fifteen rows."""
-    table = s.createDataFrame([(n, *p) for n, p in STAGES.items()], "stage string, p string, n int")
-    rows = steps(s, d).select("event_id", "failed", choose("event_id", *map(F.lit, NAMES)).alias("stage")).join(F.broadcast(table), "stage", "left")
-    return rows.select("event_id", F.when(c("failed"), "failed").otherwise(F.coalesce("p", F.lit("processing"))).alias("phase"), F.when(c("failed"), 100).otherwise(F.coalesce("n", F.lit(5))).alias("percent"))
-
-
 projection("scl_43", inv, """SELECT invoice_id, '{"before":{"status":"' || status || '"},"after":{"status":"approved","currency":"' || currency || '"}}' AS snapshot FROM invoices""", lambda: [k, F.to_json(F.struct(F.struct("status").alias("before"), F.struct(F.lit("approved").alias("status"), "currency").alias("after"))).alias("snapshot")])
 
 # texts

@@ -17,6 +17,11 @@ def table_of(name: str):
     return lambda spark, sf_dir: table(spark, sf_dir, name)
 
 
+def reader(spark: SparkSession, sf_dir: str, tenant: int):
+    """Reads views for one tenant: every read goes through it, so that other tenants' rows look missing."""
+    return lambda view: view(spark, sf_dir).where(F.col("tenant_id") == tenant)
+
+
 def money(c: Column) -> Column:
     """Doubles become decimals before any arithmetic."""
     return c.cast("decimal(18,2)")
