@@ -122,4 +122,3 @@ def so_03(s, d):
 
 
 
-query("tk_05", "SELECT transaction_id, posted_at FROM transactions WHERE status = 'pending' ORDER BY posted_at, transaction_id LIMIT 100")(lambda s, d: tx(s, d).where("status = 'pending'").orderBy("posted_at", "transaction_id").limit(100).select("transaction_id", "posted_at"))

@@ -21,10 +21,6 @@ def op_02(s, d):
     return rows.groupBy(F.concat(F.lit("POST /"), "agent", F.lit(" "), c("status_code").cast("string")).alias("endpoint")).agg(F.count("*").alias("n"), F.count_if(c("status_code") >= 500).alias("failures"))
 
 
-@query("op_04", "SELECT 'extract:' || agent AS call, count(*) AS n, sum((attempt::DECIMAL(18,0) * 0.003)::DECIMAL(18,6)) AS cost FROM steps GROUP BY 1")
-def op_04(s, d):
-    cost = S.token_cost(c("attempt") * 1000, F.lit("0.003").cast("decimal(6,3)"))
-    return steps(s, d).groupBy(F.concat(F.lit("extract:"), "agent").alias("call")).agg(F.count("*").alias("n"), F.sum(cost).alias("cost"))
 
 
 @query("op_05", "SELECT 'retry' AS kind, agent, sum(greatest(attempt - 1, 0))::BIGINT AS n FROM steps GROUP BY 2 UNION ALL SELECT 'failure', agent, count(*) FILTER (failed) FROM steps GROUP BY 2")
@@ -34,14 +30,8 @@ def op_05(s, d):
     return g.select("agent", F.explode(F.create_map(F.lit("retry"), c("retries").cast("bigint"), F.lit("failure"), c("failures").cast("bigint"))).alias("kind", "n"))
 
 
-@query("op_08", "SELECT tenant_id, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed AND attempt < 3) AS retrying, count(*) FILTER (failed AND attempt >= 3) AS dead, count(ms) AS n_latency, max(ms) AS max_ms FROM steps GROUP BY 1")
-def op_08(s, d):
-    return steps(s, d).groupBy("tenant_id").agg(F.count_if(~c("failed")).alias("succeeded"), F.count_if(c("failed") & (c("attempt") < 3)).alias("retrying"), F.count_if(c("failed") & (c("attempt") >= 3)).alias("dead"), F.count("ms").alias("n_latency"), F.max("ms").alias("max_ms"))
 
 
-@query("op_10", "SELECT count(*) FILTER (failed) AS failures, sum(greatest(attempt - 1, 0))::BIGINT AS retries FROM steps")
-def op_10(s, d):
-    return steps(s, d).agg(F.count_if("failed").alias("failures"), F.sum(F.greatest(c("attempt") - 1, F.lit(0))).alias("retries"))
 
 
 @query("op_11", "SELECT event_id, CASE WHEN failed THEN 'agent=' || agent || ';state=failed' ELSE 'agent=' || agent END AS flat FROM steps")
@@ -52,10 +42,6 @@ def op_11(s, d):
     return steps(s, d).select("event_id", flat.alias("flat"))
 
 
-@query("sm_06", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, tenant_id, count(*) AS n, count(*) FILTER (agent = 'purchase') AS failures FROM steps GROUP BY 1, 2 HAVING count(*) FILTER (agent = 'purchase') > 0.25 * count(*)")
-def sm_06(s, d):
-    """Days on which over a quarter of the decisions were corrections."""
-    return alerts.failure_rate(steps(s, d).withColumn("failed", c("agent") == "purchase"), "tenant_id", "1 day", over=0.25)
 
 
 @query("wn_13", "SELECT event_id, tenant_id FROM (SELECT event_id, tenant_id, count(*) OVER w AS n, count(*) FILTER (agent = 'purchase') OVER w AS k FROM steps WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, event_id ROWS 49 PRECEDING)) WHERE n = 50 AND k > 0.25 * n")
@@ -66,9 +52,6 @@ def wn_13(s, d):
     return rows.where((c("n") == 50) & (c("k") > 0.25 * c("n"))).select("event_id", "tenant_id")
 
 
-@query("sm_07", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, agent, count(ms) AS n, count(*) FILTER (ms > 50) AS slow FROM steps GROUP BY 1, 2 HAVING count(*) FILTER (ms > 50) > 0.05 * count(ms)")
-def sm_07(s, d):
-    return alerts.slow(steps(s, d), "agent", 50, "1 hour")
 
 
 @query("sm_08", "SELECT tenant_id, count(*) AS n_open, max((SELECT max(issue_date) FROM invoices) - issue_date)::INT AS oldest_days FROM invoices WHERE status = 'pending_review' GROUP BY 1")

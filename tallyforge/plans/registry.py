@@ -122,20 +122,15 @@ def monthly(s, d):
 
 
 query("ag_07", "SELECT tenant_id, count(*) AS total FROM invoices GROUP BY 1")(lambda s, d: inv(s, d).groupBy("tenant_id").agg(F.count("*").alias("total")))
-query("ag_09", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_blocks, length(text) AS n_chars FROM documents")(lambda s, d: V.table(s, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("n_blocks"), F.length("text").alias("n_chars")))
-query("ag_11", "SELECT tenant_id, count(*) AS shown, sum(abs(amount)) AS total, count(DISTINCT currency) AS currencies, count(*) FILTER (status = 'pending') AS waiting FROM transactions GROUP BY 1")(lambda s, d: tx(s, d).groupBy("tenant_id").agg(F.count("*").alias("shown"), F.sum(F.abs("amount")).alias("total"), F.count_distinct("currency").alias("currencies"), F.count_if(c("status") == "pending").alias("waiting")))
 
 
 # windows
-query("wn_03", "SELECT user_id, event_id, agent FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM steps) WHERE rn = 1")(lambda s, d: insights.latest(V.steps(s, d), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "agent"))
 query("wn_08", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM steps")(lambda s, d: V.steps(s, d).select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step")))
 query("jn_11", """SELECT a.event_id AS handoff, b.event_id AS signal FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM steps WHERE failed) a
  JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM steps WHERE agent = 'click') b ON a.user_id = b.user_id AND a.n = b.n""")(
     lambda s, d: (lambda e, w: e.where("failed").select("user_id", c("event_id").alias("handoff"), w.alias("n")).join(e.where("agent = 'click'").select("user_id", c("event_id").alias("signal"), w.alias("n")), ["user_id", "n"]).select("handoff", "signal"))(V.steps(s, d), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
 )
 query("tk_02", "SELECT transaction_id, posted_at, amount FROM transactions ORDER BY posted_at DESC, transaction_id LIMIT 50 OFFSET 50")(lambda s, d: tx(s, d).orderBy(F.desc_nulls_last("posted_at"), "transaction_id").offset(50).limit(50).select("transaction_id", "posted_at", "amount"))
-query("tk_03", "SELECT invoice_id, issue_date FROM invoices ORDER BY issue_date DESC, invoice_id LIMIT 50")(lambda s, d: inv(s, d).orderBy(F.desc("issue_date"), "invoice_id").limit(50).select("invoice_id", "issue_date"))
-query("tk_04", "SELECT user_id, count(*) FILTER (failed) AS failures FROM steps GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")(lambda s, d: V.steps(s, d).groupBy("user_id").agg(F.count_if("failed").alias("failures")).orderBy(F.desc("failures"), "user_id").limit(10))
 
 # validation
 
@@ -152,18 +147,9 @@ query("tk_04", "SELECT user_id, count(*) FILTER (failed) AS failures FROM steps
 # operations log
 ROLL = "SELECT {k}, count(*) AS n, count(*) FILTER (failed) AS failures, sum(greatest(attempt - 1, 0))::BIGINT AS retries, sum(ms) / count(*) AS avg_ms, max(ms) AS max_ms FROM steps GROUP BY {k}"
 rounded = lambda df: df.withColumn("avg_ms", F.round("avg_ms", 6))
-query("op_01", f"SELECT * REPLACE (round(avg_ms, 6) AS avg_ms) FROM ({ROLL.format(k='agent')})")(lambda s, d: rounded(opslog.rollup(V.steps(s, d), "agent")))
-query("op_03", f"SELECT * REPLACE (round(avg_ms, 6) AS avg_ms) FROM ({ROLL.format(k='tenant_id, agent')})")(lambda s, d: rounded(opslog.rollup(V.steps(s, d), "tenant_id", "agent")))
 query("op_06", "SELECT tenant_id, round(count(*) FILTER (agent = 'purchase') / count(*), 4) AS correction_rate FROM steps GROUP BY 1")(lambda s, d: V.steps(s, d).groupBy("tenant_id").agg(F.round(F.count_if(c("agent") == "purchase") / F.count("*"), 4).alias("correction_rate")))
-query("op_07", "SELECT tenant_id, coalesce(priority, 'all') AS priority, count(*) AS n FROM invoices WHERE status = 'pending_review' GROUP BY GROUPING SETS ((tenant_id, priority), (tenant_id))")(lambda s, d: inv(s, d).where("status = 'pending_review'").rollup("tenant_id", "priority").agg(F.count("*").alias("n")).where("tenant_id is not null").select("tenant_id", F.coalesce("priority", F.lit("all")).alias("priority"), "n"))
-query("op_09", "SELECT agent AS event, count(*) AS n FROM steps GROUP BY 1")(lambda s, d: V.steps(s, d).groupBy(c("agent").alias("event")).agg(F.count("*").alias("n")))
 
 # alert windows: batch twins of the streams
-query("sm_03", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, agent, count(*) AS n FROM steps GROUP BY 1, 2 HAVING count(*) > 2")(lambda s, d: alerts.over_budget(V.steps(s, d), "agent", 2, "1 minute"))
-query("sm_04", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, tenant_id, count(*) AS n, count(*) FILTER (failed) AS failures FROM steps GROUP BY 1, 2 HAVING count(*) FILTER (failed) > 0.1 * count(*)")(lambda s, d: alerts.failure_rate(V.steps(s, d), "tenant_id"))
-query("sm_05", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, agent, count(*) AS n FROM steps WHERE failed AND attempt >= 2 GROUP BY 1, 2 HAVING count(*) > 3")(lambda s, d: alerts.retry_exhaustion(V.steps(s, d), "agent", 2, 3, "1 hour"))
-query("sm_09", """SELECT tenant_id, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY tenant_id ORDER BY ts, event_id) AS island FROM steps)
- WHERE failed GROUP BY tenant_id, island HAVING count(*) >= 2""")(lambda s, d: opslog.failure_runs(V.steps(s, d), "tenant_id", 2))
 query("sm_11", "SELECT event_id, tenant_id FROM steps WHERE failed")(lambda s, d: alerts.new_failures(V.steps(s, d)).select("event_id", "tenant_id"))
 
-from tallyforge.plans import checks, decisions, extraction, ledger, matching, operations, policies, rules, texts  # noqa: E402, F401  (they add their queries)
+from tallyforge.plans import checks, decisions, extraction, ledger, matching, operations, policies, rules, texts, watch  # noqa: E402, F401  (they add their queries)

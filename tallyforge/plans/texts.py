@@ -44,13 +44,6 @@ projection("wn_06", texts, "SELECT invoice_id AS doc_id, lpad(customer_id::VARCH
 projection("wn_11", texts, "SELECT invoice_id AS doc_id, 9 AS table_at, 10 + coalesce(n, 0) AS totals_at FROM invoices LEFT JOIN (SELECT invoice_id, count(*) AS n FROM lines GROUP BY 1) USING (invoice_id)", lambda: ["doc_id", documents.place(documents.lines(c("text")), r"(?i)^description\b").alias("table_at"), documents.place(documents.lines(c("text")), r"(?i)^(?:sub ?total|total)\b").alias("totals_at")])
 
 
-@query("wn_07", """SELECT doc_id, item, count(*) AS n_lines, sum(length(line)) AS n_chars FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS item FROM (
- SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)) GROUP BY 1, 2""")
-def wn_07(s, d):
-    """Lines that open with no capital continue the item before them: a running count of openings within a document."""
-    rows = docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    item = F.count_if(c("line").rlike("^[A-Z]")).over(Window.partitionBy("doc_id").orderBy("at"))
-    return rows.withColumn("item", item).groupBy("doc_id", "item").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
 @query("wn_09")
