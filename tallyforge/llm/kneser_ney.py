@@ -35,8 +35,8 @@ from .common import mounted, remainder_of_id, shared_path, table
 U = np.uint64
 START = 0  # stands before a text's first word
 UNKNOWN = (1 << 64) - 1
-#: Tokens that are counted together before they are dealt out.
-HELD = 1 << 20
+#: Words, and n-grams, that are counted together before they are dealt out.
+HELD_WORDS, HELD = 1 << 22, 1 << 20
 #: Bits of a key that the last word has.
 WORD_BITS = 28
 #: The sums of contexts with more n-grams than this are kept.
@@ -129,7 +129,7 @@ def shard_of(context: np.ndarray, n: int) -> np.ndarray:
 def dealt_grams(words: list[np.ndarray], counts: np.ndarray, n: int) -> pa.RecordBatch:
     """Distinct n-grams (their words place by place) and counts by the shard of their context."""
     shard = shard_of(chain(words[:-1]), n)
-    order = np.argsort((shard.astype(np.uint64) << U(48)) | (words[0] & U((1 << 48) - 1)), kind="stable")
+    order = np.lexsort((*words[:0:-1], (shard.astype(np.uint64) << U(48)) | (words[0] & U((1 << 48) - 1))))
     words, counts, edges = [w[order] for w in words], counts[order], np.searchsorted(shard[order], np.arange(n + 1))
     shards = np.flatnonzero(np.diff(edges))
     parts = [slice(edges[s], edges[s + 1]) for s in shards]
@@ -365,14 +365,14 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = docs.select(F.col("text").cast("string").alias("text"))
 
-    def counted(batches: Iterator[pa.RecordBatch], of, dealt) -> Iterator[pa.RecordBatch]:
-        """dealt(what of(texts) gives, for about HELD tokens)."""
+    def counted(batches: Iterator[pa.RecordBatch], of, dealt, most: int) -> Iterator[pa.RecordBatch]:
+        """dealt(what of(texts) gives, for about `most` tokens)."""
         held, n = [], 0
         for b in batches:
             for _, texts in hashing.batches(b.column(0)):
                 held.append(of(texts))
                 n += len(held[-1][0])
-                if n >= HELD:
+                if n >= most:
                     yield dealt(held)
                     held, n = [], 0
         if n:
@@ -380,11 +380,11 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = spread(1 << 64, ranges)
-        return counted(batches, tokens, lambda held: dealt_rows(*np.unique(np.concatenate([h for h, _ in held]), return_counts=True), bounds))
+        return counted(batches, tokens, lambda held: dealt_rows(*np.unique(np.concatenate([h for h, _ in held]), return_counts=True), bounds), HELD_WORDS)
 
     def write_words(t: pa.Table) -> pa.Table:
         s, k, c = merged(t)
-        saved(folder, f"counts-{s}", c)
+        saved(folder, f"counts-{s}", c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c)
         rank = np.empty(len(k), np.uint32 if len(k) < 1 << 32 else np.uint64)
         rank[np.argsort(-c, kind="stable")] = np.arange(len(k))
         saved(folder, f"ranks-{s}", rank)
@@ -404,7 +404,7 @@ def train(docs: DataFrame, order: int = 3, folder: str | None = None) -> Model:
             joined = [np.concatenate(w) for w in zip(*held, strict=True)]
             return dealt_grams(*distinct(joined, np.ones(len(joined[0]))), ranges)
 
-        return counted(batches, lambda texts: numbered(own, texts, order)[0], dealt)
+        return counted(batches, lambda texts: numbered(own, texts, order)[0], dealt, HELD)
 
     def write_follows(t: pa.Table) -> pa.Table:
         if t["shard"][0].as_py() < 0:
