@@ -49,10 +49,6 @@ def ex_01(s, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
-@query("src_08", "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS kept FROM documents GROUP BY text")
-def src_08(s, d):
-    """Intake by content hash: of equal documents the first is kept."""
-    return V.table(s, d, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("kept"))
 
 
 # filters
@@ -152,4 +148,4 @@ query("op_06", "SELECT tenant_id, round(count(*) FILTER (agent = 'purchase') / c
 # alert windows: batch twins of the streams
 query("sm_11", "SELECT event_id, tenant_id FROM steps WHERE failed")(lambda s, d: alerts.new_failures(V.steps(s, d)).select("event_id", "tenant_id"))
 
-from tallyforge.plans import checks, decisions, extraction, ledger, matching, operations, policies, rules, texts, watch  # noqa: E402, F401  (they add their queries)
+from tallyforge.plans import checks, decisions, extraction, intake, ledger, matching, operations, policies, rules, texts, watch  # noqa: E402, F401  (they add their queries)

@@ -108,24 +108,6 @@ def ev_09(s, d):
 
 
 # payloads
-def invoice_payloads(s, d):
-    item = F.struct("line_number", "part_id", "net")
-    items = lines(s, d).groupBy("invoice_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    j = inv(s, d).join(items, "invoice_id", "left")
-    rows = F.transform("x", lambda x: F.struct(x["line_number"].alias("line_number"), F.concat(F.lit("Part "), x["part_id"].cast("string")).alias("description"), x["net"].cast("string").alias("total")))
-    return j.select(k, F.to_json(F.struct(F.struct("number", "currency").alias("metadata"), rows.alias("line_items"), F.struct(c("total").cast("string").alias("total")).alias("totals"))).alias("payload"))
-
-
-query("src_05", "SELECT invoice_id, number, currency, total, line_number, 'Part ' || part_id AS description, net AS line_total FROM invoices LEFT JOIN lines USING (invoice_id)")(lambda s, d: payloads.invoice_items(invoice_payloads(s, d), k))
-
-
-@query("src_09", "SELECT invoice_id, number, (total + CASE WHEN invoice_id % 4 = 0 THEN 1 ELSE 0 END)::DECIMAL(18,2) AS subtotal, total, currency, CASE WHEN invoice_id % 4 = 0 THEN 'low' ELSE 'medium' END AS confidence FROM invoices")
-def src_09(s, d):
-    amount = lambda v, code: F.struct(v.cast("decimal(18,2)").alias("value"), code.alias("code"))
-    body = F.struct(c("number").alias("InvoiceId"), amount(c("total") + F.when(c(k) % 4 == 0, 1).otherwise(0), F.when(c(k) % 2 == 0, c("currency"))).alias("SubTotal"), amount(F.when(c(k) % 3 != 0, c("total")), F.lit(None).cast("string")).alias("InvoiceTotal"), amount(c("total"), c("currency")).alias("AmountDue"))
-    return payloads.prebuilt_totals(inv(s, d).select(k, F.to_json(body).alias("payload")), k)
-
-
 @query("src_10", "SELECT doc_id, 'ocr:block:' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block_id, length(line) AS n_chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE trim(line) <> ''")
 def src_10(s, d):
     """A block for each line that isn't blank, numbered within its document without a shuffle."""
@@ -133,27 +115,10 @@ def src_10(s, d):
     return rows.select("doc_id", F.concat(F.lit("ocr:block:"), (c("at") + 1).cast("string")).alias("block_id"), F.length("line").alias("n_chars"))
 
 
-@query("src_13", "SELECT doc_id, count(*) AS n_blocks, CASE WHEN doc_id % 2 = 0 THEN 0.75 ELSE 0.5 END AS confidence, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY doc_id")
-def src_13(s, d):
-    """Stored scans: paragraphs (even documents), else lines of pages."""
-    rows = docs(s, d).withColumn("l", F.split("text", "\n"))
-    paragraphs = F.when(c("doc_id") % 2 == 0, F.transform("l", lambda x: F.struct(x.alias("content"), F.lit(0.75).alias("confidence"))))
-    pages = F.when(c("doc_id") % 2 == 1, F.array(F.struct(F.lit(2).alias("page"), F.transform("l", lambda x: F.struct(x.alias("content"), F.lit(0.5).alias("confidence"))).alias("lines"))))
-    blocks = payloads.scan_blocks(rows.select("doc_id", F.to_json(F.struct(paragraphs.alias("paragraphs"), pages.alias("pages"))).alias("payload")), "doc_id")
-    return blocks.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.avg("confidence").alias("confidence"), F.max("page").alias("page"))
 
 
-@query("src_07", "SELECT 'in/' || number || '.pdf' AS path, 'labels/' || number || '.json' AS annotation_path FROM invoices WHERE invoice_id % 2 = 0")
-def src_07(s, d):
-    files = inv(s, d).select(F.concat(F.lit("in/"), "number", F.lit(".pdf")).alias("path"))
-    notes = inv(s, d).where(c(k) % 2 == 0).select(F.concat(F.lit("labels/"), "number", F.lit(".json")).alias("path"))
-    return payloads.pairs_by_stem(files, notes).select("path", "annotation_path")
 
 
-query("src_12", "SELECT '| agent | n | failures |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || agent || ' | ' || n || ' | ' || f || ' |', chr(10) ORDER BY agent) AS report FROM (SELECT agent, count(*) AS n, count(*) FILTER (failed) AS f FROM steps GROUP BY 1)")(
-    lambda s, d: payloads.markdown(opslog.rollup(steps(s, d), "agent"), ["agent", "n", "failures"], c("agent"))
-)
-query("src_14", "SELECT 'invoices' AS \"table\", count(*) FILTER (tenant_id = 3) AS n_erased FROM invoices UNION ALL SELECT 'transactions', count(*) FILTER (tenant_id = 3) FROM transactions")(lambda s, d: payloads.erased({"invoices": inv(s, d), "transactions": tx(s, d)}, F.lit(3))[1])
 
 
 @query("jn_14", """SELECT invoice_id AS doc_id, field, CASE WHEN field = 'total' THEN 10 + coalesce(n + 1, 0) WHEN both_ways AND field = 'issue_date' THEN 5 ELSE at_line END AS line_no,

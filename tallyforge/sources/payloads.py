@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INVOICE = "metadata struct<number: string, currency: string>, line_items array<struct<line_number: int, description: string, total: string>>, totals struct<total: string, currency: string>"
-SCAN = "paragraphs array<struct<content: string, page: int, confidence: double>>, pages array<struct<page: int, lines array<struct<content: string, confidence: double>>>>".replace("lines array", "lines: array")
+GROUP = "extraction_status: string, evidence_refs: array<string>, confidence: string"
+ITEM = "line_number: int, description: string, quantity: string, unit_price: string, tax_amount: string, line_total: string, confidence: string, evidence_refs: array<string>"
+METADATA = ["invoice_number", "supplier_name", "supplier_tax_id", "customer_name", "customer_tax_id", "issue_date", "due_date", "currency"]
+TOTALS = ["subtotal_amount", "tax_amount", "total_amount"]
+INVOICE = (
+    f"metadata struct<{', '.join(f'{n}: string' for n in METADATA)}, {GROUP}>, table struct<line_items: array<struct<{ITEM}>>, {GROUP}>, "
+    f"totals struct<{', '.join(f'{n}: string' for n in TOTALS)}, currency: string, {GROUP}>"
+)
+BLOCK = "content: string, polygon: array<double>, confidence: double"
+SCAN = (
+    f"paragraphs array<struct<page: int, {BLOCK}>>, pages array<struct<page: int, confidence: double, lines: array<struct<{BLOCK}>>>>, "
+    "rec_texts array<string>, rec_scores array<double>, rec_polys array<array<double>>"
+)
 AMOUNT = "struct<value: decimal(18,2), code: string>"
-PREBUILT = f"InvoiceId string, SubTotal {AMOUNT}, TotalTax {AMOUNT}, InvoiceTotal {AMOUNT}, AmountDue {AMOUNT}"
+TEXT = "struct<value: string, confidence: double>"
+FIELD = f"struct<Description: {TEXT}, Quantity: {TEXT}, UnitPrice: {AMOUNT}, Tax: {AMOUNT}, Amount: {AMOUNT}>"
+PREBUILT = (
+    f"InvoiceId {TEXT}, VendorName {TEXT}, VendorTaxId {TEXT}, CustomerName {TEXT}, CustomerTaxId {TEXT}, InvoiceDate {TEXT}, DueDate {TEXT}, SubTotal {AMOUNT}, TotalTax {AMOUNT}, InvoiceTotal {AMOUNT}, AmountDue {AMOUNT}, Items array<{FIELD}>"
+)
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -16,32 +31,65 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("payload"))
 
 
+def _group(p: DataFrame, key: str) -> DataFrame:
+    return p.select(key, F.from_json("payload", INVOICE).alias("p"))
+
+
 def invoice_items(payloads: DataFrame, key: str) -> DataFrame:
-    """A row per line item of payload; an invoice without items keeps one row of nulls, as does a payload that doesn't parse."""
-    p = payloads.select(key, F.from_json("payload", INVOICE).alias("p"))
-    rows = p.select(key, "p.metadata.number", F.coalesce("p.totals.currency", "p.metadata.currency").alias("currency"), F.col("p.totals.total").try_cast("decimal(18,2)").alias("total"), F.explode_outer("p.line_items").alias("item"))
-    return rows.select(key, "number", "currency", "total", "item.line_number", "item.description", F.col("item.total").try_cast("decimal(18,2)").alias("line_total"))
+    """A row per line item of payload, with evidence and confidence; an invoice without items keeps one row of nulls, as does a payload that doesn't parse."""
+    rows = _group(payloads, key).select(key, F.explode_outer("p.table.line_items").alias("item"))
+    money = lambda n: F.col(f"item.{n}").try_cast("decimal(18,2)").alias(n)
+    return rows.select(key, "item.line_number", "item.description", F.col("item.quantity").try_cast("decimal(18,4)").alias("quantity"), money("unit_price"), money("tax_amount"), money("line_total"), "item.confidence", "item.evidence_refs")
 
 
-def scan_blocks(payloads: DataFrame, key: str) -> DataFrame:
-    """Text blocks of scans: the paragraphs, or where there are none the lines of all pages; page 1 by default, blanks go."""
-    p = payloads.select(key, F.from_json("payload", SCAN).alias("p"))
-    page_lines = F.flatten(F.transform("p.pages", lambda g: F.transform(g["lines"], lambda x: F.struct(x["content"].alias("content"), g["page"].alias("page"), x["confidence"].alias("confidence")))))
-    blocks = F.coalesce(F.when(F.size("p.paragraphs") > 0, F.col("p.paragraphs")), page_lines)
-    rows = p.select(key, F.explode(F.filter(blocks, lambda b: F.trim(b["content"]) != "")).alias("b"))
-    return rows.select(key, "b.content", F.coalesce("b.page", F.lit(1)).alias("page"), "b.confidence")
+def invoice_groups(payloads: DataFrame, key: str) -> DataFrame:
+    """A row per payload: header fields and totals as texts, the currency of totals, else the header's, each group's status, confidence and evidence."""
+    groups = ("metadata", "table", "totals")
+    part = [F.col(f"p.{g}.{n}").alias(f"{g}_{n}") for g in groups for n in ("extraction_status", "confidence", "evidence_refs")]
+    fields = [F.col(f"p.metadata.{n}") for n in METADATA if n != "currency"] + [F.col(f"p.totals.{n}") for n in TOTALS]
+    return _group(payloads, key).select(key, *fields, F.coalesce("p.totals.currency", "p.metadata.currency").alias("currency"), *part)
 
 
-def prebuilt_totals(payloads: DataFrame, key: str) -> DataFrame:
-    """Totals of a stored model result; the currency is the first that an amount carries, a total below the subtotal is of low confidence."""
+def scan_blocks(payloads: DataFrame, key: str) -> DataFrame:
+    """Text blocks of scans: the paragraphs, else the lines of all pages, else the parallel arrays of texts, scores and polygons; page 1 by default.
+
+    Blanks go. block_no counts what is left; scan_confidence is the mean of the pages that have one.
+    """
+    p = payloads.select(key, F.from_json("payload", SCAN).alias("p"))
+    block = lambda text, page, polygon, confidence: F.struct(text.alias("content"), F.coalesce(page, F.lit(1)).alias("page"), polygon.alias("polygon"), confidence.alias("confidence"))
+    paragraphs = F.transform("p.paragraphs", lambda x: block(x["content"], x["page"], x["polygon"], x["confidence"]))
+    page_lines = F.flatten(F.transform("p.pages", lambda g: F.transform(F.coalesce(g["lines"], F.array().cast(f"array<struct<{BLOCK}>>")), lambda x: block(x["content"], g["page"], x["polygon"], x["confidence"]))))
+    parallel = F.transform("p.rec_texts", lambda x, i: block(x, F.lit(1), F.get("p.rec_polys", i), F.get("p.rec_scores", i)))
+    some = lambda b: F.when(F.size(b) > 0, b)
+    blocks = F.coalesce(some(paragraphs), some(page_lines), parallel)
+    sure = F.filter(F.transform("p.pages", lambda g: g["confidence"]), lambda x: x.isNotNull())
+    mean = F.aggregate(sure, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(sure), F.lit(0))
+    rows = p.select(key, mean.alias("scan_confidence"), F.posexplode(F.filter(blocks, lambda b: F.trim(b["content"]) != "")).alias("at", "b"))
+    return rows.select(key, (F.col("at") + 1).alias("block_no"), "b.content", "b.page", "b.polygon", "b.confidence", "scan_confidence")
+
+
+def prebuilt_groups(payloads: DataFrame, key: str) -> DataFrame:
+    """Header and totals of a stored model result: the total falls back on what is due, the currency is the first that an amount carries; the
+    totals' confidence is low below the subtotal; the header's is high if all of its fields are sure (0.8), else medium."""
     p = payloads.select(key, F.from_json("payload", PREBUILT).alias("p"))
     code = F.coalesce(*(F.col(f"p.{n}.code") for n in ("InvoiceTotal", "SubTotal", "TotalTax", "AmountDue")))
-    total = F.coalesce("p.InvoiceTotal.value", "p.AmountDue.value")
-    return p.select(key, F.col("p.InvoiceId").alias("number"), F.col("p.SubTotal.value").alias("subtotal"), total.alias("total"), code.alias("currency"), F.when(total < F.col("p.SubTotal.value"), "low").otherwise("medium").alias("confidence"))
+    total, sub = F.coalesce("p.InvoiceTotal.value", "p.AmountDue.value"), F.col("p.SubTotal.value")
+    names = {"InvoiceId": "number", "VendorName": "supplier", "VendorTaxId": "supplier_tax_id", "CustomerName": "customer", "CustomerTaxId": "customer_tax_id", "InvoiceDate": "issue_date", "DueDate": "due_date"}
+    sure = F.forall(F.array_compact(F.array(*(F.when(F.col(f"p.{n}.value").isNotNull(), F.coalesce(f"p.{n}.confidence", F.lit(0.0))) for n in names))), lambda x: x >= 0.8)
+    return p.select(
+        key, *(F.col(f"p.{n}.value").alias(a) for n, a in names.items()), sub.alias("subtotal"), F.col("p.TotalTax.value").alias("tax"), total.alias("total"), code.alias("currency"), F.when(sure, "high").otherwise("medium").alias("metadata_confidence"),
+        F.when(total < sub, "low").otherwise("medium").alias("confidence"),
+    )
+
+
+def prebuilt_items(payloads: DataFrame, key: str) -> DataFrame:
+    """Line items of stored model results, numbered as they stand."""
+    p = payloads.select(key, F.from_json("payload", PREBUILT).alias("p")).select(key, F.posexplode("p.Items").alias("at", "x"))
+    return p.select(key, (F.col("at") + 1).alias("line_number"), F.col("x.Description.value").alias("description"), F.col("x.Quantity.value").try_cast("decimal(18,2)").alias("quantity"), F.col("x.UnitPrice.value").alias("unit_price"), F.col("x.Amount.value").alias("line_total"))
 
 
 def pairs_by_stem(documents: DataFrame, annotations: DataFrame) -> DataFrame:
-    """path, annotation_path: files (path) of two listings that share their name without folder and ending."""
+    """path, annotation_path: files (path) of two listings, such as of spark.read.format("binaryFile"), that share their name without folder and ending."""
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem")
     return documents.select(stem, "path").join(annotations.select(stem, F.col("path").alias("annotation_path")), "stem")
 

@@ -12,17 +12,22 @@ NORMALIZED = "posted_at date, value_at date, direction string, description strin
 REQUIRED = ["posted_at", "direction", "description", "amount", "currency"]
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """file, text: a row per file."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+
+
+def _lines(files: DataFrame) -> DataFrame:
     """file, l (lines), head (index of the heading: the first line that begins with `date,`, else 0)."""
-    f = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n").alias("l"))
+    f = files.select("file", F.split(F.regexp_replace("text", "^\ufeff", ""), r"\r?\n").alias("l"))
     at = F.array_min(F.transform("l", lambda x, i: F.when(x.rlike("(?i)^date,"), i)))
     return f.withColumn("head", F.coalesce(at, F.lit(0)))
 
 
-def debit_credit(spark: SparkSession, path: str) -> DataFrame:
-    """Statements with Debit and Credit columns below any preamble. Rows without a description or with neither amount go;
+def debit_credit(files: DataFrame) -> DataFrame:
+    """Statements (file, text) with Debit and Credit columns below any preamble. Rows without a description or with neither amount go;
     a credit makes an inflow, even one of 0.00; else the amount is the debit's, negative."""
-    rows = _files(spark, path).select("file", F.split(F.lower(F.get("l", F.col("head"))), r"\s*,\s*").alias("names"), F.posexplode(F.slice("l", F.col("head") + 2, F.size("l"))).alias("row_number", "line"))
+    rows = _lines(files).select("file", F.split(F.lower(F.get("l", F.col("head"))), r"\s*,\s*").alias("names"), F.posexplode(F.slice("l", F.col("head") + 2, F.size("l"))).alias("row_number", "line"))
     rows = rows.where(F.trim("line") != "").withColumn("x", F.from_csv("line", F.lit(CELLS)))
     cells = F.array(*(F.col(f"x.c{i}") for i in range(12)))
     rows = rows.withColumn("cells", cells)
@@ -39,9 +44,9 @@ def debit_credit(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def preamble(spark: SparkSession, path: str) -> DataFrame:
-    """file, details (map of the lines above the heading), period_start, period_end."""
-    f = _files(spark, path)
+def preamble(files: DataFrame) -> DataFrame:
+    """Of statements (file, text): file, details (map of the lines above the heading), period_start, period_end."""
+    f = _lines(files)
     pair = F.transform(F.filter(F.slice("l", 1, F.col("head")), lambda x: x.contains(",")), lambda x: F.struct(F.trim(F.split(x, ",", 2)[0]).alias("k"), F.trim(F.regexp_replace(F.split(x, ",", 2)[1], '^"|"$', "")).alias("v")))
     first = F.filter(pair, lambda p: p["k"] != "")
     f = f.select("file", F.map_from_arrays(F.array_distinct(F.transform(first, lambda p: p["k"])), F.transform(F.array_distinct(F.transform(first, lambda p: p["k"])), lambda k: F.get(F.filter(first, lambda p: p["k"] == k), F.lit(0))["v"])).alias("details"))
@@ -49,18 +54,31 @@ def preamble(spark: SparkSession, path: str) -> DataFrame:
     return f.select("file", "details", S.statement_date(F.get(ends, F.lit(0))).alias("period_start"), S.statement_date(F.get(ends, F.lit(1))).alias("period_end"))
 
 
-def normalized(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Statements with one signed amount column: rows that have all required values, and the rest with what they lack."""
-    rows = spark.read.schema(NORMALIZED).option("header", True).option("enforceSchema", False).csv(path).withColumn("file", F.input_file_name())
-    lacks = F.array_compact(F.array(*(F.when(F.col(n).isNull(), n) for n in REQUIRED)))
-    rows = rows.withColumn("lacks", lacks)
+def normalized(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statements (file, text) with one signed amount column, columns in any order: rows that have all required values, and the rest with what
+    they lack (a value that doesn't parse is lacking)."""
+    rows = files.select("file", F.split(F.regexp_replace("text", "^\ufeff", ""), r"\r?\n").alias("l"))
+    rows = rows.select("file", F.split(F.lower(F.get("l", F.lit(0))), r"\s*,\s*").alias("names"), F.posexplode(F.slice("l", 2, F.size("l"))).alias("row_number", "line")).where(F.trim("line") != "")
+    rows = rows.withColumn("x", F.from_csv("line", F.lit(CELLS))).withColumn("cells", F.array(*(F.col(f"x.c{i}") for i in range(12))))
+    cell = lambda n: F.nullif(F.trim(F.get("cells", F.array_position("names", F.lit(n)).cast("int") - 1)), F.lit(""))
+    fields = [f.strip().split(" ", 1) for f in NORMALIZED.split(", ")]
+    typed = {"date": S.parse_iso_date, "string": lambda v: v, "decimal(18,2)": lambda v: S.parse_decimal(v).cast("decimal(18,2)")}
+    rows = rows.select("file", "row_number", *(typed[kind](cell(n)).alias(n) for n, kind in fields))
+    rows = rows.withColumn("lacks", F.array_compact(F.array(*(F.when(F.col(n).isNull(), n) for n in REQUIRED))))
     return rows.where(F.size("lacks") == 0).drop("lacks"), rows.where(F.size("lacks") > 0)
 
 
-def nested(spark: SparkSession, path: str) -> DataFrame:
-    """Statement JSON (bank_account, statement_import, transactions[]): a row per transaction, account and file beside it."""
+def nested(files: DataFrame) -> DataFrame:
+    """Statement JSON (file, text: bank_account, statement_import, transactions[]): a row per transaction, account and import beside it."""
     tx = "array<struct<posted_at: date, value_at: date, direction: string, raw_description: string, counterparty_name: string, reference: string, currency: string, amount: string, running_balance: string>>"
-    schema = f"bank_account struct<institution_name: string, currency: string, account_identifier_hash: string>, statement_import struct<source_filename: string, currency: string>, transactions {tx}"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select("bank_account.institution_name", F.col("statement_import.source_filename").alias("file"), F.posexplode("transactions").alias("row_number", "t"))
-    money = lambda n: S.parse_decimal(F.col(f"t.{n}")).cast("decimal(18,2)")
-    return rows.select("file", "institution_name", "row_number", "t.posted_at", "t.direction", F.col("t.raw_description").alias("description"), "t.reference", "t.currency", money("amount").alias("amount"), money("running_balance").alias("running_balance"))
+    schema = f"bank_account struct<institution_name: string, currency: string, account_identifier_hash: string>, statement_import struct<source_filename: string, currency: string, opening_balance: string, closing_balance: string>, transactions {tx}"
+    p = files.select("file", F.from_json("text", schema).alias("p"))
+    rows = p.select(
+        "file", "p.bank_account.institution_name", F.col("p.bank_account.currency").alias("account_currency"), "p.bank_account.account_identifier_hash", F.col("p.statement_import.source_filename").alias("source"),
+        S.parse_decimal(F.col("p.statement_import.opening_balance")).cast("decimal(18,2)").alias("opening_balance"), F.posexplode("p.transactions").alias("row_number", "t"),
+    )
+    money = lambda n: S.parse_decimal(F.col(f"t.{n}")).cast("decimal(18,2)").alias(n)
+    return rows.select(
+        "file", "institution_name", "account_currency", "account_identifier_hash", "source", "opening_balance", "row_number", "t.posted_at", "t.value_at", "t.direction", F.col("t.raw_description").alias("description"), "t.counterparty_name",
+        "t.reference", "t.currency", money("amount"), money("running_balance"),
+    )

@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+PARTS = 64
+
+
 def append_new(batch: DataFrame, batch_id: int, path: str, key: list[str]) -> None:
-    """Writes the new rows to their batch's own partition, which a rerun writes over."""
+    """Writes the new rows to their batch's own partition, which a rerun writes over.
+
+    The store is laid out by a hash of the key, and of it only the parts that the batch's keys fall into are read, their key columns alone.
+    """
     spark = batch.sparkSession
-    batch.limit(0).write.mode("overwrite").parquet(f"{path}/batch_id=-1")  # makes the store where there is none
-    seen = spark.read.parquet(path).where(f"batch_id <> {batch_id}").select(key)
-    batch.dropDuplicates(key).join(seen, key, "left_anti").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    rows = batch.dropDuplicates(key).withColumn("key_part", F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int"))
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/batch_id=-1/key_part=-1")  # makes the store where there is none
+    parts = [r[0] for r in rows.select("key_part").distinct().collect()]  # PARTS at most
+    schema = rows.schema.add("batch_id", "integer")
+    seen = spark.read.schema(schema).parquet(path).where((F.col("batch_id") != batch_id) & F.col("key_part").isin(parts)).select(key)
+    new = rows.join(seen, key, "left_anti")
+    new.write.mode("overwrite").partitionBy("key_part").parquet(f"{path}/batch_id={batch_id}")
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, key: list[str]) -> StreamingQuery:
