@@ -44,6 +44,8 @@ SKETCH = 1024
 PARTNERS, PARTNER_BYTES = 256, 1 << 25
 #: A frequent token's list is dealt out in so many parts; of a list with several components, so many entries make a part.
 PARTS, ENTRIES = 16, 2048
+#: From so many documents on a token is frequent enough for that.
+SPLIT = 1024
 #: Entries of a list that are skipped together.
 BLOCK = 64
 #: So many ids (8 bytes each) may be broadcast to pick the texts that are compared; more are joined by a shuffle.
@@ -127,8 +129,8 @@ def unpacked(t: pa.Table, **kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in kinds.items()]
 
 
-def frequent(docs: DataFrame, n: int, shards: int, most: int = MOST_FREQUENT) -> tuple[np.ndarray, int]:
-    """Sorted hashes (below ZONE) of n-grams that stand in many documents, `most` of them or fewer, and the least number that counts as many."""
+def frequent(docs: DataFrame, n: int, shards: int, most: int = MOST_FREQUENT, split: int = SPLIT) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes (below ZONE) of n-grams that stand in many documents, `most` of them or fewer, and of those that stand in `split` or more."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -158,8 +160,9 @@ def frequent(docs: DataFrame, n: int, shards: int, most: int = MOST_FREQUENT) ->
     least = 32
     while got.where(F.col("c") >= least).count() > most:
         least *= 2
-    h = got.where(F.col("c") >= least).select("h").toArrow()["h"].to_numpy().view(np.uint64)
-    return np.sort(h), least
+    got = got.where(F.col("c") >= least).toArrow()
+    h, c = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    return np.sort(h), np.sort(h[c >= split])
 
 
 def described(docs: DataFrame, n: int, percent: int, hot) -> DataFrame:
@@ -192,7 +195,7 @@ def described(docs: DataFrame, n: int, percent: int, hot) -> DataFrame:
 
 
 def postings(nodes: DataFrame, shards: int, hot) -> DataFrame:
-    """The index: lists' entries dealt by token into `shards` groups, those of frequent tokens also by set. nodes: id, n_shingles, share, prefix."""
+    """The index: lists' entries dealt by token into `shards` groups, those of the tokens in hot also by set. nodes: id, n_shingles, share, prefix."""
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = hot.value
@@ -376,17 +379,17 @@ def decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percen
     return rows.groupBy("a", "chunk").applyInArrow(compared, "a bigint, b bigint")
 
 
-def similar(docs: DataFrame, n: int = 3, percent: int = 90, full_list: int = FULL_LIST, most_frequent: int = MOST_FREQUENT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def similar(docs: DataFrame, n: int = 3, percent: int = 90, full_list: int = FULL_LIST, most_frequent: int = MOST_FREQUENT, split: int = SPLIT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text): links are pairs with 100 * both >= percent * either.
 
     Null texts and those without words have an empty set, link with nothing and are their own component; equal texts link; a null
     doc_id has a null component; rows that repeat an id are one node with several sets; other columns are dropped; an empty table gives
-    no rows. The last three arguments choose between plans; the rows don't depend on them.
+    no rows. The last four arguments choose between plans; the rows don't depend on them.
     """
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    hot = spark.sparkContext.broadcast(frequent(docs, n, shards, most_frequent)[0])
-    rows = checkpointed(described(docs, n, percent, hot))
+    often, longest = map(spark.sparkContext.broadcast, frequent(docs, n, shards, most_frequent, split))
+    rows = checkpointed(described(docs, n, percent, often))
     key = ["n_shingles", "f1", "f2"]
     some = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     equal = checkpointed(some.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("share").alias("share"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.max("bytes").alias("bytes")))
@@ -400,7 +403,7 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90, full_list: int = FUL
     # of an id that repeats, the text of the set that the node stands for
     single = texts if not twice.head(1) else one_text(texts, equal, n)
     settled = lambda pairs: decided(pairs, equal, single, n, percent, most_broadcast)
-    met = checkpointed(postings(nodes, shards, hot).groupBy("shard").applyInArrow(lambda t: partners(t, percent, full_list), MET))
+    met = checkpointed(postings(nodes, shards, longest).groupBy("shard").applyInArrow(lambda t: partners(t, percent, full_list), MET))
     first = met.where("tok is null").select("a", "b").unionByName(between_centres(met)).distinct()
     label = checkpointed(components(settled(checkpointed(possible(first, equal, percent))).unionByName(same)))
     long = met.where("tok is not null and share is null").select(F.col("a").alias("id"), "tok", "size", "place").join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")

@@ -52,11 +52,10 @@ def groups(ids, linked):
     return {i: find(i) for i in ids}
 
 
-PLANS = [{}, {"full_list": 100, "most_frequent": 0}, {"full_list": 1, "most_broadcast": 0}]
+PLANS = [(3, 90, {}), (5, 80, {"split": 0}), (3, 90, {"full_list": 100, "most_frequent": 0}), (5, 80, {"full_list": 1, "most_broadcast": 0})]
 
 
-@pytest.mark.parametrize("plan", PLANS)
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("n", "percent", "plan"), PLANS)
 def test_jaccard(spark, n, percent, plan):
     """Both sides of each choice between plans; chains of near copies, whose ends don't link, make lists with several components."""
     rng = np.random.default_rng(n)
@@ -81,7 +80,7 @@ def test_jaccard(spark, n, percent, plan):
 def test_jaccard_splits_lists(spark, monkeypatch):
     """Lists of many parts give the same groups."""
     monkeypatch.setattr(jaccard, "ENTRIES", 3)
-    test_jaccard(spark, 3, 90, {"full_list": 2})
+    test_jaccard(spark, 3, 90, {"full_list": 2, "split": 0})
 
 
 def test_sketches_never_exceed_the_difference():
