@@ -12,11 +12,19 @@ NUMBER_LABELS = ["invoice #", "invoice no", "invoice number", "bill no", "receip
 ISSUE_LABELS = ["invoice date", "date", "data"]
 DUE_LABELS = ["due date", "payment due", "duedate"]
 CUSTOMER_LABELS = ["bill to", "billed to", "customer"]
-TAX_ID_LABELS = ["nif", "vat reg no", "tax id"]
+TAX_ID_LABELS = ["nif", "nipc", "contribuinte", "vat reg no", "tax id"]
 DATE = r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})"
 MONEY = r"(-?[\d.,]*\d)"
-#: description, quantity, total
+#: Rows of items: description, quantity, total; with a unit price before the total; quantity first; and, within running text, quantity x price.
 ITEM = r"^(.*[A-Za-z].*?) (\d+(?:\.\d+)?) (-?[\d,]+\.\d{2})$"
+PRICED_ITEM = r"^(.*[A-Za-z].*?) (\d+(?:\.\d+)?) (-?[\d,]+\.\d{2}) (-?[\d,]+\.\d{2})$"
+COUNTED_ITEM = r"^(\d+(?:\.\d+)?) ?[xX] (.*[A-Za-z].*?) (-?[\d,]+\.\d{2})$"
+RUNNING_ITEM = r"([A-Za-z][A-Za-z ]*?) (\d+) ?[xX@] ([\d,]+\.\d{2}) ([\d,]+\.\d{2})"
+#: What ends a table of items, heads a summary of taxes, and names what was paid.
+AFTER_ITEMS = r"(?i)^(?:sub ?total|grand total|total|tax|iva|vat|cash|card|paid)\b"
+TAX_SUMMARY = r"(?i)\b(?:iva|vat|tax)\b.*\b(?:base|rate|taxa|net|incid)|\b(?:base|taxa|incid\w*)\b.*\b(?:iva|vat)\b"
+PAID = ["amount paid", "paid", "cash", "card", "multibanco"]
+ONLY_FIGURES = r"^(?:[%€$£]?-?[\d.,]+[%€$£]? ?){2,}$"
 
 
 def lines(text: Column) -> Column:
@@ -59,44 +67,73 @@ def header(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", customer)
     top, below = F.slice("l", 1, F.least(F.col("at"), F.lit(18))), F.slice("l", F.col("at") + 1, F.greatest(F.size("l") - F.col("at"), F.lit(0)))
     first = S.day_first_hint(F.col("text"))
-    issue = day(after_label(F.col("l"), ISSUE_LABELS, DATE, r"(?i)due"), first)
+    # without a label the first date of the first twelve lines
+    alone = first_of(F.transform(F.slice("l", 1, 12), lambda x: F.when(~x.rlike("(?i)due|period"), F.nullif(F.regexp_extract(x, DATE, 1), F.lit("")))))
+    issue = day(F.coalesce(after_label(F.col("l"), ISSUE_LABELS, DATE, r"(?i)due"), alone), first)
     dated = F.coalesce(day(after_label(F.col("l"), DUE_LABELS, DATE), first), S.due_by_terms(issue, F.col("text")))
     company = F.filter(top, lambda x: x.rlike(r"(?i)\b(?:ltd|limited|llc|inc|lda|s\.a\.|gmbh|corp)\.?$"))
-    name = F.get(F.filter(F.slice(below, 2, 7), lambda x: x.rlike("[A-Za-z]") & ~x.contains(":")), F.lit(0))
+    likely = lambda x: x.rlike("[A-Za-z]{2}") & ~x.contains(":") & ~x.contains("@") & ~x.rlike(DATE) & ~x.rlike(r"(?i)^(?:invoice|fatura|receipt|bill|page|tel|phone)\b") & (F.length(x) <= 80)
+    name = F.get(F.filter(F.slice(below, 2, 7), likely), F.lit(0))
+    number = F.coalesce(after_label(F.col("l"), NUMBER_LABELS, r"([A-Z0-9][A-Z0-9-]*\d[A-Z0-9-]*)"), number_by_patterns(F.col("l")))
     return rows.select(
-        "doc_id", after_label(F.col("l"), NUMBER_LABELS, r"([A-Z0-9][A-Z0-9-]*\d[A-Z0-9-]*)").alias("number"), F.coalesce(F.get(company, F.lit(0)), F.get(F.slice(top, 1, 8), F.lit(0))).alias("supplier"),
+        "doc_id", number.alias("number"), F.coalesce(F.get(company, F.lit(0)), F.get(F.filter(F.slice(top, 1, 8), likely), F.lit(0))).alias("supplier"),
         after_label(top, TAX_ID_LABELS, r"(\d{9})\b").alias("supplier_tax_id"), name.alias("customer"), after_label(below, TAX_ID_LABELS, r"(\d{9})\b").alias("customer_tax_id"),
         issue.alias("issue_date"), dated.alias("due_date"), S.inferred_currency(F.col("text")).alias("currency"),
     )
 
 
 def totals(docs: DataFrame) -> DataFrame:
-    """doc_id, subtotal, tax (from the difference where none is given), total (the last that is labelled) and confidence."""
-    rows = docs.select("doc_id", lines(F.col("text")).alias("l"))
+    """doc_id, subtotal, tax, total and confidence.
+
+    total: the last that is labelled, rows of tax summaries aside; else what was paid; else the last amount. tax: labelled, else of a VAT
+    table, else total less subtotal. High: labelled and consistent; medium: something is there.
+    """
+    rows = docs.select("doc_id", lines(F.col("text")).alias("every"))
+    rows = rows.withColumn("l", F.filter("every", lambda x: ~x.rlike(TAX_SUMMARY) & ~x.rlike(ONLY_FIGURES)))
     last = after_label(F.col("l"), ["grand total", "amount due", "total"], MONEY, r"(?i)sub ?total|total tax", last=True)
-    rows = rows.select("doc_id", S.clean_money(after_label(F.col("l"), ["subtotal"], MONEY)).alias("subtotal"), S.clean_money(after_label(F.col("l"), ["sales tax", "tax"], MONEY, r"(?i)total|tax id")).alias("given"), S.clean_money(last).alias("total"))
-    tax = F.coalesce("given", S.inferred_tax(F.col("subtotal"), F.col("total")))
-    rows = rows.select("doc_id", "subtotal", tax.alias("tax"), "total")
-    sure = F.col("total").isNotNull() & S.consistent(F.col("subtotal"), F.col("tax"), F.col("total"))
-    return rows.withColumn("confidence", F.when(sure, "high").when(F.coalesce("subtotal", "tax", "total").isNotNull(), "medium").otherwise("unknown"))
+    paid = after_label(F.col("l"), PAID, MONEY, r"(?i)due", last=True)
+    any_ = F.try_element_at(F.flatten(F.transform("l", lambda x: F.regexp_extract_all(x, F.lit(r"(-?\d[\d,]*\.\d{2})(?!\d)"), F.lit(1)))), F.lit(-1))
+    given = after_label(F.col("l"), ["sales tax", "tax", "iva", "vat"], MONEY, r"(?i)total|tax id|reg no|%")
+    rows = rows.select("doc_id", S.clean_money(after_label(F.col("l"), ["subtotal"], MONEY)).alias("subtotal"), F.coalesce(S.clean_money(given), vat_table(F.col("every"))).alias("given"), S.clean_money(last).alias("labelled"), S.clean_money(F.coalesce(paid, any_)).alias("other"))
+    total = F.coalesce("labelled", "other")
+    rows = rows.select("doc_id", "subtotal", F.coalesce("given", S.inferred_tax(F.col("subtotal"), total)).alias("tax"), total.alias("total"), F.col("labelled").isNotNull().alias("sure"))
+    sure = F.col("sure") & S.consistent(F.col("subtotal"), F.col("tax"), F.col("total"))
+    return rows.withColumn("confidence", F.when(sure, "high").when(F.coalesce("subtotal", "tax", "total").isNotNull(), "medium").otherwise("unknown")).drop("sure")
+
+
+def vat_table(rows: Column) -> Column:
+    """The tax of the table below a heading that names tax and base: of the figures in the eight lines after it."""
+    at = place(rows, TAX_SUMMARY)
+    figures = F.flatten(F.transform(F.slice(rows, at + 2, 8), lambda x: F.when(x.rlike(ONLY_FIGURES), F.regexp_extract_all(F.regexp_replace(x, r"[\d.,]+%", ""), F.lit(MONEY), F.lit(1))).otherwise(F.array().cast("array<string>"))))
+    return vat_amount(F.array_compact(F.transform(figures, S.clean_money)))
 
 
 def items(docs: DataFrame) -> DataFrame:
-    """doc_id, line_number, description, quantity, total: rows between the table's heading and the totals; a line with neither goes with the item before it."""
+    """doc_id, line_number, description, quantity, total: rows between the table's heading (or the start) and the totals; a line with neither
+    goes with the item before it. A text of few lines without such rows is searched as running text."""
     rows = docs.select("doc_id", lines(F.col("text")).alias("l"))
-    begin = place(F.col("l"), r"(?i)^(?:description|item)\b")
-    rows = rows.withColumn("begin", begin).withColumn("rest", F.slice("l", F.col("begin") + 2, F.greatest(F.size("l") - F.col("begin") - 1, F.lit(0))))
-    table = F.slice("rest", 1, place(F.col("rest"), r"(?i)^(?:sub ?total|grand total|total|tax)\b"))
-    none = F.array().cast("array<struct<description:string,quantity:string,total:string>>")
+    head = place(F.col("l"), r"(?i)^(?:description|item|qty|artigo)\b")
+    rows = rows.withColumn("begin", F.when(head == F.size("l"), -1).otherwise(head)).withColumn("rest", F.slice("l", F.col("begin") + 2, F.greatest(F.size("l") - F.col("begin") - 1, F.lit(0))))
+    table = F.slice("rest", 1, place(F.col("rest"), AFTER_ITEMS))
+    kind = "struct<description:string,quantity:string,total:string>"
+    none = F.array().cast(f"array<{kind}>")
+    cell = lambda x, p, i: F.nullif(F.regexp_extract(x, p, i), F.lit(""))
+    item = lambda d, q, t: F.struct(d.alias("description"), q.alias("quantity"), t.alias("total"))
+
+    def read(x: Column) -> Column:
+        q, u, t = (cell(x, PRICED_ITEM, i) for i in (2, 3, 4))
+        fits = F.abs(q.try_cast("decimal(18,4)") * S.clean_money(u) - S.clean_money(t)) <= F.lit("0.02").cast("decimal(4,2)")
+        return F.when(fits, item(cell(x, PRICED_ITEM, 1), q, t)).when(x.rlike(COUNTED_ITEM), item(cell(x, COUNTED_ITEM, 2), cell(x, COUNTED_ITEM, 1), cell(x, COUNTED_ITEM, 3))).when(x.rlike(ITEM), item(*(cell(x, ITEM, i) for i in (1, 2, 3))))
 
     def add(done: Column, x: Column) -> Column:
-        found = F.regexp_extract(x, ITEM, 1)
-        item = F.struct(found.alias("description"), F.regexp_extract(x, ITEM, 2).alias("quantity"), F.regexp_extract(x, ITEM, 3).alias("total"))
-        end = F.element_at(done, -1)
-        longer = F.struct(F.concat_ws(" ", end["description"], x).alias("description"), end["quantity"].alias("quantity"), end["total"].alias("total"))
-        return F.when(found != "", F.concat(done, F.array(item))).when(F.size(done) > 0, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(done)
-
-    each = rows.select("doc_id", F.posexplode(F.aggregate(table, none, add)).alias("at", "x"))
+        found, end = read(x), F.element_at(done, -1)
+        longer = item(F.concat_ws(" ", end["description"], x), end["quantity"], end["total"])
+        return F.when(found.isNotNull(), F.concat(done, F.array(found))).when((F.size(done) > 0) & (F.col("begin") >= 0), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(done)
+
+    flat = F.array_join("l", " ")
+    running = F.transform(F.regexp_extract_all(flat, F.lit(RUNNING_ITEM), F.lit(0)), lambda x: item(F.trim(cell(x, RUNNING_ITEM, 1)), cell(x, RUNNING_ITEM, 2), cell(x, RUNNING_ITEM, 4)))
+    rows = rows.withColumn("found", F.aggregate(table, none, add))
+    each = rows.select("doc_id", F.posexplode(F.when((F.size("found") == 0) & (F.size("l") <= 3), running).otherwise(F.col("found"))).alias("at", "x"))
     return each.select("doc_id", (F.col("at") + 1).alias("line_number"), "x.description", F.col("x.quantity").try_cast("decimal(18,2)").alias("quantity"), S.clean_money(F.col("x.total")).alias("total"))
 
 
@@ -109,41 +146,46 @@ def assembled(head: DataFrame, sums: DataFrame, rows: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(F.col("missing") == "", "extracted").otherwise("partial"))
 
 
-def routing(done: DataFrame) -> DataFrame:
-    """Whether each group stands on the rules alone: its required fields are there, and totals are sure."""
+def routing(done: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Where each group comes from: deterministic if its required fields are there (and totals are sure), prebuilt if a stored group is good
+    enough, else needs_model.
+
+    stored: doc_id, group, confidence, correction (one is pending for the group): accepted unless of low confidence or to be corrected.
+    """
     meta = F.col("number").isNotNull() & F.col("supplier").isNotNull() & F.col("issue_date").isNotNull()
     total = F.col("total").isNotNull() & (F.col("confidence") == "high")
-    say = lambda c: F.when(c, "deterministic").otherwise("needs_model")
-    groups = F.create_map(F.lit("metadata"), say(meta), F.lit("totals"), say(total))
-    return done.select("doc_id", F.explode(groups).alias("group", "route"))
+    table = F.col("n_items") > 0
+    rows = done.select("doc_id", F.explode(F.create_map(F.lit("metadata"), meta, F.lit("table"), table, F.lit("totals"), total)).alias("group", "sure"))
+    if stored is None:
+        return rows.select("doc_id", "group", F.when(F.col("sure"), "deterministic").otherwise("needs_model").alias("route"))
+    j = rows.join(stored.withColumnRenamed("confidence", "stored"), ["doc_id", "group"], "left")
+    good = F.coalesce((F.col("stored") != "low") & ~F.col("correction"), F.lit(False))
+    again = F.coalesce(F.col("correction"), F.lit(False))
+    return j.select("doc_id", "group", F.when(F.col("sure") & ~again, "deterministic").when(good, "prebuilt").otherwise("needs_model").alias("route"))
 
 
-def evidence(docs: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
-    """doc_id, field, line_no (from 0, the first line that holds the value, letters and digits alone compared) or state `unresolved`."""
-    key = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
-    rows = docs.select("doc_id", F.transform(lines(F.col("text")), key).alias("l")).join(fields, "doc_id")
-    each = rows.select("doc_id", "l", F.explode(F.map_filter(F.create_map(*(x for n in names for x in (F.lit(n), F.col(n).cast("string")))), lambda k, v: v.isNotNull())).alias("field", "value"))
-    at = F.array_min(F.transform("l", lambda x, i: F.when((key(F.col("value")) != "") & x.contains(key(F.col("value"))), i)))
-    return each.select("doc_id", "field", at.alias("line_no"), F.when(at.isNull(), "unresolved").otherwise("grounded").alias("state"))
+def field_evidence(docs: DataFrame, fields: DataFrame, names: list[str]) -> DataFrame:
+    """doc_id, field, value, line_no, score, state: each field that has a value with the line that speaks most for it, or unresolved."""
+    each = fields.select("doc_id", F.explode(F.map_filter(F.create_map(*(x for n in names for x in (F.lit(n), F.col(n).cast("string")))), lambda k, v: v.isNotNull())).alias("field", "value"))
+    found = graded_evidence(docs, fields, names)
+    return each.join(found, ["doc_id", "field"], "left").withColumn("state", F.when(F.col("score").isNull(), "unresolved").otherwise("grounded"))
 
 
-#: Patterns of invoice numbers, tried in this order on each line.
-NUMBER_PATTERNS = [
-    r"\b(?:fatura|factura)(?:\s*/\s*recibo)?\s*(?:n[º°.]?)?\s*[:#-]?\s*([A-Z0-9][A-Z0-9/-]*\d[A-Z0-9/-]*)",
-    r"\b(?:recibo|doc(?:umento)?)\.?\s*(?:n[º°.]?)?\s*[:#-]?\s*([A-Z0-9][A-Z0-9/-]*\d[A-Z0-9/-]*)",
-    r"\b(?:bill|receipt)\s*no\.?\s*:?\s*([A-Z0-9][A-Z0-9-]*\d[A-Z0-9-]*)",
-    r"\binvoice\s*(?:#|no\.?|number|num)?\s*[#:]*\s*([A-Z0-9][A-Z0-9-]*\d[A-Z0-9-]*)",
-    r"\bno\.?\s*([0-9]{3,})\b",
-]
+#: Words before an invoice number, those tried first first: each with an optional number sign, then a value with a digit.
+NUMBER_WORDS = ["fatura|factura", "recibo|documento|doc", "bill|receipt|ticket", "invoice", ""]
+NUMBER_SIGN = r"(?:n[º°o]?\.?|no\.?|num(?:ber|ero)?\.?|#)"
+NUMBER_VALUE = r"((?-i:[A-Z]{1,4} )?(?=[A-Z0-9/-]*\d)[A-Z0-9]+(?:[/-][A-Z0-9]+)*)"
+NUMBER_PATTERNS = [rf"\b(?:{w})\b\W{{0,3}}(?:{NUMBER_SIGN}\W{{0,3}})?{NUMBER_VALUE}\b" if w else rf"(?:^| ){NUMBER_SIGN}\W{{0,3}}(\d{{3,}})\b" for w in NUMBER_WORDS]
 
 
 def number_by_patterns(rows: Column) -> Column:
-    """The first pattern in order that some line matches, on the first line that it matches."""
+    """The first pattern in order that some line matches, on the first line that it matches; then the same over all lines as one text."""
 
     def tried(p: str) -> Column:
         return first_of(F.transform(rows, lambda x: F.nullif(F.regexp_extract(x, "(?i)" + p, 1), F.lit(""))))
 
-    return F.coalesce(*map(tried, NUMBER_PATTERNS))
+    flat = F.array_join(rows, " ")
+    return F.coalesce(*map(tried, NUMBER_PATTERNS), *(F.nullif(F.regexp_extract(flat, "(?i)" + p, 1), F.lit("")) for p in NUMBER_PATTERNS))
 
 
 def vat_amount(values: Column) -> Column:
@@ -232,3 +274,28 @@ def graded_evidence(docs: DataFrame, fields: DataFrame, names: list[str]) -> Dat
 
     each = rows.select("doc_id", F.inline(F.array(*map(best, names)))).where("top is not null")
     return each.select("doc_id", "field", (-F.col("top.back")).alias("line_no"), "top.score")
+
+
+#: Markers of a page's regions.
+REGIONS = {"table": r"(?i)^(?:description|item|qty|artigo)\b", "totals": r"(?i)^(?:sub ?total|grand total|total|amount due)\b", "bill_to": r"(?i)^(?:bill(?:ed)? to|customer|cliente)\b", "ship_to": r"(?i)^(?:ship to|deliver(?:y|ed) to)\b"}
+
+
+def _marked(marker: str, after: Column):
+    return lambda x, i: F.when(x.rlike(marker) & (i >= after), i)
+
+
+def regions(docs: DataFrame, footer: int = 3) -> DataFrame:
+    """doc_id, line_no, region of each line: table, totals (after a table), bill_to, ship_to, footer (the last lines after the totals), else header."""
+    rows = docs.select("doc_id", lines(F.col("text")).alias("l")).withColumn("n", F.size("l"))
+    for name, marker in REGIONS.items():
+        after = F.when(F.col("table_at") < F.col("n"), F.col("table_at")).otherwise(0) if name == "totals" else F.lit(0)
+        hits = F.transform("l", _marked(marker, after))
+        rows = rows.withColumn(f"{name}_at", F.coalesce(F.array_min(hits), F.col("n")))
+    i = F.col("line_no")
+    each = rows.select("*", F.posexplode("l").alias("line_no", "line"))
+    latest = F.greatest(*(F.when(i >= F.col(f"{r}_at"), F.col(f"{r}_at")).otherwise(-1) for r in REGIONS))
+    end = (i >= F.col("n") - footer) & (i > F.col("totals_at"))
+    region = F.when(end, "footer")
+    for r in REGIONS:
+        region = region.when((latest == F.col(f"{r}_at")) & (latest >= 0), r)
+    return each.select("doc_id", "line_no", region.otherwise("header").alias("region"))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tallyforge.functions import scalars as S
 from tallyforge.operators import documents, opslog, scoring
@@ -30,18 +26,14 @@ projection("scl_25", inv, "SELECT invoice_id, issue_date AS parsed FROM invoices
 projection("scl_26", inv, "SELECT invoice_id, number FROM invoices", lambda: [k, S.canonical_number(F.concat(choose(k, *map(F.lit, ("Fatura ", "fatura recibo ", "", "FT "))), "number")).alias("number")])
 projection("scl_31", inv, "SELECT invoice_id, CASE WHEN invoice_id % 2 = 0 THEN 5.00::DECIMAL(18,2) END AS tax, invoice_id % 4 <> 3 AS consistent FROM invoices", lambda: [k, S.inferred_tax(c("total") + choose(k, F.lit(-5), F.lit(5)), c("total")).alias("tax"), S.consistent(c("total"), choose(k, *(F.lit(x).cast("decimal(4,2)") for x in ("0.01", "0.02", "0.00", "0.03"))), c("total")).alias("consistent")])
 projection("scl_37", steps, "SELECT event_id, greatest(0, ((epoch_us(date_trunc('hour', ts)) + 1800000000 - epoch_us(ts)) + 5) // 10)::DECIMAL(20,0) / 100 AS ms FROM steps", lambda: ["event_id", S.duration_ms(c("ts"), F.date_trunc("hour", "ts") + F.expr("interval 30 minutes")).alias("ms")])
-projection("scl_39", V.table_of("events"), "SELECT event_id, printf('%d.00', (props->>'$.k')::INT) AS n FROM events", lambda: ["event_id", F.coalesce(*(F.get_json_object("props", f"$.{a}") for a in ("count", "n", "k"))).try_cast("decimal(18,2)").cast("string").alias("n")])
 projection("scl_41", lines, "SELECT invoice_id, line_number, part_id, 'spark plugs per hour ' || part_id AS description FROM lines", lambda: [k, "line_number", "part_id", S.line_description(F.concat(F.lit(" SparkPiugs perhour "), c("part_id").cast("string"))).alias("description")])
 
 projection("scl_43", inv, """SELECT invoice_id, '{"before":{"status":"' || status || '"},"after":{"status":"approved","currency":"' || currency || '"}}' AS snapshot FROM invoices""", lambda: [k, F.to_json(F.struct(F.struct("status").alias("before"), F.struct(F.lit("approved").alias("status"), "currency").alias("after"))).alias("snapshot")])
 
 # texts
 LABELS = ("Fatura nº ", "Recibo: ", "Bill No: ", "Invoice # ", "No. ")
-projection("ex_03", inv, "SELECT invoice_id, CASE WHEN invoice_id % 5 = 4 THEN lpad(invoice_id::VARCHAR, 7, '0') ELSE number END AS number FROM invoices", lambda: [k, documents.number_by_patterns(documents.lines(F.concat(F.lit("ACME\nDate 2024\n"), choose(k, *map(F.lit, LABELS)), F.when(c(k) % 5 == 4, F.substr("number", F.lit(5))).otherwise(c("number"))))).alias("number")])
-projection("ex_07", inv, "SELECT invoice_id, CASE WHEN invoice_id % 5 = 0 THEN 0.23::DECIMAL(18,2) ELSE round(total * 0.23, 2)::DECIMAL(18,2) END AS tax FROM invoices", lambda: (lambda tax: [k, documents.vat_amount(F.array(F.lit("0.23").cast("decimal(18,2)"), c("total"), tax, (c("total") + tax + F.when(c(k) % 5 == 0, 1).otherwise(0)).cast("decimal(18,2)"))).alias("tax")])(F.round(c("total") * F.lit("0.23").cast("decimal(3,2)"), 2).cast("decimal(18,2)")))
 projection("wn_05", texts, "SELECT invoice_id AS doc_id, issue_date::VARCHAR AS value FROM invoices", lambda: ["doc_id", documents.after_label(documents.lines(c("text")), documents.ISSUE_LABELS, documents.DATE).alias("value")])
 projection("wn_06", texts, "SELECT invoice_id AS doc_id, lpad(customer_id::VARCHAR, 9, '1') AS value FROM invoices", lambda: ["doc_id", documents.within_lines(documents.lines(c("text")), "(?i)^bill to", r"(?i)^nif\W+(\d{9})$", 3).alias("value")])
-projection("wn_11", texts, "SELECT invoice_id AS doc_id, 9 AS table_at, 10 + coalesce(n, 0) AS totals_at FROM invoices LEFT JOIN (SELECT invoice_id, count(*) AS n FROM lines GROUP BY 1) USING (invoice_id)", lambda: ["doc_id", documents.place(documents.lines(c("text")), r"(?i)^description\b").alias("table_at"), documents.place(documents.lines(c("text")), r"(?i)^(?:sub ?total|total)\b").alias("totals_at")])
 
 
 
@@ -90,21 +82,6 @@ def ev_08(s, d):
     return rows.agg(F.count("*").alias("n"), F.count_if(scoring.near(c("amount"), c("off"))).alias("n_near"), F.count_if(scoring.member(F.array(F.lit("inflow"), F.lit("fee")), c("direction"))).alias("n_member"), F.count_if(scoring.exact(F.lit(None), c("reference"))).alias("n_null"), F.count_if(scoring.at_least(F.lit(0), c("amount"))).alias("n_least"))
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-@query("ev_09", "SELECT invoice_id, invoice_id % 4 = 0 AS exact, invoice_id % 4 <> 3 AS passed FROM invoices")
-def ev_09(s, d):
-    """Names against labels: equal, one's words within the other's, or alike by 0.85; only pairs that are neither reach the Python function."""
-    seen = choose(k, c("customer"), F.concat("customer", F.lit(" Lda")), F.concat(F.lit("x"), "customer"), F.lit("nobody"))
-    rows = inv(s, d).select(k, S.scored_text(c("customer")).alias("e"), S.scored_text(seen).alias("a"))
-    words = lambda n: F.split(n, " ")
-    inside = (F.size(F.array_except(words("e"), words("a"))) == 0) | (F.size(F.array_except(words("a"), words("e"))) == 0)
-    rows = rows.withColumn("plain", F.coalesce(c("e") == c("a"), F.lit(False)) | F.coalesce(inside, F.lit(False)))
-    bare = lambda n: F.when(~c("plain"), F.replace(n, F.lit(" "), F.lit("")))
-    return rows.select(k, c("e").eqNullSafe(c("a")).alias("exact"), (c("plain") | F.coalesce(similarity(bare("e"), bare("a")) >= 0.85, F.lit(False))).alias("passed"))
 
 
 # payloads

@@ -116,3 +116,46 @@ def erased(tables: dict[str, DataFrame], tenant: Column) -> tuple[dict[str, Data
         n = t.agg(F.lit(name).alias("table"), F.count_if(gone).alias("n_erased"))
         receipt = n if receipt is None else receipt.unionByName(n)
     return {name: t.where(~gone) for name, t in tables.items()}, receipt
+
+
+#: Names that a model gives the groups and fields of its output instead of ours (fixed values).
+PARENTS = ["invoiceMetadata", "metadata", "invoice"]
+ISSUERS, BUYERS = ["issuer", "supplier", "vendor"], ["billTo", "customer", "client"]
+ALIASES = {
+    "invoice_number": ["invoice_number", "invoiceNumber", "invoiceNo", "number"], "supplier_name": ["supplier_name", "supplierName", "issuerName", "vendorName"], "supplier_tax_id": ["supplier_tax_id", "supplierTaxId", "issuerTaxId"],
+    "customer_name": ["customer_name", "customerName", "billToName", "clientName"], "customer_tax_id": ["customer_tax_id", "customerTaxId", "billToTaxId"], "issue_date": ["issue_date", "issueDate", "invoiceDate", "date"],
+    "due_date": ["due_date", "dueDate", "paymentDue"], "currency": ["currency", "currencyCode"],
+}
+NESTED = {"supplier_name": (ISSUERS, "name"), "supplier_tax_id": (ISSUERS, "taxId"), "customer_name": (BUYERS, "name"), "customer_tax_id": (BUYERS, "taxId")}
+TABLES = ["line_items", "lineItems", "items", "rows"]
+ITEM_ALIASES = {"description": ["description", "name", "item", "service"], "quantity": ["quantity", "qty"], "unit_price": ["unit_price", "unitPrice", "price", "rate"], "tax_amount": ["tax_amount", "taxAmount", "tax"], "line_total": ["line_total", "lineTotal", "amount", "total"]}
+SUMS = {"subtotal_amount": ["subtotal_amount", "subtotal", "subTotal"], "tax_amount": ["tax_amount", "taxAmount", "tax"], "total_amount": ["total_amount", "totalAmount", "total", "amountDue"]}
+
+
+def _first(payload: Column, paths: list[str]) -> Column:
+    return F.coalesce(*(F.nullif(F.trim(F.get_json_object(payload, p)), F.lit("")) for p in paths))
+
+
+def _two_places(c: Column) -> Column:
+    return F.coalesce(c.try_cast("decimal(18,2)").cast("string"), c)
+
+
+def repaired(payloads: DataFrame, key: str) -> DataFrame:
+    """Header and totals of model output whatever it calls them: the first name that has a text, at the top, in a group, or in a party; numbers
+    become texts of two places. What has neither number nor party nor date is a placeholder."""
+    p = F.col("payload")
+    paths = lambda names: [f"$.{n}" for n in names] + [f"$.{g}.{n}" for g in PARENTS for n in names]
+    party = lambda of, n: [f"{g}.{x}.{n}" for g in ("$", "$.party", "$.parties", *(f"$.{y}" for y in PARENTS)) for x in of]
+    head = {f: _first(p, paths(names) + (party(*NESTED[f]) if f in NESTED else [])) for f, names in ALIASES.items()}
+    sums = {f: _two_places(_first(p, [f"$.{n}" for n in names] + [f"$.{g}.{n}" for g in ("totals", "summary") for n in names])) for f, names in SUMS.items()}
+    rows = payloads.select(key, *(v.alias(f) for f, v in (head | sums).items()))
+    some = F.coalesce("invoice_number", "supplier_name", "customer_name", "issue_date").isNotNull()
+    return rows.withColumn("extraction_status", F.when(some, "extracted").otherwise("placeholder"))
+
+
+def repaired_items(payloads: DataFrame, key: str) -> DataFrame:
+    """Line items of model output: the first array by one of the table's names, fields by theirs; items are numbered as they stand."""
+    array = F.coalesce(*(F.get_json_object("payload", f"{g}.{t}") for g in ("$", "$.table") for t in TABLES))
+    each = payloads.select(key, F.posexplode(F.from_json(array, "array<string>")).alias("at", "item"))
+    cell = lambda names: _first(F.col("item"), [f"$.{n}" for n in names])
+    return each.select(key, (F.col("at") + 1).alias("line_number"), *(cell(n).alias(f) if f == "description" else _two_places(cell(n)).alias(f) for f, n in ITEM_ALIASES.items()))
