@@ -58,15 +58,16 @@ def classified(rows: DataFrame, text: Column, direction: Column, amount: Column,
             continue
         n = sum((F.when(F.col("text_").contains(k.split()[0]), S.keyword(F.col("text_"), k)).otherwise(False).cast("int") for k in r.keywords), F.lit(0))
         found = F.struct(
-            (r.base + n * r.each + F.when(direction == AGREES.get(r.type), 5).otherwise(0)).alias("score"), F.lit(S.CONFIDENCE_RANK[r.confidence]).alias("rank"), n.alias("n"), F.lit(-i).alias("order"),
-            F.lit(r.code).alias("code"), F.lit(r.type).alias("type"), F.lit(r.id).alias("id"), F.lit(r.confidence).alias("confidence"),
+            (r.base + n * r.each + F.when(direction == AGREES.get(r.type), 5).otherwise(0)).alias("score_"), F.lit(S.CONFIDENCE_RANK[r.confidence]).alias("rank_"), n.alias("n_"), F.lit(-i).alias("order_"),
+            F.lit(r.code).alias("code_"), F.lit(r.type).alias("type_"), F.lit(r.id).alias("id_"), F.lit(r.confidence).alias("confidence_"),
         )
         tried.append(F.when((n > 0) & (F.coalesce(direction == r.direction, F.lit(False)) if r.direction else F.lit(True)), found))
-    out = rows.withColumn("best_", F.array_max(F.array(*tried)))
+    # a generator: filters on what it gives aren't put into its place, where all patterns would stand again
+    out = rows.select("*", F.inline(F.array(F.array_max(F.array(*tried)))))
     return out.withColumns({
-        "category": F.coalesce("best_.code", S.fallback_category(direction, amount)), "category_type": F.coalesce("best_.type", S.fallback_type(direction, amount)), "rule_id": F.col("best_.id"),
-        "rule_score": F.coalesce("best_.score", F.lit(0)), "n_keywords": F.coalesce("best_.n", F.lit(0)), "confidence": F.coalesce("best_.confidence", F.lit("low")),
-    }).drop("best_", "text_")
+        "category": F.coalesce("code_", S.fallback_category(direction, amount)), "category_type": F.coalesce("type_", S.fallback_type(direction, amount)), "rule_id": F.col("id_"),
+        "rule_score": F.coalesce("score_", F.lit(0)), "n_keywords": F.coalesce("n_", F.lit(0)), "confidence": F.coalesce("confidence_", F.lit("low")),
+    }).drop("score_", "rank_", "n_", "order_", "code_", "type_", "id_", "confidence_", "text_")
 
 
 #: Codes that a stored label may have, with type (fixed values).

@@ -84,6 +84,37 @@ def near_amounts(invoices: DataFrame, transactions: DataFrame, share: str = "0.1
     return i.join(t, ["tenant_id", "bucket"]).where(F.col("amount").between(F.col("low"), F.col("high"))).select("tenant_id", "invoice_id", "transaction_id", "amount")
 
 
+def count_near(invoices: DataFrame, transactions: DataFrame, share: str = "0.10") -> DataFrame:
+    """invoice_id, n: how many of the tenant's transactions have an amount within a share of the total, where there are any.
+
+    Buckets that lie wholly inside the band count by their size; only those at its ends are compared row by row.
+    """
+    part = F.lit(share).cast("decimal(4,3)")
+    i = invoices.where("total > 0").select("tenant_id", "invoice_id", (F.col("total") * (1 - part)).alias("low"), (F.col("total") * (1 + part)).alias("high"))
+    a, b = amount_bucket(F.col("low")), amount_bucket(F.col("high"))
+    i = i.withColumns({"a": a, "b": b})
+    t = transactions.where("amount > 0").select("tenant_id", "amount", amount_bucket(F.col("amount")).alias("bucket"))
+    inner = i.where("b - a > 3").select("tenant_id", "invoice_id", F.explode(F.sequence(F.col("a") + 2, F.col("b") - 2)).alias("bucket"))
+    whole = inner.join(t.groupBy("tenant_id", "bucket").agg(F.count("*").alias("n")), ["tenant_id", "bucket"]).select("invoice_id", "n")
+    ends = F.filter(F.sequence(F.greatest(F.col("a") - 1, F.lit(0)), F.col("b") + 1), lambda x: (x < F.col("a") + 2) | (x > F.col("b") - 2))
+    edge = i.withColumn("bucket", F.explode(ends)).join(t, ["tenant_id", "bucket"]).where(F.col("amount").between(F.col("low"), F.col("high"))).groupBy("invoice_id").agg(F.count("*").alias("n"))
+    return whole.unionByName(edge).groupBy("invoice_id").agg(F.sum("n").alias("n"))
+
+
+def allocations(ranked: DataFrame) -> DataFrame:
+    """The allocation of each proposal: invoice, transaction, amount (the smaller of both) and status."""
+    p = proposals(ranked).select("invoice_id", "transaction_id", "status")
+    return p.join(ranked.select("invoice_id", "transaction_id", "total", "amount"), ["invoice_id", "transaction_id"]).withColumn("allocated", F.least(F.abs("amount"), "total"))
+
+
+def over_allocated(rows: DataFrame) -> DataFrame:
+    """kind, id, allocated, available of invoices and transactions with allocations(invoice_id, transaction_id, total, amount, allocated) beyond
+    their amount by more than a cent."""
+    cent = F.lit("0.01").cast("decimal(4,2)")
+    side = lambda kind, key, most: rows.groupBy(F.col(key).cast("string").alias("id")).agg(F.sum("allocated").alias("allocated"), F.first(most).alias("available")).select(F.lit(kind).alias("kind"), "id", "allocated", "available")
+    return side("invoice", "invoice_id", F.col("total")).unionByName(side("transaction", "transaction_id", F.abs("amount"))).where(F.col("allocated") > F.col("available") + cent)
+
+
 def _scored(pairs: DataFrame, min_score: int) -> DataFrame:
     s = scores()
     return pairs.where(s["score"] >= min_score).select("tenant_id", "invoice_id", "transaction_id", "total", "amount", *(v.alias(k) for k, v in s.items()))

@@ -31,10 +31,6 @@ def jn_05(s, d):
     return R.found(s, d).join(proposals(s, d).select("invoice_id", "transaction_id"), ["invoice_id", "transaction_id"], "left_anti").select("invoice_id", "transaction_id", "score")
 
 
-@scored("jn_06", "SELECT t.transaction_id, count(k.invoice_id) AS n_matches, max(k.score) AS best FROM transactions t LEFT JOIN kept k USING (transaction_id) GROUP BY 1")
-def jn_06(s, d):
-    m = R.found(s, d).groupBy("transaction_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-    return tx(s, d).select("transaction_id").join(m, "transaction_id", "left").select("transaction_id", F.coalesce("n", F.lit(0)).alias("n_matches"), "best")
 
 
 @scored("bd_06", "SELECT invoice_id, sum(abs(amount)) AS allocated, any_value(total) - sum(abs(amount)) AS difference, CASE WHEN count(*) > 1 THEN 'one_to_many' ELSE 'one_to_one' END AS match_type FROM kept GROUP BY 1")
@@ -43,11 +39,6 @@ def bd_06(s, d):
     return g.select("invoice_id", "allocated", (c("total") - c("allocated")).alias("difference"), F.when(c("n") > 1, "one_to_many").otherwise("one_to_one").alias("match_type"))
 
 
-@scored("vl_09", "SELECT transaction_id, sum(total) AS allocated, any_value(abs(amount)) AS available FROM ranked WHERE rn = 1 GROUP BY 1 HAVING sum(total) > any_value(abs(amount)) + 0.01")
-def vl_09(s, d):
-    """Transactions that are allocated beyond their amount."""
-    best = reconcile.best(R.found(s, d))
-    return best.groupBy("transaction_id").agg(F.sum("total").alias("allocated"), F.first(F.abs("amount")).alias("available")).where(c("allocated") > c("available") + F.lit("0.01").cast("decimal(4,2)"))
 
 
 ACTIVE = "SELECT invoice_id, transaction_id FROM ranked WHERE rn = 1 AND invoice_id NOT IN (SELECT invoice_id FROM invoices WHERE invoice_id % 3 = 0)"
@@ -67,27 +58,10 @@ def flt_04(s, d):
     return rows.select("transaction_id", F.when(c("b") == "proposed", "matched").when(c("b").isNotNull(), "review").otherwise("unmatched").alias("state"))
 
 
-@scored("bd_08", """SELECT 'invoice_extraction' AS task_type, invoice_id::VARCHAR AS target, 'high' AS priority FROM invoices WHERE status = 'pending_review'
- UNION ALL SELECT 'reconciliation', invoice_id || ':' || transaction_id, 'normal' FROM ranked WHERE rn = 1 AND (n_candidates > 1 OR score < 85)""")
-def bd_08(s, d):
-    a = inv(s, d).where("status = 'pending_review'").select(F.lit("invoice_extraction").alias("task_type"), c("invoice_id").cast("string").alias("target"), F.lit("high").alias("priority"))
-    b = proposals(s, d).where("status = 'pending_review'").select(F.lit("reconciliation").alias("task_type"), F.concat_ws(":", c("invoice_id").cast("string"), "transaction_id").alias("target"), F.lit("normal").alias("priority"))
-    return a.unionByName(b)
 
 
-@scored("bd_16", "SELECT tenant_id, count(*) AS n, count(*) FILTER (NOT (n_candidates = 1 AND score >= 85 AND abs(abs(amount) - total) <= 0.01)) AS n_review FROM ranked WHERE rn = 1 GROUP BY 1")
-def bd_16(s, d):
-    """The review policy: a pair goes on only alone, at 85 or more, and to the cent."""
-    sure = (c("n_candidates") == 1) & (c("score") >= 85) & (F.abs(F.abs("amount") - c("total")) <= F.lit("0.01").cast("decimal(4,2)"))
-    return reconcile.best(R.found(s, d)).groupBy("tenant_id").agg(F.count("*").alias("n"), F.count_if(~sure).alias("n_review"))
 
 
-@scored("ev_04", "SELECT i.tenant_id, count(*) AS n, count(r.invoice_id) AS n_found, count(*) FILTER (r.transaction_id = 'T' || i.invoice_id) AS n_right FROM invoices i LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (invoice_id) GROUP BY 1")
-def ev_04(s, d):
-    """Recall of the payment that each invoice is known to have."""
-    got = reconcile.best(R.found(s, d)).select("invoice_id", "transaction_id")
-    j = inv(s, d).select("tenant_id", "invoice_id").join(got, "invoice_id", "left")
-    return j.groupBy("tenant_id").agg(F.count("*").alias("n"), F.count("transaction_id").alias("n_found"), F.count_if(c("transaction_id") == F.concat(F.lit("T"), c("invoice_id").cast("string"))).alias("n_right"))
 
 
 

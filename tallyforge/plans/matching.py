@@ -14,21 +14,8 @@ from tallyforge.sources import views as V
 c, inv, tx, lines, steps = F.col, V.invoices, V.transactions, V.invoice_lines, V.steps
 
 BAND = "abs(t.amount) BETWEEN i.total - greatest(i.total / 100, 1) - 1 AND i.total + greatest(i.total / 100, 1) + 1"
-QUERIES["jn_02"] = lambda s, d: reconcile.scored_pairs(inv(s, d).withColumn("account_id", c("customer_id")), tx(s, d), "account_id")
-ORACLES["jn_02"] = R.scored("SELECT * FROM kept").replace(BAND, "i.customer_id = t.account_id").replace("score >= 70", "score >= 1").replace("diff <= greatest(total / 20, 5)", "diff * 20 <= greatest(total, 100)")
 
 
-@query("jn_03", """SELECT invoice_id, coalesce(w.n, least(100, t.n)) AS n_candidates, CASE WHEN w.n IS NULL THEN 'recent' ELSE 'window' END AS origin FROM invoices i
- LEFT JOIN (SELECT invoice_id, count(*) AS n FROM invoices i JOIN transactions t ON i.tenant_id = t.tenant_id AND t.amount BETWEEN total * 0.9 AND total * 1.1 GROUP BY 1) w USING (invoice_id)
- LEFT JOIN (SELECT tenant_id, count(*) AS n FROM transactions GROUP BY 1) t USING (tenant_id)""")
-def jn_03(s, d):
-    """Transactions within a tenth of the total; an invoice without any gets the tenant's 100 latest."""
-    i, t = inv(s, d), tx(s, d)
-    near = reconcile.near_amounts(i, t).groupBy("invoice_id").agg(F.count("*").alias("n"))
-    latest = Window.partitionBy("tenant_id").orderBy(F.desc("posted_at"), "transaction_id")
-    recent = t.select("tenant_id", "transaction_id", F.row_number().over(latest).alias("rn")).where("rn <= 100")
-    rest = i.select("tenant_id", "invoice_id").join(near, "invoice_id", "left_anti").join(recent, "tenant_id").groupBy("invoice_id").agg(F.count("*").alias("n_candidates"))
-    return near.select("invoice_id", c("n").alias("n_candidates"), F.lit("window").alias("origin")).unionByName(rest.withColumn("origin", F.lit("recent")))
 
 
 CODES = ["software_hosting", "rent", "payroll", "bank_fees", "sales", "marketing"]
@@ -36,21 +23,8 @@ CODES = ["software_hosting", "rent", "payroll", "bank_fees", "sales", "marketing
 
 
 
-@query("jn_10", "SELECT DISTINCT doc_id, event_id FROM documents JOIN steps ON user_id = doc_id OR event_id = doc_id OR event_id = doc_id * 3 WHERE agent <> 'view'")
-def jn_10(s, d):
-    """Events that touch a document, its run or its invoice: three equi-joins instead of one on alternatives."""
-    docs, e = V.table(s, d, "documents").select("doc_id"), steps(s, d).where("agent <> 'view'").select("event_id", "user_id")
-    found = [docs.join(e, c("user_id") == c("doc_id")), docs.join(e, c("event_id") == c("doc_id")), docs.join(e, c("event_id") == c("doc_id") * 3)]
-    return found[0].unionByName(found[1]).unionByName(found[2]).select("doc_id", "event_id").distinct()
 
 
-@query("jn_12", """SELECT invoice_id, n AS line_number, net, CASE WHEN net IS NULL THEN 'missing' ELSE 'present' END AS state FROM (SELECT invoice_id, unnest([1, 2]) AS n FROM invoices)
- LEFT JOIN (SELECT invoice_id, line_number AS n, arg_max(net, (part_id, supplier_id, net)) AS net FROM lines GROUP BY 1, 2) USING (invoice_id, n)""")
-def jn_12(s, d):
-    """Expected lines against actual ones by number; of repeated actual lines the last wins, by a partial aggregate."""
-    last = lines(s, d).groupBy("invoice_id", "line_number").agg(F.max_by("net", F.struct("part_id", "supplier_id", "net")).alias("net"))
-    expected = inv(s, d).select("invoice_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("line_number"))
-    return expected.join(last, ["invoice_id", "line_number"], "left").select("invoice_id", "line_number", "net", F.when(c("net").isNull(), "missing").otherwise("present").alias("state"))
 
 
 @scored("jn_13", """SELECT invoice_id, arg_min(transaction_id, (-score, transaction_id)) AS transaction_id FROM kept k JOIN invoices i USING (invoice_id) JOIN transactions t USING (transaction_id)

@@ -22,11 +22,6 @@ c, inv, tx, lines, steps = F.col, V.invoices, V.transactions, V.invoice_lines, V
 
 
 
-@query("bd_02", "SELECT invoice_id, customer || coalesce(' ' || p, '') AS text FROM invoices LEFT JOIN (SELECT invoice_id, string_agg('Part ' || part_id, ' ' ORDER BY line_number, part_id) AS p FROM lines GROUP BY 1) USING (invoice_id)")
-def bd_02(s, d):
-    parts = lines(s, d).groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "part_id"))).alias("p"))
-    words = F.array_join(F.transform("p", lambda x: F.concat(F.lit("Part "), x["part_id"].cast("string"))), " ")
-    return inv(s, d).join(parts, "invoice_id", "left").select("invoice_id", S.descriptor(c("customer"), words).alias("text"))
 
 
 @scored("bd_07", """SELECT i.invoice_id, concat_ws(',', CASE WHEN total - l > 0.01 THEN 'line_sum_below_total' END, CASE WHEN n_candidates IS NULL THEN 'no_matching_transaction' WHEN n_candidates > 1 THEN 'ambiguous_match' WHEN score < 85 THEN 'low_confidence_match' END) AS reasons
@@ -43,19 +38,8 @@ def bd_07(s, d):
 
 
 
-@query("ev_06", "SELECT tenant_id, count(*) FILTER (status = 'pending_review' AND invoice_id % 10 = 0) AS missing, count(*) FILTER (status = 'extracted' AND invoice_id % 10 = 0) AS unexpected FROM invoices WHERE status = 'pending_review' OR (status = 'extracted' AND invoice_id % 10 = 0) GROUP BY 1")
-def ev_06(s, d):
-    """Tasks that should be against those that are: a full join on the task's key."""
-    i = inv(s, d)
-    expected = i.where("status = 'pending_review'").select("tenant_id", "invoice_id", F.lit(1).alias("e"))
-    actual = i.where("(status = 'pending_review' AND invoice_id % 10 <> 0) OR (status = 'extracted' AND invoice_id % 10 = 0)").select("tenant_id", "invoice_id", F.lit(1).alias("a"))
-    return expected.join(actual, ["tenant_id", "invoice_id"], "full_outer").groupBy("tenant_id").agg(F.count_if(c("a").isNull()).alias("missing"), F.count_if(c("e").isNull()).alias("unexpected"))
 
 
-@query("jn_09", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS last_event, count(*) AS n_steps, count(*) FILTER (failed) AS failures FROM steps GROUP BY 1")
-def jn_09(s, d):
-    """A run's lineage: its last step and totals in one pass."""
-    return steps(s, d).groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"), F.count("*").alias("n_steps"), F.count_if("failed").alias("failures"))
 
 
 @query("flt_09", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT invoice_id FROM invoices) AND doc_id IN (SELECT user_id FROM (SELECT user_id, failed, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM steps) WHERE rn = 1 AND failed)")

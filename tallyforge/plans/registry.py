@@ -96,19 +96,12 @@ def bd_05(s, d):
 
 QUERIES["bd_05"] = bd_05
 ORACLES["bd_05"] = scored("SELECT i.invoice_id, CASE WHEN n_candidates IS NULL THEN 'no_matching_transaction' WHEN n_candidates > 1 THEN 'ambiguous_match' WHEN score < 85 THEN 'low_confidence_match' ELSE 'ready' END AS decision FROM invoices i LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (invoice_id)")
-QUERIES["jn_04"] = lambda s, d: tx(s, d).select("transaction_id").join(found(s, d).select("transaction_id", F.lit(True).alias("hit")).distinct(), "transaction_id", "left").select("transaction_id", F.when(c("hit"), "matched").otherwise("unmatched").alias("state"))
-ORACLES["jn_04"] = scored("SELECT transaction_id, CASE WHEN transaction_id IN (SELECT transaction_id FROM kept) THEN 'matched' ELSE 'unmatched' END AS state FROM transactions")
 QUERIES["so_06"] = lambda s, d: tx(s, d).join(found(s, d), "transaction_id", "left_anti").select("transaction_id", "amount")
 ORACLES["so_06"] = scored("SELECT transaction_id, amount FROM transactions WHERE transaction_id NOT IN (SELECT transaction_id FROM kept)")
 QUERIES["tk_01"] = lambda s, d: found(s, d).withColumn("place", F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("score"), "transaction_id", "invoice_id"))).where("place <= 20").select("tenant_id", "place", "transaction_id", "invoice_id", "score")
 ORACLES["tk_01"] = scored("SELECT tenant_id, place, transaction_id, invoice_id, score FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY score DESC, transaction_id, invoice_id) AS place FROM kept) WHERE place <= 20")
 
 
-@query("jn_07", "SELECT i.invoice_id, i.total, n_lines, line_net FROM invoices i LEFT JOIN (SELECT invoice_id, count(*) AS n_lines, sum(net) AS line_net FROM lines GROUP BY invoice_id) USING (invoice_id)")
-def jn_07(s, d):
-    """Children are summed before they join, so no row fans out."""
-    sums = lines(s, d).groupBy("invoice_id").agg(F.count("*").alias("n_lines"), F.sum("net").alias("line_net"))
-    return inv(s, d).join(sums, "invoice_id", "left").select("invoice_id", "total", "n_lines", "line_net")
 
 
 # aggregations
@@ -148,4 +141,4 @@ query("op_06", "SELECT tenant_id, round(count(*) FILTER (agent = 'purchase') / c
 # alert windows: batch twins of the streams
 query("sm_11", "SELECT event_id, tenant_id FROM steps WHERE failed")(lambda s, d: alerts.new_failures(V.steps(s, d)).select("event_id", "tenant_id"))
 
-from tallyforge.plans import checks, decisions, extraction, intake, ledger, matching, operations, parsing, policies, rules, texts, watch  # noqa: E402, F401  (they add their queries)
+from tallyforge.plans import checks, decisions, extraction, intake, ledger, links, matching, operations, parsing, policies, rules, texts, watch  # noqa: E402, F401  (they add their queries)
