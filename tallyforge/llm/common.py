@@ -48,9 +48,12 @@ def remainder_of_id(doc_id: Column, m: int) -> Column:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is named (tests), a new local one."""
+    """The shared folder of the session; on one machine (tests) a new local one where none is named, on a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return root

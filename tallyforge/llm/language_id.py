@@ -244,4 +244,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 keep.append(has & (share.max(1, initial=0) >= 0.3) & (fits > 0))
             yield b.select(list(range(last))).filter(pa.array(np.concatenate(keep)))
 
-    return docs.select("*", F.col("text").cast("string").alias("text as string")).mapInArrow(kept, docs.schema)
+    other = "t" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    return docs.select("*", F.col("text").cast("string").alias(other)).mapInArrow(kept, docs.schema)
