@@ -41,7 +41,7 @@ MOST_FREQUENT = 1 << 20
 #: more than the threshold allows go unread. A sketch folds to half its bits, as sets in a pair may lie on either side of a power.
 SKETCH = 1024
 #: Texts of this many partners, or of so many bytes, are compared with a set in one task.
-PARTNERS, PARTNER_BYTES = 256, 1 << 25
+PARTNERS, PARTNER_BYTES = 256, 1 << 23
 #: A frequent token's list is dealt out in so many parts; of a list with several components, so many entries make a part.
 PARTS, ENTRIES = 16, 2048
 #: From so many documents on a token is frequent enough for that.
@@ -365,15 +365,14 @@ def decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percen
     rows = wanted.join(texts.join(ids, "id", "left_semi"), "id")
 
     def compared(t: pa.Table) -> pa.Table:
-        ids, a = t["id"].to_numpy(), t["a"][0].as_py()
-        own, out = None, []
-        got = dict(zip(ids.tolist(), sets(t["text"].combine_chunks(), n), strict=True))
-        own = got.pop(a)
-        for b, s in got.items():
-            at = np.searchsorted(own, s)
-            both = int((own[np.minimum(at, len(own) - 1)] == s).sum())
-            if 100 * both >= percent * (len(own) + len(s) - both):
-                out.append(b)
+        ids, a, text = t["id"].to_pylist(), t["a"][0].as_py(), t["text"].combine_chunks()
+        own, out = next(sets(text.slice(ids.index(a), 1), n)), []
+        for b, s in zip(ids, sets(text, n), strict=True):  # one set at a time
+            if b != a:
+                at = np.searchsorted(own, s)
+                both = int((own[np.minimum(at, len(own) - 1)] == s).sum())
+                if 100 * both >= percent * (len(own) + len(s) - both):
+                    out.append(b)
         return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
     return rows.groupBy("a", "chunk").applyInArrow(compared, "a bigint, b bigint")
