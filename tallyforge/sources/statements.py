@@ -24,11 +24,16 @@ def _lines(files: DataFrame) -> DataFrame:
     return f.withColumn("head", F.coalesce(at, F.lit(0)))
 
 
+def parsed(rows: DataFrame) -> DataFrame:
+    """rows(line, ...) with the line's cells as struct x. A generator: without it the parser would stand in the plan once for each use of a cell."""
+    return rows.select("*", F.explode(F.array(F.from_csv("line", F.lit(CELLS)))).alias("x"))
+
+
 def debit_credit(files: DataFrame) -> DataFrame:
     """Statements (file, text) with Debit and Credit columns below any preamble. Rows without a description or with neither amount go;
     a credit makes an inflow, even one of 0.00; else the amount is the debit's, negative."""
     rows = _lines(files).select("file", F.split(F.lower(F.get("l", F.col("head"))), r"\s*,\s*").alias("names"), F.posexplode(F.slice("l", F.col("head") + 2, F.size("l"))).alias("row_number", "line"))
-    rows = rows.where(F.trim("line") != "").withColumn("x", F.from_csv("line", F.lit(CELLS)))
+    rows = parsed(rows.where(F.trim("line") != ""))
     cells = F.array(*(F.col(f"x.c{i}") for i in range(12)))
     rows = rows.withColumn("cells", cells)
 
@@ -59,7 +64,7 @@ def normalized(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     they lack (a value that doesn't parse is lacking)."""
     rows = files.select("file", F.split(F.regexp_replace("text", "^\ufeff", ""), r"\r?\n").alias("l"))
     rows = rows.select("file", F.split(F.lower(F.get("l", F.lit(0))), r"\s*,\s*").alias("names"), F.posexplode(F.slice("l", 2, F.size("l"))).alias("row_number", "line")).where(F.trim("line") != "")
-    rows = rows.withColumn("x", F.from_csv("line", F.lit(CELLS))).withColumn("cells", F.array(*(F.col(f"x.c{i}") for i in range(12))))
+    rows = parsed(rows).withColumn("cells", F.array(*(F.col(f"x.c{i}") for i in range(12))))
     cell = lambda n: F.nullif(F.trim(F.get("cells", F.array_position("names", F.lit(n)).cast("int") - 1)), F.lit(""))
     fields = [f.strip().split(" ", 1) for f in NORMALIZED.split(", ")]
     typed = {"date": S.parse_iso_date, "string": lambda v: v, "decimal(18,2)": lambda v: S.parse_decimal(v).cast("decimal(18,2)")}

@@ -47,11 +47,14 @@ def test_scored_scalars(spark):
 
 
 def test_payload_edges(spark):
-    rows = spark.createDataFrame([(1, '{"totals": {"total": "5.00", "currency": "EUR"}}'), (2, "broken"), (3, None), (4, '{"line_items": [{"line_number": 1, "total": "x"}]}')], "id int, payload string")
-    got = {r.id: (r.currency, r.total, r.line_number) for r in payloads.invoice_items(rows, "id").collect()}
-    assert got == {1: ("EUR", Decimal("5.00"), None), 2: (None, None, None), 3: (None, None, None), 4: (None, None, 1)}
-    scans = spark.createDataFrame([(1, '{"paragraphs": [{"content": "a"}, {"content": " "}]}'), (2, '{"pages": [{"page": 2, "lines": [{"content": "b"}]}]}'), (3, "{}")], "id int, payload string")
-    assert sorted((r.id, r.content, r.page) for r in payloads.scan_blocks(scans, "id").collect()) == [(1, "a", 1), (2, "b", 2)]
+    given = ['{"totals": {"total_amount": "5.00", "currency": "EUR"}}', "broken", None, '{"table": {"line_items": [{"line_number": 1, "line_total": "x"}]}, "metadata": {"currency": "USD"}}']
+    rows = spark.createDataFrame(list(enumerate(given, 1)), "id int, payload string")
+    assert {r.id: (r.currency, r.total_amount) for r in payloads.invoice_groups(rows, "id").collect()} == {1: ("EUR", "5.00"), 2: (None, None), 3: (None, None), 4: ("USD", None)}
+    assert {r.id: (r.line_number, r.line_total) for r in payloads.invoice_items(rows, "id").collect()} == {1: (None, None), 2: (None, None), 3: (None, None), 4: (1, None)}
+    scans = ['{"paragraphs": [{"content": "a"}, {"content": " "}]}', '{"pages": [{"page": 2, "confidence": 0.5, "lines": [{"content": "b"}]}, {"page": 3}]}', "{}", '{"rec_texts": ["c", "d"], "rec_scores": [0.5]}']
+    got = payloads.scan_blocks(spark.createDataFrame(list(enumerate(scans, 1)), "id int, payload string"), "id").collect()
+    assert sorted((r.id, r.block_no, r.content, r.page, r.confidence, r.scan_confidence) for r in got if r.id != 4) == [(1, 1, "a", 1, None, None), (2, 1, "b", 2, None, 0.5)]
+    assert sorted((r.content, r.confidence) for r in got if r.id == 4) == [("c", 0.5), ("d", None)]
 
 
 def test_report_and_erasure(spark, tmp_path):
