@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -199,3 +200,33 @@ def ev_09(s, d):
     rows = rows.withColumn("plain", plain)
     open_ = lambda n: F.when(kind("company") & ~c("plain"), c(n))
     return rows.select(k, "field", "exact", (c("plain") | F.coalesce(similarity(open_("e"), open_("a")) >= 0.85, F.lit(False))).alias("lenient"))
+
+
+@query(
+    "ag_08",
+    """SELECT doc_id, block // 5 AS region, count(*) AS n_blocks, string_agg(line, chr(10) ORDER BY block) AS text, min(block) AS first_block, max(block) AS last_block, round(avg(CASE WHEN block % 3 <> 0 THEN (block % 10) / 10.0 END), 6) AS confidence
+       FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE trim(line) <> '') GROUP BY 1, 2""",
+)
+def ag_08(s, d):
+    """The blocks of each region (five blocks here) as one: text in order, first and last block, mean confidence of those that have one."""
+    rows = V.table(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("block", "line"))
+    sure = F.when(c("block") % 3 != 0, (c("block") % 10) / 10.0)
+    g = rows.groupBy("doc_id", F.floor(c("block") / 5).alias("region")).agg(
+        F.count("*").alias("n_blocks"), F.array_sort(F.collect_list(F.struct("block", "line"))).alias("b"), F.min("block").alias("first_block"), F.max("block").alias("last_block"), F.round(F.avg(sure), 6).alias("confidence")
+    )
+    return g.select("doc_id", "region", "n_blocks", F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("text"), "first_block", "last_block", "confidence")
+
+
+@query(
+    "wn_07",
+    """SELECT doc_id, item, count(*) AS n_lines, string_agg(line, ' ' ORDER BY pos) AS text FROM (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS item FROM (
+       SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)) GROUP BY 1, 2""",
+)
+def wn_07(s, d):
+    """Lines that open with no capital are appended to the item before them; a document's lines are one row's."""
+    rows = V.table(s, d, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    opens = F.transform("l", lambda x: x.rlike("^[A-Z]"))
+    each = rows.withColumn("o", opens).select("doc_id", F.posexplode(F.arrays_zip("l", "o")).alias("pos", "x"))
+    item = F.count_if(c("x.o")).over(Window.partitionBy("doc_id").orderBy("pos"))
+    g = each.withColumn("item", item).groupBy("doc_id", "item").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("pos", c("x.l").alias("line")))).alias("b"))
+    return g.select("doc_id", "item", "n_lines", F.array_join(F.transform("b", lambda x: x["line"]), " ").alias("text"))
