@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embeddings, html_text, jaccard, kneser_ney, language_id, licenses, packing, quotes, secrets
+from . import collocations, decontamination, embeddings, html_text, jaccard, kneser_ney, language_id, licenses, packing, quotes, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_html_text": html_text.op9_html_text,
     "op10_licenses": licenses.op10_licenses,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -65,4 +66,19 @@ q AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT ite
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)""",
+    "op13_collocations": r"""
+WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS a
+      FROM p, (VALUES (1), (2), (3), (4), (5)) AS ks(k), unnest(range(1, greatest(1, len(w) - k + 2))) AS u(i) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+inside AS (SELECT DISTINCT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, a AS longer FROM c, (VALUES (2), (3), (4)) AS sizes(s), unnest(range(1, greatest(1, k - s + 2))) AS u(i) WHERE s < k),
+alone AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inside AS x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.longer >= 100 * c.a)),
+cuts AS (SELECT alone.lang, alone.phrase, alone.a, x.a AS l, y.a AS r, t.n, j, 1000 * alone.a * t.n // (x.a * y.a) AS score
+         FROM alone JOIN t USING (lang), unnest(range(1, alone.k)) AS u(j), g AS x, g AS y
+         WHERE x.lang = alone.lang AND y.lang = alone.lang AND x.phrase = array_to_string(alone.w[1 : j], ' ') AND y.phrase = array_to_string(alone.w[j + 1 :], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
