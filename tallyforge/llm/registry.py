@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontamination, embeddings, html_text, jaccard, kneser_ney, language_id, licenses, packing, quotes, secrets
+from . import collocations, decontamination, embeddings, html_text, jaccard, kneser_ney, language_id, licenses, merkle, packing, pii, quotes, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_html_text": html_text.op9_html_text,
     "op10_licenses": licenses.op10_licenses,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_pii": pii.op12_pii,
     "op13_collocations": collocations.op13_collocations,
 }
 
@@ -66,6 +68,30 @@ q AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT ite
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, sha256(concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+  sha256(concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-'), coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))) AS cut,
+  xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 2 = 0 AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS many FROM d),
+tree AS (SELECT source, 0 AS level, place AS i, leaf AS h, many AS n FROM l
+         UNION ALL SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, level, n, i // 3),
+sub AS (SELECT source, level AS top, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+forest AS (SELECT 0 AS level, i, h, n FROM sub UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM forest WHERE n > 1 GROUP BY level, n, i // 3),
+every AS (SELECT source, level, i, h FROM tree WHERE n > 1),
+own AS (SELECT a.source, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lo, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS hi
+        FROM every AS a JOIN every AS b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.i // 3 = b.i // 3 GROUP BY ALL),
+shared AS (SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lo, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS hi
+           FROM forest AS a JOIN forest AS b ON a.level = b.level AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY ALL),
+up AS (SELECT source, place AS leaf_place, 0 AS level, place AS i, CASE WHEN tampered THEN cut ELSE leaf END AS h, '' AS proof FROM l
+       UNION ALL SELECT up.source, leaf_place, up.level + 1, up.i // 3, sha256(concat(lo, h, hi)), concat(proof, lo, hi) FROM up JOIN own ON up.source IS NOT DISTINCT FROM own.source AND up.level = own.level AND up.i = own.i),
+over AS (SELECT up.source, leaf_place, 0 AS level, sub.i, up.h, proof FROM up JOIN sub ON up.source IS NOT DISTINCT FROM sub.source AND up.level = sub.top
+         UNION ALL SELECT source, leaf_place, over.level + 1, over.i // 3, sha256(concat(lo, h, hi)), concat(proof, lo, hi) FROM over JOIN shared ON over.level = shared.level AND over.i = shared.i),
+root AS (SELECT level, h FROM forest WHERE n = 1)
+SELECT l.doc_id, l.leaf, sub.h AS subroot, root.h AS root, sha256(over.proof) AS proof_sha256, over.h AS folded_root, over.h = root.h AS verified
+FROM l JOIN sub ON l.source IS NOT DISTINCT FROM sub.source JOIN root ON true JOIN over ON over.source IS NOT DISTINCT FROM l.source AND over.leaf_place = l.place AND over.level = root.level""",
     "op13_collocations": r"""
 WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
