@@ -122,7 +122,7 @@ def cards_in_runs(text: str, begin: int, end: int) -> Iterator[tuple[int, int]]:
             if j >= len(groups) or (j > k and any(e - s != 4 for s, e in groups[k : j + 1])):
                 continue
             digits = "".join(text[s:e] for s, e in groups[k : j + 1])
-            if 12 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits) and len(set(digits)) > 2:
+            if 12 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits) and len(set(digits)) > 1:
                 yield groups[k][0], groups[j][1]
                 k = j
                 break
