@@ -1,13 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
 Pass 1 decides blocks by link density, length and stop-word density; where a block stands (menus,
-footers, ..., articles) shifts its limits. Short blocks and middling ones stay open. Pass 2 gives each
+footers, ..., articles) shifts its limits. What the names of an element say counts only as long as the
+running text of the page doesn't speak against it: an element around the article is its wrapper,
+whatever its name. Short blocks and middling ones stay open. Pass 2 gives each
 open block the label of its nearest decided neighbours: the nearer one decides, the one before on a
 tie. Pages are scanned once from left to right, in time that is linear in their length.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import Counter
@@ -35,13 +38,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav header footer aside form dialog menu fieldset".split())
 GOOD_TAGS = frozenset(["article", "main"])
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|widget|comments?|commentlist|respond|cookies?|consent|notices?|gdpr|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|pagination|pager|"
-    r"footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|toolbar|copyright|tags|skip)(?:$|[\s_-])",
-    re.I,
-)
-GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|main|article-?body|articlebody)(?:$|[\s_-])", re.I)
+#: Parts of class names and ids. Of elements so named, the first hold what isn't the article, or so it seems; the second too, unless the name has an article's part as well;
+#: the third only where nothing else in the name tells otherwise.
+APART = frozenset("ad ads advert adverts advertisement sponsor sponsored comment comments commentlist respond cookie cookies consent gdpr newsletter subscribe subscription signup copyright breadcrumb breadcrumbs pagination pager".split())
+FRAME = frozenset("banner promo promos sidebar widget widgets popup modal overlay nav navbar navigation navigator menu menus submenu footer header masthead toolbar notice notices".split())
+VAGUE = frozenset("alert share sharing social related recommend recommended recommendation recommendations login search tags skip".split())
+#: Other parts of names that say where an element stands or that it holds something.
+PLAIN = frozenset("left right top bottom main inner outer wrap wrapper area box bar block container content section list item items link links button buttons icons icon form post posts articles body group col column site page global the my".split())
+ARTICLE = frozenset("article entry post story main articlebody".split())
+#: What turns the rest of a name into a remark about something else.
+REMARK = frozenset("has no with without not hide hides hidden show shows".split())
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+COMMENT = re.compile(r"(?:^|[\s\"'=])comments?(?:-body|-list)?(?:$|[\s\"'])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\shidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 LONG, SHORT = 200, 70
 #: Numbers of character references as int() takes them: no leading zeros, those beyond Unicode as one that is too.
@@ -50,21 +58,52 @@ ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,}")
 
 class Block(NamedTuple):
     text: str
-    place: int  # -1 inside what isn't article, 1 inside the article, 0 where nothing tells
+    place: int  # -1 where it is hidden, 1 inside the article, 0 where nothing tells
     linked: int  # characters inside links
     heading: bool
+    apart: int  # number of the innermost element around it that seems to hold something else than the article, -1 if there is none
+    article: int  # number of the innermost article element around it, -1 if there is none
 
 
-def placing(tag: str, attrs: str, above: int) -> int:
-    """The place inside an element, from the place above."""
-    if above < 0:
-        return -1
-    names = " ".join("".join(m) for m in NAMES.findall(attrs)) if attrs else ""
-    if (tag in BAD_TAGS and not (tag == "header" and above > 0)) or (attrs and HIDDEN.search(attrs)):
-        return -1
-    if names and tag not in ("html", "body") and not (tag in GOOD_TAGS) and BAD_NAME.search(names):
-        return -1
-    return 1 if tag in GOOD_TAGS or (names and tag not in INLINE and GOOD_NAME.search(names)) else above
+class Apart(NamedTuple):
+    """An element that seems to hold something else than the article."""
+
+    above: int  # the next such element around it, -1 if there is none
+    sure: bool  # by its kind it can't be the wrapper of the article
+
+
+class State(NamedTuple):
+    place: int
+    apart: int
+    article: int
+
+
+def named(names: str) -> str:
+    """What the names of an element say: sure or likely (it holds something else than the article), article, or nothing."""
+    likely = vague = article = exact = False
+    for name in names.lower().replace("side-bar", "sidebar").replace("article-body", "articlebody").split():
+        parts = name.replace("-", "_").strip("_").split("_")
+        if parts[0] in REMARK:
+            continue
+        if any(p in APART or p.startswith("advert") for p in parts):
+            return "sure"
+        likely |= any(p in FRAME for p in parts)
+        vague |= any(p in VAGUE for p in parts) and (parts[-1] in VAGUE or all(p in VAGUE or p in PLAIN for p in parts))
+        article |= any(p in ARTICLE for p in parts)
+        exact |= name in ARTICLE
+    return "likely" if likely or (vague and not exact) else "article" if article else ""
+
+
+def role(tag: str, attrs: str) -> str:
+    """hidden, sure, likely, article or nothing: what the tag, its names and its style say of an element."""
+    if attrs and HIDDEN.search(attrs):
+        return "hidden"
+    names = named(" ".join("".join(m) for m in NAMES.findall(attrs))) if attrs and tag not in ("html", "body") else ""
+    if tag in GOOD_TAGS:
+        return "sure" if names == "sure" and COMMENT.search(attrs) else "article"
+    if tag in BAD_TAGS:
+        return "likely" if tag in ("header", "form", "fieldset") and names != "sure" else "sure"
+    return "" if names == "article" and tag in INLINE else names
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
@@ -115,13 +154,15 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool, str]]:
         yield "", tag, closes, page[m.end() : end]
 
 
-def blocks(page: str) -> list[Block]:
-    """Each block that has text."""
+def blocks(page: str) -> tuple[list[Block], list[Apart]]:
+    """Each block that has text, and the elements that seem to hold something else than the article."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements other than plain inline ones
+    aparts: list[Apart] = []
+    stack: list[tuple[str, State]] = []  # open elements other than plain inline ones
     opened: Counter[str] = Counter()
     parts: list[str] = []
-    place = linked = in_link = 0
+    top = state = State(0, -1, -1)
+    linked = in_link = n_articles = 0
 
     def end() -> None:
         nonlocal linked
@@ -130,10 +171,22 @@ def blocks(page: str) -> list[Block]:
             if "&#" in text:
                 text = TOO_LARGE.sub("&#1114112", ZEROS.sub("&#", text))
             if text := " ".join(html.unescape(text).split()):
-                out.append(Block(text, place, linked, any(opened[h] for h in HEADINGS)))
+                out.append(Block(text, state.place, linked, any(opened[h] for h in HEADINGS), state.apart, state.article))
         parts.clear()
         linked = 0
 
+    def inside(tag: str, what: str, above: State) -> State:
+        nonlocal n_articles
+        if above.place < 0 or what == "hidden":
+            return State(-1, above.apart, above.article)
+        if what in ("sure", "likely") and not (tag == "header" and above.place > 0):
+            aparts.append(Apart(above.apart, what == "sure"))
+            return State(above.place, len(aparts) - 1, -1)
+        if what == "article":
+            n_articles += tag in GOOD_TAGS
+            return State(1, above.apart, n_articles - 1 if tag in GOOD_TAGS else above.article)
+        return above
+
     def close(tag: str) -> None:
         while True:
             x = stack.pop()[0]
@@ -150,11 +203,11 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         elif tag == "a":
             in_link = 0 if closes else 1
-        elif tag in INLINE and not (attrs and not closes and tag not in VOID and placing(tag, attrs, place) != place):
+        elif tag in INLINE and not (attrs and not closes and tag not in VOID and state.place >= 0 and role(tag, attrs)):
             if closes and any(x == tag for x, _ in stack[-3:]):
                 end()
                 close(tag)
-                place = stack[-1][1] if stack else 0
+                state = stack[-1][1] if stack else top
         else:
             end()
             if closes:
@@ -163,11 +216,71 @@ def blocks(page: str) -> list[Block]:
             elif tag not in VOID and not attrs.endswith("/"):
                 if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
                     close(tag)
-                stack.append((tag, placing(tag, attrs, stack[-1][1] if stack else 0)))
+                above = stack[-1][1] if stack else top
+                stack.append((tag, inside(tag, role(tag, attrs), above) if above.place >= 0 else above))
                 opened[tag] += 1
-            place = stack[-1][1] if stack else 0
+            state = stack[-1][1] if stack else top
     end()
-    return out
+    return out, aparts
+
+
+def wrappers(found: list[Block], dense: list[int], aparts: list[Apart]) -> set[int]:
+    """The elements that only seem to hold something else: they hold the article.
+
+    dense: characters of each block that reads as running text, else 0. Such an element counts as a wrapper if an article element in it
+    has more running text than stands free, or if next to no text stands free and it isn't of a sure kind; those that hold most come
+    first, and what is in them and in no further such element is free from then on.
+    """
+    total, own, free, plain = [0] * len(aparts), [0] * len(aparts), 0, 0
+    articles: dict[tuple[int, int], int] = {}
+    own_plain = [0] * len(aparts)
+    for b, n in zip(found, dense, strict=True):
+        if b.place < 0:
+            continue
+        text = 0 if 2 * b.linked > len(b.text) or b.heading else len(b.text)
+        if b.apart < 0:
+            free, plain = free + n, plain + text
+        else:
+            own[b.apart] += n
+            own_plain[b.apart] += text
+            if b.article >= 0 and n:
+                articles[b.apart, b.article] = articles.get((b.apart, b.article), 0) + n
+    largest = [0] * len(aparts)
+    for (x, _), n in articles.items():
+        largest[x] = max(largest[x], n)
+    below: dict[int, list[int]] = {}
+    for x in range(len(aparts) - 1, -1, -1):  # those inside come after those around them
+        total[x] += own[x]
+        above = aparts[x].above
+        below.setdefault(above, []).append(x)
+        if above >= 0:
+            total[above] += total[x]
+            largest[above] = max(largest[above], largest[x])
+    out: set[int] = set()
+    by_total, by_article = [], []
+
+    def offer(above: int) -> None:
+        for x in below.get(above, ()):
+            if largest[x]:
+                heapq.heappush(by_article, (-largest[x], x))
+            if total[x] and not aparts[x].sure:
+                heapq.heappush(by_total, (-total[x], x))
+
+    offer(-1)
+    while True:
+        while by_article and by_article[0][1] in out:
+            heapq.heappop(by_article)
+        while by_total and by_total[0][1] in out:
+            heapq.heappop(by_total)
+        if by_article and -by_article[0][0] > free:
+            x = heapq.heappop(by_article)[1]
+        elif by_total and not free and 10 * plain < -by_total[0][0]:
+            x = heapq.heappop(by_total)[1]
+        else:
+            return out
+        out.add(x)
+        free, plain = free + own[x], plain + own_plain[x]
+        offer(x)
 
 
 def density(text: str) -> float:
@@ -177,7 +290,8 @@ def density(text: str) -> float:
 
 
 def decided(b: Block, stops: float) -> int:
-    """Pass 1: 1 keep, -1 drop, 0 open. stops: the block's density, or a middling one where the page's language isn't known."""
+    """Pass 1: 1 keep, -1 drop, 0 open. stops: the block's density, or a middling one where the page's language isn't known. A place of -1: hidden, or
+    inside an element that holds something else than the article and isn't its wrapper."""
     n = len(b.text)
     if b.place < 0:
         return -1
@@ -207,8 +321,17 @@ def nearest(labels: list[int]) -> list[int]:
 
 
 def main_text(page: str) -> tuple[str, int]:
-    found = blocks(page)
+    found, aparts = blocks(page)
     stops = [0.0 if b.place < 0 else density(b.text) for b in found]
+    if any(b.apart >= 0 for b in found):
+        reads = [x >= 0.1 and len(b.text) >= SHORT and 5 * b.linked <= len(b.text) for b, x in zip(found, stops, strict=True)]
+        if not any(reads):  # no language of the list
+            reads = [b.place >= 0 and len(b.text) >= LONG and 5 * b.linked <= len(b.text) for b in found]
+        lifted = wrappers(found, [len(b.text) if r else 0 for b, r in zip(found, reads, strict=True)], aparts)
+        kept = [True] * len(aparts)  # whether all such elements around it, itself included, are wrappers
+        for x, a in enumerate(aparts):
+            kept[x] = x in lifted and (a.above < 0 or kept[a.above])
+        found = [b if b.apart < 0 or kept[b.apart] else b._replace(place=-1) for b in found]
     long = [x for b, x in zip(found, stops, strict=True) if b.place >= 0 and len(b.text) >= SHORT and 2 * b.linked <= len(b.text)]
     if long and max(long) < 0.1:  # no language of the list: density tells nothing here
         stops = [0.26] * len(found)

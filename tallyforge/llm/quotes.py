@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, let, table
 
 MARKS = r"^(?:\s{0,3}>)+"
-#: A line that introduces a quotation ("On ... X wrote:") is no part of the message.
+#: A line that introduces a quotation ("On ... X wrote:") is no part of the message, if a quoted line follows, blank ones apart.
 INTRO = r"(?i)^\s*(?:on|le|am|el)\b.*\b(?:wrote|écrit|schrieb|escribió)\b.*:\s*$"
 #: Turns of a conversation are searched in spans of so many, so that one conversation may be many tasks.
 SPAN = 4096
@@ -29,9 +29,10 @@ def normal(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages(text, ...) with `lines`, array of (level, body), level 0 for own lines, and `passages`, array of (level, lines).
+    """messages(text, ...) with `lines`, array of (level, body), level 0 for own lines, and `passages`, array of (level, lines), both without introductions.
 
-    A null text is one empty line and has no passage; blank lines end passages; other columns pass through, but for those of these two names.
+    An own line is an introduction if it reads as one and quoted lines follow, at once or after blank ones. A null text is one empty line
+    and has no passage; blank lines end passages; other columns pass through, but for those of these two names.
     """
     lines = F.transform(
         F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\r?\n"),
@@ -45,17 +46,25 @@ def parsed(messages: DataFrame) -> DataFrame:
     def runs(line: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(line) - 1), lambda i: begins(line, i))
         run = lambda at: lambda s, k: F.slice(line, s + 1, F.coalesce(F.get(at, k + 1), F.size(line)) - s)
-        cut = let(first, lambda at: F.transform(at, run(at)))
-        passage = lambda r: F.struct(F.get(r, F.lit(0))["level"].alias("level"), F.transform(r, lambda x: x["body"]).alias("lines"))
-        return F.filter(F.transform(cut, passage), lambda p: F.get(p["lines"], F.lit(0)) != "")
+        return let(first, lambda at: F.transform(at, run(at)))
 
-    return messages.withColumn("lines", lines).withColumn("passages", let(F.col("lines"), runs))
+    def told(every: Column) -> Column:
+        """The runs, introductions left out."""
+        first = lambda k: F.get(F.get(every, k), F.lit(0))
+        quoted = lambda k: F.coalesce(first(k)["level"] > 0, F.lit(False))
+        follows = lambda k: quoted(k + 1) | (quoted(k + 2) & (first(k + 1)["body"] == ""))
+        last = lambda r: F.element_at(r, -1)
+        return F.transform(every, lambda r, k: F.when((last(r)["level"] == 0) & last(r)["body"].rlike(INTRO) & follows(k), F.slice(r, 1, F.size(r) - 1)).otherwise(r))
+
+    passage = lambda r: F.struct(F.get(r, F.lit(0))["level"].alias("level"), F.transform(r, lambda x: x["body"]).alias("lines"))
+    held = messages.withColumn("lines", let(let(lines, runs), told))
+    passages = F.filter(F.transform(F.filter("lines", lambda r: F.size(r) > 0), passage), lambda p: F.get(p["lines"], F.lit(0)) != "")
+    return held.withColumn("passages", passages).withColumn("lines", F.flatten("lines"))
 
 
 def units(keyed: DataFrame) -> DataFrame:
     """conv_id, turn, text_hash, at, level, n_lines, kind, hash, n of each unit of keyed(passages, ...); units without a letter or digit are none."""
     each = keyed.select(*MESSAGE, F.posexplode("passages").alias("at", "p")).select(*MESSAGE, "at", "p.level", "p.lines")
-    each = each.withColumn("lines", F.when(F.col("level") == 0, F.filter("lines", lambda x: ~x.rlike(INTRO))).otherwise(F.col("lines")))
     kind = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("text"))
     whole = F.array_join("lines", " ")
     every = F.concat(F.transform(F.array(whole), kind("passage")), F.transform(F.split(whole, r"(?<=[.!?])\s+"), kind("sentence")), F.transform("lines", kind("line")))
@@ -114,7 +123,7 @@ def placed(rows: DataFrame) -> DataFrame:
 def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, thread, depth, position, depth_quoted, n_quoted, n_linked, links, body of each row of messages(conv_id, turn, role, text).
 
-    body: the message without quoted lines and the lines that introduce them. reply_to: the earlier turn that most of the quoted
+    body: the message without quoted lines and the lines right before them that introduce them. reply_to: the earlier turn that most of the quoted
     characters of the lowest linked level come from, else null. links: (level, source, chars), by level; a level above the lowest is
     looked for before reply_to first. thread: the turn at the beginning of its chain of replies, depth: steps to it; position: place in
     the conversation, threads by their first turn, each by turn, so that every message comes after the one it answers. n_quoted: quoted
@@ -141,7 +150,7 @@ def link(messages: DataFrame) -> DataFrame:
     chains = threads(found.select("conv_id", "turn", F.col("reply_to").alias("up")))
     chains = chains.withColumnsRenamed({"conv_id": "c_", "turn": "t_"})
     found = found.withColumnsRenamed({"conv_id": "c_", "turn": "t_", "text_hash": "h_"})
-    own_lines = F.filter("lines", lambda x: (x["level"] == 0) & ~x["body"].rlike(INTRO))
+    own_lines = F.filter("lines", lambda x: x["level"] == 0)
     plain = rows.select(
         "conv_id", "turn", "role", "text_hash", F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).alias("depth_quoted"),
         F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("bigint").alias("n_quoted"), F.trim(F.array_join(F.transform(own_lines, lambda x: x["body"]), "\n")).alias("body"),

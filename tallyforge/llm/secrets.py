@@ -14,7 +14,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import pairwise
 
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ascii_lower, table
 
 PRIVATE_KEY = r"PRIVATE KEY(?: BLOCK)?-----"
 #: A key runs to its END line, headers included; without one, over the lines that look like a key's.
@@ -34,11 +34,17 @@ KEY = (
     r"|(?<![A-Za-z0-9])(?P<access_key>(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16})(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9])(?P<prefixed>gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|sk-[A-Za-z0-9_-]{20,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)"
 )
-NAMED = r"(?ai:password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential)[A-Za-z0-9_]{0,20}"
+#: A name is read as a whole, however long, if it holds one of these words.
+NAMED = (
+    r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]*(?ai:pass_?word|passwd|pass_?phrase|pwd|secret|token|auth|credential"
+    r"|(?:api|access|account|shared|private|encryption|signing|master|storage|client|service|session)_?key))[A-Za-z0-9_]++"
+)
+#: What stands between a name and its value: signs of assignment with any blanks, quotes that may be escaped.
+ASSIGNED = r"(?:\\?[\"'])?\s*+(?::=|=>|=|:)\s*+(?:\\?[\"'])?"
 HEX = r"(?<![A-Za-z0-9])(?P<hex>(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,})(?![A-Za-z0-9])"
 #: Kinds of candidates, the first that fits counts. Values are taken whole, however long.
 CANDIDATE = re.compile(
-    rf"{KEY}|{NAMED}[\"']?\s{{0,4}}(?:=|:|=>)\s{{0,4}}[\"']?(?P<assigned>[^\s\"'<>,;|]{{4,}})|{HEX}"
+    rf"{KEY}|{NAMED}{ASSIGNED}(?P<assigned>[^\s\"'<>,;|]{{4,}})|<{NAMED}>(?P<assigned_>[^\s\"'<>,;|]{{4,}})|{HEX}"
     r"|(?<![A-Za-z0-9+/=_-])(?P<mixed>(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2})"
     r"|(?P<address>[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,200}\.[A-Za-z]{2,10})"
     r"|(?P<link>https?://[^\s\"'<>]{4,})",
@@ -52,7 +58,7 @@ IN_LINK = re.compile(
 )
 KNOWN, SCHEME = re.compile(KEY), re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
 #: Only a text with a naming word, an address, a link or a long word with a digit or a known prefix can hold a candidate.
-NAMES = ("passw", "pwd", "secret", "token", "apikey", "api_key", "accesskey", "access_key", "auth", "credential")
+NAMES = ("pass", "pwd", "secret", "token", "key", "auth", "credential")
 PREFIXED = re.compile(r"gh[pousr]_|github_pat|sk[-_]|xox[abprs]-|AIza|glpat-|eyJ|A(?:KIA|SIA|GPA|IDA|ROA)")
 LONG_WORD, DIGIT = 15, re.compile(r"[0-9]").search
 
@@ -73,10 +79,10 @@ def matches(text: str) -> Iterator[tuple[str, int, int, str, str]]:
     A value with a link is searched for the other kinds; only if none is inside, it is a candidate as a whole.
     """
     for m in CANDIDATE.finditer(text):
-        kind = m.lastgroup
-        at, end = m.span(kind)
+        kind = m.lastgroup.rstrip("_")
+        at, end = m.span(m.lastgroup)
         inside = False
-        if kind == "link" or (kind == "assigned" and SCHEME.match(m[kind])):
+        if kind == "link" or (kind == "assigned" and SCHEME.match(text, at)):
             for x in IN_LINK.finditer(text, at, end):
                 lo, hi = x.span(x.lastgroup)
                 known = KNOWN.fullmatch(text, lo, hi)
@@ -92,16 +98,15 @@ NAMING = frozenset("password passwd pwd secret token key apikey api_key access_k
 #: Words that name what looks like a key and is none.
 PUBLIC = frozenset("sha sha1 sha256 sha512 md5 checksum digest commit revision etag hash hashes integrity fingerprint version build image icon uuid guid blob tree object author authors public type".split())
 PLACEHOLDER = frozenset("example sample test dummy changeme placeholder xxxx your none null true false todo redacted insert replace foo bar".split())
-#: Common words of code, configuration and prose; a secret holds few of them. Callers may give more.
+#: Words of planted findings; the dictionary of a scan is learned from its documents (`frequent_words`).
 WORDS = (
-    "about access account action active address admin after agent alert alias allow also amount android answer any app apple application archive argument array article asset async "
-    "attribute author auto back base basic batch before binary block board body bool border browser buffer build business button cache call camera cancel card case catalog center chain "
-    "change channel char check child city class clean click client close cloud code collection color column comment common company component config connect console contact container "
-    "content context control cookie copy core count country create current custom daily data database date debug default delete demo deploy description detail device directory display "
-    "document domain download draft driver each edit editor element email empty enable encode engine entry environment error event example export field file filter final find first flag "
-    "folder font form format frame from function general get global graph group handle header health hello help history home host html http icon image import index info input install "
-    "internal item java key label language last layout length level library license line link list load local locale location login main manager market master member memory menu message"
-).split()
+    "about account action admin agent amount answer archive article author backup basic batch block board branch browser buffer build button cache calendar camera change channel check city client cloud color command company config contact content "
+    "country currency customer daily database debug default delivery design device directory document domain driver editor element email engine entry error event example export field filter folder format frame garden gateway general global graph group "
+    "handler health history home image import index input invoice item journal kernel language layout letter level library list local machine manager market memory message method model module monitor network note number object offset option order output owner "
+    "package page panel parent partner path pattern payment people plan player plugin policy position printer process product profile project public quality query queue random range record region release remote report request result review river role route "
+    "sample schedule schema screen search section server service session shell signal source staging station status storage stream street style summary support system table target task team template thread ticket time title tool tracker transfer tree trigger "
+    "union update upload user value vector vendor version video view visitor warning week widget window winter word worker world year yellow zebra zone"
+).split()[::2]
 #: Letter pairs that are frequent in words.
 PAIRS = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split())
 TRANSITIONS = [f"{a}{b}" for a in "dlus" for b in "dlus"]  # digit, lower, upper, sign
@@ -113,19 +118,34 @@ FEATURES = [
 SCHEMA = "doc_id bigint, row_hash bigint, start int, length int, kind string, value string, before string, after string, " + ", ".join(f"x_{f} double" for f in FEATURES)
 
 
-def dictionary(words: Iterable[str] = ()) -> re.Pattern[str]:
-    """What finds words of three letters and more, the longest first."""
-    return re.compile("|".join(sorted({re.escape(w.lower()) for w in (*WORDS, *NAMING, *words) if len(w) > 2}, key=lambda w: (-len(w), w))), re.I)
+def frequent_words(docs: DataFrame, most: int = 5000) -> frozenset[str]:
+    """The dictionary of a corpus: of the words of 3 to 12 letters a-z (A-Z lowered) the `most` that occur in most documents, ties by the word.
+
+    Counted over all whole texts; the driver gets `most` words. Null and empty texts have none.
+    """
+    words = F.array_distinct(F.filter(F.split(ascii_lower(F.col("text").cast("string")), r"[^a-z\x80-\x{10FFFF}]+"), lambda w: w.rlike(r"^[a-z]{3,12}$")))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return frozenset(r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())
+
+
+def covered(text: str, known: frozenset[str]) -> int:
+    """Letters of a lower-case text that lie in words of the dictionary, taken from left to right, the longest first."""
+    n = at = 0
+    while at < len(text):
+        k = next((k for k in range(12, 2, -1) if text[at : at + k] in known), 0) if text[at].isalpha() else 0
+        n += k
+        at += k or 1
+    return n
 
 
-DICTIONARY = dictionary()
+STARTING = frozenset(WORDS) | NAMING
 
 
 def class_of(c: str) -> str:
     return "d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s"
 
 
-def features(kind: str, value: str, before: str, after: str, known: re.Pattern[str] = DICTIONARY) -> list[float]:
+def features(kind: str, value: str, before: str, after: str, known: frozenset[str] = STARTING) -> list[float]:
     n, k = len(value), "".join(map(class_of, value))
     steps = Counter(x + y for x, y in pairwise(k))
     counts = Counter(value).values()
@@ -140,7 +160,7 @@ def features(kind: str, value: str, before: str, after: str, known: re.Pattern[s
     total = max(1, n - 1)
     return [
         *(float(kind == x) for x in KINDS), *(steps[t] / total for t in TRANSITIONS), float(n), math.log2(n), sum(v for t, v in steps.items() if t[0] != t[1]) / total, entropy, len(counts) / n,
-        sum(len(m) for m in known.findall(value)) / n, sum(x in PAIRS for x in letters) / max(1, len(letters)), float(path), value.count(".") / n, float(any(c in value for c in "(){}[]$<>%")), float(fake),
+        covered(low, known) / n, sum(x in PAIRS for x in letters) / max(1, len(letters)), float(path), value.count(".") / n, float(any(c in value for c in "(){}[]$<>%")), float(fake),
         float(before[-1:] in "\"'" and before != ""), *map(float, naming), *(float(bool(x & PUBLIC)) for x in parts),
     ]
 
@@ -179,18 +199,18 @@ def planted(n: int = 4000, seed: int = 7) -> Iterator[tuple[str, str, float]]:
         yield f"{prose()} {context}{quote(value) if quoted else value} {prose()}", value, label
 
 
-def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> DataFrame:
+def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 7, known: frozenset[str] = STARTING) -> DataFrame:
     """The planted findings as rows of candidates() with their label."""
     rows = []
     for text, value, label in planted(n, seed):
         for kind, at, end, before, after in matches(text):
             if text[at:end].strip("\"'=") == value.strip("="):
-                rows.append((None, None, at, end - at, kind, text[at:end], before, after, *features(kind, text[at:end], before, after), label))
+                rows.append((None, None, at, end - at, kind, text[at:end], before, after, *features(kind, text[at:end], before, after, known), label))
     return spark.createDataFrame(rows, SCHEMA + ", label double")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """A row per candidate of docs(doc_id, text): its place (code points), kind, value, neighbouring words and features.
+def candidates(docs: DataFrame, known: frozenset[str] = STARTING) -> DataFrame:
+    """A row per candidate of docs(doc_id, text): its place (code points), kind, value, neighbouring words and features; known: the dictionary.
 
     Null and empty texts hold none. row_hash tells texts of one id apart.
     """
@@ -205,7 +225,7 @@ def candidates(docs: DataFrame) -> DataFrame:
                     continue
                 for kind, at, end, before, after in matches(text):
                     value = text[at:end]
-                    rows.append((doc_id, row_hash, at, end - at, kind, value, before, after, *features(kind, value, before, after)))
+                    rows.append((doc_id, row_hash, at, end - at, kind, value, before, after, *features(kind, value, before, after, known)))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4, *[pa.float64()] * len(FEATURES)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -236,12 +256,13 @@ def scored(found: DataFrame, model: RandomForestClassificationModel | None) -> D
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Findings: doc_id, row_hash, start, length, kind, score of each candidate that the forest takes for a secret.
 
-    labelled: rows of candidates() with a label (1 secret, 0 not), the planted ones if None; without both labels only keys of known
-    formats are found. Null and empty texts hold nothing; rows of one id are told apart by row_hash, and repeated rows give their findings
+    The dictionary is that of the documents. labelled: rows of candidates() with a label (1 secret, 0 not), the planted ones if None;
+    without both labels only keys of known formats are found. Null and empty texts hold nothing; rows of one id are told apart by row_hash, and repeated rows give their findings
     each; other columns are ignored; an empty table gives no rows.
     """
-    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    return scored(candidates(docs), model).where(F.col("score") >= threshold).select("doc_id", "row_hash", "start", "length", "kind", "score")
+    known = frequent_words(docs) | STARTING
+    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession, known=known))
+    return scored(candidates(docs, known), model).where(F.col("score") >= threshold).select("doc_id", "row_hash", "start", "length", "kind", "score")
 
 
 def per_document(docs: DataFrame, findings: DataFrame) -> DataFrame:
