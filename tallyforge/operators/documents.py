@@ -1,54 +1,18 @@
-"""Fields of invoice texts. A text's lines are an array, so that every field is a Column of its row and nothing is shuffled."""
+"""Documents of the invoice flow: fields of their texts, assembly, routing, evidence, regions. A text's lines are an array of its row."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tallyforge.functions import scalars as S
+from tallyforge.operators import annotated as A
 
-#: Labels of the header fields (fixed values).
-NUMBER_LABELS = ["invoice #", "invoice no", "invoice number", "bill no", "receipt no", "no."]
-ISSUE_LABELS = ["invoice date", "date", "data"]
-DUE_LABELS = ["due date", "payment due", "duedate"]
-CUSTOMER_LABELS = ["bill to", "billed to", "customer"]
-TAX_ID_LABELS = ["nif", "nipc", "contribuinte", "vat reg no", "tax id"]
-DATE = r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})"
-MONEY = r"(-?[\d.,]*\d)"
-#: Rows of items: description, quantity, total; with a unit price before the total; quantity first; and, within running text, quantity x price.
-ITEM = r"^(.*[A-Za-z].*?) (\d+(?:\.\d+)?) (-?[\d,]+\.\d{2})$"
-PRICED_ITEM = r"^(.*[A-Za-z].*?) (\d+(?:\.\d+)?) (-?[\d,]+\.\d{2}) (-?[\d,]+\.\d{2})$"
-COUNTED_ITEM = r"^(\d+(?:\.\d+)?) ?[xX] (.*[A-Za-z].*?) (-?[\d,]+\.\d{2})$"
-RUNNING_ITEM = r"([A-Za-z][A-Za-z ]*?) (\d+) ?[xX@] ([\d,]+\.\d{2}) ([\d,]+\.\d{2})"
-#: What ends a table of items, heads a summary of taxes, and names what was paid.
-AFTER_ITEMS = r"(?i)^(?:sub ?total|grand total|total|tax|iva|vat|cash|card|paid)\b"
-TAX_SUMMARY = r"(?i)\b(?:iva|vat|tax)\b.*\b(?:base|rate|taxa|net|incid)|\b(?:base|taxa|incid\w*)\b.*\b(?:iva|vat)\b"
-PAID = ["amount paid", "paid", "cash", "card", "multibanco"]
-ONLY_FIGURES = r"^(?:[%€$£]?-?[\d.,]+[%€$£]? ?){2,}$"
-
-
-def lines(text: Column) -> Column:
-    """The lines that aren't blank, white space collapsed and quotes stripped."""
-    each = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r'^[ "\']+|[ "\']+$', "")))
-    return F.filter(each, lambda x: x != "")
-
-
-def first_of(values: Column) -> Column:
-    return F.get(F.array_compact(values), F.lit(0))
-
-
-def after_label(rows: Column, labels: list[str], value: str, reject: str | None = None, last: bool = False) -> Column:
-    """What follows the first (or last) label that has a value, on its line or else at the start of the next."""
-    label = "|".join(rf"\Q{x}\E" for x in labels)
-
-    def at(x: Column, i: Column) -> Column:
-        here = F.nullif(F.regexp_extract(x, rf"(?i)(?:^|\W)(?:{label})[^\w]*(?:\([A-Z]{{3}}\))?[:\s#]*{value}", 1), F.lit(""))
-        below = F.nullif(F.regexp_extract(F.coalesce(F.get(rows, i + 1), F.lit("")), rf"(?i)^{value}", 1), F.lit(""))
-        hit = x.rlike(rf"(?i)(?:^|\W)(?:{label})(?:\W|$)")
-        return F.when(hit & ~x.rlike(reject) if reject else hit, F.coalesce(here, F.when(x.rlike(rf"(?i)(?:{label})\W*$"), below)))
-
-    found = F.transform(rows, at)
-    return F.try_element_at(F.array_compact(found), F.lit(-1)) if last else first_of(found)
+lines, first_of, vat_amount = A.lines, A.first_of, A.vat_amount
+day = S.day
 
 
 def place(rows: Column, pattern: str) -> Column:
@@ -57,92 +21,35 @@ def place(rows: Column, pattern: str) -> Column:
     return F.coalesce(F.array_min(hits), F.size(rows))
 
 
-day = S.day
+HEADER = ["number", "supplier", "supplier_tax_id", "customer", "customer_tax_id", "issue_date", "due_date", "currency"]
 
 
 def header(docs: DataFrame) -> DataFrame:
     """doc_id, number, supplier, supplier_tax_id, customer, customer_tax_id, issue_date, due_date, currency of docs(doc_id, text)."""
-    rows = docs.select("doc_id", "text", lines(F.col("text")).alias("l"))
-    customer = place(F.col("l"), "(?i)^(?:" + "|".join(CUSTOMER_LABELS) + r")\b")
-    rows = rows.withColumn("at", customer)
-    top, below = F.slice("l", 1, F.least(F.col("at"), F.lit(18))), F.slice("l", F.col("at") + 1, F.greatest(F.size("l") - F.col("at"), F.lit(0)))
-    first = S.day_first_hint(F.col("text"))
-    # without a label the first date of the first twelve lines
-    alone = first_of(F.transform(F.slice("l", 1, 12), lambda x: F.when(~x.rlike("(?i)due|period"), F.nullif(F.regexp_extract(x, DATE, 1), F.lit("")))))
-    issue = day(F.coalesce(after_label(F.col("l"), ISSUE_LABELS, DATE, r"(?i)due"), alone), first)
-    dated = F.coalesce(day(after_label(F.col("l"), DUE_LABELS, DATE), first), S.due_by_terms(issue, F.col("text")))
-    company = F.filter(top, lambda x: x.rlike(r"(?i)\b(?:ltd|limited|llc|inc|lda|s\.a\.|gmbh|corp)\.?$"))
-    likely = lambda x: x.rlike("[A-Za-z]{2}") & ~x.contains(":") & ~x.contains("@") & ~x.rlike(DATE) & ~x.rlike(r"(?i)^(?:invoice|fatura|receipt|bill|page|tel|phone)\b") & (F.length(x) <= 80)
-    name = F.get(F.filter(F.slice(below, 2, 7), likely), F.lit(0))
-    number = F.coalesce(after_label(F.col("l"), NUMBER_LABELS, r"([A-Z0-9][A-Z0-9-]*\d[A-Z0-9-]*)"), number_by_patterns(F.col("l")))
-    return rows.select(
-        "doc_id", number.alias("number"), F.coalesce(F.get(company, F.lit(0)), F.get(F.filter(F.slice(top, 1, 8), likely), F.lit(0))).alias("supplier"),
-        after_label(top, TAX_ID_LABELS, r"(\d{9})\b").alias("supplier_tax_id"), name.alias("customer"), after_label(below, TAX_ID_LABELS, r"(\d{9})\b").alias("customer_tax_id"),
-        issue.alias("issue_date"), dated.alias("due_date"), S.inferred_currency(F.col("text")).alias("currency"),
-    )
+    return A.with_header(A.annotated(docs)).select("doc_id", *HEADER)
 
 
 def totals(docs: DataFrame) -> DataFrame:
-    """doc_id, subtotal, tax, total and confidence.
-
-    total: the last that is labelled, rows of tax summaries aside; else what was paid; else the last amount. tax: labelled, else of a VAT
-    table, else total less subtotal. High: labelled and consistent; medium: something is there.
-    """
-    rows = docs.select("doc_id", lines(F.col("text")).alias("every"))
-    rows = rows.withColumn("l", F.filter("every", lambda x: ~x.rlike(TAX_SUMMARY) & ~x.rlike(ONLY_FIGURES)))
-    last = after_label(F.col("l"), ["grand total", "amount due", "total"], MONEY, r"(?i)sub ?total|total tax", last=True)
-    paid = after_label(F.col("l"), PAID, MONEY, r"(?i)due", last=True)
-    any_ = F.try_element_at(F.flatten(F.transform("l", lambda x: F.regexp_extract_all(x, F.lit(r"(-?\d[\d,]*\.\d{2})(?!\d)"), F.lit(1)))), F.lit(-1))
-    given = after_label(F.col("l"), ["sales tax", "tax", "iva", "vat"], MONEY, r"(?i)total|tax id|reg no|%")
-    rows = rows.select("doc_id", S.clean_money(after_label(F.col("l"), ["subtotal"], MONEY)).alias("subtotal"), F.coalesce(S.clean_money(given), vat_table(F.col("every"))).alias("given"), S.clean_money(last).alias("labelled"), S.clean_money(F.coalesce(paid, any_)).alias("other"))
-    total = F.coalesce("labelled", "other")
-    rows = rows.select("doc_id", "subtotal", F.coalesce("given", S.inferred_tax(F.col("subtotal"), total)).alias("tax"), total.alias("total"), F.col("labelled").isNotNull().alias("sure"))
-    sure = F.col("sure") & S.consistent(F.col("subtotal"), F.col("tax"), F.col("total"))
-    return rows.withColumn("confidence", F.when(sure, "high").when(F.coalesce("subtotal", "tax", "total").isNotNull(), "medium").otherwise("unknown")).drop("sure")
-
-
-def vat_table(rows: Column) -> Column:
-    """The tax of the table below a heading that names tax and base: of the figures in the eight lines after it."""
-    at = place(rows, TAX_SUMMARY)
-    figures = F.flatten(F.transform(F.slice(rows, at + 2, 8), lambda x: F.when(x.rlike(ONLY_FIGURES), F.regexp_extract_all(F.regexp_replace(x, r"[\d.,]+%", ""), F.lit(MONEY), F.lit(1))).otherwise(F.array().cast("array<string>"))))
-    return vat_amount(F.array_compact(F.transform(figures, S.clean_money)))
+    """doc_id, subtotal, tax, total and confidence of docs(doc_id, text)."""
+    return A.with_totals(A.annotated(docs)).select("doc_id", "subtotal", "tax", "total", "confidence")
 
 
 def items(docs: DataFrame) -> DataFrame:
-    """doc_id, line_number, description, quantity, total: rows between the table's heading (or the start) and the totals; a line with neither
-    goes with the item before it. A text of few lines without such rows is searched as running text."""
-    rows = docs.select("doc_id", lines(F.col("text")).alias("l"))
-    head = place(F.col("l"), r"(?i)^(?:description|item|qty|artigo)\b")
-    rows = rows.withColumn("begin", F.when(head == F.size("l"), -1).otherwise(head)).withColumn("rest", F.slice("l", F.col("begin") + 2, F.greatest(F.size("l") - F.col("begin") - 1, F.lit(0))))
-    table = F.slice("rest", 1, place(F.col("rest"), AFTER_ITEMS))
-    kind = "struct<description:string,quantity:string,total:string>"
-    none = F.array().cast(f"array<{kind}>")
-    cell = lambda x, p, i: F.nullif(F.regexp_extract(x, p, i), F.lit(""))
-    item = lambda d, q, t: F.struct(d.alias("description"), q.alias("quantity"), t.alias("total"))
-
-    def read(x: Column) -> Column:
-        q, u, t = (cell(x, PRICED_ITEM, i) for i in (2, 3, 4))
-        fits = F.abs(q.try_cast("decimal(18,4)") * S.clean_money(u) - S.clean_money(t)) <= F.lit("0.02").cast("decimal(4,2)")
-        return F.when(fits, item(cell(x, PRICED_ITEM, 1), q, t)).when(x.rlike(COUNTED_ITEM), item(cell(x, COUNTED_ITEM, 2), cell(x, COUNTED_ITEM, 1), cell(x, COUNTED_ITEM, 3))).when(x.rlike(ITEM), item(*(cell(x, ITEM, i) for i in (1, 2, 3))))
-
-    def add(done: Column, x: Column) -> Column:
-        found, end = read(x), F.element_at(done, -1)
-        longer = item(F.concat_ws(" ", end["description"], x), end["quantity"], end["total"])
-        return F.when(found.isNotNull(), F.concat(done, F.array(found))).when((F.size(done) > 0) & (F.col("begin") >= 0), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(done)
-
-    flat = F.array_join("l", " ")
-    running = F.transform(F.regexp_extract_all(flat, F.lit(RUNNING_ITEM), F.lit(0)), lambda x: item(F.trim(cell(x, RUNNING_ITEM, 1)), cell(x, RUNNING_ITEM, 2), cell(x, RUNNING_ITEM, 4)))
-    rows = rows.withColumn("found", F.aggregate(table, none, add))
-    each = rows.select("doc_id", F.posexplode(F.when((F.size("found") == 0) & (F.size("l") <= 3), running).otherwise(F.col("found"))).alias("at", "x"))
-    return each.select("doc_id", (F.col("at") + 1).alias("line_number"), "x.description", F.col("x.quantity").try_cast("decimal(18,2)").alias("quantity"), S.clean_money(F.col("x.total")).alias("total"))
-
-
-def assembled(head: DataFrame, sums: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, line_number, description, quantity, unit_price, total of each item in docs(doc_id, text)."""
+    # two generators: the plan asks of a generator's input whether it is empty, which here would be to parse each text many times over
+    return A.with_items(A.annotated(docs)).select("doc_id", F.explode(F.array("items")).alias("items")).select("doc_id", F.inline("items"))
+
+
+def fields(docs: DataFrame) -> DataFrame:
+    """Header, totals and items (an array) of docs(doc_id, text): each line is read once for all of them, and nothing is joined."""
+    return A.with_items(A.with_totals(A.with_header(A.annotated(docs)))).select("doc_id", *HEADER, "subtotal", "tax", "total", "confidence", "items")
+
+
+def assembled(docs: DataFrame) -> DataFrame:
     """One row a document: fields, item count, missing groups and `extracted` or `partial`."""
-    n = rows.groupBy("doc_id").agg(F.count("*").alias("n_items"))
-    j = head.join(sums, "doc_id", "full_outer").join(n, "doc_id", "full_outer")
-    missing = F.array_compact(F.array(F.when(F.col("number").isNull(), "metadata"), F.when(F.col("n_items").isNull(), "table"), F.when(F.col("total").isNull(), "totals")))
-    j = j.select("doc_id", "number", "supplier", "issue_date", "due_date", "currency", "subtotal", "tax", "total", "confidence", F.coalesce("n_items", F.lit(0)).alias("n_items"), (F.col("total") - F.col("tax")).alias("net"), F.array_join(missing, ",").alias("missing"))
+    n = F.size("items")
+    missing = F.array_compact(F.array(F.when(F.col("number").isNull(), "metadata"), F.when(n == 0, "table"), F.when(F.col("total").isNull(), "totals")))
+    j = fields(docs).select("doc_id", "number", "supplier", "issue_date", "due_date", "currency", "subtotal", "tax", "total", "confidence", n.alias("n_items"), (F.col("total") - F.col("tax")).alias("net"), F.array_join(missing, ",").alias("missing"))
     return j.withColumn("status", F.when(F.col("missing") == "", "extracted").otherwise("partial"))
 
 
@@ -171,57 +78,31 @@ def field_evidence(docs: DataFrame, fields: DataFrame, names: list[str]) -> Data
     return each.join(found, ["doc_id", "field"], "left").withColumn("state", F.when(F.col("score").isNull(), "unresolved").otherwise("grounded"))
 
 
-#: Words before an invoice number, those tried first first: each with an optional number sign, then a value with a digit.
-NUMBER_WORDS = ["fatura|factura", "recibo|documento|doc", "bill|receipt|ticket", "invoice", ""]
-NUMBER_SIGN = r"(?:n[º°o]?\.?|no\.?|num(?:ber|ero)?\.?|#)"
-NUMBER_VALUE = r"((?-i:[A-Z]{1,4} )?(?=[A-Z0-9/-]*\d)[A-Z0-9]+(?:[/-][A-Z0-9]+)*)"
-NUMBER_PATTERNS = [rf"\b(?:{w})\b\W{{0,3}}(?:{NUMBER_SIGN}\W{{0,3}})?{NUMBER_VALUE}\b" if w else rf"(?:^| ){NUMBER_SIGN}\W{{0,3}}(\d{{3,}})\b" for w in NUMBER_WORDS]
-
-
-def number_by_patterns(rows: Column) -> Column:
-    """The first pattern in order that some line matches, on the first line that it matches; then the same over all lines as one text."""
-
-    def tried(p: str) -> Column:
-        return first_of(F.transform(rows, lambda x: F.nullif(F.regexp_extract(x, "(?i)" + p, 1), F.lit(""))))
-
-    flat = F.array_join(rows, " ")
-    return F.coalesce(*map(tried, NUMBER_PATTERNS), *(F.nullif(F.regexp_extract(flat, "(?i)" + p, 1), F.lit("")) for p in NUMBER_PATTERNS))
-
-
-def vat_amount(values: Column) -> Column:
-    """The tax of a VAT table's amounts in print order: net and tax side by side whose sum is a later amount (0.02 off
-    at most, the last such amount first), else the smallest of two or more. A table holds a dozen amounts or so."""
-    n = F.size(values)
-    cent = F.lit("0.02").cast("decimal(4,2)")
-
-    def before(j: Column) -> Column:
-        def tax(i: Column) -> Column:
-            net, part = F.get(values, i), F.get(values, i + 1)
-            return F.when((part > 0) & (F.abs(net + part - F.get(values, j)) <= cent), part)
-
-        return F.transform(F.sequence(F.lit(0), j - 2), tax)
-
-    triples = F.when(n >= 3, F.flatten(F.transform(F.sequence(n - 1, F.lit(2), F.lit(-1)), before)))
-    return F.coalesce(first_of(triples), F.when(n >= 2, F.array_min(values)))
-
-
 def within_lines(rows: Column, label: str, value: str, k: int) -> Column:
     """The first value on one of the k lines after a line with the label."""
     at = place(rows, label)
     return first_of(F.transform(F.slice(rows, at + 2, k), lambda x: F.nullif(F.regexp_extract(x, value, 1), F.lit(""))))
 
 
-def free_line_numbers(numbers: Column) -> Column:
-    """Line numbers in print order made unique: a missing, non-positive or repeated one becomes the next free number."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(1).alias("auto"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def free_line_numbers(numbers: pd.Series) -> pd.Series:
+    """Line numbers in print order made unique: a missing, non-positive or repeated one becomes the next free number; linear in the lines."""
 
-    def step(state: Column, x: Column) -> Column:
-        out, auto = state["out"], state["auto"]
-        taken = F.coalesce((x <= 0) | F.array_contains(out, x), F.lit(True))
-        free = F.array_min(F.array_except(F.sequence(auto, auto + F.size(out)), out))
-        return F.struct(F.concat(out, F.array(F.when(taken, free).otherwise(x))).alias("out"), F.when(taken, free + 1).otherwise(auto).alias("auto"))
+    def repaired(given: np.ndarray | None) -> list[int] | None:
+        if given is None:
+            return None
+        out, taken, free = [], set(), 1
+        for x in given:
+            n = 0 if x is None or x != x else int(x)
+            if n <= 0 or n in taken:
+                while free in taken:
+                    free += 1
+                n, free = free, free + 1
+            taken.add(n)
+            out.append(n)
+        return out
 
-    return F.aggregate(numbers, start, step, lambda state: state["out"])
+    return numbers.map(repaired)
 
 
 def merged(rules: str, model: str) -> list[Column]:
@@ -239,6 +120,8 @@ ANCHORS = {
     "number": ["invoice", "invoice no", "invoice number"], "supplier": ["supplier", "vendor", "seller"], "customer": ["bill to", "customer", "client"], "issue_date": ["invoice date", "issue date", "date", "data"],
     "due_date": ["due date", "payment due"], "total": ["total", "amount due", "balance due"], "subtotal": ["subtotal", "sub total"], "tax": ["tax", "vat", "iva", "valor iva", "tx iva"],
 }
+DATE = r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})"
+MONEY = r"(-?[\d.,]*\d)"
 DATES, AMOUNTS = ("issue_date", "due_date"), ("total", "subtotal", "tax")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import documents, opslog, scoring
+from tallyforge.operators import annotated, documents, opslog, scoring
 from tallyforge.plans.catalog import projection, query
 from tallyforge.sources import payloads
 from tallyforge.sources import views as V
@@ -32,13 +32,18 @@ projection("scl_43", inv, """SELECT invoice_id, '{"before":{"status":"' || statu
 
 # texts
 LABELS = ("Fatura nº ", "Recibo: ", "Bill No: ", "Invoice # ", "No. ")
-projection("wn_05", texts, "SELECT invoice_id AS doc_id, issue_date::VARCHAR AS value FROM invoices", lambda: ["doc_id", documents.after_label(documents.lines(c("text")), documents.ISSUE_LABELS, documents.DATE).alias("value")])
-projection("wn_06", texts, "SELECT invoice_id AS doc_id, lpad(customer_id::VARCHAR, 9, '1') AS value FROM invoices", lambda: ["doc_id", documents.within_lines(documents.lines(c("text")), "(?i)^bill to", r"(?i)^nif\W+(\d{9})$", 3).alias("value")])
-
-
-
-
-@query("wn_09")
+query("wn_05", "SELECT invoice_id AS doc_id, issue_date::VARCHAR AS value FROM invoices")(lambda s, d: annotated.annotated(texts(s, d)).select("doc_id", annotated.at_label("issue", "date").alias("value")))
+projection("wn_06", texts, "SELECT invoice_id AS doc_id, lpad(customer_id::VARCHAR, 9, '1') AS value FROM invoices", lambda: ["doc_id", documents.within_lines(documents.lines(c("text")), "(?i)^bill to", r"(?i)^contribuinte\W+(\d{9})$", 3).alias("value")])
+
+
+@query(
+    "wn_09",
+    """SELECT invoice_id, array_to_string(x, ',') AS given, array_to_string(o, ',') AS repaired FROM (WITH RECURSIVE r AS (
+       SELECT invoice_id, list(line_number ORDER BY part_id, supplier_id, net, line_number) AS x, 0 AS i, []::INT[] AS o, 1::BIGINT AS auto FROM lines GROUP BY 1
+       UNION ALL SELECT invoice_id, x, i + 1, list_append(o, (CASE WHEN taken THEN free ELSE x[i + 1] END)::INT), CASE WHEN taken THEN free + 1 ELSE auto END
+       FROM (SELECT *, coalesce(x[i + 1] <= 0 OR list_contains(o, x[i + 1]), true) AS taken, list_min(list_filter(range(auto, auto + len(o) + 1), lambda y: NOT list_contains(o, y::INT))) AS free FROM r WHERE i < len(x)))
+       SELECT * FROM r WHERE i = len(x))""",
+)
 def wn_09(s, d):
     """Line numbers of an invoice's lines in part order, repaired; an invoice's lines are few."""
     rows = lines(s, d).groupBy("invoice_id").agg(F.array_sort(F.collect_list(F.struct("part_id", "supplier_id", "net", "line_number"))).alias("x"))
@@ -60,7 +65,6 @@ def wn_12(s, d):
 
 
 # sets and merged records
-projection("so_02", inv, "SELECT invoice_id, number || ',' || customer || ',' || currency AS refs FROM invoices", lambda: [k, F.array_join(F.array_distinct(F.flatten(F.array(F.array("number"), F.array("customer", "number"), F.array("currency")))), ",").alias("refs")])
 projection("so_04", inv, "SELECT invoice_id, CASE invoice_id % 3 WHEN 0 THEN 'total' WHEN 1 THEN '' ELSE 'number,total' END AS missing FROM invoices", lambda: [k, F.array_join(F.array_except(F.array(*map(F.lit, ("number", "issue_date", "total"))), F.array_compact(F.array(F.when(c(k) % 3 != 2, "number"), F.when(c("issue_date").isNotNull(), "issue_date"), F.when(c(k) % 3 == 1, "total")))), ",").alias("missing")])
 
 

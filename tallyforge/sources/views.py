@@ -27,6 +27,11 @@ def money(c: Column) -> Column:
     return c.cast("decimal(18,2)")
 
 
+def lettered(name: Column) -> Column:
+    """A name with letters for digits, as names of parties have none."""
+    return F.translate(name, "0123456789#", "ABCDEFGHIJ ")
+
+
 def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     return n.select(F.col("n_nationkey").alias("tenant_id"), F.col("n_name").alias("tenant_name"), F.element_at(F.array(*map(F.lit, CURRENCIES)), F.col("n_regionkey") + 1).alias("currency"))
@@ -39,7 +44,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "P", "pending_review").when(F.col("o_orderstatus") == "F", "approved").otherwise("extracted")
     return joined.select(
         "tenant_id", F.col("o_orderkey").alias("invoice_id"), F.concat(F.lit("INV-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0")).alias("number"), status.alias("status"),
-        F.col("o_custkey").alias("customer_id"), F.col("c_name").alias("customer"), day.alias("issue_date"), F.date_add(day, 30).alias("due_date"), "currency",
+        F.col("o_custkey").alias("customer_id"), lettered(F.col("c_name")).alias("customer"), day.alias("issue_date"), F.date_add(day, 30).alias("due_date"), "currency",
         money(F.col("o_totalprice")).alias("total"), F.col("o_orderpriority").alias("priority"),
     )
 
@@ -84,6 +89,19 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def booked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions as a bank books them: some have a value date alone, some name the invoice beside the counterparty only."""
+    k = F.substr("transaction_id", F.lit(2)).cast("bigint")
+    number = F.concat(F.lit("INV-"), F.lpad(k.cast("string"), 7, "0"))
+    beside = (F.col("direction") == "inflow") & (k % 6 == 2)
+    return transactions(spark, sf_dir).withColumns({"posted_at": F.when(k % 11 != 4, F.col("posted_at")), "counterparty": F.when(beside, F.concat_ws(" / ", "counterparty", number)).otherwise(F.col("counterparty"))})
+
+
+#: The same in SQL.
+BOOKED = """booked AS (SELECT * REPLACE (CASE WHEN substr(transaction_id, 2)::BIGINT % 11 <> 4 THEN posted_at END AS posted_at,
+  CASE WHEN direction = 'inflow' AND substr(transaction_id, 2)::BIGINT % 6 = 2 THEN counterparty || ' / INV-' || lpad(substr(transaction_id, 2), 7, '0') ELSE counterparty END AS counterparty) FROM transactions)"""
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a log of steps: user_id is the tenant, error a failure, value milliseconds, props.k the attempt."""
     return steps_of(table(spark, sf_dir, "events"))
@@ -95,25 +113,60 @@ def steps_of(e: DataFrame) -> DataFrame:
     return e.select("event_id", "ts", (F.col("user_id") % 25).alias("tenant_id"), "user_id", F.col("event_type").alias("agent"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("ms"), attempt.alias("attempt"))
 
 
+def nine(c: Column) -> Column:
+    """A key as a tax id."""
+    return F.lpad(c.cast("string"), 9, "1")
+
+
+def unit_price(net: Column, quantity: Column) -> Column:
+    return F.when(quantity > 0, (net / quantity).cast("decimal(18,2)")).otherwise(net)
+
+
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text: each invoice as a printed page, with the labels and layouts that the field rules read."""
+    """doc_id, text: each invoice as a printed page, with the labels and layouts that the field rules read; rows of items begin with the quantity, or end with marked amounts."""
     item = F.struct("line_number", "part_id", "quantity", "net")
     sums = invoice_lines(spark, sf_dir).groupBy(F.col("invoice_id").alias("doc_id")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.sum("net").alias("net_sum"))
     j = invoices(spark, sf_dir).join(tenants(spark, sf_dir).select("tenant_id", "tenant_name"), "tenant_id").join(sums, F.col("invoice_id") == F.col("doc_id"), "left").drop("doc_id")
-    row = F.transform("items", lambda x: F.concat_ws(" ", F.lit("Part"), x["part_id"].cast("string"), x["quantity"].cast("string"), F.format_number(x["net"], 2)))
-    nine = lambda c: F.lpad(c.cast("string"), 9, "1")
+    shown = lambda v: F.format_number(v, 2)
+
+    def printed(x: Column) -> Column:
+        q, name, unit, net = x["quantity"].cast("string"), F.concat(F.lit("Part "), x["part_id"].cast("string")), shown(unit_price(x["net"], x["quantity"])), shown(x["net"])
+        return F.when(x["line_number"] % 2 == 1, F.concat_ws(" ", q, name, unit, net)).otherwise(F.concat(name, F.lit(" "), q, F.lit(" pcs $"), unit, F.lit(" $"), net))
+
     text = F.concat_ws(
-        "\n", F.concat("tenant_name", F.lit(" TRADING LTD")), F.concat(F.lit("VAT Reg No: "), nine(F.col("tenant_id"))), F.concat(F.lit("Invoice No: "), F.col("number")), F.lit("Invoice Date"), F.col("issue_date").cast("string"),
-        F.when(F.col("invoice_id") % 4 == 0, "Payment is due in 30 days").otherwise(F.concat(F.lit("Due Date: "), F.date_format("due_date", "dd/MM/yyyy"))), F.lit("Bill To"), F.col("customer"), F.concat(F.lit("NIF: "), nine(F.col("customer_id"))),
-        F.lit("Description Quantity Amount"), F.array_join(row, "\n"), F.concat(F.lit("Subtotal: "), F.format_number("net_sum", 2)), F.concat(F.lit("Total ("), F.col("currency"), F.lit("): "), F.format_number("total", 2)),
+        "\n", F.concat(lettered(F.col("tenant_name")), F.lit(" TRADING LTD")), F.concat(F.lit("NIF: "), nine(F.col("tenant_id"))), F.concat(F.lit("Invoice No: "), F.col("number")), F.lit("Invoice Date"), F.col("issue_date").cast("string"),
+        F.when(F.col("invoice_id") % 4 == 0, "Payment is due in 30 days").otherwise(F.concat(F.lit("Due Date: "), F.date_format("due_date", "dd/MM/yyyy"))), F.lit("Bill To"), F.col("customer"), F.concat(F.lit("Contribuinte: "), nine(F.col("customer_id"))),
+        F.lit("QTY Description Unit Price Amount"), F.array_join(F.transform("items", printed), "\n"), F.concat(F.lit("Subtotal: "), shown(F.col("net_sum"))), F.concat(F.lit("Total ("), F.col("currency"), F.lit("): "), shown(F.col("total"))),
     )
     return j.select(F.col("invoice_id").alias("doc_id"), text.alias("text"))
 
 
+def invoice_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: each invoice in one of four layouts: plain, scanned with a cell a line, Portuguese with a VAT table, and the slip of a card terminal."""
+    j = invoices(spark, sf_dir).join(tenants(spark, sf_dir).select("tenant_id", "tenant_name"), "tenant_id")
+    k, tenant = F.col("invoice_id"), lettered(F.col("tenant_name"))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    page = lambda *rows: F.concat_ws("\n", *(F.lit(r) if isinstance(r, str) else r for r in rows))
+    total, tax = F.col("total"), (F.col("total") / 10).cast("decimal(18,2)")
+    net = (total - tax).cast("decimal(18,2)")
+    day = lambda c, f: F.date_format(c, f)
+    plain = page(
+        text(tenant, " Inc."), "77 Hill St,", "INVOICE", "Bill To", F.col("customer"), text("Invoice # ", F.col("number")), text("Invoice date ", day("issue_date", "yyyy/MM/dd")), text("Due date ", day("due_date", "yyyy/MM/dd")), "QTY Description Unit Price Amount", text("1.00 Part ", k, " ", net, " ", net),
+        text("Subtotal $", net), text("Sales Tax (10%) $", tax), text("Total (USD) $", total),
+    )
+    split = page(text(tenant, " Inc."), "INVOICE", "Bill To", F.col("customer"), "Invoice#", F.col("number"), "Invoice date", F.col("issue_date").cast("string"), "Due date", F.col("due_date").cast("string"), "QTY Description", "Unit Price", "Amount", "1.00 Repair work", net.cast("string"), net.cast("string"), "Subtotal", text("$", net), "Total (USD)", text("$", total))
+    table = page(
+        text(tenant, " LDA."), text("NIF: ", nine(F.col("tenant_id"))), text("Data: ", day("issue_date", "dd.MM.yyyy")), text("Cliente: ", F.col("customer")), text("Contribuinte: ", nine(F.col("customer_id"))), text("FATURA-RECIBO N. FR MNV", k % 1000, "/", k), "Resumo do IVA", "Taxa", "Incidência", "Imposto", "Total", "10.00%",
+        net.cast("string"), tax.cast("string"), total.cast("string"), text("Total Documento: ", F.translate(total.cast("string"), ".", ","), " EUR"),
+    )
+    slip = page(tenant, "Pago:EUR", total.cast("string"), text("TPA:", F.lpad(k.cast("string"), 8, "0")))
+    return j.select(k.alias("doc_id"), F.element_at(F.array(plain, split, table, slip), (k % 4 + 1).cast("int")).alias("text"))
+
+
 CTE = """
 tenants AS (SELECT n_nationkey AS tenant_id, n_name AS tenant_name, ['USD','EUR','GBP','JPY','SGD'][n_regionkey + 1] AS currency FROM nation),
 invoices AS (SELECT tenant_id, o_orderkey AS invoice_id, 'INV-' || lpad(o_orderkey::VARCHAR, 7, '0') AS number,
-  CASE o_orderstatus WHEN 'P' THEN 'pending_review' WHEN 'F' THEN 'approved' ELSE 'extracted' END AS status, o_custkey AS customer_id, c_name AS customer,
+  CASE o_orderstatus WHEN 'P' THEN 'pending_review' WHEN 'F' THEN 'approved' ELSE 'extracted' END AS status, o_custkey AS customer_id, translate(c_name, '0123456789#', 'ABCDEFGHIJ ') AS customer,
   o_orderdate::DATE AS issue_date, o_orderdate::DATE + 30 AS due_date, currency, o_totalprice::DECIMAL(18,2) AS total, o_orderpriority AS priority
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN tenants ON c_nationkey = tenant_id),
 lines AS (SELECT l_orderkey AS invoice_id, l_linenumber AS line_number, l_partkey AS part_id, l_suppkey AS supplier_id, l_quantity::DECIMAL(18,2) AS quantity,
