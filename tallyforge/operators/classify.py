@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
@@ -70,6 +70,44 @@ def classified(rows: DataFrame, text: Column, direction: Column, amount: Column,
     }).drop("score_", "rank_", "n_", "order_", "code_", "type_", "id_", "confidence_", "text_")
 
 
+def rule_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
+    """Rules as rows, in their order: what a tenant's own rules are stored as."""
+    rows = [(i, r.id, r.code, r.type, list(r.keywords), r.base, r.each, r.confidence, list(r.targets), r.direction) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "position int, rule_id string, code string, type string, keywords array<string>, base int, each int, confidence string, targets array<string>, direction string")
+
+
+#: Keywords up to so many are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
+
+
+def classified_by_index(rows: DataFrame, key: str, text: Column, direction: Column, amount: Column, rules: DataFrame, target: str = "transaction") -> DataFrame:
+    """As classified, for rules in any number: rows have a unique `key`; rules as of rule_table.
+
+    The words of a text meet the first words of keywords, and only keywords that are met are looked for, as plain text: in both, each run
+    of letters, digits and underscores stands between marks, so that a keyword is found where its words are whole. Keywords that begin with
+    another sign are met by the first word in them; those without a word are left out.
+    """
+    wrapped = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"(?U)(\w+)", "\x01$1\x01")
+    words = lambda c: F.filter(F.split(c, r"(?U)\W+"), lambda w: w != "")
+    fits = rules.where((F.size("targets") == 0) | F.array_contains("targets", target)).select("*", F.explode(F.array_distinct("keywords")).alias("keyword"))
+    index = fits.select(F.get(words(F.lower("keyword")), F.lit(0)).alias("word"), wrapped(F.lower("keyword")).alias("phrase"), "position", "base", "each", "confidence", "code", "type", "rule_id", F.col("direction").alias("wants")).where("word is not null")
+    if index.count() <= MOST_BROADCAST:
+        index = F.broadcast(index)
+    texts = rows.select(key, F.lower(text).alias("text_"), direction.alias("direction_"))
+    met = texts.select(key, "direction_", wrapped(F.col("text_")).alias("marked"), F.explode(F.array_distinct(words(F.col("text_")))).alias("word")).join(index, "word")
+    met = met.where(F.contains("marked", "phrase") & (F.col("wants").isNull() | F.coalesce(F.col("wants") == F.col("direction_"), F.lit(False))))
+    by = met.groupBy(key, "position").agg(F.count("*").alias("n_"), *(F.first(x).alias(x) for x in ("base", "each", "confidence", "code", "type", "rule_id", "direction_")))
+    agrees = F.try_element_at(F.create_map(*(F.lit(x) for kv in AGREES.items() for x in kv)), F.col("type")) == F.col("direction_")
+    rank = F.try_element_at(F.create_map(*(F.lit(x) for kv in S.CONFIDENCE_RANK.items() for x in kv)), F.col("confidence"))
+    one = F.struct((F.col("base") + F.col("n_") * F.col("each") + F.when(agrees, 5).otherwise(0)).alias("score_"), rank.alias("rank_"), "n_", (-F.col("position")).alias("order_"), F.col("code").alias("code_"), F.col("type").alias("type_"), F.col("rule_id").alias("id_"), F.col("confidence").alias("confidence_"))
+    best = by.groupBy(key).agg(F.max(one).alias("x")).select(F.col(key).alias("key_"), "x.*")
+    out = rows.join(best, rows[key] == best["key_"], "left")
+    return out.withColumns({
+        "category": F.coalesce("code_", S.fallback_category(direction, amount)), "category_type": F.coalesce("type_", S.fallback_type(direction, amount)), "rule_id": F.col("id_"),
+        "rule_score": F.coalesce("score_", F.lit(0)), "n_keywords": F.coalesce("n_", F.lit(0)), "confidence": F.coalesce("confidence_", F.lit("low")),
+    }).drop("key_", "score_", "rank_", "n_", "order_", "code_", "type_", "id_", "confidence_")
+
+
 #: Codes that a stored label may have, with type (fixed values).
 TAXONOMY = {
     "sales_revenue": "revenue", "professional_services": "revenue", "software_subscription": "expense", "repairs_and_maintenance": "expense", "meals_and_entertainment": "expense", "office_supplies": "expense",

@@ -26,14 +26,15 @@ def _invoice_side(invoices: DataFrame, *more: str) -> DataFrame:
     reference = F.nullif(S.normal_reference(F.col("number")), F.lit(""))
     return invoices.select(
         "tenant_id", "invoice_id", "total", cents(F.col("total")).alias("i_cents"), "issue_date", "due_date", F.upper("currency").alias("i_currency"),
-        reference.alias("i_ref"), F.replace(reference, F.lit("-"), F.lit("")).alias("i_compact"), *more,
+        reference.alias("i_ref"), F.nullif(F.replace(reference, F.lit("-"), F.lit("")), F.lit("")).alias("i_compact"), *more,
     )
 
 
 def _transaction_side(transactions: DataFrame, *more: str) -> DataFrame:
-    words = S.normal_reference(F.concat_ws(" ", "reference", "description"))
+    """The day paid is that of the posting, else the value date; the words are those of reference, description and counterparty."""
+    words = S.normal_reference(F.concat_ws(" ", "reference", "description", "counterparty"))
     return transactions.select(
-        "tenant_id", "transaction_id", "amount", cents(F.col("amount")).alias("t_cents"), "posted_at", F.upper("currency").alias("t_currency"),
+        "tenant_id", "transaction_id", "amount", cents(F.col("amount")).alias("t_cents"), F.coalesce("posted_at", "value_at").alias("paid_at"), F.upper("currency").alias("t_currency"),
         words.alias("t_words"), F.replace(words, F.lit("-"), F.lit("")).alias("t_compact"), *more,
     )
 
@@ -41,7 +42,7 @@ def _transaction_side(transactions: DataFrame, *more: str) -> DataFrame:
 def scores() -> dict[str, Column]:
     """The parts of a pair's score, from the columns of both sides; currencies that are known and differ make it 0."""
     i, t = F.col("i_cents"), F.col("t_cents")
-    diff, issue, due, paid = F.abs(i - t), F.col("issue_date"), F.col("due_date"), F.col("posted_at")
+    diff, issue, due, paid = F.abs(i - t), F.col("issue_date"), F.col("due_date"), F.col("paid_at")
     wide = F.greatest(i, F.lit(10000))
     by_amount = F.when(diff.isNull(), 0).when(diff <= 1, 50).when(diff * 100 <= wide, 35).when(diff * 20 <= wide, 15).otherwise(0)
     late, early = F.datediff(paid, due), F.datediff(issue, paid)
@@ -70,10 +71,64 @@ def candidates(invoices: DataFrame, transactions: DataFrame, min_score: int = 70
 
 
 def scored_pairs(invoices: DataFrame, transactions: DataFrame, scope: str, min_score: int = 1) -> DataFrame:
-    """Any pair of one tenant and scope (an import, an account) that scores; a scope is bounded by what a statement holds."""
+    """Any pair of one tenant and scope (an import, an account) that scores; a scope is bounded by what a statement holds, else use blocked_pairs."""
     return _scored(_invoice_side(invoices, scope).join(_transaction_side(transactions, scope), ["tenant_id", scope]), min_score)
 
 
+def _weeks(first: Column, last: Column) -> Column:
+    week = lambda d: F.floor(F.unix_date(d) / 7)
+    return F.when(first.isNotNull() & last.isNotNull() & (first <= last), F.sequence(week(first), week(last)))
+
+
+def blocked_pairs(invoices: DataFrame, transactions: DataFrame, min_score: int = 1, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The same pairs as scored_pairs, of a tenant (and scope, if any) of any size, by three indexes instead of all pairs.
+
+    Amounts within five per cent (or 5.00) share one of a few amount buckets; days from a week before the issue to a week after the due
+    date, one of its weeks; a number in a transaction's words is one of their substrings of the lengths that invoice numbers have. A pair
+    that scores is found by one of the three, and counts at the first that finds it. Without an amount score a pair reaches 50, with a
+    date alone 20: indexes that can't reach min_score are left out. Work grows with the pairs that score and the texts.
+    """
+    keys = ["tenant_id", *scope]
+    i, t = _invoice_side(invoices, *scope), _transaction_side(transactions, *scope)
+    s = scores()
+    unit = F.abs(F.col("total"))
+    wide = F.greatest(unit / 20, F.lit(5))
+    near = F.explode(F.sequence(F.greatest(amount_bucket(F.greatest(unit - wide, F.lit(0))) - 1, F.lit(0)), amount_bucket(unit + wide) + 1))
+    met = i.where("total is not null").withColumn("bucket", near).join(t.where("amount is not null").withColumn("bucket", amount_bucket(F.abs("amount"))), [*keys, "bucket"])
+    found = _scored(met.where(s["amount_score"] > 0), min_score)
+    if min_score <= 50:
+        lengths = i.where("i_ref is not null").agg(F.sort_array(F.collect_set(F.struct(F.length("i_ref").alias("r"), F.length("i_compact").alias("c")))).alias("l")).first()["l"]  # as many as numbers have lengths
+        cut = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda p: F.xxhash64(F.substr(text, p, F.lit(n))))
+        every = lambda text, sizes: F.array_distinct(F.flatten(F.array(*(F.when(F.length(text) >= n, cut(text, n)).otherwise(F.array().cast("array<bigint>")) for n in sorted({n for n in sizes if n})))))
+        if lengths:
+            tagged = lambda kind, c: F.transform(c, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hash")))
+            words = t.withColumn("key", F.explode(F.concat(tagged(0, every(F.col("t_words"), [x["r"] for x in lengths])), tagged(1, every(F.col("t_compact"), [x["c"] for x in lengths])))))
+            numbers = i.where("i_ref is not null").withColumn("key", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("kind"), F.xxhash64("i_ref").alias("hash")), F.when(F.col("i_compact").isNotNull(), F.struct(F.lit(1).alias("kind"), F.xxhash64("i_compact").alias("hash")))))))
+            met = numbers.join(words, [*keys, "key"])
+            once = (s["amount_score"] == 0) & (s["reference_score"] > 0) & ((F.col("key.kind") == 0) == F.contains("t_words", "i_ref"))
+            found = found.unionByName(_scored(met.where(once), min_score))
+    if min_score <= 20:
+        first, last = F.date_sub(F.coalesce("issue_date", "due_date"), 7), F.date_add(F.greatest(F.coalesce("due_date", "issue_date"), F.coalesce("issue_date", "due_date")), 7)
+        first = F.least(first, F.date_sub(F.coalesce("due_date", "issue_date"), 7))
+        met = i.withColumn("week", F.explode(_weeks(first, last))).join(t.where("paid_at is not null").withColumn("week", F.floor(F.unix_date("paid_at") / 7)), [*keys, "week"])
+        found = found.unionByName(_scored(met.where((s["amount_score"] == 0) & (s["reference_score"] == 0)), min_score))
+    return found
+
+
+def candidate_pairs(invoices: DataFrame, transactions: DataFrame, most: int = 100) -> DataFrame:
+    """tenant_id, invoice_id, transaction_id, origin: an invoice with the transactions within a tenth of its total (`window`), or, if there
+    is none, with the `most` latest of its tenant (`recent`; those without a day last, ties by id).
+
+    Of a tenant's transactions each task hands on `most` at most, so that no tenant is sorted as a whole.
+    """
+    near = near_amounts(invoices, transactions)
+    latest = Window.partitionBy("tenant_id").orderBy(F.desc_nulls_last("posted_at"), "transaction_id")
+    recent = transactions.select("tenant_id", "transaction_id", "posted_at").withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= most).drop("posted_at", "rank")
+    alone = invoices.select("tenant_id", "invoice_id").join(near.select("invoice_id").distinct(), "invoice_id", "left_anti")
+    pair = ["tenant_id", "invoice_id", "transaction_id"]
+    return near.select(*pair, F.lit("window").alias("origin")).unionByName(alone.join(recent, "tenant_id").select(*pair, F.lit("recent").alias("origin")))
+
+
 def near_amounts(invoices: DataFrame, transactions: DataFrame, share: str = "0.10") -> DataFrame:
     """Pairs of one tenant whose signed amount lies within a share of the total: a band join on amount buckets."""
     part = F.lit(share).cast("decimal(4,3)")

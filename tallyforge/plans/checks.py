@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import insights, review, validate
+from tallyforge.operators import chains, insights, review, validate
 from tallyforge.plans.catalog import query, sql_list
 from tallyforge.sources import views as V
 
@@ -340,6 +340,19 @@ def wn_10(s, d):
     return g.select("root_id", "n_versions", "x.version", F.array_join(F.transform("v", lambda v: v.cast("string")), "<").alias("chain"), F.when(c("x.status") != "superseded", c("x.total")).alias("total"))
 
 
+#: The orders of a customer as versions of one record; of some the first supersedes one that isn't there, of some it supersedes the last.
+VERSIONS = "(SELECT invoice_id, customer_id, row_number() OVER w AS version, first_value(invoice_id) OVER w AS root FROM invoices WINDOW w AS (PARTITION BY customer_id ORDER BY invoice_id))"
+
+
+@query("wn_10_chains", f"SELECT invoice_id AS id, CASE WHEN customer_id % 11 <> 0 THEN root END AS root_id, CASE WHEN customer_id % 11 <> 0 THEN version END AS version, CASE WHEN customer_id % 11 = 0 THEN 'cycle' WHEN customer_id % 7 = 0 THEN 'orphan' ELSE 'ok' END AS state FROM {VERSIONS}")
+def wn_10_chains(s, d):
+    """Versions that only know what they supersede, followed to the first."""
+    of = Window.partitionBy("customer_id").orderBy(k)
+    last = F.max(k).over(Window.partitionBy("customer_id"))
+    first = F.when(c("customer_id") % 11 == 0, last).when(c("customer_id") % 7 == 0, F.lit(-1))
+    return chains.roots(inv(s, d).select(c(k).alias("id"), F.coalesce(F.lag(k).over(of), first).alias("supersedes_id")))
+
+
 # filters
 query("flt_01", "SELECT invoice_id, total, n FROM invoices LEFT JOIN (SELECT account_id AS customer_id, count(*) AS n FROM transactions WHERE tenant_id = 3 GROUP BY 1) USING (customer_id) WHERE tenant_id = 3")(
     lambda s, d: (lambda read: read(inv).join(read(tx).groupBy(c("account_id").alias("customer_id")).agg(F.count("*").alias("n")), "customer_id", "left").select(k, "total", "n"))(V.reader(s, d, 3))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions import scalars as S
 from tallyforge.operators import opslog, reconcile
 from tallyforge.plans import registry as R
 from tallyforge.plans.catalog import ORACLES, QUERIES, query
@@ -107,6 +108,16 @@ def invoice_payloads(s, d) -> DataFrame:
     return j.select(k, F.when(c(k) % 9 == 0, F.expr("'{\"metadata\":'")).otherwise(whole).alias("payload"))
 
 
+@query(
+    "so_02",
+    """SELECT invoice_id, CASE WHEN invoice_id % 9 = 0 THEN '' ELSE 'ocr:block:1' || CASE WHEN invoice_id % 7 <> 0 THEN coalesce(',' || r, '') ELSE '' END END AS refs FROM invoices
+       LEFT JOIN (SELECT invoice_id, string_agg(DISTINCT 'ocr:block:' || line_number, ',' ORDER BY 'ocr:block:' || line_number) AS r FROM lines WHERE line_number <> 1 GROUP BY 1) USING (invoice_id)""",
+)
+def so_02(s, d):
+    """The references of extraction payloads, wherever they stand, in the order in which they are seen first."""
+    return invoice_payloads(s, d).select(k, F.array_join(S.evidence_refs(c("payload")), ",").alias("refs"))
+
+
 SHOWN = "(SELECT invoice_id, line_number, 'Part ' || part_id AS description, quantity, CASE WHEN part_id % 4 <> 0 THEN net END AS unit_price, net, part_id FROM lines WHERE invoice_id % 7 <> 0 AND invoice_id % 9 <> 0)"
 
 
@@ -134,7 +145,7 @@ def prebuilt(s, d) -> DataFrame:
     amount = lambda v, code: F.struct(v.cast("decimal(18,2)").alias("value"), code.alias("code"))
     text = lambda v, sure=0.9: F.struct(v.alias("value"), F.when(c(k) % 6 == 0, 0.5).otherwise(sure).alias("confidence"))
     item = F.struct(F.struct(F.concat(F.lit("Part "), c("part_id").cast("string")).alias("value")).alias("Description"), F.struct(c("quantity").cast("string").alias("value")).alias("Quantity"), amount(c("net"), F.lit("USD")).alias("Amount"))
-    items = lines(s, d).groupBy(k).agg(F.array_sort(F.collect_list(F.struct("line_number", "part_id", item.alias("x")))).alias("x"))
+    items = lines(s, d).groupBy(k).agg(F.array_sort(F.collect_list(F.struct("line_number", "part_id", "quantity", "net", item.alias("x")))).alias("x"))
     j = inv(s, d).join(items, k, "left")
     none = F.lit(None).cast("string")
     body = F.struct(
@@ -256,17 +267,131 @@ def src_14(s, d):
     return receipt.join(rest, "table")
 
 
+# files: statements of some hundred accounts each, written to the shared folder and read by Spark's readers
+#: Accounts of a file.
+SHARE = 250
+
+
+def in_files(rows: DataFrame, line, head) -> DataFrame:
+    """file, text: the lines of the transactions of each SHARE accounts, by account and id, below a heading."""
+    of_file = F.floor(c("account_id") / SHARE)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("account_id", "transaction_id", line.alias("line")))), lambda x: x["line"]), "\n")
+    return rows.groupBy(of_file.alias("file")).agg(body.alias("body")).select(c("file").cast("string").alias("file"), F.concat(head, F.lit("\n"), "body").alias("text"))
+
+
+FILE_ROWS = SRC_01.replace("account_id::VARCHAR AS file", f"(account_id // {SHARE})::VARCHAR AS file").replace("PARTITION BY account_id ORDER BY transaction_id", f"PARTITION BY account_id // {SHARE} ORDER BY account_id, transaction_id")
+
+
+@query("src_01_files", FILE_ROWS)
+def src_01_files(s, d):
+    """The same statements as text files: each is read whole, under its own name."""
+    text = F.when(c(ROW) % 13 != 0, c("description")).otherwise("")
+    amount = F.concat(F.lit('"'), F.format_number(F.abs("amount"), 2), F.lit('"'))
+    side = lambda of: F.when((c("direction") == of) & (c(ROW) % 11 != 0), amount).otherwise("")
+    line = F.concat_ws(",", c("posted_at").cast("string"), F.concat(F.lit('"'), text, F.lit('"')), side("outflow"), side("inflow"), F.coalesce(c("running_balance").cast("string"), F.lit("")))
+    path = store.shared_folder(s, "statements")
+    statements.render(in_files(tx(s, d), line, F.lit("Bank Name,Harbour\n\nDate,Description,Debit,Credit,Balance")), path)
+    rows = statements.debit_credit(statements.read(s, path)).withColumn("file", statements.name_of(c("file")))
+    return rows.select("file", "row_number", "posted_at", "description", "amount", "direction", "reference", "counterparty", "running_balance")
+
+
+NORMAL_COLUMNS = ["amount", "currency", "description", "posted_at", "value_at", "direction", "counterparty", "reference", "running_balance"]
+
+
+def normal_line():
+    cell = lambda x: F.coalesce(F.concat(F.lit('"'), x, F.lit('"')), F.lit(""))
+    amount = F.when(c(ROW) % 5 != 0, F.format_number("amount", 2)).otherwise("n/a")
+    day = lambda n: F.coalesce(c(n).cast("string"), F.lit(""))
+    return F.concat_ws(",", cell(amount), cell(F.when(c(ROW) % 7 != 0, c("currency"))), cell(c("description")), day("posted_at"), day("value_at"), c("direction"), cell(c("counterparty")), cell(c("reference")), day("running_balance"))
+
+
+@query(
+    "src_03_files",
+    f"""SELECT (account_id // {SHARE})::VARCHAR AS file, {', '.join(f'CASE WHEN row_index % 19 <> 0 THEN {x} END AS {n}' for n, x in (('posted_at', 'posted_at'), ('value_at', 'value_at'), ('direction', 'direction'), ('description', 'description'), ('counterparty', 'counterparty'), ('reference', 'reference'),
+        ('currency', 'CASE WHEN row_index % 7 <> 0 THEN currency END'), ('amount', 'CASE WHEN row_index % 5 <> 0 THEN amount END'), ('running_balance', 'running_balance')))},
+        CASE WHEN row_index % 19 = 0 THEN 'record' ELSE concat_ws(',', CASE WHEN row_index % 5 = 0 THEN 'amount' END, CASE WHEN row_index % 7 = 0 OR currency IS NULL THEN 'currency' END) END AS lacks FROM transactions""",
+)
+def src_03_files(s, d):
+    """Files with one amount column by the CSV reader: whole rows, rows that lack values, and rows with a cell too many."""
+    path = store.shared_folder(s, "normalized")
+    line = F.concat(normal_line(), F.when(c(ROW) % 19 == 0, ",one,cell,more").otherwise(""))
+    statements.render(in_files(tx(s, d), line, F.lit(",".join(NORMAL_COLUMNS))), path)
+    rows = statements.normalized_csv(s, path, NORMAL_COLUMNS).withColumns({"file": statements.name_of(c("file")), "lacks": F.array_join("lacks", ",")})
+    return rows.drop("broken")
+
+
+@query(
+    "src_04_files",
+    f"""SELECT (account_id // {SHARE})::VARCHAR AS file, transaction_id, posted_at, amount, false AS broken FROM transactions WHERE account_id // {SHARE} % 3 <> 1
+        UNION ALL SELECT DISTINCT (account_id // {SHARE})::VARCHAR, NULL, NULL::DATE, NULL::DECIMAL(18,2), true FROM transactions WHERE account_id // {SHARE} % 3 = 1""",
+)
+def src_04_files(s, d):
+    """Statements as JSON files of many lines; every third is cut short, and is put aside as a whole."""
+    one = F.struct(c("posted_at"), F.lit("x").alias("direction"), c("transaction_id").alias("raw_description"), F.format_number("amount", 2).alias("amount"))
+    of_file = F.floor(c("account_id") / SHARE)
+    files = tx(s, d).groupBy(of_file.alias("file")).agg(F.to_json(F.struct(F.struct(F.lit("Harbour").alias("institution_name")).alias("bank_account"), F.collect_list(one).alias("transactions"))).alias("text"))
+    text = F.replace(c("text"), F.lit("},{"), F.lit("},\n {"))
+    path = store.shared_folder(s, "nested")
+    statements.render(files.select(c("file").cast("string").alias("file"), F.when(c("file") % 3 == 1, F.substring(text, 1, 100)).otherwise(text).alias("text")), path)
+    good, bad = statements.nested_files(s, path)
+    none = F.lit(None)
+    rows = good.select(statements.name_of(c("file")).alias("file"), c("description").alias("transaction_id"), "posted_at", "amount", F.lit(False).alias("broken"))
+    return rows.unionByName(bad.select(statements.name_of(c("file")).alias("file"), none.cast("string").alias("transaction_id"), none.cast("date").alias("posted_at"), none.cast("decimal(18,2)").alias("amount"), F.lit(True).alias("broken")))
+
+
+@query(
+    "src_07_files",
+    """SELECT file, sha256(body) AS content_hash, strlen(body) AS size, CASE WHEN file % 2 = 0 THEN 'text/plain' ELSE 'text/csv' END AS media_type FROM (SELECT doc_id // 20 AS file, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY 1)""",
+)
+def src_07_files(s, d):
+    """Documents of twenty as binary files: what an upload is known by (hash, size, media type by its name), from the bytes."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n")
+    files = docs(s, d).groupBy(F.floor(c("doc_id") / 20).alias("n")).agg(body.alias("text")).select(F.concat(c("n").cast("string"), F.when(c("n") % 2 == 0, "-txt").otherwise("-csv")).alias("file"), "text")
+    path = store.shared_folder(s, "uploads")
+    statements.render(files, path)
+    return store.uploads(s, path).select(F.regexp_extract("name", r"^(\d+)", 1).cast("bigint").alias("file"), "content_hash", c("size").cast("bigint").alias("size"), "media_type")
+
+
 # incremental flows
+BEST = "SELECT *, count(*) OVER (PARTITION BY invoice_id) AS n, row_number() OVER (PARTITION BY invoice_id ORDER BY score DESC, tid) AS r FROM ({rows})"
+OF_BATCH = f"SELECT k.*, sha256(concat_ws('|', k.tenant_id::VARCHAR, t.posted_at::VARCHAR, t.amount::VARCHAR, t.description)) AS tid FROM kept k JOIN booked t USING (transaction_id) WHERE t.posted_at IS NOT NULL AND t.row_index % 5 <> 0 AND t.row_index % 7 <> 0 AND t.currency IS NOT NULL AND t.account_id // {SHARE} % 2 = {{batch}}"
+
+
 def sm_01(s, d):
-    """Statement files that come in twice over: each transaction is stored once, then proposals are made for what is there."""
-    path = store.shared_folder(s, "intake")
-    t = tx(s, d)
-    number = F.substr("transaction_id", F.lit(2)).cast("bigint")
-    for batch, rows in enumerate((t.where(number % 3 != 0), t.where(number % 3 != 1), t.where(number % 3 != 1))):
-        ingest.append_new(rows, batch, path, ["transaction_id"])
-    stored = s.read.parquet(path).drop("batch_id", "key_part")
-    return reconcile.proposals(reconcile.best(reconcile.candidates(inv(s, d), stored))).drop("tenant_id")
-
-
-QUERIES["sm_01"], ORACLES["sm_01"] = sm_01, ORACLES["bd_04"]
-query("sm_02", "SELECT sha256(text) AS content_hash, 1 AS n FROM documents GROUP BY text")(lambda s, d: alerts.new_documents(docs(s, d).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))).groupBy("content_hash").agg(F.count("*").alias("n")))
+    """A stream over statement files that come in two lots, the second with files of the first again: each transaction is stored once, and
+    each lot is met with the invoices that have no proposal yet."""
+    folder, path = store.shared_folder(s, "intake"), store.shared_folder(s, "drop")
+    checkpoint = store.shared_folder(s, "checkpoint")
+    of_file = F.concat(F.lit("tenant-"), c("tenant_id").cast("string"), F.lit("-"), F.floor(c("account_id") / SHARE).cast("string"))
+    rows = V.booked(s, d).withColumn("lot", F.floor(c("account_id") / SHARE) % 2)
+    body = F.array_join(F.collect_list(normal_line()), "\n")
+    files = rows.groupBy("lot", of_file.alias("file")).agg(F.concat(F.lit(",".join(NORMAL_COLUMNS) + "\n"), body).alias("text"))
+    for lot in (0, 1):
+        statements.render(files.where(c("lot") == lot), path)
+        if lot:
+            statements.render(files.where(c("lot") == 0).withColumn("file", F.concat("file", F.lit("-again"))), path)
+        q = ingest.start_proposals(statements.stream(s, path), inv(s, d), folder, checkpoint)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return s.read.parquet(f"{folder}/proposals").drop("batch_id", "tenant_id")
+
+
+SM_01 = f"""SELECT invoice_id, tid AS transaction_id, score, n AS n_candidates, CASE WHEN n > 1 OR score < 85 THEN 'pending_review' ELSE 'proposed' END AS status, CASE WHEN score >= 85 THEN 'high' ELSE 'medium' END AS confidence, (abs(amount) - total)::DECIMAL(18,2) AS difference
+ FROM (SELECT * FROM ({BEST.format(rows=OF_BATCH.format(batch=0))}) WHERE r = 1 UNION ALL SELECT * FROM ({BEST.format(rows=OF_BATCH.format(batch=1))}) WHERE r = 1 AND invoice_id NOT IN (SELECT invoice_id FROM ({OF_BATCH.format(batch=0)})))"""
+QUERIES["sm_01"], ORACLES["sm_01"] = sm_01, R.scored(SM_01)
+
+
+@query("sm_02", "SELECT sha256(text) AS content_hash, 1 AS n FROM documents GROUP BY text")
+def sm_02(s, d):
+    """A stream of documents, read twice from its beginning: hashes are stored for good, so that no content is taken in again."""
+    folder = store.shared_folder(s, "contents")
+    kind = docs(s, d).schema
+    # as a pattern, the path may be that of one file
+    for _ in range(2):
+        stream = s.readStream.schema(kind).parquet(f"{d}/documents.parque[t]").select(F.sha2("text", 256).alias("content_hash"))
+        q = ingest.start(stream, folder, store.shared_folder(s, "checkpoint"), ["content_hash"], fresh=False)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return s.read.parquet(folder).groupBy("content_hash").agg(F.count("*").alias("n"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import classify, insights, scoring
-from tallyforge.plans.catalog import query
+from tallyforge.operators import classify, insights, ordered, reconcile, scoring
+from tallyforge.plans import registry as R
+from tallyforge.plans.catalog import ORACLES, QUERIES, query
 from tallyforge.sources import views as V
 
 c, inv, tx, stm = F.col, V.invoices, V.transactions, V.statements
@@ -31,6 +32,13 @@ def bd_01(s, d):
     return labelled(s, d).select("transaction_id", "category", "category_type", "rule_id", "rule_score", "n_keywords", "confidence")
 
 
+@query("bd_01_index", f"SELECT transaction_id, category, category_type, rule_id, rule_score, n_keywords, confidence FROM {LABELLED}")
+def bd_01_index(s, d):
+    """The same by an index of the rules' keywords, as for rules in large numbers."""
+    rows = classify.classified_by_index(tx(s, d), "transaction_id", classify.haystack(c("description"), c("counterparty"), c("reference"), c("currency")), c("direction"), c("amount"), classify.rule_table(s))
+    return rows.select("transaction_id", "category", "category_type", "rule_id", "rule_score", "n_keywords", "confidence")
+
+
 @query(
     "bd_03",
     f"""SELECT transaction_id, CASE WHEN use THEN label ELSE category END AS category, CASE WHEN use THEN CASE label WHEN 'office_supplies' THEN 'expense' ELSE 'other' END ELSE category_type END AS category_type,
@@ -270,3 +278,32 @@ def ev_12(s, d):
         F.lit("micro").alias("label"), *(F.sum(x).alias(x) for x in ("tp", "fp", "fn")), ratio(c("tp"), c("tp") + c("fp")).alias("precision"), ratio(c("tp"), c("tp") + c("fn")).alias("recall"), ratio(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")).alias("f1")
     )
     return q.unionByName(macro).unionByName(micro)
+
+
+#: Statements whose balances are printed: the running sum of an account, every seventh row a cent or two off.
+PRINTED = f"(SELECT account_id, transaction_id, amount, n, sum(amount) OVER (PARTITION BY account_id ORDER BY n) + CASE WHEN {K} % 7 = 0 THEN 0.02 ELSE 0.00 END AS balance FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY posted_at, transaction_id) AS n FROM transactions))"
+
+
+QUALITY = f"""SELECT 'balance_consistency' AS metric, count(*) AS n, count(*) FILTER (abs(balance - before - amount) <= 0.01) AS n_good FROM (SELECT *, lag(balance) OVER (PARTITION BY account_id ORDER BY n) AS before FROM {PRINTED}) WHERE before IS NOT NULL
+        UNION ALL SELECT 'duplicate_rate', count(*), count(*) - count(DISTINCT coalesce(text, '')) FROM documents
+        UNION ALL SELECT 'candidate_recall', (SELECT count(*) FROM invoices), (SELECT count(*) FROM kept WHERE transaction_id = 'T' || invoice_id)
+        UNION ALL SELECT 'auto_accept_precision', count(*), count(*) FILTER (transaction_id = 'T' || invoice_id) FROM ranked WHERE rn = 1 AND n_candidates = 1 AND score >= 85"""
+
+
+def ev_12_quality(s, d):
+    """Measures of a whole run: printed balances that follow from the row before, contents that came before, true matches among the candidates, and among those accepted without review."""
+    t = ordered.numbered(tx(s, d).select("account_id", "transaction_id", "amount", "posted_at"), ["account_id"], ["posted_at", "transaction_id"])
+    t = ordered.running(t, ["account_id"], "n", balance=c("amount")).withColumn("balance", c("balance") + F.when(number() % 7 == 0, F.lit("0.02")).otherwise(F.lit("0.00")).cast("decimal(4,2)"))
+    t = ordered.before_it(t, ["account_id"], "n", before="balance").where("before IS NOT NULL")
+    row = lambda name, n, good: [F.lit(name).alias("metric"), n.alias("n"), good.alias("n_good")]
+    every, near = F.count("*"), F.abs(c("balance") - c("before") - c("amount")) <= F.lit("0.01").cast("decimal(4,2)")
+    texts = V.table(s, d, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(every.alias("k"))
+    found = R.found(s, d)
+    true = c("transaction_id") == F.concat(F.lit("T"), c("invoice_id").cast("string"))
+    made = reconcile.proposals(reconcile.best(found)).where("status = 'proposed'")
+    recall = inv(s, d).agg(every.alias("n")).crossJoin(found.where(true).agg(every.alias("n_good"))).select(F.lit("candidate_recall").alias("metric"), "n", "n_good")
+    out = t.agg(*row("balance_consistency", every, F.count_if(near))).unionByName(texts.agg(*row("duplicate_rate", F.sum("k"), F.sum("k") - every)))
+    return out.unionByName(recall).unionByName(made.agg(*row("auto_accept_precision", every, F.count_if(true))))
+
+
+QUERIES["ev_12_quality"], ORACLES["ev_12_quality"] = ev_12_quality, R.scored(QUALITY)

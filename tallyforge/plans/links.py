@@ -27,7 +27,7 @@ BAND = "abs(t.amount) BETWEEN i.total - greatest(i.total / 100, 1) - 1 AND i.tot
 def jn_02(s, d):
     """Any pair of an invoice and a transaction of an import of its account that scores."""
     i = inv(s, d).withColumn("import_id", F.explode(F.array(c("customer_id") * 2, c("customer_id") * 2 + 1)))
-    t = tx(s, d).withColumn("import_id", c("account_id") * 2 + c("row_index") % 2)
+    t = V.booked(s, d).withColumn("import_id", c("account_id") * 2 + c("row_index") % 2)
     return reconcile.scored_pairs(i, t, "import_id")
 
 
@@ -35,6 +35,32 @@ QUERIES["jn_02"] = jn_02
 ORACLES["jn_02"] = R.scored("SELECT * FROM kept").replace(BAND, "i.customer_id = t.account_id").replace("score >= 70", "score >= 1").replace("diff <= greatest(total / 20, 5)", "diff * 20 <= greatest(total, 100)")
 
 
+#: Pairs of a whole tenant: by amount and reference where a date alone can't reach the score.
+query("jn_02_tenant", None)(lambda s, d: reconcile.blocked_pairs(inv(s, d), V.booked(s, d), 36))
+ORACLES["jn_02_tenant"] = R.scored("SELECT * FROM kept").replace(f" AND {BAND}", "").replace("score >= 70", "score >= 36").replace("diff <= greatest(total / 20, 5)", "diff * 20 <= greatest(total, 100)")
+
+
+def jn_02_blocked(s, d):
+    """jn_02 by the indexes: the same rows."""
+    i = inv(s, d).withColumn("import_id", F.explode(F.array(c("customer_id") * 2, c("customer_id") * 2 + 1)))
+    t = V.booked(s, d).withColumn("import_id", c("account_id") * 2 + c("row_index") % 2)
+    return reconcile.blocked_pairs(i, t, 1, ("import_id",))
+
+
+QUERIES["jn_02_blocked"], ORACLES["jn_02_blocked"] = jn_02_blocked, ORACLES["jn_02"]
+
+
+@query(
+    "jn_03_pairs",
+    """WITH near AS (SELECT i.tenant_id, invoice_id, transaction_id FROM invoices i JOIN transactions t ON i.tenant_id = t.tenant_id AND t.amount BETWEEN total * 0.9 AND total * 1.1),
+       recent AS (SELECT tenant_id, transaction_id FROM transactions QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY posted_at DESC NULLS LAST, transaction_id) <= 100)
+       SELECT *, 'window' AS origin FROM near UNION ALL SELECT tenant_id, invoice_id, transaction_id, 'recent' FROM invoices JOIN recent USING (tenant_id) WHERE invoice_id NOT IN (SELECT invoice_id FROM near)""".replace("WITH near", "SELECT * FROM (WITH near", 1) + ")",
+)
+def jn_03_pairs(s, d):
+    """The candidates themselves: within a tenth of the total, else the tenant's 100 latest."""
+    return reconcile.candidate_pairs(inv(s, d), tx(s, d))
+
+
 @query(
     "jn_03",
     """SELECT invoice_id, coalesce(w.n, least(100, t.n)) AS n_candidates, CASE WHEN w.n IS NULL THEN 'recent' ELSE 'window' END AS origin FROM invoices i

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import opslog
+from tallyforge.operators import opslog, ordered
 from tallyforge.plans.catalog import query
 from tallyforge.sources import views as V
 from tallyforge.streaming import alerts
@@ -46,12 +45,10 @@ def op_11(s, d):
 
 @query("wn_13", "SELECT event_id, tenant_id FROM (SELECT event_id, tenant_id, count(*) OVER w AS n, count(*) FILTER (agent = 'purchase') OVER w AS k FROM steps WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, event_id ROWS 49 PRECEDING)) WHERE n = 50 AND k > 0.25 * n")
 def wn_13(s, d):
-    """Decisions at which over a quarter of the tenant's last 50 were corrections (the other half of the daily alert)."""
-    w = Window.partitionBy("tenant_id").orderBy("ts", "event_id").rowsBetween(-49, 0)
-    rows = steps(s, d).select("event_id", "tenant_id", F.count("*").over(w).alias("n"), F.count_if(c("agent") == "purchase").over(w).alias("k"))
-    return rows.where((c("n") == 50) & (c("k") > 0.25 * c("n"))).select("event_id", "tenant_id")
-
-
+    """Decisions at which over a quarter of the tenant's last 50 were corrections (the other half of the daily alert), in blocks of rows."""
+    rows = ordered.numbered(steps(s, d).select("event_id", "tenant_id", "ts", "agent"), ["tenant_id"], ["ts", "event_id"])
+    rows = ordered.last_rows(rows, ["tenant_id"], "n", 50, k=lambda w: F.count_if(c("agent") == "purchase").over(w))
+    return rows.where((c("n") >= 50) & (c("k") > 0.25 * 50)).select("event_id", "tenant_id")
 
 
 @query("sm_08", "SELECT tenant_id, count(*) AS n_open, max((SELECT max(issue_date) FROM invoices) - issue_date)::INT AS oldest_days FROM invoices WHERE status = 'pending_review' GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import insights, opslog, reconcile, review, validate
+from tallyforge.operators import documents, insights, opslog, ordered, reconcile, review, validate
 from tallyforge.plans.catalog import ORACLES, QUERIES, projection, query
 from tallyforge.sources import views as V
 from tallyforge.streaming import alerts
@@ -42,13 +42,12 @@ def ex_12(s, d):
     return docs.select("doc_id", text.alias("redacted"), c("text")).select("doc_id", (F.regexp_count("redacted", F.lit(r"\[REDACTED_EMAIL\]")) - F.regexp_count("text", F.lit(r"\[REDACTED_EMAIL\]"))).alias("emails"))
 
 
-@query("ex_01", r"SELECT doc_id, count(*) AS n_lines, sum(length(line)) AS n_chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g')) AS line FROM documents) WHERE line <> '' GROUP BY doc_id")
+@query("ex_01", r"""SELECT doc_id, len(l) AS n_lines, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)::BIGINT AS n_chars FROM (SELECT doc_id,
+ list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda x: trim(regexp_replace(x, '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'), ' ''‘’“”')), lambda x: x <> '') AS l FROM documents)""")
 def ex_01(s, d):
-    docs = V.table(s, d, "documents")
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).where("line <> ''")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
-
-
+    """Lines of each document: white space collapsed, quotes at the ends and blank lines gone."""
+    rows = V.table(s, d, "documents").select("doc_id", documents.lines(c("text")).alias("l"))
+    return rows.select("doc_id", F.size("l").alias("n_lines"), F.aggregate("l", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)).alias("n_chars"))
 
 
 # filters
@@ -62,12 +61,13 @@ filtered("flt_05", inv, "SELECT invoice_id, priority FROM invoices WHERE status
 filtered("flt_07", tx, "SELECT transaction_id, amount FROM transactions WHERE direction = 'inflow' OR amount > 0", lambda: [(c("direction") == "inflow") | (c("amount") > 0), "transaction_id", "amount"])
 
 # joins
-SCORE = """
-pairs AS (SELECT i.tenant_id, invoice_id, transaction_id, total, amount, abs(total - abs(amount)) AS diff, date_diff('day', due_date, posted_at) AS late, date_diff('day', posted_at, issue_date) AS early,
-  posted_at, issue_date, due_date, lower(number) AS num, lower(concat_ws(' ', reference, description)) AS txt, coalesce(i.currency <> t.currency, false) AS clash
-  FROM invoices i JOIN transactions t ON i.tenant_id = t.tenant_id AND abs(t.amount) BETWEEN i.total - greatest(i.total / 100, 1) - 1 AND i.total + greatest(i.total / 100, 1) + 1),
+SCORE = f"""
+{V.BOOKED},
+pairs AS (SELECT i.tenant_id, invoice_id, transaction_id, total, amount, abs(total - abs(amount)) AS diff, date_diff('day', due_date, paid_at) AS late, date_diff('day', paid_at, issue_date) AS early,
+  paid_at, issue_date, due_date, lower(number) AS num, lower(concat_ws(' ', reference, description, counterparty)) AS txt, coalesce(i.currency <> t.currency, false) AS clash
+  FROM invoices i JOIN (SELECT *, coalesce(posted_at, value_at) AS paid_at FROM booked) t ON i.tenant_id = t.tenant_id AND abs(t.amount) BETWEEN i.total - greatest(i.total / 100, 1) - 1 AND i.total + greatest(i.total / 100, 1) + 1),
 parts AS (SELECT *, CASE WHEN diff <= 0.01 THEN 50 WHEN diff <= greatest(total::DECIMAL(30,4) / 100, 1) THEN 35 WHEN diff <= greatest(total / 20, 5) THEN 15 ELSE 0 END AS amount_score,
-  CASE WHEN posted_at BETWEEN issue_date AND due_date THEN 20 WHEN late BETWEEN 1 AND 7 THEN 15 WHEN early BETWEEN 1 AND 7 THEN 10 ELSE 0 END AS date_score,
+  CASE WHEN paid_at BETWEEN issue_date AND due_date THEN 20 WHEN late BETWEEN 1 AND 7 THEN 15 WHEN early BETWEEN 1 AND 7 THEN 10 ELSE 0 END AS date_score,
   CASE WHEN contains(txt, num) THEN 30 WHEN contains(replace(txt, '-', ''), replace(num, '-', '')) THEN 25 ELSE 0 END AS reference_score FROM pairs),
 found AS (SELECT tenant_id, invoice_id, transaction_id, total, amount, amount_score, date_score, reference_score, CASE WHEN clash THEN 0 ELSE least(100, amount_score + date_score + reference_score) END AS score FROM parts),
 kept AS (SELECT * FROM found WHERE score >= 70),
@@ -80,7 +80,7 @@ def scored(sql: str) -> str:
 
 
 def found(s, d):
-    return reconcile.candidates(inv(s, d), tx(s, d))
+    return reconcile.candidates(inv(s, d), V.booked(s, d))
 
 
 QUERIES["jn_01"], ORACLES["jn_01"] = (lambda s, d: found(s, d)), scored("SELECT * FROM kept")
@@ -114,11 +114,18 @@ query("ag_07", "SELECT tenant_id, count(*) AS total FROM invoices GROUP BY 1")(l
 
 
 # windows
-query("wn_08", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM steps")(lambda s, d: V.steps(s, d).select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step")))
-query("jn_11", """SELECT a.event_id AS handoff, b.event_id AS signal FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM steps WHERE failed) a
- JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM steps WHERE agent = 'click') b ON a.user_id = b.user_id AND a.n = b.n""")(
-    lambda s, d: (lambda e, w: e.where("failed").select("user_id", c("event_id").alias("handoff"), w.alias("n")).join(e.where("agent = 'click'").select("user_id", c("event_id").alias("signal"), w.alias("n")), ["user_id", "n"]).select("handoff", "signal"))(V.steps(s, d), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-)
+query("wn_08", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM steps")(lambda s, d: ordered.numbered(V.steps(s, d), ["user_id"], ["ts", "event_id"], "step").select("event_id", "user_id", "step"))
+
+
+@query("jn_11", """SELECT a.event_id AS handoff, b.event_id AS signal FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM steps WHERE failed) a
+ JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM steps WHERE agent = 'click') b ON a.user_id = b.user_id AND a.n = b.n""")
+def jn_11(s, d):
+    """The nth failure of a user meets its nth signal; both are numbered by ranges, so no user is sorted as a whole."""
+    e = V.steps(s, d)
+    side = lambda rows, name: ordered.numbered(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "n", c("event_id").alias(name))
+    return side(e.where("failed"), "handoff").join(side(e.where("agent = 'click'"), "signal"), ["user_id", "n"]).select("handoff", "signal")
+
+
 query("tk_02", "SELECT transaction_id, posted_at, amount FROM transactions ORDER BY posted_at DESC, transaction_id LIMIT 50 OFFSET 50")(lambda s, d: tx(s, d).orderBy(F.desc_nulls_last("posted_at"), "transaction_id").offset(50).limit(50).select("transaction_id", "posted_at", "amount"))
 
 # validation

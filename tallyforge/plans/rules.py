@@ -80,14 +80,24 @@ cases(
     ],
     redacted=lambda x: S.redacted(x, 81)[0], n=lambda x: S.redacted(x, 81)[1],
 )
-cases(
-    "scl_35", steps, "steps", "event_id",
-    [
-        ('{"user":"a","password":"p w"}', '{"user":"a","password":"[REDACTED]"}'), ('{"x":{"api_key": "k\\"1","n":1}}', '{"x":{"api_key":"[REDACTED]","n":1}}'), ('{"Auth_Token":123,"to":"m@x.io"}', '{"Auth_Token":"[REDACTED]","to":"[REDACTED_EMAIL]"}'),
-        ('{"t":"' + "z" * 60 + '"}', '{"preview":"{\\"t\\":\\"' + "z" * 34 + '","length":68}'), ("{}", "{}"), (None, None),
-    ],
-    shown=lambda x: F.when(F.length(x) > 60, S.redacted_json(x, 40)).otherwise(S.redacted_json(x)),
-)
+MASKED = """'{"number":"' || number || '","customer_name":"[REDACTED]","party":"[REDACTED]","lines":[{"description":"Part","account_no":"[REDACTED]"}],"steps":{"prompt":"[REDACTED]","note":{"reply_email":"[REDACTED]","n":' || invoice_id || '}}}'"""
+
+
+@query(
+    "scl_35",
+    f"""SELECT invoice_id, CASE WHEN invoice_id % 7 = 0 THEN NULL WHEN invoice_id % 5 = 0 THEN '{{"_truncated":true,"payload_chars":' || length(x) || ',"payload_preview":"' || replace(substr(x, 1, 60), '"', '\\"') || '"}}' ELSE x END AS shown,
+        '{{"customer_email":"[REDACTED]","status":"' || status || '","Total_Amount":"[REDACTED]"}}' AS record FROM (SELECT *, {MASKED} AS x FROM invoices)""".replace("\\\\", "\\"),
+)
+def scl_35(s, d):
+    """Payloads of traces with sensitive keys at several depths (texts, numbers, lists and objects below them are masked), cut or no JSON; and the attributes of log records."""
+    note = F.struct(F.lit("x@y.org").alias("reply_email"), c("invoice_id").alias("n"))
+    body = F.struct("number", c("customer").alias("customer_name"), F.struct(c("customer").alias("name")).alias("party"), F.array(F.struct(F.lit("Part").alias("description"), c("customer_id").alias("account_no"))).alias("lines"), F.struct(F.array(F.lit("a"), c("number")).alias("prompt"), note.alias("note")).alias("steps"))
+    payload = F.when(c("invoice_id") % 7 != 0, F.to_json(body)).otherwise("{not json")
+    rows = inv(s, d).select("invoice_id", "status", "customer", "total", payload.alias("payload"))
+    shown = F.when(c("invoice_id") % 5 == 0, S.redacted_json(c("payload"), 60)).otherwise(S.redacted_json(c("payload")))
+    return rows.select("invoice_id", shown.alias("shown"), F.to_json(S.redacted_keys(F.create_map(F.lit("customer_email"), c("customer"), F.lit("status"), c("status"), F.lit("Total_Amount"), c("total").cast("string")))).alias("record"))
+
+
 projection(
     "scl_38", inv, "SELECT invoice_id, format('{:,.2f}', total::DOUBLE) || ' ' || currency AS shown, format('{:.2f}', (total::DECIMAL(18,2))::DOUBLE) AS share FROM invoices",
     lambda: ["invoice_id", S.format_money(c("total"), c("currency")).alias("shown"), S.format_percentage(c("total")).alias("share")],

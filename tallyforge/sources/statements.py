@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
@@ -13,8 +13,27 @@ REQUIRED = ["posted_at", "direction", "description", "amount", "currency"]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, text: a row per file."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    """file, text: a row per file below the path."""
+    return named(spark.read.text(path, wholetext=True, recursiveFileLookup=True))
+
+
+def stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream: files that come in later are read when they are there."""
+    return named(spark.readStream.text(path, wholetext=True, recursiveFileLookup=True))
+
+
+def named(files: DataFrame) -> DataFrame:
+    return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+
+
+def render(files: DataFrame, path: str) -> None:
+    """files(file, text) as text files of their own below the path, in folders file=..., beside what is there."""
+    files.select("file", "text").repartition("file").write.mode("append").partitionBy("file").text(path)
+
+
+def name_of(file: Column) -> Column:
+    """The name that render() was given, from a file's path."""
+    return F.regexp_extract(file, r"file=([^/]+)/", 1)
 
 
 def _lines(files: DataFrame) -> DataFrame:
@@ -67,17 +86,50 @@ def normalized(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = parsed(rows).withColumn("cells", F.array(*(F.col(f"x.c{i}") for i in range(12))))
     cell = lambda n: F.nullif(F.trim(F.get("cells", F.array_position("names", F.lit(n)).cast("int") - 1)), F.lit(""))
     fields = [f.strip().split(" ", 1) for f in NORMALIZED.split(", ")]
-    typed = {"date": S.parse_iso_date, "string": lambda v: v, "decimal(18,2)": lambda v: S.parse_decimal(v).cast("decimal(18,2)")}
-    rows = rows.select("file", "row_number", *(typed[kind](cell(n)).alias(n) for n, kind in fields))
-    rows = rows.withColumn("lacks", F.array_compact(F.array(*(F.when(F.col(n).isNull(), n) for n in REQUIRED))))
+    rows = rows.select("file", "row_number", *(TYPED[kind](cell(n)).alias(n) for n, kind in fields)).withColumn("lacks", lacking())
     return rows.where(F.size("lacks") == 0).drop("lacks"), rows.where(F.size("lacks") > 0)
 
 
+TYPED = {"date": S.parse_iso_date, "string": lambda v: v, "decimal(18,2)": lambda v: S.parse_decimal(v).cast("decimal(18,2)")}
+
+
+def lacking() -> Column:
+    return F.array_compact(F.array(*(F.when(F.col(n).isNull(), n) for n in REQUIRED)))
+
+
+def normalized_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Files with one signed amount column and these columns in their order, by the CSV reader: large files are split over tasks.
+
+    file, the normalized columns, lacks (what required values a row has not), and broken: the line of a row with too many or too few
+    cells, whose values are null.
+    """
+    schema = ", ".join(f"{n} string" for n in columns) + ", broken string"
+    raw = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="broken", recursiveFileLookup=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), *columns, "broken")
+    fields = [f.strip().split(" ", 1) for f in NORMALIZED.split(", ")]
+    whole = lambda c: F.when(F.col("broken").isNull(), F.nullif(F.trim(c), F.lit("")))
+    rows = rows.select("file", *(TYPED[kind](whole(F.col(n))).alias(n) for n, kind in fields), "broken")
+    return rows.withColumn("lacks", F.when(F.col("broken").isNull(), lacking()).otherwise(F.array(F.lit("record"))))
+
+
 def nested(files: DataFrame) -> DataFrame:
     """Statement JSON (file, text: bank_account, statement_import, transactions[]): a row per transaction, account and import beside it."""
-    tx = "array<struct<posted_at: date, value_at: date, direction: string, raw_description: string, counterparty_name: string, reference: string, currency: string, amount: string, running_balance: string>>"
-    schema = f"bank_account struct<institution_name: string, currency: string, account_identifier_hash: string>, statement_import struct<source_filename: string, currency: string, opening_balance: string, closing_balance: string>, transactions {tx}"
-    p = files.select("file", F.from_json("text", schema).alias("p"))
+    return nested_rows(files.select("file", F.from_json("text", NESTED).alias("p")))
+
+
+def nested_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of JSON files of one statement each, however its text is broken into lines; and the files that are no JSON: file, broken."""
+    raw = spark.read.schema(f"{NESTED}, broken string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="broken", recursiveFileLookup=True)
+    files = raw.select(F.col("_metadata.file_path").alias("file"), F.struct("bank_account", "statement_import", "transactions").alias("p"), "broken")
+    # the reader refuses to read the broken text alone
+    return nested_rows(files.where("broken IS NULL")), files.where("broken IS NOT NULL AND coalesce(size(p.transactions), 0) >= 0").select("file", "broken")
+
+
+TX = "array<struct<posted_at: date, value_at: date, direction: string, raw_description: string, counterparty_name: string, reference: string, currency: string, amount: string, running_balance: string>>"
+NESTED = f"bank_account struct<institution_name: string, currency: string, account_identifier_hash: string>, statement_import struct<source_filename: string, currency: string, opening_balance: string, closing_balance: string>, transactions {TX}"
+
+
+def nested_rows(p: DataFrame) -> DataFrame:
     rows = p.select(
         "file", "p.bank_account.institution_name", F.col("p.bank_account.currency").alias("account_currency"), "p.bank_account.account_identifier_hash", F.col("p.statement_import.source_filename").alias("source"),
         S.parse_decimal(F.col("p.statement_import.opening_balance")).cast("decimal(18,2)").alias("opening_balance"), F.posexplode("p.transactions").alias("row_number", "t"),

@@ -38,6 +38,15 @@ def read(spark: SparkSession, path: str, tenant: int, buckets: int = BUCKETS) ->
     return spark.read.parquet(path).where((F.col("bucket") == zlib.crc32(str(tenant).encode()) % buckets) & (F.col("tenant_id") == tenant)).drop("bucket")
 
 
+def uploads(spark: SparkSession, path: str) -> DataFrame:
+    """name, media_type, size, content_hash, content of the files below a path; the media type is that of the name's ending."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.regexp_extract("path", r"file=([^/]+)/", 1)
+    ending = F.element_at(F.split(name, "[.-]"), -1)
+    media = F.when(ending == "txt", "text/plain").when(ending == "csv", "text/csv").when(ending == "pdf", "application/pdf").when(ending == "png", "image/png").when(ending.isin("jpg", "jpeg"), "image/jpeg")
+    return files.select(name.alias("name"), media.alias("media_type"), F.col("length").alias("size"), F.sha2("content", 256).alias("content_hash"), "content")
+
+
 def intake(files: DataFrame, stored: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """files(file_id, tenant_id, name, media_type, content) with file_name, size, content_hash and state: accepted, or why not.
 
