@@ -50,6 +50,7 @@ EXPLICIT_TOTAL = r"(?<!sub)\btotal\b(?:\s*\(?[A-Z]{3}\)?)?[^0-9$]{0,24}" + MONEY
 TAX_MARKS = ["taxa", "base", "iva", "imposto", "incidencia", "incidência"]
 TAX_HEADING = r"\bv[.]?\s*tax\b|\b(?:resumo|summary)\b.{0,16}\b(?:iva|vat)\b|\bvalor\s+(?:do\s+)?iva\b"
 SUMMARY = r"\b(?:resumo|summary)\b.{0,16}\b(?:iva|vat)\b"
+SKIPPED = ["qty description", "unit price", "subtotal", "sales tax", "discount", "vat", "tax ", "tax(", "shipping", "amount paid", "balance due", "total", "terms and conditions"]
 NO_ITEM = r"qty description|unit price|subtotal|sales tax|discount|vat|tax |tax\(|shipping|amount paid|balance due|total|terms and conditions"
 NO_CONTINUATION = r"bill to|ship to|balance due|paid|discount|vat|tax|created by|payment|notes:"
 AMOUNT = r"[$£]?\s*\d+(?:,\d{3})*(?:\.\d{2})?"
@@ -64,9 +65,16 @@ TABLE_BEGINS, TABLE_ENDS = ["qty description", "ty description", "description"],
 BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
+BLANKS = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
+def stripped(c: Column, marks: str) -> Column:
+    return F.btrim(c, F.lit(marks))
+
+
 def cleaned(c: Column) -> Column:
     """White space collapsed, quotes at the ends gone."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^[ '‘’“”]+|[ '‘’“”]+$", "")
+    return stripped(F.regexp_replace(c, BLANKS, " "), " '‘’“”")
 
 
 def lines(text: Column) -> Column:
@@ -113,7 +121,7 @@ def dated(raw: Column, low: Column, labels: list[str]) -> Column:
 
 def trimmed_number(found: Column) -> Column:
     """A number as it is written, blanks around its separators gone."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(cleaned(found), "^[ :#-]+|[ :#-]+$", ""), r"\s*([/_-])\s*", "$1"), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(stripped(cleaned(found), " :#-"), r"\s*([/_-])\s*", "$1"), r"\s+", " ")
 
 
 def has_digit(c: Column) -> Column:
@@ -128,8 +136,7 @@ def party(c: Column) -> Column:
 
 def plausible(name: Column) -> Column:
     """A name with letters and no digit that is no label."""
-    low = F.regexp_replace(F.lower(name), "^[ :]+|[ :]+$", "")
-    return F.when(~low.isin(NO_PARTY) & ~name.rlike(r"\d") & name.rlike("[A-Za-z]"), name)
+    return F.when(~stripped(F.lower(name), " :").isin(NO_PARTY) & ~name.rlike(r"\d") & name.rlike("[A-Za-z]"), name)
 
 
 def item_row(raw: Column) -> Column:
@@ -146,53 +153,39 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def read(text: Column) -> Column:
-    """The lines of a text with what the marks are made from."""
-    a = F.transform(lines(text), lambda x: F.struct(x.alias("raw"), F.lower(x).alias("low"), x.rlike(r"\d").alias("digit")))
-    none = F.array().cast("array<string>")
-    return F.transform(
-        a,
-        lambda s: F.struct(
-            s["raw"].alias("raw"), s["low"].alias("low"), s["digit"].alias("digit"), F.regexp_replace(s["low"], r"^[ :.]+|[ :.]+$", "").alias("bare"), F.regexp_replace(s["low"], r"[\sº°._-]+", "").alias("key"),
-            F.when(~s["digit"], party(s["raw"])).alias("name"), F.when(s["digit"], bound(trimmed_number(s["raw"]), has_digit)).alias("as_number"), F.when(s["digit"], money_in(s["raw"])).otherwise(none).alias("money"), s["low"].rlike(NO_ITEM).alias("skip"), s["low"].rlike(FACT).alias("fact"),
-        ),
-    )
-
-
 def marked(s: Column) -> Column:
-    """What a line says."""
-    raw, low, digit, bare, key, skip, fact = (s[n] for n in ("raw", "low", "digit", "bare", "key", "skip", "fact"))
-    fact = fact | (bare == "invoice")
+    """What a line says of itself, by plain words where they do. What depends on where it stands is looked up there, from its text."""
+    raw, low, digit = s["raw"], s["low"], s["digit"]
     has = lambda words: any_of(low, words)
     here = lambda c, v: F.when(c, F.struct(v.alias("here")))
-    after = lambda words, reject=None: here(has(words) & (~low.rlike(reject) if reject else F.lit(True)), F.when(digit, first_money(from_first(raw, low, words))))
-    known = F.when(~F.regexp_replace(low, "^[ :]+|[ :]+$", "").isin(NO_PARTY) & raw.rlike("[A-Za-z]"), s["name"])
+    after = lambda words, reject=None: here(has(words) & (~has(reject) if reject else F.lit(True)), F.when(digit, first_money(from_first(raw, low, words))))
+    whole = F.when(raw.rlike("[$£€]"), F.regexp_extract_all(raw, F.lit(WHOLE_MONEY), F.lit(1)))
+    none = F.array().cast("array<string>")
+    money = F.when(digit, F.concat(F.regexp_extract_all(raw, F.lit(MONEY), F.lit(1)), F.coalesce(whole, none))).otherwise(none)
     return F.struct(
-        raw.alias("raw"), low.alias("low"),
-        # header
-        F.when(digit & low.rlike(NUMBER_WORD), F.coalesce(*(bound(trimmed_number(take(raw, p)), has_digit) for p in NUMBER_IN_LINE))).alias("number"),
-        low.rlike(NUMBER_HEADING).alias("number_heading"),
-        F.when((s["as_number"].contains("/") | s["as_number"].rlike(r"(?i)^[A-Z]?\d{5,}$")) & ~low.rlike(r"\b(?:data|date)\b"), s["as_number"]).alias("number_below"),
-        F.when(digit & low.rlike("tpa|a[0-9]{12}|^501649"), F.array(take(raw, NUMBER_OF_TERMINAL[0]), F.upper(take(raw, NUMBER_OF_TERMINAL[1])), F.upper(take(raw, NUMBER_OF_TERMINAL[2])))).alias("terminal"),
-        here(has(NUMBER_LABELS), labelled_number(raw, low)).alias("number_label"), take(raw, "([A-Z0-9][A-Z0-9-]*)").alias("word"),
-        F.when(digit, take(raw, DATE)).alias("date"), here(has(ISSUE_LABELS), F.when(digit, dated(raw, low, ISSUE_LABELS))).alias("issue"), here(has(DUE_LABELS), F.when(digit, dated(raw, low, DUE_LABELS))).alias("due"),
-        low.rlike("due date|bill to").alias("no_date"),
-        # parties
-        low.rlike(CUSTOMER_SECTION).alias("customer_section"), F.when(digit, F.regexp_replace(take(raw, TAX_ID), r"\D", "")).alias("tax_id"), F.when(digit, F.regexp_replace(take(raw, TAX_ID_ALONE), r"\D", "")).alias("tax_id_alone"),
-        key.rlike(CUSTOMER_TAX_ID).alias("customer_tax"), (key.rlike(SUPPLIER_TAX_ID) | low.rlike(r"\bcontrib[.:]")).alias("supplier_tax"), key.rlike(ANY_TAX_ID).alias("any_tax"), F.when(digit, take(raw, r"^PT\s*(\d{9})$")).alias("pt"),
-        bare.isin(SENDER_ENDS).alias("sender_ends"), F.when(~digit & ~fact & ~has(NO_SUPPLIER) & raw.rlike("[A-Za-z]{3,}"), known).alias("supplier"),
-        F.when((bare != "invoice") & ~low.rlike(r"no\.|upload logo|bill to"), s["name"]).alias("opening"),
-        known.alias("party"), here(low.contains("bill to"), bound(party(F.substr(raw, F.instr(low, "bill to") + 7)), plausible)).alias("bill_to"),
-        # totals
-        s["money"].alias("money"), after(["subtotal"]).alias("subtotal"), after(["sales tax", "tax"], "subtotal|total").alias("tax"), after(PAYMENT_LABELS).alias("payment"),
+        raw.alias("raw"), low.alias("low"), digit.alias("digit"), money.alias("money"), has(SKIPPED).alias("skip"),
+        here(has(NUMBER_LABELS), labelled_number(raw, low)).alias("number_label"), here(has(ISSUE_LABELS), F.when(digit, dated(raw, low, ISSUE_LABELS))).alias("issue"), here(has(DUE_LABELS), F.when(digit, dated(raw, low, DUE_LABELS))).alias("due"),
+        here(low.contains("bill to"), bound(party(F.substr(raw, F.instr(low, "bill to") + 7)), plausible)).alias("bill_to"),
+        after(["subtotal"]).alias("subtotal"), after(["sales tax", "tax"], ["subtotal", "total"]).alias("tax"), after(PAYMENT_LABELS).alias("payment"),
         F.when(low.contains("total"), F.struct(take(raw, EXPLICIT_TOTAL).alias("here"), (low.rlike("sub ?total") & ~low.rlike(r"(?<!sub)\btotal\b")).alias("sub"))).alias("total"),
-        F.when(digit, F.regexp_extract_all(low, F.lit(r"([0-9][0-9.,]*[.,]\d{1,2})\s*(?:€|eur\b)"), F.lit(1))).alias("in_euro"), low.contains("%").alias("percent"),
-        # items
-        F.when(~skip & digit, item_row(raw)).alias("item"),
-        (~skip & ~fact & (F.size(s["money"]) == 0) & ~low.rlike(r"^\d+(?:\.\d+)?(?:\s+[a-z]+)?$") & ~low.rlike(NO_CONTINUATION) & raw.rlike("[A-Za-z]")).alias("continues"),
+        F.when(digit & (low.contains("€") | low.contains("eur")), F.regexp_extract_all(low, F.lit(r"([0-9][0-9.,]*[.,]\d{1,2})\s*(?:€|eur\b)"), F.lit(1))).alias("in_euro"),
     )
 
 
+def fact(s: Column) -> Column:
+    return (stripped(s["low"], " :.") == "invoice") | s["low"].rlike(FACT)
+
+
+def continues(s: Column) -> Column:
+    """Whether a line goes on with the item above it."""
+    low = s["low"]
+    return ~s["skip"] & (F.size(s["money"]) == 0) & ~fact(s) & ~low.rlike(r"^\d+(?:\.\d+)?(?:\s+[a-z]+)?$") & ~low.rlike(NO_CONTINUATION) & s["raw"].rlike("[A-Za-z]")
+
+
+def row_of(s: Column) -> Column:
+    return F.when(~s["skip"] & s["digit"], item_row(s["raw"]))
+
+
 def labelled_number(raw: Column, low: Column) -> Column:
     """What follows the first of the labels, in their order, that the line has."""
     out = None
@@ -204,7 +197,8 @@ def labelled_number(raw: Column, low: Column) -> Column:
 
 def annotated(docs: DataFrame) -> DataFrame:
     """doc_id, text, low, flat, hint, a of docs(doc_id, text): `a` has the marks of each line that isn't blank, flat the lines as one. Null and empty texts have none."""
-    rows = docs.select("doc_id", "text", F.lower("text").alias("low"), read(F.col("text")).alias("l"))
+    both = F.transform(lines(F.col("text")), lambda x: F.struct(x.alias("raw"), F.lower(x).alias("low"), x.rlike(r"\d").alias("digit")))
+    rows = docs.select("doc_id", "text", F.lower("text").alias("low"), both.alias("l"))
     return rows.select("doc_id", "text", "low", F.array_join(F.transform("l", lambda s: s["raw"]), " ").alias("flat"), S.day_first_hint(F.col("text")).alias("hint"), F.transform("l", marked).alias("a"))
 
 
@@ -216,32 +210,59 @@ def line(i: Column) -> Column:
     return F.get("a", i)
 
 
-def at_label(mark: str, value: str, where=lambda i: F.lit(True), near=lambda i: F.lit(True)) -> Column:
-    """Of the lines with the label the first value: on the line, else on the next."""
-    return first_of(F.transform("a", lambda s, i: F.when(s[mark].isNotNull() & where(i), F.coalesce(s[mark]["here"], F.when(near(i + 1), line(i + 1)[value])))))
+def at_label(mark: str, value) -> Column:
+    """Of the lines with the label the first value: on the line, else on the next (value: of its text)."""
+    return first_of(F.transform("a", lambda s, i: F.when(s[mark].isNotNull(), F.coalesce(s[mark]["here"], value(line(i + 1)["raw"])))))
+
+
+def first_date(raw: Column) -> Column:
+    return take(raw, DATE)
+
+
+def first_word(raw: Column) -> Column:
+    return take(raw, "([A-Z0-9][A-Z0-9-]*)")
+
+
+def tax_id(s: Column, alone: bool = False) -> Column:
+    return F.when(s["digit"], F.regexp_replace(take(s["raw"], TAX_ID_ALONE if alone else TAX_ID), r"\D", ""))
 
 
 def with_header(rows: DataFrame) -> DataFrame:
     """annotated rows with the header's fields."""
-    a, size, flat, hint = F.col("a"), F.size("a"), F.col("flat"), F.col("hint")
-    before = lambda mark, most: F.slice(a, 1, F.coalesce(F.nullif(F.array_position(F.transform(F.slice(a, 1, most), lambda s: s[mark]), True), F.lit(0)).cast("int") - 1, F.lit(most)))
-    terminal = lambda k: first_of(F.transform(a, lambda s: F.get(s["terminal"], F.lit(k))))
-    heads = F.transform(a, lambda s, i: F.when(s["number_heading"], first_of(F.transform(F.slice(a, i + 2, 8), lambda t: t["number_below"]))))
-    billed = F.transform(a, lambda s, i: F.when(s["bill_to"].isNotNull(), F.coalesce(s["bill_to"]["here"], first_of(F.transform(F.slice(a, i + 2, 7), lambda t: t["party"])))))
+    a, size, flat, hint, low = F.col("a"), F.size("a"), F.col("flat"), F.col("hint"), F.col("low")
+    before = lambda test, most: F.slice(a, 1, F.coalesce(F.nullif(F.array_position(F.transform(F.slice(a, 1, most), test), True), F.lit(0)).cast("int") - 1, F.lit(most)))
+    # numbers: whole texts without the words are passed over
     rows = rows.withColumns({
-        "number": F.coalesce(first_of(F.transform(a, lambda s: s["number"])), first_of(heads), *map(terminal, range(len(NUMBER_OF_TERMINAL))), *(number_in_text(flat, p) for p in NUMBER_IN_TEXT), at_label("number_label", "word")),
-        "issue_": at_label("issue", "date"), "alone_": first_of(F.transform(before("no_date", 12), lambda s: s["date"])), "due_": at_label("due", "date"),
-        "customer_at": F.coalesce(F.nullif(F.array_position(F.transform(a, lambda s: s["customer_section"]), True), F.lit(0)) - 1, size), "currency": S.inferred_currency(F.col("text")),
-        "supplier": F.coalesce(first_of(F.transform(before("sender_ends", 18), lambda s: s["supplier"])), party(take(flat, COMPANY)), first_of(F.transform(F.slice(a, 1, 8), lambda s: s["opening"]))),
+        "worded": low.rlike(r"rec[i1]b|fatura|factura|doc|№|(?m)^\W*n[º°o]?\.?\s*[:#-]?\s*[a-z0-9]"), "headed": low.contains("fatura") | low.contains("factura"), "of_terminal": low.rlike("tpa|a[0-9]{12}|501649"),
+        "taxed": low.rlike("n ?i ?f|nipc|contr|c0ntr|n11|cont"), "tax_named": low.rlike("(?m)^\\W*pt"),
+    })
+    in_line = lambda s: F.when(s["digit"] & s["low"].rlike(NUMBER_WORD), F.coalesce(*(bound(trimmed_number(take(s["raw"], p)), has_digit) for p in NUMBER_IN_LINE)))
+    fits = lambda n: F.when(n.contains("/") | n.rlike(r"(?i)^[A-Z]?\d{5,}$"), n)
+    below = lambda t: F.when(t["digit"] & ~t["low"].rlike(r"\b(?:data|date)\b"), bound(trimmed_number(t["raw"]), fits))
+    heads = F.transform(a, lambda s, i: F.when(s["low"].rlike(NUMBER_HEADING), first_of(F.transform(F.slice(a, i + 2, 8), below))))
+    terminal = lambda p: F.when(F.col("of_terminal"), first_of(F.transform(a, lambda s: F.when(s["digit"], F.upper(take(s["raw"], p))))))
+    sender = lambda s: F.when(~s["digit"] & ~any_of(s["low"], NO_SUPPLIER) & s["raw"].rlike("[A-Za-z]{3,}") & ~fact(s), bound(party(s["raw"]), plausible))
+    opening = lambda s: F.when(~s["digit"] & (stripped(s["low"], " :.") != "invoice") & ~s["low"].rlike(r"no\.|upload logo|bill to"), party(s["raw"]))
+    named = lambda t: F.when(~t["digit"], bound(party(t["raw"]), plausible))
+    billed = F.transform(a, lambda s, i: F.when(s["bill_to"].isNotNull(), F.coalesce(s["bill_to"]["here"], first_of(F.transform(F.slice(a, i + 2, 7), named)))))
+    rows = rows.withColumns({
+        "number": F.coalesce(
+            F.when(F.col("worded"), first_of(F.transform(a, in_line))), F.when(F.col("headed"), first_of(heads)), *map(terminal, NUMBER_OF_TERMINAL), *(number_in_text(flat, p) for p in NUMBER_IN_TEXT), at_label("number_label", first_word)
+        ),
+        "issue_": at_label("issue", first_date), "alone_": first_of(F.transform(before(lambda s: any_of(s["low"], ["due date", "bill to"]), 12), lambda s: F.when(s["digit"], first_date(s["raw"])))), "due_": at_label("due", first_date),
+        "customer_at": F.when(low.rlike("client|customer|bill"), F.nullif(F.array_position(F.transform(a, lambda s: s["low"].rlike(CUSTOMER_SECTION)), True), F.lit(0)) - 1), "currency": S.inferred_currency(F.col("text")),
+        "supplier": F.coalesce(first_of(F.transform(before(lambda s: stripped(s["low"], " :.").isin(SENDER_ENDS), 18), sender)), party(take(flat, COMPANY)), first_of(F.transform(F.slice(a, 1, 8), opening))),
         "customer": F.coalesce(first_of(billed), party(take(flat, CUSTOMER_IN_TEXT)), F.when(flat.rlike(r"(?i)\bcustomer\s+name\b"), "Customer Name")),
     })
-    start = F.col("customer_at")
-    near = lambda s, i, limit: F.coalesce(s["tax_id"], F.when(i + 1 < limit, line(i + 1)["tax_id_alone"]))
+    start = F.coalesce("customer_at", size)
+    key = lambda s: F.translate(s["low"], " \tº°._-", "")
+    near = lambda s, i, limit: F.coalesce(tax_id(s), F.when(i + 1 < limit, tax_id(line(i + 1), True)))
+    of_supplier = lambda s: key(s).rlike(SUPPLIER_TAX_ID) | s["low"].rlike(r"\bcontrib[.:]")
     rows = rows.withColumns({
         "issue_date": F.coalesce(S.day(F.col("issue_"), hint), S.day(F.col("alone_"), hint)), "labelled_due": S.day(F.col("due_"), hint),
-        "supplier_tax_id": F.coalesce(first_of(F.transform(a, lambda s, i: F.when(s["supplier_tax"] & (i < start), near(s, i, start)))), first_of(F.transform(a, lambda s, i: F.when(i < start, s["pt"])))),
-        "customer_tax_id": first_of(F.transform(a, lambda s, i: F.when(s["customer_tax"] & (i >= start), near(s, i, size)))),
-        "every_tax_id": F.when(start == size, F.array_distinct(F.array_compact(F.transform(a, lambda s: F.when(s["any_tax"], s["tax_id"]))))),
+        "supplier_tax_id": F.coalesce(F.when(F.col("taxed"), first_of(F.transform(a, lambda s, i: F.when((i < start) & of_supplier(s), near(s, i, start))))), F.when(F.col("tax_named"), first_of(F.transform(a, lambda s, i: F.when(s["digit"] & (i < start), take(s["raw"], r"^PT\s*(\d{9})$")))))),
+        "customer_tax_id": F.when(F.col("taxed") | low.contains("tax"), first_of(F.transform(a, lambda s, i: F.when((i >= start) & key(s).rlike(CUSTOMER_TAX_ID), near(s, i, size))))),
+        "every_tax_id": F.when(F.col("customer_at").isNull() & F.col("taxed"), F.array_distinct(F.array_compact(F.transform(a, lambda s: F.when(key(s).rlike(ANY_TAX_ID), tax_id(s)))))),
     })
     other = F.when(F.size("every_tax_id") >= 2, F.try_element_at("every_tax_id", F.lit(-1)))
     return rows.withColumns({"due_date": F.coalesce("labelled_due", S.due_by_terms(F.col("issue_date"), F.col("text"))), "supplier_tax_id": F.coalesce("supplier_tax_id", other)})
@@ -261,7 +282,7 @@ def tax_values(at: Column) -> Column:
     def add(done: Column, s: Column) -> Column:
         full = (F.size(done["v"]) >= 4) | (done["rates"] & (F.size(done["v"]) >= 3))
         more = F.struct(F.concat(done["v"], F.array_compact(F.transform(s["money"], S.clean_money))).alias("v"), done["rates"].alias("rates"))
-        return F.when(full, done).when(s["percent"], F.struct(done["v"].alias("v"), F.lit(True).alias("rates"))).otherwise(more)
+        return F.when(full, done).when(s["low"].contains("%"), F.struct(done["v"].alias("v"), F.lit(True).alias("rates"))).otherwise(more)
 
     return F.aggregate(F.slice("a", at + 2, 12), start, add, lambda d: d["v"])
 
@@ -347,14 +368,15 @@ def with_items(rows: DataFrame) -> DataFrame:
     """annotated rows with `items`, array of (line_number, description, quantity, unit_price, total): rows of a table with the lines that go on below them;
     where there is none, rows within the text between a table's heading and its totals."""
     a, flat = F.col("a"), F.col("flat")
-    rows = rows.withColumn("begin", F.array_position(F.transform(a, lambda s: s["item"].isNotNull()), True).cast("int"))
-    starts = F.filter(F.sequence(F.col("begin"), F.size(a)), lambda i: (i == F.col("begin")) | (F.get(a, i - 1)["item"].isNotNull() & ~F.get(a, i - 1)["continues"]))
+    rows = rows.withColumn("rows", F.transform(a, row_of))
+    rows = rows.withColumn("begin", F.array_position(F.transform("rows", lambda r: r.isNotNull()), True).cast("int"))
+    starts = F.filter(F.sequence(F.col("begin"), F.size(a)), lambda i: F.get("rows", i - 1).isNotNull() & ((i == F.col("begin")) | ~continues(F.get(a, i - 1))))
     rows = rows.withColumn("starts", F.when(F.col("begin") > 0, starts))
 
     def whole(i: Column, k: Column) -> Column:
         end = F.coalesce(F.get("starts", k + 1), F.size("a") + 1)
-        more = F.transform(F.filter(F.slice("a", i + 1, end - i - 1), lambda s: s["continues"]), lambda s: S.line_description(s["raw"]))
-        row = F.get("a", i - 1)["item"]
+        more = F.transform(F.filter(F.slice("a", i + 1, end - i - 1), continues), lambda s: S.line_description(s["raw"]))
+        row = F.get("rows", i - 1)
         return printed(F.array_join(F.concat(F.array(S.line_description(cleaned(row["description"]))), more), " "), row["quantity"], row["unit_price"], row["total"])
 
     first = lambda low, words: F.least(*(F.when(F.instr(low, w) > 0, F.instr(low, w)) for w in words))

@@ -138,7 +138,12 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("invoice_id") % 4 == 0, "Payment is due in 30 days").otherwise(F.concat(F.lit("Due Date: "), F.date_format("due_date", "dd/MM/yyyy"))), F.lit("Bill To"), F.col("customer"), F.concat(F.lit("Contribuinte: "), nine(F.col("customer_id"))),
         F.lit("QTY Description Unit Price Amount"), F.array_join(F.transform("items", printed), "\n"), F.concat(F.lit("Subtotal: "), shown(F.col("net_sum"))), F.concat(F.lit("Total ("), F.col("currency"), F.lit("): "), shown(F.col("total"))),
     )
-    return j.select(F.col("invoice_id").alias("doc_id"), text.alias("text"))
+    return dealt(j.select(F.col("invoice_id").alias("doc_id"), text.alias("text")))
+
+
+def dealt(texts: DataFrame) -> DataFrame:
+    """Rendered texts in even parts: to read them costs more than their size tells, by which small parts would be put together."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def invoice_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +165,7 @@ def invoice_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         net.cast("string"), tax.cast("string"), total.cast("string"), text("Total Documento: ", F.translate(total.cast("string"), ".", ","), " EUR"),
     )
     slip = page(tenant, "Pago:EUR", total.cast("string"), text("TPA:", F.lpad(k.cast("string"), 8, "0")))
-    return j.select(k.alias("doc_id"), F.element_at(F.array(plain, split, table, slip), (k % 4 + 1).cast("int")).alias("text"))
+    return dealt(j.select(k.alias("doc_id"), F.element_at(F.array(plain, split, table, slip), (k % 4 + 1).cast("int")).alias("text")))
 
 
 CTE = """
