@@ -31,16 +31,12 @@ def jn_05(s, d):
     return R.found(s, d).join(proposals(s, d).select("invoice_id", "transaction_id"), ["invoice_id", "transaction_id"], "left_anti").select("invoice_id", "transaction_id", "score")
 
 
-
-
 @scored("bd_06", "SELECT invoice_id, sum(abs(amount)) AS allocated, any_value(total) - sum(abs(amount)) AS difference, CASE WHEN count(*) > 1 THEN 'one_to_many' ELSE 'one_to_one' END AS match_type FROM kept GROUP BY 1")
 def bd_06(s, d):
     g = R.found(s, d).groupBy("invoice_id").agg(F.sum(F.abs("amount")).alias("allocated"), F.first("total").alias("total"), F.count("*").alias("n"))
     return g.select("invoice_id", "allocated", (c("total") - c("allocated")).alias("difference"), F.when(c("n") > 1, "one_to_many").otherwise("one_to_one").alias("match_type"))
 
 
-
-
 ACTIVE = "SELECT invoice_id, transaction_id FROM ranked WHERE rn = 1 AND invoice_id NOT IN (SELECT invoice_id FROM invoices WHERE invoice_id % 3 = 0)"
 
 
@@ -58,16 +54,6 @@ def flt_04(s, d):
     return rows.select("transaction_id", F.when(c("b") == "proposed", "matched").when(c("b").isNotNull(), "review").otherwise("unmatched").alias("state"))
 
 
-
-
-
-
-
-
-
-
-
-
 @query("bd_15", """SELECT invoice_id, CASE WHEN l IS NULL THEN 'review_required' WHEN total - l > 0.01 THEN 'correction_required' ELSE 'passed' END AS outcome
  FROM invoices LEFT JOIN (SELECT invoice_id, sum(net) AS l FROM lines GROUP BY 1) USING (invoice_id)""")
 def bd_15(s, d):
@@ -77,8 +63,6 @@ def bd_15(s, d):
     return i.select("invoice_id").join(n, "invoice_id", "left").select("invoice_id", F.when(c("errors") > 0, "correction_required").when(c("warnings") > 0, "review_required").otherwise("passed").alias("outcome"))
 
 
-
-
 @query("ag_12", "SELECT tenant_id, month, net, round(net::DOUBLE / nullif(max(abs(net)) OVER (PARTITION BY tenant_id), 0)::DOUBLE, 6) AS share FROM (SELECT tenant_id, date_trunc('month', posted_at)::DATE AS month, sum(amount) AS net FROM transactions GROUP BY 1, 2)")
 def ag_12(s, d):
     g = R.monthly(s, d).groupBy("tenant_id", "month").agg(F.sum("amount").alias("net"))
@@ -86,13 +70,9 @@ def ag_12(s, d):
     return g.withColumn("share", F.round(c("net").cast("double") / F.nullif(top, F.lit(0).cast("decimal(28,2)")).cast("double"), 6))
 
 
-
-
 @query("so_03", "SELECT invoice_id, list_aggregate(list_sort(list_distinct(list(part_id))), 'string_agg', ',') AS refs FROM lines GROUP BY 1")
 def so_03(s, d):
     """The sorted set of an invoice's parts; lines of one invoice are few."""
     return lines(s, d).groupBy("invoice_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("part_id")), lambda x: x.cast("string")), ",").alias("refs"))
 
 
-
-

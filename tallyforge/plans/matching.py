@@ -13,16 +13,6 @@ from tallyforge.sources import views as V
 
 c, inv, tx, lines, steps = F.col, V.invoices, V.transactions, V.invoice_lines, V.steps
 
-BAND = "abs(t.amount) BETWEEN i.total - greatest(i.total / 100, 1) - 1 AND i.total + greatest(i.total / 100, 1) + 1"
-
-
-
-
-CODES = ["software_hosting", "rent", "payroll", "bank_fees", "sales", "marketing"]
-
-
-
-
 
 
 
@@ -53,10 +43,6 @@ def jn_16(s, d):
     return tx(s, d).where("direction = 'outflow'").select("transaction_id").join(hit, "transaction_id", "left").select("transaction_id", c("hit").isNull().alias("passed"))
 
 
-
-
-
-
 KINDS, ACTIONS = list(review.TASK_TYPES), sorted({a for _, xs in review.TASK_TYPES.values() for a in xs})
 VALUES = ", ".join(f"({i}, '{k}', '{p}', {xs})" for i, (k, (p, xs)) in enumerate(review.TASK_TYPES.items()))
 

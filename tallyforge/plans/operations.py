@@ -20,8 +20,6 @@ def op_02(s, d):
     return rows.groupBy(F.concat(F.lit("POST /"), "agent", F.lit(" "), c("status_code").cast("string")).alias("endpoint")).agg(F.count("*").alias("n"), F.count_if(c("status_code") >= 500).alias("failures"))
 
 
-
-
 @query("op_05", "SELECT 'retry' AS kind, agent, sum(greatest(attempt - 1, 0))::BIGINT AS n FROM steps GROUP BY 2 UNION ALL SELECT 'failure', agent, count(*) FILTER (failed) FROM steps GROUP BY 2")
 def op_05(s, d):
     """One pass counts both kinds; they are spread after it."""
@@ -29,10 +27,6 @@ def op_05(s, d):
     return g.select("agent", F.explode(F.create_map(F.lit("retry"), c("retries").cast("bigint"), F.lit("failure"), c("failures").cast("bigint"))).alias("kind", "n"))
 
 
-
-
-
-
 @query("op_11", "SELECT event_id, CASE WHEN failed THEN 'agent=' || agent || ';state=failed' ELSE 'agent=' || agent END AS flat FROM steps")
 def op_11(s, d):
     """Audit attributes merged into one map, without the keys that are null."""
@@ -41,8 +35,6 @@ def op_11(s, d):
     return steps(s, d).select("event_id", flat.alias("flat"))
 
 
-
-
 @query("wn_13", "SELECT event_id, tenant_id FROM (SELECT event_id, tenant_id, count(*) OVER w AS n, count(*) FILTER (agent = 'purchase') OVER w AS k FROM steps WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, event_id ROWS 49 PRECEDING)) WHERE n = 50 AND k > 0.25 * n")
 def wn_13(s, d):
     """Decisions at which over a quarter of the tenant's last 50 were corrections (the other half of the daily alert), in blocks of rows."""

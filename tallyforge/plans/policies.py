@@ -14,16 +14,6 @@ from tallyforge.sources import views as V
 c, inv, tx, lines, steps = F.col, V.invoices, V.transactions, V.invoice_lines, V.steps
 
 
-
-
-
-
-
-
-
-
-
-
 @scored("bd_07", """SELECT i.invoice_id, concat_ws(',', CASE WHEN total - l > 0.01 THEN 'line_sum_below_total' END, CASE WHEN n_candidates IS NULL THEN 'no_matching_transaction' WHEN n_candidates > 1 THEN 'ambiguous_match' WHEN score < 85 THEN 'low_confidence_match' END) AS reasons
  FROM invoices i LEFT JOIN (SELECT invoice_id, sum(net) AS l FROM lines GROUP BY 1) USING (invoice_id) LEFT JOIN (SELECT invoice_id, n_candidates, score FROM ranked WHERE rn = 1) r USING (invoice_id)""")
 def bd_07(s, d):
@@ -34,14 +24,6 @@ def bd_07(s, d):
     return rows.select("invoice_id", F.array_join(F.concat(F.coalesce("codes", none), F.array_compact(F.array(F.nullif("decision", F.lit("ready"))))), ",").alias("reasons"))
 
 
-
-
-
-
-
-
-
-
 @query("flt_09", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT invoice_id FROM invoices) AND doc_id IN (SELECT user_id FROM (SELECT user_id, failed, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM steps) WHERE rn = 1 AND failed)")
 def flt_09(s, d):
     """Documents without an invoice whose latest run failed."""

@@ -102,14 +102,11 @@ QUERIES["tk_01"] = lambda s, d: found(s, d).withColumn("place", F.row_number().o
 ORACLES["tk_01"] = scored("SELECT tenant_id, place, transaction_id, invoice_id, score FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY score DESC, transaction_id, invoice_id) AS place FROM kept) WHERE place <= 20")
 
 
-
-
 # aggregations
 def monthly(s, d):
     return tx(s, d).withColumn("month", F.trunc("posted_at", "month"))
 
 
-
 query("ag_07", "SELECT tenant_id, count(*) AS total FROM invoices GROUP BY 1")(lambda s, d: inv(s, d).groupBy("tenant_id").agg(F.count("*").alias("total")))
 
 
@@ -133,13 +130,6 @@ query("tk_02", "SELECT transaction_id, posted_at, amount FROM transactions ORDER
 # insights, review
 
 
-
-
-
-
-
-
-
 # operations log
 ROLL = "SELECT {k}, count(*) AS n, count(*) FILTER (failed) AS failures, sum(greatest(attempt - 1, 0))::BIGINT AS retries, sum(ms) / count(*) AS avg_ms, max(ms) AS max_ms FROM steps GROUP BY {k}"
 rounded = lambda df: df.withColumn("avg_ms", F.round("avg_ms", 6))

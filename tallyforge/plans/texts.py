@@ -86,8 +86,6 @@ def ev_08(s, d):
     return rows.agg(F.count("*").alias("n"), F.count_if(scoring.near(c("amount"), c("off"))).alias("n_near"), F.count_if(scoring.member(F.array(F.lit("inflow"), F.lit("fee")), c("direction"))).alias("n_member"), F.count_if(scoring.exact(F.lit(None), c("reference"))).alias("n_null"), F.count_if(scoring.at_least(F.lit(0), c("amount"))).alias("n_least"))
 
 
-
-
 # payloads
 @query("src_10", "SELECT doc_id, 'ocr:block:' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block_id, length(line) AS n_chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE trim(line) <> ''")
 def src_10(s, d):
@@ -96,12 +94,6 @@ def src_10(s, d):
     return rows.select("doc_id", F.concat(F.lit("ocr:block:"), (c("at") + 1).cast("string")).alias("block_id"), F.length("line").alias("n_chars"))
 
 
-
-
-
-
-
-
 @query("jn_14", """SELECT invoice_id AS doc_id, field, CASE WHEN field = 'total' THEN 10 + coalesce(n + 1, 0) WHEN both_ways AND field = 'issue_date' THEN 5 ELSE at_line END AS line_no,
  CASE WHEN both_ways AND field = 'issue_date' THEN 138 ELSE score END AS score FROM (SELECT *, invoice_id % 4 <> 0 AND strftime(due_date, '%Y-%d-%m') = issue_date::VARCHAR AS both_ways FROM invoices) LEFT JOIN (SELECT invoice_id, count(*) AS n FROM lines GROUP BY 1) USING (invoice_id),
  (VALUES ('number', 2, 100), ('customer', 7, 144), ('issue_date', 4, 119), ('total', 0, 110)) f(field, at_line, score)""")

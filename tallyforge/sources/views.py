@@ -39,7 +39,7 @@ def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
-    joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(tenants(spark, sf_dir)), F.col("c_nationkey") == F.col("tenant_id"))
+    joined = o.join(c, o["o_custkey"] == c["c_custkey"]).join(tenants(spark, sf_dir), F.col("c_nationkey") == F.col("tenant_id"))
     day = F.to_date("o_orderdate")
     status = F.when(F.col("o_orderstatus") == "P", "pending_review").when(F.col("o_orderstatus") == "F", "approved").otherwise("extracted")
     return joined.select(
