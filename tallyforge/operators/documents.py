@@ -106,13 +106,16 @@ def free_line_numbers(numbers: pd.Series) -> pd.Series:
 
 
 def merged(rules: str, model: str) -> list[Column]:
-    """Fields of two structs: number, customer and dates by the rules where they have them; supplier and currency by the
-    model; the total by the rules when they are sure. A due date that only repeats the issue date goes."""
+    """Fields of two structs: number, customer, tax ids and dates by the rules where they have them; supplier, currency, subtotal and tax by
+    the model; the total by the rules when they are sure. Blank texts are none. A due date that only repeats the issue date goes."""
+    filled = lambda v: F.when(F.trim(v) != "", v)
     r, m = F.col(rules), F.col(model)
     issue = F.coalesce(r["issue_date"], m["issue_date"])
     due = F.coalesce(r["due_date"], F.when(~m["due_date"].eqNullSafe(issue), m["due_date"]))
     total = F.when(r["confidence"] == "high", F.coalesce(r["total"], m["total"])).otherwise(F.coalesce(m["total"], r["total"]))
-    return [F.coalesce(r[n], m[n]).alias(n) for n in ("number", "customer")] + [F.coalesce(m[n], r[n]).alias(n) for n in ("supplier", "currency")] + [issue.alias("issue_date"), due.alias("due_date"), total.alias("total")]
+    ours, theirs = ("number", "customer", "supplier_tax_id", "customer_tax_id"), ("supplier", "currency")
+    amounts = [F.coalesce(m[n], r[n]).alias(n) for n in ("subtotal", "tax")]
+    return [F.coalesce(filled(r[n]), filled(m[n])).alias(n) for n in ours] + [F.coalesce(filled(m[n]), filled(r[n])).alias(n) for n in theirs] + amounts + [issue.alias("issue_date"), due.alias("due_date"), total.alias("total")]
 
 
 #: Words that stand at a field (fixed values).

@@ -57,6 +57,30 @@ def correct(invoices: DataFrame, corrections: DataFrame, fields: list[str]) -> t
     return old.unionByName(new), j.where("refused is not null").select("correction_id", "invoice_id", "refused")
 
 
+def made_versions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """invoice_id, version, new_version of each version that correct() has appended."""
+    new = after.join(before.select("invoice_id", "version"), ["invoice_id", "version"], "left_anti")
+    return new.select("invoice_id", (F.col("version") - 1).alias("version"), F.col("version").alias("new_version"))
+
+
+def copied_lines(lines: DataFrame, made: DataFrame) -> DataFrame:
+    """lines(invoice_id, version, and what a line holds), and a copy of the lines of each version that made_versions() names under its new version.
+
+    Repeated lines are copied as often as they stand; a version without lines has a new version without lines.
+    """
+    copies = lines.join(made, ["invoice_id", "version"]).withColumn("version", F.col("new_version"))
+    return lines.unionByName(copies.select(lines.columns))
+
+
+def repointed_tasks(tasks: DataFrame, corrections: DataFrame, refused: DataFrame, made: DataFrame) -> DataFrame:
+    """tasks(task_id, invoice_id, version, status) after the corrections: a task whose correction (corrections: task_id, correction_id, invoice_id) was
+    carried out is resolved and names the new version; the others, those of the same invoice too, stay as they are."""
+    done = corrections.join(refused.select("correction_id"), "correction_id", "left_anti").join(made.select("invoice_id", "new_version"), "invoice_id").select("task_id", "new_version")
+    rows = tasks.join(done, "task_id", "left")
+    hit = F.col("new_version").isNotNull()
+    return rows.withColumn("version", F.coalesce("new_version", "version")).withColumn("status", F.when(hit, "resolved").otherwise(F.col("status"))).select(tasks.columns)
+
+
 #: Priority and allowed actions of a task type (fixed values).
 TASK_TYPES = {
     "extraction": ("high", ["approve_proposal", "reject_proposal", "correct_extraction"]),

@@ -145,35 +145,84 @@ def duplicates(rows: DataFrame, key: list[str], entity: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(entity).alias("first_entity"), F.max(entity).alias("last_entity")).where("n > 1")
 
 
-#: What a classification draft has to hold, by schema.
-CONTRACTS = {"classification-draft.v1": {"category_code": "string", "confidence": ["high", "medium", "low", "unknown"], "score": "number", "refs": "array"}}
+LEVELS, STATES = ["high", "medium", "low", "unknown"], ["placeholder", "extracted", "partial", "failed"]
+#: Fields that all groups of an extraction may hold.
+GROUP = {"schema_version": "string?", "extraction_status": (*STATES, None), "evidence_refs": "array?", "confidence": (*LEVELS, None)}
+
+
+def texts_or_null(*names: str) -> dict:
+    return {n: "string?" for n in names}
+
+
+#: What a payload has to hold, by schema: kinds of its fields, or the values that one may have; with ? or None it may be left out. An array may name the contract of its items.
+CONTRACTS = {
+    "classification-draft.v1": {"category_code": "string", "confidence": LEVELS, "score": "number", "refs": "array"},
+    "invoice-metadata-group.v1": GROUP | texts_or_null("invoice_number", "supplier_name", "supplier_tax_id", "customer_name", "customer_tax_id", "issue_date", "due_date", "currency"),
+    "invoice-table-group.v1": GROUP | {"line_items": "array?:item", "table_region_ref": "string?"},
+    "invoice-totals-group.v1": GROUP | texts_or_null("subtotal_amount", "tax_amount", "total_amount", "currency"),
+}
+ITEMS = {"item": {"line_number": "number>0"} | texts_or_null("description", "quantity", "unit_price", "tax_amount", "line_total") | {"evidence_refs": "array?", "confidence": (*LEVELS, None)}}
+
+
+def _item_errors(array: Column, name: str, fields: dict) -> Column:
+    """Errors of the objects of the array (a JSON text) called name, each with its place."""
+    each = F.from_json(array, "array<string>")
+    return F.flatten(F.transform(each, lambda x, i: F.transform(_field_errors(x, fields), lambda e: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]."), e))))
+
+
+def _field_errors(payload: Column, fields: dict) -> Column:
+    """Errors of one object's fields, in the order of the contract, then names that it doesn't know."""
+    found = []
+    for f, want in fields.items():
+        x = F.get_json_object(payload, f"$.{f}")
+        free = want[-1] is None if isinstance(want, tuple) else "?" in want if isinstance(want, str) else False
+        bad = F.lit(None).cast("string")
+        if isinstance(want, (list, tuple)):
+            bad = F.when(~x.isin([w for w in want if w]), f"{f}: not allowed")
+        elif want.startswith("number"):
+            least = 1 if want.endswith(">0") else 0
+            bad = F.when(x.try_cast("double").isNull(), f"{f}: not a number").when(x.try_cast("double") < least, f"{f}: below {least}")
+        elif want.startswith("array"):
+            bad = F.when(~x.startswith("["), f"{f}: not an array")
+        elif free:
+            bad = F.when(x.rlike(r"^[\[{]"), f"{f}: not a text")
+        own = F.array(bad if free else F.when(x.isNull(), f"{f}: missing").otherwise(bad))
+        if isinstance(want, str) and ":" in want:
+            inner = _item_errors(x, f, ITEMS[want.split(":")[1]])
+            own = F.concat(own, F.when(x.startswith("["), inner).otherwise(F.array().cast("array<string>")))
+        found.append(own)
+    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    other = F.transform(F.array_except(keys, F.array(*map(F.lit, fields))), lambda y: F.concat(y, F.lit(": not known")))
+    return F.concat(F.array_compact(F.concat(*found)), other)
 
 
 def contract(rows: DataFrame) -> DataFrame:
     """rows(schema, payload) with `errors`: what doesn't parse, fields that are missing, of another kind, out of their range or not known."""
     value = F.try_parse_json("payload")
     kind = F.when(value.isNull(), "invalid").otherwise(F.schema_of_variant(value))
-    keys = F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))
-    found = F.array()
+    found = F.array().cast("array<string>")
     for name, fields in CONTRACTS.items():
-        errors = []
-        for f, want in fields.items():
-            x = F.get_json_object("payload", f"$.{f}")
-            bad = F.lit(None)
-            if isinstance(want, list):
-                bad = F.when(~x.isin(want), f"{f}: not allowed")
-            elif want == "number":
-                bad = F.when(x.try_cast("double").isNull(), f"{f}: not a number").when(x.try_cast("double") < 0, f"{f}: below 0")
-            elif want == "array":
-                bad = F.when(~x.startswith("["), f"{f}: not an array")
-            errors.append(F.when(x.isNull(), f"{f}: missing").otherwise(bad))
-        other = F.transform(F.array_except(keys, F.array(*map(F.lit, fields))), lambda y: F.concat(y, F.lit(": not known")))
-        found = F.when(F.col("schema") == name, F.concat(F.array_compact(F.array(*errors)), other)).otherwise(found)
+        found = F.when(F.col("schema") == name, _field_errors(F.col("payload"), fields)).otherwise(found)
     known = F.col("schema").isin(list(CONTRACTS))
     one = lambda text: F.array(F.lit(text))
     return rows.withColumn("errors", F.when(~known, one("schema not registered")).when(kind == "invalid", one("invalid JSON")).when(~kind.startswith("OBJECT"), one("not an object")).otherwise(found))
 
 
+def qa_outcomes(drafts: DataFrame, entity: str, signals: DataFrame) -> DataFrame:
+    """outcome, n_errors, n_signals and codes of each draft (a column `entity`).
+
+    signals: entity_id, code, severity, retryable, target; null flags count as false. A signal that may be retried and names whom to ask asks for a
+    correction; without one, those that may not be retried, or are errors or blocking, ask for a review; n_errors counts what decides. Codes are few, so a draft's set is small.
+    """
+    again = F.coalesce("retryable", F.lit(False))
+    fix = again & F.col("target").isNotNull()
+    see = ~again | F.coalesce(F.col("severity").isin("error", "blocking"), F.lit(False))
+    g = signals.groupBy(F.col("entity_id").alias(entity)).agg(F.count("*").alias("n"), F.count_if(fix).alias("n_fix"), F.count_if(see).alias("n_see"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    j = drafts.select(entity).join(g, entity, "left").fillna(0, ["n", "n_fix", "n_see"])
+    outcome = F.when(F.col("n_fix") > 0, "correction_required").when(F.col("n_see") > 0, "review_required").otherwise("passed")
+    return j.select(entity, outcome.alias("outcome"), F.when(F.col("n_fix") > 0, F.col("n_fix")).otherwise(F.col("n_see")).alias("n_errors"), F.col("n").alias("n_signals"), F.coalesce("codes", F.lit("")).alias("codes"))
+
+
 def privacy_gate(rows: DataFrame, policy: dict) -> DataFrame:
     """rows(text, cloud, consent, use_case, deidentified, sensitive) with action (block, allow, allow_redacted), reasons, and the text that goes on.
 

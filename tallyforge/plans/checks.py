@@ -58,7 +58,10 @@ ISSUES = listed(
 )
 
 
-@query("vl_01", f"SELECT invoice_id AS entity_id, x.* FROM (SELECT invoice_id, {ISSUES} AS x FROM {G})")
+ARITHMETIC = f"SELECT invoice_id AS entity_id, x.* FROM (SELECT invoice_id, {ISSUES} AS x FROM {G})"
+
+
+@query("vl_01", ARITHMETIC)
 def vl_01(s, d):
     return validate.invoice_arithmetic(groups(s, d), line_texts(s, d))
 
@@ -165,11 +168,13 @@ def ag_06(s, d):
 SUPPLIER, CUSTOMER = "tenant_name || ' Trading'", "CASE WHEN invoice_id % 13 = 0 THEN upper(tenant_name) || ' TRADING.' ELSE customer END"
 
 
-@query(
-    "vl_08",
+ROLES = (
     f"""SELECT invoice_id AS entity_id, x.* FROM (SELECT invoice_id, {listed(row("invoice_id % 13 = 0", "party_roles", "ERR_PARTY_ROLE_CONFUSION", "error", "'groups.metadata.supplier_name'", "'different parties'", "s"),
-        row("invoice_id % 5 = 0 OR invoice_id % 13 = 0", "party_roles", "ERR_PARTY_ROLE_CONFUSION", "error", "'groups.metadata'", "c || ' / ' || s", "s || ' / ' || c"))} AS x FROM (SELECT invoice_id, {SUPPLIER} AS s, {CUSTOMER} AS c FROM invoices JOIN (SELECT tenant_id, tenant_name FROM tenants) USING (tenant_id)))""",
+        row("invoice_id % 5 = 0 OR invoice_id % 13 = 0", "party_roles", "ERR_PARTY_ROLE_CONFUSION", "error", "'groups.metadata'", "c || ' / ' || s", "s || ' / ' || c"))} AS x FROM (SELECT invoice_id, {SUPPLIER} AS s, {CUSTOMER} AS c FROM invoices JOIN (SELECT tenant_id, tenant_name FROM tenants) USING (tenant_id)))"""
 )
+
+
+@query("vl_08", ROLES)
 def vl_08(s, d):
     """One party in both roles (its name printed otherwise), or names that stand in each other's region."""
     rows = inv(s, d).join(V.tenants(s, d).select("tenant_id", "tenant_name"), "tenant_id")
@@ -181,6 +186,21 @@ def vl_08(s, d):
     return validate.party_roles(rows.withColumns({"supplier_region": page(c("supplier"), c("customer")), "bill_to_region": page(c("customer"), c("supplier"))}))
 
 
+@query(
+    "bd_15_signals",
+    f"""SELECT invoice_id, CASE WHEN fix > 0 THEN 'correction_required' WHEN see > 0 THEN 'review_required' ELSE 'passed' END AS outcome, CASE WHEN coalesce(fix, 0) > 0 THEN fix ELSE coalesce(see, 0) END AS n_errors, coalesce(n, 0) AS n_signals, coalesce(codes, '') AS codes
+        FROM invoices LEFT JOIN (SELECT entity_id AS invoice_id, count(*) AS n, count(*) FILTER (retry) AS fix, count(*) FILTER (NOT retry OR severity = 'error') AS see, array_to_string(list_sort(list_distinct(list(code))), ',') AS codes FROM (
+        SELECT entity_id, code, severity, false AS retry FROM ({ARITHMETIC}) WHERE severity <> 'info' UNION ALL SELECT entity_id, code, severity, false FROM ({ROLES})
+        UNION ALL SELECT invoice_id, 'ERR_LOGIC_MATH', 'error', true FROM invoices WHERE invoice_id % 14 = 1) GROUP BY 1) USING (invoice_id)""",
+)
+def bd_15_signals(s, d):
+    """The QA outcome of each draft from all validators and from what earlier steps have signalled: some totals are to be read again by their extractor."""
+    none = F.lit(None).cast("string")
+    found = vl_01(s, d).where("severity <> 'info'").unionByName(vl_08(s, d)).select("entity_id", "code", "severity", F.lit(False).alias("retryable"), none.alias("target"))
+    earlier = inv(s, d).where(c(k) % 14 == 1).select(c(k).alias("entity_id"), F.lit("ERR_LOGIC_MATH").alias("code"), F.lit("error").alias("severity"), F.lit(True).alias("retryable"), F.lit("totals").alias("target"))
+    return validate.qa_outcomes(inv(s, d), k, found.unionByName(earlier))
+
+
 #: Payloads of classification drafts and what is wrong with each.
 PAYLOADS = [
     ('{"category_code":"rent_expense","confidence":"high","score":20,"refs":["a"]}', ""), ('{"category_code":"rent_expense","confidence":"certain","score":20,"refs":[]}', "confidence: not allowed"),
@@ -332,6 +352,33 @@ def bd_11_refused(s, d):
     return review.correct(*versions(s, d), FIELDS)[1]
 
 
+@query(
+    "bd_11_lines",
+    f"""WITH v AS {OLD}, l AS (SELECT v.invoice_id, version, hit, line_number, part_id, net FROM v JOIN lines USING (invoice_id))
+        SELECT invoice_id, version, count(*) AS n_lines, sum(net) AS net, max(line_number) AS last_line FROM (SELECT * FROM l UNION ALL SELECT * REPLACE (version + 1 AS version) FROM l WHERE hit) GROUP BY 1, 2""".replace("WITH v", "SELECT * FROM (WITH v", 1) + ")",
+)
+def bd_11_lines(s, d):
+    """Lines of all versions: a corrected invoice's new version has those of the version before."""
+    before, fixes = versions(s, d)
+    made = review.made_versions(before, review.correct(before, fixes, FIELDS)[0])
+    own = before.select(k, "version").join(lines(s, d).select(k, "line_number", "part_id", "net"), k)
+    return review.copied_lines(own, made).groupBy(k, "version").agg(F.count("*").alias("n_lines"), F.sum("net").alias("net"), F.max("line_number").alias("last_line"))
+
+
+@query(
+    "bd_11_tasks",
+    f"""SELECT task_id, invoice_id, CASE WHEN done THEN version + 1 ELSE version END AS version, CASE WHEN done THEN 'resolved' ELSE status END AS status FROM (SELECT task_id, invoice_id, w.version, CASE WHEN task_id % 2 = 0 THEN 'open' ELSE 'in_progress' END AS status,
+        task_id % 10 = 0 AND invoice_id IN (SELECT invoice_id FROM {OLD} WHERE hit) AS done FROM (SELECT invoice_id, unnest([invoice_id * 10, invoice_id * 10 + 1]) AS task_id FROM invoices) JOIN (SELECT invoice_id, max(version) AS version FROM {OLD} GROUP BY 1) w USING (invoice_id))""",
+)
+def bd_11_tasks(s, d):
+    """Two review tasks of each invoice: the one whose correction was carried out is resolved and names the new version."""
+    before, fixes = versions(s, d)
+    after, refused = review.correct(before, fixes, FIELDS)
+    last = before.groupBy(k).agg(F.max("version").alias("version"))
+    tasks = last.select(F.explode(F.array(c(k) * 10, c(k) * 10 + 1)).alias("task_id"), k, "version").withColumn("status", F.when(c("task_id") % 2 == 0, "open").otherwise("in_progress"))
+    return review.repointed_tasks(tasks, fixes.withColumn("task_id", c("correction_id")), refused, review.made_versions(before, after))
+
+
 @query("wn_10", f"SELECT root_id, count(*) AS n_versions, max(version) AS version, string_agg(version::VARCHAR, '<' ORDER BY version) AS chain, max(total) FILTER (version = top AND status <> 'superseded') AS total FROM (SELECT *, max(version) OVER (PARTITION BY root_id) AS top FROM ({NEW})) GROUP BY 1")
 def wn_10(s, d):
     """Chains of versions by their root: how many, which is current, and its total; null where all are superseded. A record's versions are few."""

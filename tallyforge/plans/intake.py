@@ -267,6 +267,23 @@ def src_14(s, d):
     return receipt.join(rest, "table")
 
 
+@query("src_14_store", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) FILTER (tenant_id = 3) AS n_erased, 0::BIGINT AS n_again, 0::BIGINT AS n_in_files, count(*) FILTER (tenant_id <> 3) AS n_left FROM {t}" for t in TABLES))
+def src_14_store(s, d):
+    """Tables are stored in the shared folder and a tenant is erased from them, twice: the receipt, what a second run finds, what any file still holds, and what is left."""
+    out = None
+    for name, view in zip(TABLES, (inv, tx, stm, steps), strict=True):
+        path = store.shared_folder(s, f"store-{name}")
+        store.publish(view(s, d), path)
+        store.erase(s, path, 3)
+        again = store.erase(s, path, 3)
+        erased = store.receipts(s, path).agg(F.coalesce(F.sum("n_erased"), F.lit(0)).alias("n_erased"))
+        found = store.stored_anywhere(s, path, 3).agg(F.count("*").alias("n_in_files"))
+        left = store.load(s, path).agg(F.lit(name).alias("table"), F.lit(again).cast("bigint").alias("n_again"), F.count("*").alias("n_left"))
+        one = left.join(F.broadcast(erased)).join(F.broadcast(found)).select("table", "n_erased", "n_again", "n_in_files", "n_left")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # files: statements of some hundred accounts each, written to the shared folder and read by Spark's readers
 #: Accounts of a file.
 SHARE = 250

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,29 @@ projection("scl_20", tx, "SELECT transaction_id, amount AS cleaned FROM transact
 projection("scl_24", inv, "SELECT invoice_id, regexp_replace(number, '[^0-9]', '', 'g') AS id FROM invoices", lambda: ["invoice_id", S.identifier(c("number")).alias("id")])
 projection("scl_36", V.steps, "SELECT event_id, (attempt::DECIMAL(18,0) * 0.003)::DECIMAL(18,6) AS cost FROM steps", lambda: ["event_id", S.token_cost(c("attempt") * 1000, F.lit("0.003").cast("decimal(6,3)")).alias("cost")])
 
+def redaction_sql() -> str:
+    """The redactions one after the other, with a count of each. Word boundaries of SQL know ASCII alone: after the e-mails, letters and digits of
+    other scripts stand between underscores and a mark, in the text as in the patterns, until all is done."""
+    fenced = lambda t: f"regexp_replace({t}, '([^\\P{{L}}\\x00-\\x7F]|[^\\P{{N}}\\x00-\\x7F])', '_' || chr(1) || '\\1' || chr(1) || '_', 'g')"
+    bare = lambda t: f"regexp_replace({t}, '_' || chr(1) || '(.)' || chr(1) || '_', '\\1', 'g')"
+    sql, names = "SELECT doc_id, coalesce(text, '') AS t, text IS NULL AS none FROM documents", []
+    for name, pattern, mark in S.REDACTIONS:
+        rule = re.sub("([^\x00-\x7f])", r"_\\x01\1\\x01_", pattern.replace("(?iu)", "(?i)"))
+        sql = f"SELECT * REPLACE (regexp_replace(t, '{rule}', '{mark}', 'g') AS t), len(regexp_extract_all(t, '{rule}')) AS n_{name} FROM ({sql})"
+        if name == "email":
+            sql = f"SELECT * REPLACE ({fenced('t')} AS t) FROM ({sql})"
+        names.append(f"CASE WHEN NOT none THEN n_{name} END AS n_{name}")
+    sql = f"SELECT * REPLACE ({bare('t')} AS t) FROM ({sql})"
+    return f"SELECT doc_id, {', '.join(names)}, CASE WHEN NOT none THEN length(t) END AS n_chars, CASE WHEN NOT none THEN sha256(t) END AS redacted_sha256 FROM ({sql})"
+
+
+@query("ex_12_corpus", redaction_sql())
+def ex_12_corpus(s, d):
+    """The redacted corpus: how many places each pattern took, and length and hash of the text that is left."""
+    text, counts = S.redaction_counts(c("text"))
+    return V.table(s, d, "documents").select("doc_id", *(n.alias(f"n_{name}") for name, n in counts.items()), F.length(text).alias("n_chars"), F.sha2(text, 256).alias("redacted_sha256"))
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -138,4 +163,4 @@ query("op_06", "SELECT tenant_id, round(count(*) FILTER (agent = 'purchase') / c
 # alert windows: batch twins of the streams
 query("sm_11", "SELECT event_id, tenant_id FROM steps WHERE failed")(lambda s, d: alerts.new_failures(V.steps(s, d)).select("event_id", "tenant_id"))
 
-from tallyforge.plans import checks, decisions, extraction, intake, ledger, links, matching, operations, parsing, policies, rules, texts, watch  # noqa: E402, F401  (they add their queries)
+from tallyforge.plans import checks, decisions, extraction, intake, ledger, links, matching, operations, parsing, policies, printed, rules, texts, watch  # noqa: E402, F401  (they add their queries)

@@ -68,12 +68,15 @@ def wn_12(s, d):
 projection("so_04", inv, "SELECT invoice_id, CASE invoice_id % 3 WHEN 0 THEN 'total' WHEN 1 THEN '' ELSE 'number,total' END AS missing FROM invoices", lambda: [k, F.array_join(F.array_except(F.array(*map(F.lit, ("number", "issue_date", "total"))), F.array_compact(F.array(F.when(c(k) % 3 != 2, "number"), F.when(c("issue_date").isNotNull(), "issue_date"), F.when(c(k) % 3 == 1, "total")))), ",").alias("missing")])
 
 
-@query("so_05", """SELECT invoice_id, number, customer, 'Model Ltd' AS supplier, currency, issue_date, CASE WHEN invoice_id % 2 = 0 THEN due_date END AS due_date, CASE WHEN invoice_id % 3 = 0 THEN total ELSE 1.00::DECIMAL(18,2) END AS total FROM invoices""")
+@query("so_05", """SELECT invoice_id, number, customer, lpad(tenant_id::VARCHAR, 9, '1') AS supplier_tax_id, CASE WHEN invoice_id % 4 = 1 THEN '000' ELSE lpad(customer_id::VARCHAR, 9, '1') END AS customer_tax_id, 'Model Ltd' AS supplier, currency,
+ CASE WHEN invoice_id % 5 = 0 THEN total ELSE 2.00 END::DECIMAL(18,2) AS subtotal, CASE WHEN invoice_id % 2 = 0 THEN 0.50 END::DECIMAL(18,2) AS tax, issue_date, CASE WHEN invoice_id % 2 = 0 THEN due_date END AS due_date, CASE WHEN invoice_id % 3 = 0 THEN total ELSE 1.00::DECIMAL(18,2) END AS total FROM invoices""")
 def so_05(s, d):
     """What the rules read and what a model says, field by field."""
     i = inv(s, d)
-    rules = F.struct("number", F.lit(None).cast("string").alias("supplier"), "customer", "currency", "issue_date", F.when(c(k) % 2 == 0, c("due_date")).alias("due_date"), "total", F.when(c(k) % 3 == 0, "high").otherwise("low").alias("confidence"))
-    model = F.struct(F.lit("1542/AT").alias("number"), F.lit("Model Ltd").alias("supplier"), F.lit("?").alias("customer"), F.lit(None).cast("string").alias("currency"), c("due_date").alias("issue_date"), c("issue_date").alias("due_date"), F.lit("1.00").cast("decimal(18,2)").alias("total"))
+    rules = F.struct("number", F.lit(None).cast("string").alias("supplier"), "customer", "currency", V.nine(c("tenant_id")).alias("supplier_tax_id"), F.when(c(k) % 4 == 1, " ").otherwise(V.nine(c("customer_id"))).alias("customer_tax_id"),
+                     c("total").alias("subtotal"), F.lit(None).cast("decimal(18,2)").alias("tax"), "issue_date", F.when(c(k) % 2 == 0, c("due_date")).alias("due_date"), "total", F.when(c(k) % 3 == 0, "high").otherwise("low").alias("confidence"))
+    model = F.struct(F.lit("1542/AT").alias("number"), F.lit("Model Ltd").alias("supplier"), F.lit("?").alias("customer"), F.lit("").alias("currency"), F.lit("12").alias("supplier_tax_id"), F.lit("000").alias("customer_tax_id"),
+                     F.when(c(k) % 5 != 0, F.lit("2.00").cast("decimal(18,2)")).alias("subtotal"), F.when(c(k) % 2 == 0, F.lit("0.50").cast("decimal(18,2)")).alias("tax"), c("due_date").alias("issue_date"), c("issue_date").alias("due_date"), F.lit("1.00").cast("decimal(18,2)").alias("total"))
     return i.select(k, rules.alias("rules"), model.alias("model")).select(k, *documents.merged("rules", "model"))
 
 

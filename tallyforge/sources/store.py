@@ -38,6 +38,79 @@ def read(spark: SparkSession, path: str, tenant: int, buckets: int = BUCKETS) ->
     return spark.read.parquet(path).where((F.col("bucket") == zlib.crc32(str(tenant).encode()) % buckets) & (F.col("tenant_id") == tenant)).drop("bucket")
 
 
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """version, bucket, folder, superseded, tenant_id, n_erased: what each version changed; a version is one file, so it is there as a whole or not at all."""
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def _current(spark: SparkSession, path: str) -> tuple[int, dict[int, str], list[str]]:
+    """The last version, its folder of each bucket, and the folders that it has put aside. A manifest has a row a bucket and version: a few."""
+    rows = sorted(_manifest(spark, path).collect(), key=lambda r: r["version"])
+    last = rows[-1]["version"]
+    return last, {r["bucket"]: r["folder"] for r in rows}, [r["superseded"] for r in rows if r["version"] == last and r["superseded"]]
+
+
+def _commit(spark: SparkSession, path: str, version: int, rows: list[tuple]) -> None:
+    """A version's rows as one file. A second writer of the same version fails here, and the first one's stands."""
+    made = spark.createDataFrame(rows, "bucket int, folder string, superseded string, tenant_id long, n_erased long")
+    made.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest/version={version}")
+
+
+def publish(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """A new store of rows, by bucket of their tenant_id (rows without one have a bucket too). A store of no rows has one empty bucket."""
+    spark, part = rows.sparkSession, f"data/{uuid.uuid4().hex}"
+    out = rows.withColumn("bucket", F.coalesce(F.pmod(F.crc32(F.col("tenant_id").cast("string").cast("binary")), F.lit(buckets)).cast("int"), F.lit(-1)))
+    out.repartition("bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(8))).write.partitionBy("bucket").parquet(f"{path}/{part}")
+    filled = [r["bucket"] for r in spark.read.schema("bucket int").parquet(f"{path}/{part}").distinct().collect()]
+    if not filled:
+        rows.write.parquet(f"{path}/{part}/empty")
+    _commit(spark, path, 1, [(b, f"{part}/bucket={b}", None, None, None) for b in filled] or [(-1, f"{part}/empty", None, None, None)])
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the store's last version."""
+    return spark.read.parquet(*(f"{path}/{folder}" for folder in _current(spark, path)[1].values()))
+
+
+def _emptied(spark: SparkSession, path: str, folders: list[str]) -> None:
+    """Files of folders that no version refers to any more go, for each is written over with no rows."""
+    for folder in folders:
+        spark.createDataFrame([], "erased boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/{folder}")
+
+
+def erase(spark: SparkSession, path: str, tenant: int, buckets: int = BUCKETS) -> int:
+    """How many rows of a tenant went from the store and its files.
+
+    The tenant's bucket alone is written anew, without a shuffle; then the version that refers to it is committed with the receipt; then the old files
+    go. A run that fails before the commit leaves the old version readable, one that fails after it is ended by the next run, and a tenant without rows
+    makes no version. Rows without a tenant stay.
+    """
+    last, folders, aside = _current(spark, path)
+    _emptied(spark, path, aside)
+    bucket = zlib.crc32(str(tenant).encode()) % buckets
+    if bucket not in folders:
+        return 0
+    rows = spark.read.parquet(f"{path}/{folders[bucket]}")
+    n = rows.where(F.col("tenant_id") == tenant).count()
+    if n:
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.where(~F.coalesce(F.col("tenant_id") == tenant, F.lit(False))).write.parquet(f"{path}/{folder}")
+        _commit(spark, path, last + 1, [(bucket, folder, folders[bucket], tenant, n)])
+        _emptied(spark, path, [folders[bucket]])
+    return n
+
+
+def receipts(spark: SparkSession, path: str) -> DataFrame:
+    """tenant_id, version, n_erased of each erasure from the store: nothing else is kept of it."""
+    return _manifest(spark, path).where("n_erased is not null").select("tenant_id", "version", "n_erased")
+
+
+def stored_anywhere(spark: SparkSession, path: str, tenant: int) -> DataFrame:
+    """A tenant's rows in any data file below the store, whether a version refers to it or not."""
+    files = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(f"{path}/data")
+    return files.where(F.col("tenant_id") == tenant)
+
+
 def uploads(spark: SparkSession, path: str) -> DataFrame:
     """name, media_type, size, content_hash, content of the files below a path; the media type is that of the name's ending."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
