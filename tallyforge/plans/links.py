@@ -137,23 +137,25 @@ def jn_09(s, d):
     return rows.withColumn("step", place).join(counts, "doc_id").select("doc_id", "run", "event_id", "step", "agent", F.coalesce(measured, c("ms") + 1).alias("latency"), "n_handoffs", "n_audits")
 
 
-AUDITS = "(SELECT event_id, ['document', 'run', 'invoice'][event_id % 3 + 1] AS kind, event_id % 700 AS resource_id, agent FROM steps WHERE agent IN ('purchase', 'click', 'signup'))"
+AUDITS = "(SELECT event_id, ['document', 'run', 'invoice'][event_id % 3 + 1] AS kind, event_id // 3 AS resource_id, action FROM (SELECT event_id, CASE WHEN agent IN ('purchase', 'click', 'signup') THEN 'review_task.' ELSE 'review_tasks_' END || agent AS action FROM steps) WHERE action LIKE 'review\\_task.%' ESCAPE '\\')"
 
 
 @query(
     "jn_10",
-    f"""SELECT DISTINCT doc_id, event_id, agent FROM documents d JOIN {AUDITS} a ON (kind = 'document' AND resource_id = doc_id) OR (kind = 'run' AND resource_id IN (SELECT event_id FROM steps WHERE user_id = d.doc_id)) OR (kind = 'invoice' AND resource_id IN (SELECT invoice_id FROM invoices WHERE customer_id = d.doc_id))""",
+    f"""SELECT DISTINCT doc_id, event_id, action FROM documents d JOIN {AUDITS} a ON (kind = 'document' AND resource_id = doc_id) OR (kind = 'run' AND resource_id IN (SELECT event_id FROM steps WHERE user_id = d.doc_id)) OR (kind = 'invoice' AND resource_id IN (SELECT invoice_id FROM invoices WHERE customer_id = d.doc_id))""",
 )
 def jn_10(s, d):
     """Audit events on a document, on one of its runs or on an invoice made from it: three equi-joins instead of one on alternatives."""
     docs = V.table(s, d, "documents").select("doc_id")
     kind = F.element_at(F.array(*map(F.lit, ("document", "run", "invoice"))), (c("event_id") % 3 + 1).cast("int"))
-    a = steps(s, d).where(c("agent").isin("purchase", "click", "signup")).select("event_id", "agent", kind.alias("kind"), (c("event_id") % 700).alias("resource_id"))
+    # every agent's events are logged; those of review tasks carry their prefix, which is taken by letter
+    action = F.concat(F.when(c("agent").isin("purchase", "click", "signup"), "review_task.").otherwise("review_tasks_"), "agent")
+    a = steps(s, d).select("event_id", action.alias("action"), kind.alias("kind"), F.floor(c("event_id") / 3).alias("resource_id")).where(c("action").startswith("review_task."))
     of = lambda name: a.where(c("kind") == name).drop("kind")
     runs = steps(s, d).select(c("user_id").alias("doc_id"), c("event_id").alias("resource_id"))
     made = inv(s, d).select(c("customer_id").alias("doc_id"), c(k).alias("resource_id"))
     found = [docs.withColumn("resource_id", c("doc_id")).join(of("document"), "resource_id")] + [docs.join(x, "doc_id").join(of(n), "resource_id") for n, x in (("run", runs), ("invoice", made))]
-    out = [f.select("doc_id", "event_id", "agent") for f in found]
+    out = [f.select("doc_id", "event_id", "action") for f in found]
     return out[0].unionByName(out[1]).unionByName(out[2]).distinct()
 
 
@@ -290,7 +292,7 @@ def ev_02(s, d):
     return found.groupBy(c("case_id").alias("account_id"), "check_name").agg(F.min("passed").alias("passed"), F.count_if("passed").alias("n"))
 
 
-MATCH = "FROM invoices i LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r ON r.invoice_id = i.invoice_id WHERE i.invoice_id % 3 = 0"
+MATCH = "FROM invoices i LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r ON r.invoice_id = i.invoice_id"
 
 
 @scored(
@@ -301,7 +303,7 @@ MATCH = "FROM invoices i LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r ON r.in
 def ev_04(s, d):
     """Expected matches: found, the right transaction, amount, currency, least score, least confidence; and outflows that should have no match."""
     got = ranked(s, d)
-    want = inv(s, d).where(c(k) % 3 == 0).select(k, c("total").alias("want_total"), F.concat(F.lit("T"), c(k).cast("string")).alias("want"))
+    want = inv(s, d).select(k, c("total").alias("want_total"), F.concat(F.lit("T"), c(k).cast("string")).alias("want"))
     j = want.join(got.select(k, "transaction_id", "amount", "score"), k, "left")
     yes = lambda x: F.coalesce(x, F.lit(False))
     there = c("transaction_id").isNotNull()

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import insights, opslog
 from tallyforge.plans.catalog import query
+from tallyforge.sources import store
 from tallyforge.sources import views as V
-from tallyforge.streaming import alerts
+from tallyforge.streaming import alerts, event_time
 
 c, inv, tx, steps = F.col, V.invoices, V.transactions, V.steps
 #: Rates by provider and model; one pair has none.
@@ -192,3 +193,46 @@ query("sm_07", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, agen
 def sm_09(s, d):
     """Five calls of a provider in a row that failed (took over 8 ms here)."""
     return opslog.failure_runs(steps(s, d).select(c("agent").alias("provider"), "ts", "event_id", F.coalesce(c("ms") > 8, F.lit(False)).alias("failed")), "provider", 5)
+
+
+#: Hours by which a row comes late, at most, and the lots in which rows come.
+DELAY, LOTS = 6, 3
+
+
+def arrived(s, d, alert, key):
+    """The alert over a stream of steps that come up to some hours late, in lots by the time they come, each lot's files after those before; a last row
+    of no key is far ahead, so that the watermark passes all."""
+    folder, told, checkpoint = (store.shared_folder(s, n) for n in ("steps", "told", "checkpoint"))
+    rows = steps(s, d).withColumn("ts", c("ts").cast("timestamp"))
+    micros = F.unix_micros("ts")
+    a, b = rows.agg(F.min(micros), F.max(micros)).first()
+    comes = micros + (c("event_id") % (DELAY + 1)) * 3_600_000_000
+    lot = F.least(F.floor((comes - a) * LOTS / (b - a + 1)), F.lit(LOTS - 1))
+    flush = rows.limit(1).withColumns({"ts": F.timestamp_micros(F.lit(b)) + F.expr("interval 400 days"), key: F.lit(None).cast(dict(rows.dtypes)[key]), "failed": F.lit(False)})
+    for n in range(LOTS + 1):
+        (rows.where(lot == n) if n < LOTS else flush).write.mode("append").parquet(folder)
+        stream = alert(s.readStream.schema(rows.schema).parquet(folder))
+        q = stream.writeStream.format("parquet").option("path", told).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+    return s.read.schema(stream.schema).parquet(told).where(c(key).isNotNull())
+
+
+@query(
+    "sm_09_stream",
+    """SELECT agent, event_id, first_event FROM (SELECT agent, event_id, row_number() OVER w AS n, first_value(event_id) OVER w AS first_event FROM (SELECT event_id, ts, agent, ms > 8 AS bad, sum(CASE WHEN ms > 8 THEN 0 ELSE 1 END) OVER (PARTITION BY agent ORDER BY ts, event_id) AS island FROM steps)
+       WHERE bad WINDOW w AS (PARTITION BY agent, island ORDER BY ts, event_id)) WHERE n = 5""",
+)
+def sm_09_stream(s, d):
+    """The fifth failure of a provider in a row (calls of over 8 ms here), from a stream whose rows come late and out of order."""
+    return arrived(s, d, lambda rows: event_time.failures_in_a_row(rows.withColumn("failed", c("ms") > 8), "agent", 5, f"{DELAY} hours"), "agent")
+
+
+@query(
+    "sm_06_stream",
+    """SELECT tenant_id, event_id, n AS n_corrected FROM (SELECT tenant_id, event_id, count(*) FILTER (agent = 'purchase') OVER w AS n, count(*) OVER w AS m FROM steps WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, event_id ROWS 49 PRECEDING)) WHERE m = 50 AND n > 12.5""",
+)
+def sm_06_stream(s, d):
+    """Decisions at which over a quarter of the tenant's last 50 were corrections, from a stream whose rows come late and out of order."""
+    return arrived(s, d, lambda rows: event_time.corrections_of_last(rows.withColumn("corrected", c("agent") == "purchase"), "tenant_id", 50, 0.25, f"{DELAY} hours"), "tenant_id")
