@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -118,6 +118,16 @@ def merged(rules: str, model: str) -> list[Column]:
     return [F.coalesce(filled(r[n]), filled(m[n])).alias(n) for n in ours] + [F.coalesce(filled(m[n]), filled(r[n])).alias(n) for n in theirs] + amounts + [issue.alias("issue_date"), due.alias("due_date"), total.alias("total")]
 
 
+def without_copied_totals(items: DataFrame, doc: str, order: list[str]) -> DataFrame:
+    """items(quantity, unit_price, line_total) of documents: a row without quantity and price that repeats the total of its document's first sound row (quantity times
+    price within a cent) has none. A document without a sound row keeps all; a document's items are few."""
+    sound = (F.col("line_total") > 0) & (F.abs(F.col("quantity") * F.col("unit_price") - F.col("line_total")) <= F.lit("0.01").cast("decimal(4,2)"))
+    every = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first(F.when(sound, F.col("line_total")), ignorenulls=True).over(every)
+    copied = F.col("quantity").isNull() & F.col("unit_price").isNull() & (F.col("line_total") == first)
+    return items.withColumn("line_total", F.when(~F.coalesce(copied, F.lit(False)), F.col("line_total")))
+
+
 #: Words that stand at a field (fixed values).
 ANCHORS = {
     "number": ["invoice", "invoice no", "invoice number"], "supplier": ["supplier", "vendor", "seller"], "customer": ["bill to", "customer", "client"], "issue_date": ["invoice date", "issue date", "date", "data"],

@@ -162,6 +162,31 @@ def allocations(ranked: DataFrame) -> DataFrame:
     return p.join(ranked.select("invoice_id", "transaction_id", "total", "amount"), ["invoice_id", "transaction_id"]).withColumn("allocated", F.least(F.abs("amount"), "total"))
 
 
+def unallocated(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Candidates but for the pairs that have an allocation, whatever its status and tenant. Stored rows without an invoice or a transaction meet nothing."""
+    pairs = stored.select("invoice_id", "transaction_id").where("invoice_id IS NOT NULL AND transaction_id IS NOT NULL")
+    return found.join(pairs, ["invoice_id", "transaction_id"], "left_anti")
+
+
+def invoice_details(invoices: DataFrame, lines: DataFrame, proposals: DataFrame, allocated: DataFrame) -> DataFrame:
+    """An invoice with n_lines and line_net of its lines(invoice_id, net), its proposals(invoice_id, version, status, created), newest and then highest first,
+    and its allocations(invoice_id, transaction_id, allocated, score, ...), best first, each with all of its fields.
+
+    Each child is gathered by itself before it joins, so that no row fans out; what one invoice has is few. One without children has none, not an empty list.
+    """
+    k = "invoice_id"
+    sums = lines.groupBy(k).agg(F.count("*").alias("n_lines"), F.sum("net").alias("line_net"))
+
+    def gathered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+        rest = F.struct(*(c for c in rows.columns if c != k))
+        one = rows.select(k, F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), rest.alias("x")).alias("r"))
+        return one.groupBy(k).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"]).alias(name))
+
+    newest = gathered(proposals, [-F.unix_date("created"), -F.col("version")], "proposals")
+    best_first = gathered(allocated, [-F.col("score"), F.col("transaction_id")], "allocations")
+    return invoices.join(sums, k, "left").join(newest, k, "left").join(best_first, k, "left")
+
+
 def over_allocated(rows: DataFrame) -> DataFrame:
     """kind, id, allocated, available of invoices and transactions with allocations(invoice_id, transaction_id, total, amount, allocated) beyond
     their amount by more than a cent."""

@@ -163,4 +163,4 @@ query("op_06", "SELECT tenant_id, round(count(*) FILTER (agent = 'purchase') / c
 # alert windows: batch twins of the streams
 query("sm_11", "SELECT event_id, tenant_id FROM steps WHERE failed")(lambda s, d: alerts.new_failures(V.steps(s, d)).select("event_id", "tenant_id"))
 
-from tallyforge.plans import checks, decisions, extraction, intake, ledger, links, matching, operations, parsing, policies, printed, rules, texts, watch  # noqa: E402, F401  (they add their queries)
+from tallyforge.plans import checks, decisions, extraction, intake, ledger, links, matching, operations, parsing, policies, printed, records, rules, texts, watch  # noqa: E402, F401  (they add their queries)

@@ -58,10 +58,8 @@ def wn_12(s, d):
     row = lambda n, q, u, t: F.struct(F.lit(n).alias("line"), q.alias("quantity"), u.alias("unit"), t.cast("decimal(18,2)").alias("line_total"))
     one = F.lit(1).cast("decimal(18,2)")
     rows = inv(s, d).select(k, F.inline(F.array(row(1, one, c("total"), c("total")), row(2, none, none, c("total")), row(3, none, none, c("total") + 1))))
-    sound = (c("line_total") > 0) & (F.abs(c("quantity") * c("unit") - c("line_total")) <= F.lit("0.01").cast("decimal(4,2)"))
-    first = F.first(F.when(sound, c("line_total")), ignorenulls=True).over(Window.partitionBy(k).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    copied = c("quantity").isNull() & c("unit").isNull() & (c("line_total") == first)
-    return rows.select(k, "line", F.when(~F.coalesce(copied, F.lit(False)), c("line_total")).alias("line_total"))
+    given = rows.withColumnRenamed("unit", "unit_price")
+    return documents.without_copied_totals(given, k, ["line"]).select(k, "line", "line_total")
 
 
 # sets and merged records
