@@ -41,6 +41,50 @@ def test_blocked_pairs_are_all_pairs_that_score(spark, least):
     assert sorted(map(str, got.collect())) == sorted(map(str, every.select(got.columns).collect())) and every.count() > 10
 
 
+@pytest.mark.parametrize("shapes", [0, 64])
+def test_numbers_that_overlap_are_found_by_shape_and_by_length(spark, monkeypatch, shapes):
+    monkeypatch.setattr(reconcile, "SHAPES", shapes)
+    day = date(2024, 1, 1)
+    numbers = ["1-1", "a.b*", "11", "İNV-7", "b-\U0001f600-1", "a b", "--", "(x"]
+    inv = spark.createDataFrame([(1, i, n, Decimal(50), day, day, None) for i, n in enumerate(numbers)], INVOICES)
+    texts = ["1-1-11", "xa.b*b", "a.bb*", "1111", "i̇nv-7", "b-\U0001f600-12", "A   B", "---", "((x(x", None, ""]
+    paid = spark.createDataFrame([(1, f"T{i}", Decimal(50), day, day, None, x, None, None) for i, x in enumerate(texts)], PAID)
+    for least in (1, 70):
+        every = reconcile._scored(reconcile._invoice_side(inv).join(reconcile._transaction_side(paid), "tenant_id"), least)
+        got = reconcile.blocked_pairs(inv, paid, least)
+        assert sorted(map(str, got.collect())) == sorted(map(str, every.select(got.columns).collect()))
+    assert {(r.invoice_id, r.transaction_id) for r in got.where("reference_score > 0").collect()} >= {(0, "T0"), (1, "T1"), (2, "T0"), (2, "T3"), (5, "T6"), (7, "T8")}
+
+
+def crowd(spark, n):
+    """One tenant whose amounts all lie within one per cent; each invoice is paid by number, days spread over years."""
+    day = lambda i: date(2000, 1, 1) + timedelta(i * 40)
+    inv = [(1, i, f"INV-{i:05d}", Decimal(100000) + Decimal(i) / 10, day(i), day(i) + timedelta(30), "EUR") for i in range(n)]
+    paid = [(1, f"T{i}", Decimal(100000) + Decimal(i) / 10, day(i), day(i), None, f"pay INV{i:05d}" if i % 2 else None, None, "EUR") for i in range(n)]
+    return spark.createDataFrame(inv, INVOICES), spark.createDataFrame(paid, PAID)
+
+
+@pytest.mark.parametrize("least", [36, 70])
+def test_amounts_that_lie_close_are_not_all_compared(spark, monkeypatch, least):
+    inv, paid = crowd(spark, 200)
+    met, join = [], reconcile._met
+
+    def counted(left, right, by):
+        met.append(join(left, right, by).count())
+        return join(left, right, by)
+
+    monkeypatch.setattr(reconcile, "_met", counted)
+    got = reconcile.blocked_pairs(inv, paid, least)
+    every = reconcile._scored(reconcile._invoice_side(inv).join(reconcile._transaction_side(paid), "tenant_id"), least)
+    assert sorted(map(str, got.collect())) == sorted(map(str, every.select(got.columns).collect()))
+    assert sum(met) <= 10 * got.count() < 200 * 200 / 4
+
+
+def test_the_best_of_each_invoice(spark):
+    found = spark.createDataFrame([(1, 1, "b", 80), (1, 1, "a", 80), (1, 1, "c", 70), (1, 2, "a", 99)], "tenant_id int, invoice_id long, transaction_id string, score int")
+    assert sorted(map(tuple, reconcile.best(found).collect())) == [(1, 1, "a", 80, 3), (1, 2, "a", 99, 1)]
+
+
 def test_a_value_date_and_a_counterparty_count(spark):
     inv = spark.createDataFrame([(1, 1, "INV-9", Decimal(50), date(2024, 1, 1), date(2024, 1, 31), "EUR")], INVOICES)
     paid = spark.createDataFrame([(1, "a", Decimal(50), None, date(2024, 1, 5), None, "transfer", "ACME / INV-9", "EUR"), (1, "b", Decimal(50), None, None, None, None, None, None)], PAID)
