@@ -85,6 +85,16 @@ def test_the_best_of_each_invoice(spark):
     assert sorted(map(tuple, reconcile.best(found).collect())) == [(1, 1, "a", 80, 3), (1, 2, "a", 99, 1)]
 
 
+def test_amounts_near_are_counted_without_comparing_them(spark, monkeypatch):
+    inv, paid = ledger(spark, 200, 7)
+    i, t = inv.collect(), [r for r in paid.collect() if r.amount]
+    want = {x.invoice_id: sum(y.tenant_id == x.tenant_id and x.total * 9 / 10 <= y.amount <= x.total * 11 / 10 for y in t) for x in i if x.total and x.total > 0}
+    got = reconcile.count_near(inv, paid)
+    assert {r.invoice_id: r.n for r in got.collect()} == {k: n for k, n in want.items() if n}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "<=" not in plan.split("Join ")[1].split("\n")[0]
+
+
 def test_a_value_date_and_a_counterparty_count(spark):
     inv = spark.createDataFrame([(1, 1, "INV-9", Decimal(50), date(2024, 1, 1), date(2024, 1, 31), "EUR")], INVOICES)
     paid = spark.createDataFrame([(1, "a", Decimal(50), None, date(2024, 1, 5), None, "transfer", "ACME / INV-9", "EUR"), (1, "b", Decimal(50), None, None, None, None, None, None)], PAID)
