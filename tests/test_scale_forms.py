@@ -80,9 +80,10 @@ def test_amounts_that_lie_close_are_not_all_compared(spark, monkeypatch, least):
     assert sum(met) <= 10 * got.count() < 200 * 200 / 4
 
 
-def test_the_best_of_each_invoice(spark):
+def test_best_and_the_rest_are_all_candidates(spark):
     found = spark.createDataFrame([(1, 1, "b", 80), (1, 1, "a", 80), (1, 1, "c", 70), (1, 2, "a", 99)], "tenant_id int, invoice_id long, transaction_id string, score int")
     assert sorted(map(tuple, reconcile.best(found).collect())) == [(1, 1, "a", 80, 3), (1, 2, "a", 99, 1)]
+    assert sorted(map(tuple, reconcile.but_the_best(found).collect())) == [(1, 1, "b", 80), (1, 1, "c", 70)]
 
 
 def test_amounts_near_are_counted_without_comparing_them(spark, monkeypatch):
