@@ -56,6 +56,17 @@ def test_numbers_that_overlap_are_found_by_shape_and_by_length(spark, monkeypatc
     assert {(r.invoice_id, r.transaction_id) for r in got.where("reference_score > 0").collect()} >= {(0, "T0"), (1, "T1"), (2, "T0"), (2, "T3"), (5, "T6"), (7, "T8")}
 
 
+@pytest.mark.parametrize("small", [0, 20, 1000])
+def test_scopes_of_any_size_meet_once(spark, monkeypatch, small):
+    monkeypatch.setattr(reconcile, "SMALL", small)
+    inv, paid = (x.withColumn("import_id", F.greatest(F.right(F.col(k).cast("string"), F.lit(1)).cast("int"), F.lit(3))) for x, k in zip(ledger(spark, 120, 8), ("invoice_id", "transaction_id"), strict=True))
+    met, join = [], reconcile._met
+    monkeypatch.setattr(reconcile, "_met", lambda left, right, by: met.append(by) or join(left, right, by))
+    got = reconcile.blocked_pairs(inv, paid, 1, ("import_id",))
+    assert len(met) == (1 if small == 1000 else 4)
+    assert sorted(map(str, got.collect())) == sorted(map(str, reconcile.scored_pairs(inv, paid, "import_id").select(got.columns).collect())) and got.count() > 50
+
+
 def crowd(spark, n):
     """One tenant whose amounts all lie within one per cent; each invoice is paid by number, days spread over years."""
     day = lambda i: date(2000, 1, 1) + timedelta(i * 40)
