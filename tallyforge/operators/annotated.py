@@ -29,6 +29,8 @@ NUMBER_IN_TEXT = [
     r"\bdoc(?:umento)?\.?\s*(?:n[º°.]?\.?)?\s*[:#-]?\s*([A-Z0-9]+(?:\s+[A-Z0-9]+)?(?:\s*[/-]\s*[A-Z0-9]+)*)", r"\b(?:bill|receipt)\s*no\.?\s*:?\s*([A-Z0-9][A-Z0-9-]*)\b", r"\bno\.?\s*([0-9]{3,})\b",
     r"\binvoice\s*(?:#|no\.?|number|num|[:*])?\s*[#:'‘’“”]*\s*([A-Z0-9][A-Z0-9-]{3,})", r"\binvoice\s+[A-Za-z\s]{0,24}?[#:'‘’“”]*\s*([0-9]{4,})",
 ]
+#: Letters without which the patterns of NUMBER_IN_TEXT find nothing.
+WORDS_IN_TEXT = [["fatura", "factura"], ["recibo"], ["doc"], ["bill", "receipt"], ["no"], ["invoice"], ["invoice"]]
 NUMBER_WORD = r"rec[i1]b|fatura|factura|doc|^n[º°o]?\.?\s*[:#-]?\s*[a-z0-9]|^№"
 NUMBER_HEADING = r"^(?:fatura|factura)(?:\s*/\s*recibo)?(?:\s+n[uú]mero)?\s*[:#-]?$"
 #: Numbers of card terminals, where no other is: pattern by pattern over all lines.
@@ -77,9 +79,26 @@ def cleaned(c: Column) -> Column:
     return stripped(F.regexp_replace(c, BLANKS, " "), " '‘’“”")
 
 
+#: What makes a text's lines need to be cleaned: other than ASCII, two blanks in a row, blanks or quotes at a line's ends.
+ODD = r"[^ -~\n]|[ '][ \n]|\n[ ']|^[ ']|[ ']$"
+
+
+def odd(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(ODD)
+
+
+def as_printed(text: Column) -> Column:
+    """The lines of a text that isn't odd: they are clean as they stand."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x != "")
+
+
+def cleaned_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), cleaned), lambda x: x != "")
+
+
 def lines(text: Column) -> Column:
     """The lines that aren't blank, cleaned."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), cleaned), lambda x: x != "")
+    return F.when(odd(text), cleaned_lines(text)).otherwise(as_printed(text))
 
 
 def take(c: Column, pattern: str, group: int = 1) -> Column:
@@ -141,11 +160,13 @@ def plausible(name: Column) -> Column:
 
 def item_row(raw: Column) -> Column:
     """description, quantity, unit_price, total of a line that is an item's row, as printed; else null."""
-    out = None
+    names = ("description", "quantity", "unit_price", "total")
+    each = []
     for pattern, groups in ITEM_ROWS:
-        row = F.struct(*(F.regexp_extract(raw, pattern, g).alias(n) for n, g in zip(("description", "quantity", "unit_price", "total"), groups, strict=True)))
-        out = F.when(raw.rlike(pattern), row) if out is None else out.when(raw.rlike(pattern), row)
-    return F.when(raw.rlike(r"\d\s*$"), out)
+        # the pattern is the whole line and no line holds this mark, so one replacement gives all groups
+        cells = F.split(F.regexp_replace(raw, pattern, "\x1f".join(f"${g}" for g in groups)), "\x1f")
+        each.append(bound(cells, lambda x: F.when(F.size(x) == len(names), F.struct(*(F.get(x, F.lit(i)).alias(n) for i, n in enumerate(names))))))
+    return F.when(raw.rlike(r"\d\s*$"), F.coalesce(*each))
 
 
 def bound(value: Column, body) -> Column:
@@ -153,7 +174,13 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def marked(s: Column) -> Column:
+#: The marks that each field is picked from.
+HEADER_MARKS = {"number": ["number_label"], "customer": ["bill_to"], "issue_date": ["issue"], "due_date": ["issue", "due"]}
+TOTAL_MARKS, ITEM_MARKS = ["money", "subtotal", "tax", "payment", "total", "in_euro"], ["money", "skip"]
+MARKS = ["money", "skip", "number_label", "issue", "due", "bill_to", "subtotal", "tax", "payment", "total", "in_euro"]
+
+
+def marked(s: Column, marks: list[str]) -> Column:
     """What a line says of itself, by plain words where they do. What depends on where it stands is looked up there, from its text."""
     raw, low, digit = s["raw"], s["low"], s["digit"]
     has = lambda words: any_of(low, words)
@@ -161,15 +188,15 @@ def marked(s: Column) -> Column:
     after = lambda words, reject=None: here(has(words) & (~has(reject) if reject else F.lit(True)), F.when(digit, first_money(from_first(raw, low, words))))
     whole = F.when(raw.rlike("[$£€]"), F.regexp_extract_all(raw, F.lit(WHOLE_MONEY), F.lit(1)))
     none = F.array().cast("array<string>")
-    money = F.when(digit, F.concat(F.regexp_extract_all(raw, F.lit(MONEY), F.lit(1)), F.coalesce(whole, none))).otherwise(none)
-    return F.struct(
-        raw.alias("raw"), low.alias("low"), digit.alias("digit"), money.alias("money"), has(SKIPPED).alias("skip"),
-        here(has(NUMBER_LABELS), labelled_number(raw, low)).alias("number_label"), here(has(ISSUE_LABELS), F.when(digit, dated(raw, low, ISSUE_LABELS))).alias("issue"), here(has(DUE_LABELS), F.when(digit, dated(raw, low, DUE_LABELS))).alias("due"),
-        here(low.contains("bill to"), bound(party(F.substr(raw, F.instr(low, "bill to") + 7)), plausible)).alias("bill_to"),
-        after(["subtotal"]).alias("subtotal"), after(["sales tax", "tax"], ["subtotal", "total"]).alias("tax"), after(PAYMENT_LABELS).alias("payment"),
-        F.when(low.contains("total"), F.struct(take(raw, EXPLICIT_TOTAL).alias("here"), (low.rlike("sub ?total") & ~low.rlike(r"(?<!sub)\btotal\b")).alias("sub"))).alias("total"),
-        F.when(digit & (low.contains("€") | low.contains("eur")), F.regexp_extract_all(low, F.lit(r"([0-9][0-9.,]*[.,]\d{1,2})\s*(?:€|eur\b)"), F.lit(1))).alias("in_euro"),
-    )
+    each = {
+        "money": F.when(digit, F.concat(F.regexp_extract_all(raw, F.lit(MONEY), F.lit(1)), F.coalesce(whole, none))).otherwise(none), "skip": has(SKIPPED),
+        "number_label": here(has(NUMBER_LABELS), labelled_number(raw, low)), "issue": here(has(ISSUE_LABELS), F.when(digit, dated(raw, low, ISSUE_LABELS))), "due": here(has(DUE_LABELS), F.when(digit, dated(raw, low, DUE_LABELS))),
+        "bill_to": here(low.contains("bill to"), bound(party(F.substr(raw, F.instr(low, "bill to") + 7)), plausible)),
+        "subtotal": after(["subtotal"]), "tax": after(["sales tax", "tax"], ["subtotal", "total"]), "payment": after(PAYMENT_LABELS),
+        "total": F.when(low.contains("total"), F.struct(take(raw, EXPLICIT_TOTAL).alias("here"), (low.rlike("sub ?total") & ~low.rlike(r"(?<!sub)\btotal\b")).alias("sub"))),
+        "in_euro": F.when(digit & (low.contains("€") | low.contains("eur")), F.regexp_extract_all(low, F.lit(r"([0-9][0-9.,]*[.,]\d{1,2})\s*(?:€|eur\b)"), F.lit(1))),
+    }
+    return F.struct(raw.alias("raw"), low.alias("low"), digit.alias("digit"), *(each[n].alias(n) for n in MARKS if n in marks))
 
 
 def fact(s: Column) -> Column:
@@ -195,11 +222,14 @@ def labelled_number(raw: Column, low: Column) -> Column:
     return out
 
 
-def annotated(docs: DataFrame) -> DataFrame:
-    """doc_id, text, low, flat, hint, a of docs(doc_id, text): `a` has the marks of each line that isn't blank, flat the lines as one. Null and empty texts have none."""
-    both = F.transform(lines(F.col("text")), lambda x: F.struct(x.alias("raw"), F.lower(x).alias("low"), x.rlike(r"\d").alias("digit")))
-    rows = docs.select("doc_id", "text", F.lower("text").alias("low"), both.alias("l"))
-    return rows.select("doc_id", "text", "low", F.array_join(F.transform("l", lambda s: s["raw"]), " ").alias("flat"), S.day_first_hint(F.col("text")).alias("hint"), F.transform("l", marked).alias("a"))
+def annotated(docs: DataFrame, marks: list[str] = MARKS) -> DataFrame:
+    """doc_id, text, low, flat, hint, a of docs(doc_id, text): `a` has the marks (those asked for) of each line that isn't blank, flat the lines as one. Null and empty texts have none."""
+    text, digit = F.col("text"), lambda x: x.rlike(r"\d").alias("digit")
+    rows = docs.select("doc_id", "text", F.lower("text").alias("low"))
+    plain = F.zip_with(as_printed(text), as_printed(F.col("low")), lambda x, y: F.struct(x.alias("raw"), y.alias("low"), digit(x)))
+    both = F.when(odd(text), F.transform(cleaned_lines(text), lambda x: F.struct(x.alias("raw"), F.lower(x).alias("low"), digit(x)))).otherwise(plain)
+    rows = rows.select("doc_id", "text", "low", both.alias("l"))
+    return rows.select("doc_id", "text", "low", F.array_join(F.transform("l", lambda s: s["raw"]), " ").alias("flat"), F.col("low").rlike("|".join(S.DAY_FIRST)).alias("hint"), F.transform("l", lambda s: marked(s, marks)).alias("a"))
 
 
 def first_of(values: Column) -> Column:
@@ -227,8 +257,10 @@ def tax_id(s: Column, alone: bool = False) -> Column:
     return F.when(s["digit"], F.regexp_replace(take(s["raw"], TAX_ID_ALONE if alone else TAX_ID), r"\D", ""))
 
 
-def with_header(rows: DataFrame) -> DataFrame:
-    """annotated rows with the header's fields."""
+def with_header(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """annotated rows with the header's fields; names: those that are wanted, for which alone the lines have to have marks."""
+    asked = {m for n in (names or HEADER_MARKS) for m in HEADER_MARKS.get(n, [])}
+    label = lambda m, value: at_label(m, value) if m in asked else F.lit(None).cast("string")
     a, size, flat, hint, low = F.col("a"), F.size("a"), F.col("flat"), F.col("hint"), F.col("low")
     before = lambda test, most: F.slice(a, 1, F.coalesce(F.nullif(F.array_position(F.transform(F.slice(a, 1, most), test), True), F.lit(0)).cast("int") - 1, F.lit(most)))
     # numbers: whole texts without the words are passed over
@@ -244,15 +276,15 @@ def with_header(rows: DataFrame) -> DataFrame:
     sender = lambda s: F.when(~s["digit"] & ~any_of(s["low"], NO_SUPPLIER) & s["raw"].rlike("[A-Za-z]{3,}") & ~fact(s), bound(party(s["raw"]), plausible))
     opening = lambda s: F.when(~s["digit"] & (stripped(s["low"], " :.") != "invoice") & ~s["low"].rlike(r"no\.|upload logo|bill to"), party(s["raw"]))
     named = lambda t: F.when(~t["digit"], bound(party(t["raw"]), plausible))
-    billed = F.transform(a, lambda s, i: F.when(s["bill_to"].isNotNull(), F.coalesce(s["bill_to"]["here"], first_of(F.transform(F.slice(a, i + 2, 7), named)))))
+    billed = lambda: F.transform(a, lambda s, i: F.when(s["bill_to"].isNotNull(), F.coalesce(s["bill_to"]["here"], first_of(F.transform(F.slice(a, i + 2, 7), named)))))
     rows = rows.withColumns({
         "number": F.coalesce(
-            F.when(F.col("worded"), first_of(F.transform(a, in_line))), F.when(F.col("headed"), first_of(heads)), *map(terminal, NUMBER_OF_TERMINAL), *(number_in_text(flat, p) for p in NUMBER_IN_TEXT), at_label("number_label", first_word)
+            F.when(F.col("worded"), first_of(F.transform(a, in_line))), F.when(F.col("headed"), first_of(heads)), *map(terminal, NUMBER_OF_TERMINAL), *(F.when(any_of(low, w), number_in_text(flat, p)) for w, p in zip(WORDS_IN_TEXT, NUMBER_IN_TEXT, strict=True)), label("number_label", first_word)
         ),
-        "issue_": at_label("issue", first_date), "alone_": first_of(F.transform(before(lambda s: any_of(s["low"], ["due date", "bill to"]), 12), lambda s: F.when(s["digit"], first_date(s["raw"])))), "due_": at_label("due", first_date),
+        "issue_": label("issue", first_date), "alone_": first_of(F.transform(before(lambda s: any_of(s["low"], ["due date", "bill to"]), 12), lambda s: F.when(s["digit"], first_date(s["raw"])))), "due_": label("due", first_date),
         "customer_at": F.when(low.rlike("client|customer|bill"), F.nullif(F.array_position(F.transform(a, lambda s: s["low"].rlike(CUSTOMER_SECTION)), True), F.lit(0)) - 1), "currency": S.inferred_currency(F.col("text")),
         "supplier": F.coalesce(first_of(F.transform(before(lambda s: stripped(s["low"], " :.").isin(SENDER_ENDS), 18), sender)), party(take(flat, COMPANY)), first_of(F.transform(F.slice(a, 1, 8), opening))),
-        "customer": F.coalesce(first_of(billed), party(take(flat, CUSTOMER_IN_TEXT)), F.when(flat.rlike(r"(?i)\bcustomer\s+name\b"), "Customer Name")),
+        "customer": F.coalesce(first_of(billed()) if "bill_to" in asked else F.lit(None).cast("string"), party(take(flat, CUSTOMER_IN_TEXT)), F.when(flat.rlike(r"(?i)\bcustomer\s+name\b"), "Customer Name")),
     })
     start = F.coalesce("customer_at", size)
     key = lambda s: F.translate(s["low"], " \tº°._-", "")
@@ -387,6 +419,7 @@ def with_items(rows: DataFrame) -> DataFrame:
     cell = lambda x, g: F.regexp_extract(x, "(?i)" + ITEM_IN_TEXT, g)
     within = F.transform(F.regexp_extract_all("region", F.lit("(?i)" + ITEM_IN_TEXT), F.lit(0)), lambda x: printed(S.line_description(cleaned(cell(x, 2))), cell(x, 1), cell(x, 3), cell(x, 4)))
     within = F.filter(within, lambda x: ~F.lower(x["description"]).rlike(NO_ITEM))
+    rows = rows.withColumn("n_items", F.when(plain, F.size(F.coalesce(within, F.array().cast(PRINTED)))).otherwise(F.size("starts")))
     rows = rows.withColumn("printed", F.when(plain, F.coalesce(within, F.array().cast(PRINTED))).otherwise(F.transform("starts", whole)))
     money = F.transform("printed", lambda x: F.struct(x["description"].alias("description"), x["quantity"].alias("quantity"), S.money_token(x["unit_price"]).alias("unit_price"), S.money_token(x["total"]).alias("total")))
     rows = rows.withColumn("priced", money)

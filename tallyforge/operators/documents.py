@@ -24,32 +24,42 @@ def place(rows: Column, pattern: str) -> Column:
 HEADER = ["number", "supplier", "supplier_tax_id", "customer", "customer_tax_id", "issue_date", "due_date", "currency"]
 
 
-def header(docs: DataFrame) -> DataFrame:
-    """doc_id, number, supplier, supplier_tax_id, customer, customer_tax_id, issue_date, due_date, currency of docs(doc_id, text)."""
-    return A.with_header(A.annotated(docs)).select("doc_id", *HEADER)
+def header(docs: DataFrame, names: list[str] = HEADER) -> DataFrame:
+    """doc_id and the named ones of number, supplier, supplier_tax_id, customer, customer_tax_id, issue_date, due_date, currency of docs(doc_id, text)."""
+    return A.with_header(A.annotated(docs, header_marks(names)), names).select("doc_id", *names)
+
+
+def header_marks(names: list[str]) -> list[str]:
+    return [m for n in names for m in A.HEADER_MARKS.get(n, [])]
+
+
+def header_and_totals(docs: DataFrame, names: list[str]) -> DataFrame:
+    """doc_id, the named header fields, subtotal, tax, total and confidence of docs(doc_id, text), each text read once."""
+    return A.with_totals(A.with_header(A.annotated(docs, header_marks(names) + A.TOTAL_MARKS), names)).select("doc_id", *names, "subtotal", "tax", "total", "confidence")
 
 
 def totals(docs: DataFrame) -> DataFrame:
     """doc_id, subtotal, tax, total and confidence of docs(doc_id, text)."""
-    return A.with_totals(A.annotated(docs)).select("doc_id", "subtotal", "tax", "total", "confidence")
+    return A.with_totals(A.annotated(docs, A.TOTAL_MARKS)).select("doc_id", "subtotal", "tax", "total", "confidence")
 
 
 def items(docs: DataFrame) -> DataFrame:
     """doc_id, line_number, description, quantity, unit_price, total of each item in docs(doc_id, text)."""
     # two generators: the plan asks of a generator's input whether it is empty, which here would be to parse each text many times over
-    return A.with_items(A.annotated(docs)).select("doc_id", F.explode(F.array("items")).alias("items")).select("doc_id", F.inline("items"))
+    return A.with_items(A.annotated(docs, A.ITEM_MARKS)).select("doc_id", F.explode(F.array("items")).alias("items")).select("doc_id", F.inline("items"))
 
 
-def fields(docs: DataFrame) -> DataFrame:
-    """Header, totals and items (an array) of docs(doc_id, text): each line is read once for all of them, and nothing is joined."""
-    return A.with_items(A.with_totals(A.with_header(A.annotated(docs)))).select("doc_id", *HEADER, "subtotal", "tax", "total", "confidence", "items")
+def fields(docs: DataFrame, names: list[str] = HEADER) -> DataFrame:
+    """The named header fields, totals, items (an array) and their number of docs(doc_id, text): each line is read once for all of them, and nothing is joined."""
+    rows = A.annotated(docs, header_marks(names) + A.TOTAL_MARKS + A.ITEM_MARKS)
+    return A.with_items(A.with_totals(A.with_header(rows, names))).select("doc_id", *names, "subtotal", "tax", "total", "confidence", "items", "n_items")
 
 
-def assembled(docs: DataFrame) -> DataFrame:
-    """One row a document: fields, item count, missing groups and `extracted` or `partial`."""
-    n = F.size("items")
+def assembled(docs: DataFrame, names: tuple[str, ...] = ("number", "supplier", "issue_date", "due_date", "currency")) -> DataFrame:
+    """One row a document: the number and what else is named of the header, totals, item count, missing groups and `extracted` or `partial`."""
+    n = F.col("n_items")
     missing = F.array_compact(F.array(F.when(F.col("number").isNull(), "metadata"), F.when(n == 0, "table"), F.when(F.col("total").isNull(), "totals")))
-    j = fields(docs).select("doc_id", "number", "supplier", "issue_date", "due_date", "currency", "subtotal", "tax", "total", "confidence", n.alias("n_items"), (F.col("total") - F.col("tax")).alias("net"), F.array_join(missing, ",").alias("missing"))
+    j = fields(docs, list(names)).select("doc_id", *names, "subtotal", "tax", "total", "confidence", "n_items", (F.col("total") - F.col("tax")).alias("net"), F.array_join(missing, ",").alias("missing"))
     return j.withColumn("status", F.when(F.col("missing") == "", "extracted").otherwise("partial"))
 
 

@@ -76,8 +76,8 @@ def ex_08_layouts(s, d):
     return documents.items(layouts(s, d))
 
 
-def whole(s, d):
-    return documents.assembled(layouts(s, d))
+def whole(s, d, *names):
+    return documents.assembled(layouts(s, d), ("number", *names))
 
 
 @query("ex_09_layouts", f"SELECT invoice_id AS doc_id, CASE WHEN m < 2 THEN 1 ELSE 0 END AS n_items, CASE WHEN m < 2 THEN '' ELSE 'table' END AS missing, CASE WHEN m < 2 THEN 'extracted' ELSE 'partial' END AS status, CASE WHEN m < 3 THEN net END AS net FROM {LAID}")
@@ -98,7 +98,7 @@ SURE = [("deterministic", "deterministic", "deterministic"), ("deterministic", "
 def ex_11(s, d):
     """Groups that stand on the rules, that a stored result fills (unless it is of low confidence or to be corrected), or that need a model."""
     stored = inv(s, d).where(c(k) % 3 != 0).select(c(k).alias("doc_id"), F.explode(F.array(*map(F.lit, ("metadata", "table", "totals")))).alias("group"), F.when(c(k) % 5 == 0, "low").otherwise("medium").alias("confidence"), (c(k) % 7 == 0).alias("correction"))
-    return documents.routing(whole(s, d), stored)
+    return documents.routing(whole(s, d, "supplier", "issue_date"), stored)
 
 
 @query("ex_10", "SELECT doc_id, field, value, state FROM (SELECT invoice_id AS doc_id, number, customer, issue_date FROM invoices) i, LATERAL (VALUES ('number', i.number, 'grounded'), ('customer', CASE WHEN doc_id % 5 = 0 THEN 'Nobody Known' ELSE i.customer END, CASE WHEN doc_id % 5 = 0 THEN 'unresolved' ELSE 'grounded' END), ('issue_date', CASE WHEN doc_id % 3 <> 0 THEN i.issue_date::VARCHAR END, 'grounded')) v(field, value, state) WHERE value IS NOT NULL")

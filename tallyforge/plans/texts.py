@@ -32,7 +32,7 @@ projection("scl_43", inv, """SELECT invoice_id, '{"before":{"status":"' || statu
 
 # texts
 LABELS = ("Fatura nº ", "Recibo: ", "Bill No: ", "Invoice # ", "No. ")
-query("wn_05", "SELECT invoice_id AS doc_id, issue_date::VARCHAR AS value FROM invoices")(lambda s, d: annotated.annotated(texts(s, d)).select("doc_id", annotated.at_label("issue", annotated.first_date).alias("value")))
+query("wn_05", "SELECT invoice_id AS doc_id, issue_date::VARCHAR AS value FROM invoices")(lambda s, d: annotated.annotated(texts(s, d), ["issue"]).select("doc_id", annotated.at_label("issue", annotated.first_date).alias("value")))
 projection("wn_06", texts, "SELECT invoice_id AS doc_id, lpad(customer_id::VARCHAR, 9, '1') AS value FROM invoices", lambda: ["doc_id", documents.within_lines(documents.lines(c("text")), "(?i)^bill to", r"(?i)^contribuinte\W+(\d{9})$", 3).alias("value")])
 
 

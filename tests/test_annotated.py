@@ -1,8 +1,11 @@
 """Fields of invoice texts in many forms: what each label, pattern and fallback has to find."""
 
+import itertools
+
 import pytest
+from pyspark.sql import functions as F
 
-from tallyforge.operators import documents
+from tallyforge.operators import annotated, documents
 
 PLAIN = """Hill Motors Inc.
 77 Hill St,
@@ -98,3 +101,28 @@ def test_a_long_text(spark):
     rows = "\n".join(f"{i % 7 + 1} Thing number {i} 2.00 {2 * (i % 7 + 1)}.00\nmore of it" for i in range(20_000))
     (r,) = documents.assembled(frame(spark, ["Hill Motors Inc.\nInvoice # 0000451\nInvoice date 04-03-2022\n" + rows + "\nTotal 5.00"])).collect()
     assert r.n_items == 20_000 and r.status == "extracted"
+
+
+def test_lines_as_printed_are_the_cleaned_ones(spark):
+    """Texts of all pieces that make a text odd, one after another."""
+    pieces = ["a", "B 1", " ", "  ", "\n", "\r\n", "\t", "'", "‘", " ", "\x1f", " ", "É", "x'", "'y", ""]
+    texts = ["".join(t) for n in range(4) for t in itertools.product(pieces, repeat=n)] + [None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    one = annotated.annotated(rows, []).select("text", F.transform("a", lambda s: s["raw"]).alias("raw"), F.transform("a", lambda s: s["low"]).alias("low"))
+    same = one.withColumn("want", annotated.cleaned_lines(F.col("text"))).withColumn("lines", annotated.lines(F.col("text")))
+    assert same.where("not (raw <=> want) or not (lines <=> want) or not (low <=> transform(want, x -> lower(x)))").count() == 0
+
+
+def test_only_the_marks_of_the_wanted_fields_are_made(spark):
+    rows = spark.createDataFrame([(1, PLAIN)], "doc_id long, text string")
+    found = documents.header(rows, ["issue_date"])
+    assert str(found.first()["issue_date"]) == "2022-04-03"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "invoice date" in plan and "bill no" not in plan and "payment due" not in plan
+
+
+def test_header_and_totals_come_from_one_reading(spark):
+    rows = spark.createDataFrame([(1, PLAIN), (2, SPLIT), (3, None)], "doc_id long, text string")
+    found = documents.header_and_totals(rows, ["number"])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.number, str(r.total)) for r in found.orderBy("doc_id").collect()] == [("0000451", "162.75"), ("0000451", "162.75"), (None, "None")]
