@@ -146,8 +146,8 @@ FIELDS = {"invoice_number": "number", "company": "supplier", "nif_seller": "supp
 def ev_09_layouts(s, d):
     """Seven fields of each invoice against what the rules read from its page: equal as texts, and equal as what each field means."""
     pages = V.invoice_layouts(s, d)
-    head, sums = documents.header(pages).withColumnRenamed("doc_id", k), documents.totals(pages).select(c("doc_id").alias(k), "tax", "total")
-    read = head.select(k, *(text(c(n)).alias(f"a_{f}") for f, n in FIELDS.items())).join(sums.select(k, text(c("tax")).alias("a_iva_amount"), text(c("total")).alias("a_total")), k)
+    found = documents.header_and_totals(pages, list(FIELDS.values()))
+    read = found.select(c("doc_id").alias(k), *(text(c(n)).alias(f"a_{f}") for f, n in FIELDS.items()), text(c("tax")).alias("a_iva_amount"), text(c("total")).alias("a_total"))
     m = c(k) % 4
     number = F.when(m == 2, F.concat(F.lit("FR MNV"), text(c(k) % 1000), F.lit("/"), text(c(k)))).when(m == 3, F.lpad(text(c(k)), 8, "0")).otherwise(c("number"))
     company = F.concat(V.lettered(c("tenant_name")), of(k, *map(F.lit, (" Inc.", " Inc.", " LDA", ""))))
