@@ -158,16 +158,14 @@ def graded_evidence(docs: DataFrame, fields: DataFrame, names: list[str]) -> Dat
     rows = docs.select("doc_id", lines(F.col("text")).alias("raw")).withColumn("key", F.transform("raw", words)).join(fields, "doc_id")
 
     def best(name: str) -> Column:
-        value = F.col(name)
-        key, anchors = words(value.cast("string")), "|".join(ANCHORS[name])
+        value, anchors = F.col(name), "|".join(ANCHORS[name])
         starts = F.filter(F.transform("key", lambda x, i: F.when(x.rlike(f"^(?:{anchors})(?: |$)"), i)), lambda i: i.isNotNull())
 
-        def graded(x: Column, i: Column) -> Column:
+        def graded(x: Column, i: Column, key: Column, starts: Column) -> Column:
             raw = F.get("raw", i)
             score = F.when(x == key, 100)
             if name in DATES:
-                seen = F.regexp_extract(raw, DATE, 1)
-                score = score.when((day(seen, True) == value) | (day(seen, False) == value), 95)
+                score = score.when(A.bound(F.regexp_extract(raw, DATE, 1), lambda seen: (seen != "") & ((day(seen, True) == value) | (day(seen, False) == value))), 95)
             if name in AMOUNTS:
                 score = score.when(F.array_contains(F.transform(F.regexp_extract_all(raw, F.lit(MONEY), F.lit(1)), S.clean_money), value), 85)
             score = score.when((F.length(key) >= 3) & (x.contains(key) | ((F.length(x) >= 4) & key.contains(x))), 75)
@@ -175,7 +173,9 @@ def graded_evidence(docs: DataFrame, fields: DataFrame, names: list[str]) -> Dat
             extra = F.when(x.rlike(anchors), 25).otherwise(0) + F.coalesce(F.greatest(F.lit(0), 20 - (i - last)), F.lit(0))
             return F.when(key != "", F.struct((score + extra).alias("score"), (-i).alias("back")))
 
-        top = F.array_max(F.filter(F.transform("key", graded), lambda g: g["score"].isNotNull()))
+        # the value's words and the anchors' lines are worked out once a document, not once a line
+        every = lambda key, starts: F.transform("key", lambda x, i: graded(x, i, key, starts))
+        top = A.bound(words(value.cast("string")), lambda key: A.bound(starts, lambda at: F.array_max(F.filter(every(key, at), lambda g: g["score"].isNotNull()))))
         return F.struct(F.lit(name).alias("field"), top.alias("top"))
 
     each = rows.select("doc_id", F.inline(F.array(*map(best, names)))).where("top is not null")

@@ -126,3 +126,12 @@ def test_header_and_totals_come_from_one_reading(spark):
     found = documents.header_and_totals(rows, ["number"])
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.number, str(r.total)) for r in found.orderBy("doc_id").collect()] == [("0000451", "162.75"), ("0000451", "162.75"), (None, "None")]
+
+
+def test_evidence_finds_the_anchors_once_a_document(spark):
+    """The filter over all lines that finds the anchors stands outside of what is done for each line."""
+    rows = spark.createDataFrame([(1, PLAIN)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, "0000451", "Dana Reed")], "doc_id long, number string, customer string")
+    found = documents.graded_evidence(rows, known, ["number", "customer"])
+    assert {(r.field, r.line_no) for r in found.collect()} == {("number", 7), ("customer", 5)}
+    assert "array_max(filter(filter(transform(" not in found._jdf.queryExecution().optimizedPlan().toString()
