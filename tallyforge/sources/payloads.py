@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources.views import dealt
+
 GROUP = "extraction_status: string, evidence_refs: array<string>, confidence: string"
 ITEM = "line_number: int, description: string, quantity: string, unit_price: string, tax_amount: string, line_total: string, confidence: string, evidence_refs: array<string>"
 METADATA = ["invoice_number", "supplier_name", "supplier_tax_id", "customer_name", "customer_tax_id", "issue_date", "due_date", "currency"]
@@ -132,8 +137,23 @@ ITEM_ALIASES = {"description": ["description", "name", "item", "service"], "quan
 SUMS = {"subtotal_amount": ["subtotal_amount", "subtotal", "subTotal"], "tax_amount": ["tax_amount", "taxAmount", "tax"], "total_amount": ["total_amount", "totalAmount", "total", "amountDue"]}
 
 
-def _first(payload: Column, paths: list[str]) -> Column:
-    return F.coalesce(*(F.nullif(F.trim(F.get_json_object(payload, p)), F.lit("")) for p in paths))
+def _seen(payload: Column, paths: list[str]) -> Column:
+    """Where the names of paths may stand: the payload, or all of them if it holds escapes, which names may be written with."""
+    return F.when(payload.contains("\\"), F.lit(" ".join(sorted({n for p in paths for n in _names(p)})))).otherwise(payload)
+
+
+def _names(path: str) -> list[str]:
+    return path.split(".")[:0:-1]
+
+
+def _first(payload: Column, paths: list[str], seen: Column) -> Column:
+    """The first path that has a text. The payload is parsed only for paths whose names it holds, which few do."""
+
+    def at(path: str) -> Column:
+        found = F.trim(F.get_json_object(payload, path))
+        return F.when(reduce(and_, (seen.contains(n) for n in _names(path))) & (found != ""), found)
+
+    return F.coalesce(*map(at, paths))
 
 
 def _two_places(c: Column) -> Column:
@@ -146,9 +166,10 @@ def repaired(payloads: DataFrame, key: str) -> DataFrame:
     p = F.col("payload")
     paths = lambda names: [f"$.{n}" for n in names] + [f"$.{g}.{n}" for g in PARENTS for n in names]
     party = lambda of, n: [f"{g}.{x}.{n}" for g in ("$", "$.party", "$.parties", *(f"$.{y}" for y in PARENTS)) for x in of]
-    head = {f: _first(p, paths(names) + (party(*NESTED[f]) if f in NESTED else [])) for f, names in ALIASES.items()}
-    sums = {f: _two_places(_first(p, [f"$.{n}" for n in names] + [f"$.{g}.{n}" for g in ("totals", "summary") for n in names])) for f, names in SUMS.items()}
-    rows = payloads.select(key, *(v.alias(f) for f, v in (head | sums).items()))
+    head = {f: paths(names) + (party(*NESTED[f]) if f in NESTED else []) for f, names in ALIASES.items()}
+    sums = {f: [f"$.{n}" for n in names] + [f"$.{g}.{n}" for g in ("totals", "summary") for n in names] for f, names in SUMS.items()}
+    rows = dealt(payloads.select(key, "payload")).withColumn("seen", _seen(p, sum((head | sums).values(), [])))
+    rows = rows.select(key, *(_first(p, v, F.col("seen")).alias(f) for f, v in (head | sums).items())).withColumns({f: _two_places(F.col(f)) for f in sums})
     some = F.coalesce("invoice_number", "supplier_name", "customer_name", "issue_date").isNotNull()
     return rows.withColumn("extraction_status", F.when(some, "extracted").otherwise("placeholder"))
 
@@ -156,6 +177,8 @@ def repaired(payloads: DataFrame, key: str) -> DataFrame:
 def repaired_items(payloads: DataFrame, key: str) -> DataFrame:
     """Line items of model output: the first array by one of the table's names, fields by theirs; items are numbered as they stand."""
     array = F.coalesce(*(F.get_json_object("payload", f"{g}.{t}") for g in ("$", "$.table") for t in TABLES))
-    each = payloads.select(key, F.posexplode(F.from_json(array, "array<string>")).alias("at", "item"))
-    cell = lambda names: _first(F.col("item"), [f"$.{n}" for n in names])
+    # outer: else a filter on the arrays' size is pushed down below the deal, and parses each payload twice
+    each = dealt(payloads.select(key, "payload")).select(key, F.posexplode_outer(F.from_json(array, "array<string>")).alias("at", "item")).where("at is not null")
+    each = each.withColumn("seen", _seen(F.col("item"), [f"$.{n}" for names in ITEM_ALIASES.values() for n in names]))
+    cell = lambda names: _first(F.col("item"), [f"$.{n}" for n in names], F.col("seen"))
     return each.select(key, (F.col("at") + 1).alias("line_number"), *(cell(n).alias(f) if f == "description" else _two_places(cell(n)).alias(f) for f, n in ITEM_ALIASES.items()))
