@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
+from tallyforge.sources.views import dealt
 
 #: Currency codes that are allowed (fixed values).
 ALLOWED = ["AUD", "CAD", "EUR", "GBP", "JPY", "SGD", "USD", "VND"]
@@ -164,17 +165,22 @@ CONTRACTS = {
 ITEMS = {"item": {"line_number": "number>0"} | texts_or_null("description", "quantity", "unit_price", "tax_amount", "line_total") | {"evidence_refs": "array?", "confidence": (*LEVELS, None)}}
 
 
+def _fields(payload: Column) -> Column:
+    """An object's fields as a map of their texts, so that it is parsed once."""
+    return F.from_json(payload, "map<string,string>", {"allowUnquotedControlChars": "true"})
+
+
 def _item_errors(array: Column, name: str, fields: dict) -> Column:
     """Errors of the objects of the array (a JSON text) called name, each with its place."""
-    each = F.from_json(array, "array<string>")
+    each = F.transform(F.from_json(array, "array<string>"), lambda x: F.map_filter(_fields(x), lambda _, v: v.isNotNull()))
     return F.flatten(F.transform(each, lambda x, i: F.transform(_field_errors(x, fields), lambda e: F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]."), e))))
 
 
 def _field_errors(payload: Column, fields: dict) -> Column:
-    """Errors of one object's fields, in the order of the contract, then names that it doesn't know."""
+    """Errors of one object's fields (a map of their texts), in the order of the contract, then names that it doesn't know."""
     found = []
     for f, want in fields.items():
-        x = F.get_json_object(payload, f"$.{f}")
+        x = payload[f]
         free = want[-1] is None if isinstance(want, tuple) else "?" in want if isinstance(want, str) else False
         bad = F.lit(None).cast("string")
         if isinstance(want, (list, tuple)):
@@ -191,21 +197,23 @@ def _field_errors(payload: Column, fields: dict) -> Column:
             inner = _item_errors(x, f, ITEMS[want.split(":")[1]])
             own = F.concat(own, F.when(x.startswith("["), inner).otherwise(F.array().cast("array<string>")))
         found.append(own)
-    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    keys = F.coalesce(F.map_keys(payload), F.array().cast("array<string>"))
     other = F.transform(F.array_except(keys, F.array(*map(F.lit, fields))), lambda y: F.concat(y, F.lit(": not known")))
     return F.concat(F.array_compact(F.concat(*found)), other)
 
 
 def contract(rows: DataFrame) -> DataFrame:
     """rows(schema, payload) with `errors`: what doesn't parse, fields that are missing, of another kind, out of their range or not known."""
-    value = F.try_parse_json("payload")
+    columns = rows.columns
+    rows = dealt(rows).withColumns({"contract_value": F.try_parse_json("payload"), "contract_fields": _fields(F.col("payload"))})
+    value = F.col("contract_value")
     kind = F.when(value.isNull(), "invalid").otherwise(F.schema_of_variant(value))
     found = F.array().cast("array<string>")
     for name, fields in CONTRACTS.items():
-        found = F.when(F.col("schema") == name, _field_errors(F.col("payload"), fields)).otherwise(found)
+        found = F.when(F.col("schema") == name, _field_errors(F.col("contract_fields"), fields)).otherwise(found)
     known = F.col("schema").isin(list(CONTRACTS))
     one = lambda text: F.array(F.lit(text))
-    return rows.withColumn("errors", F.when(~known, one("schema not registered")).when(kind == "invalid", one("invalid JSON")).when(~kind.startswith("OBJECT"), one("not an object")).otherwise(found))
+    return rows.select(*columns, F.when(~known, one("schema not registered")).when(kind == "invalid", one("invalid JSON")).when(~kind.startswith("OBJECT"), one("not an object")).otherwise(found).alias("errors"))
 
 
 def qa_outcomes(drafts: DataFrame, entity: str, signals: DataFrame) -> DataFrame:
