@@ -198,7 +198,8 @@ def regions(docs: DataFrame, footer: int = 3) -> DataFrame:
         hits = F.transform("l", _marked(marker, after))
         rows = rows.withColumn(f"{name}_at", F.coalesce(F.array_min(hits), F.col("n")))
     i = F.col("line_no")
-    each = rows.select("*", F.posexplode("l").alias("line_no", "line"))
+    # outer: else a filter on the lines' number is pushed down to where the texts are rendered, and renders and reads each text again
+    each = rows.select("*", F.posexplode_outer("l").alias("line_no", "line")).where("line_no is not null")
     latest = F.greatest(*(F.when(i >= F.col(f"{r}_at"), F.col(f"{r}_at")).otherwise(-1) for r in REGIONS))
     end = (i >= F.col("n") - footer) & (i > F.col("totals_at"))
     region = F.when(end, "footer")
