@@ -10,7 +10,47 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_regions_render_texts_once(spark):
+    """No filter on the lines stands below the deal, where it would render and read each text again; blank texts have no lines."""
+    texts = spark.range(4).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, F.concat(F.lit("Item\nTotal "), F.format_number("id", 2))).when(F.col("id") == 2, "").alias("text"))
+    got = documents.regions(views.dealt(texts))
+    assert plan_of(got).count("format_number") == 1
+    assert sorted(map(tuple, got.collect())) == [(0, 0, "table"), (0, 1, "totals"), (1, 0, "table"), (1, 1, "totals")]
+
+
 PAYLOADS = [
     (r'{"invoice\u004eumber":"A","metadata":{"issue\u0044ate":"d"}}', "A", None, "d"), ('{"number":"N","invoice":{"invoiceNo":" ","number":"M"},"parties":{"vendor":{"name":" V "}}}', "N", "V", None),
     ("{'number':'Q','metadata':{'vendorName':7.50}}", "Q", "7.5", None), ('{"invoiceMetadata":{"number":12},"note":"vendor name"}', "12", None, None), ('{"number":{"a":1}}', '{"a":1}', None, None), ("number", None, None, None), (None, None, None, None),
 ]
+
+
+def test_payloads_are_parsed_where_they_hold_the_names(spark):
+    """Escaped and single-quoted names are found as ever; each path is read only behind a test for its names, and rows are dealt evenly."""
+    rows = spark.createDataFrame([(i, p) for i, (p, *_) in enumerate(PAYLOADS)], "i int, payload string")
+    got = payloads.repaired(rows, "i")
+    assert [(r.invoice_number, r.supplier_name, r.issue_date) for r in sorted(got.collect())] == [tuple(w) for _, *w in PAYLOADS]
+    plan = plan_of(got)
+    assert "Repartition 8, true" in plan and plan.count("Contains(") >= plan.count("get_json_object") / 2 > 0
+
+
+def test_items_of_payloads(spark):
+    rows = spark.createDataFrame([(1, '{"rows":[{"it\\u0065m":"a","qty":"2"},null,5]}'), (2, '{"items":[]}'), (3, None)], "i int, payload string")
+    got = payloads.repaired_items(rows, "i")
+    assert sorted((r.i, r.line_number, r.description, r.quantity) for r in got.collect()) == [(1, 1, "a", "2.00"), (1, 2, None, None), (1, 3, None, None)]
+    assert "size(" not in plan_of(got)
+
+
+def test_contract_parses_an_object_once(spark):
+    rows = spark.createDataFrame([(1, "invoice-table-group.v1", '{"confidence":"low","line_items":["{\\"line_number\\":null,\\"line_number\\":1,\\"x\\":2}",{"line_number":1.50,"confidence":1}]}')], "i int, schema string, payload string")
+    got = validate.contract(rows)
+    assert got.first()["errors"] == ["line_items[0].x: not known", "line_items[1].confidence: not allowed"]
+    assert "get_json_object" not in plan_of(got) and got.columns == ["i", "schema", "payload", "errors"]
+
+
+def test_candidate_pairs_join_amounts_once(spark):
+    """Which invoices have no pair is known from counts: the join of amounts stands in the plan once."""
+    i = spark.createDataFrame([(1, 1, 100), (1, 2, 9000)], "tenant_id int, invoice_id long, total int").withColumn("total", F.col("total").cast("decimal(18,2)"))
+    t = spark.createDataFrame([(1, "a", 95, "2024-01-01"), (1, "b", 5, "2024-01-02")], "tenant_id int, transaction_id string, amount int, posted_at string").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    got = reconcile.candidate_pairs(i, t, 1)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "a", "window"), (1, 2, "b", "recent")]
+    assert plan_of(got).count("explode(sequence(") == 1
