@@ -25,7 +25,7 @@ _powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, p in enumerate((P, P_INVERSE)):
-            x = np.full(max(n, BYTES), p, np.uint64)
+            x = np.full(max(n + n // 8, 1 << 19), p, np.uint64)
             x[0] = U(1)
             _powers[k] = np.cumprod(x)
     return _powers[0][:n], _powers[1][:n]

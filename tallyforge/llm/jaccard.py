@@ -48,6 +48,8 @@ PARTS, ENTRIES = 16, 2048
 SPLIT = 1024
 #: Entries of a list that are skipped together.
 BLOCK = 64
+#: Bytes of text, n-grams and rows of sets that a task works on at once: they bound what its Python process holds and keeps.
+TEXT_BYTES, GRAMS, ROWS = 1 << 19, 1 << 19, 1 << 10
 #: So many ids (8 bytes each) may be broadcast to pick the texts that are compared; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -66,12 +68,18 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    for _, texts in hashing.batches(column):
+    for _, texts in hashing.batches(column, TEXT_BYTES):
         h, at = hashing.documents(texts)
         for i in range(len(texts)):
             yield shingles(h[at[i] : at[i + 1]], n)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
 def packed(parts: list[np.ndarray], shard: np.ndarray, k: int) -> Iterator[tuple]:
     """Rows (shard, bytes of each array) of arrays dealt by shard."""
     order = np.argsort(shard, kind="stable")
@@ -143,7 +151,7 @@ def frequent(docs: DataFrame, n: int, shards: int, most: int = MOST_FREQUENT, sp
             for s in sets(b.column(0), n):
                 held.append(s[: np.searchsorted(s, ZONE)])
                 size += len(held[-1])
-                if size > 1 << 21:
+                if size > GRAMS:
                     yield out(held)
                     held, size = [], 0
         if size:
@@ -170,7 +178,7 @@ def described(docs: DataFrame, n: int, percent: int, hot) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = hot.value
-        for b in batches:
+        for b in sliced(batches):
             size, f1, f2, share, bits, prefix = [], [], [], [], [], []
             n_bytes = pc.coalesce(pc.binary_length(b.column(1)), pa.scalar(0, pa.int32())).cast(pa.int64())
             for s in sets(b.column(1), n):
@@ -199,7 +207,7 @@ def postings(nodes: DataFrame, shards: int, hot) -> DataFrame:
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = hot.value
-        for b in batches:
+        for b in sliced(batches):
             tokens = [np.frombuffer(x.as_py(), "<u8") for x in b.column(3)]
             if not (total := sum(map(len, tokens))):
                 continue

@@ -239,7 +239,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         for b in batches:
             last = b.num_columns - 1
             keep = [np.zeros(0, bool)]
-            for _, texts in chunks(b, last, chars(shared.value)):
+            for _, texts in chunks(b, last, chars(shared.value) // 4):  # other stages' processes need memory too
                 has, share, _, fits = identify(texts, shared.value, None, 1.0)
                 keep.append(has & (share.max(1, initial=0) >= 0.3) & (fits > 0))
             yield b.select(list(range(last))).filter(pa.array(np.concatenate(keep)))
