@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import checkpointed, table
+from .common import checkpointed, small_batches, table
 from .components import components
 
 U = np.uint64
@@ -394,6 +394,7 @@ def similar(docs: DataFrame, n: int = 3, percent: int = 90, full_list: int = FUL
     no rows. The last four arguments choose between plans; the rows don't depend on them.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     often, longest = map(spark.sparkContext.broadcast, frequent(docs, n, shards, most_frequent, split))
     rows = checkpointed(described(docs, n, percent, often))

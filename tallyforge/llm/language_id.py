@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder_of_id, table
+from .common import remainder_of_id, small_batches, table
 
 BITS = 16
 #: Most cells of the model, 128 MB: the bound of what the driver holds and sends to the workers.
@@ -232,17 +232,21 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and empty texts go. Where no row has a language nothing is learned, and all rows go. All columns pass through, whatever their names;
     an empty table gives no rows.
     """
+    small_batches(spark)
     _, model = fit(docs.where(~held_out(F.col("doc_id"))))
     shared = spark.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            last = b.num_columns - 1
             keep = [np.zeros(0, bool)]
-            for _, texts in chunks(b, last, chars(shared.value) // 4):  # other stages' processes need memory too
+            for _, texts in chunks(b, at, chars(shared.value) // 4):  # other stages' processes need memory too
                 has, share, _, fits = identify(texts, shared.value, None, 1.0)
                 keep.append(has & (share.max(1, initial=0) >= 0.3) & (fits > 0))
-            yield b.select(list(range(last))).filter(pa.array(np.concatenate(keep)))
+            yield b.select(list(range(width))).filter(pa.array(np.concatenate(keep)))
 
-    other = "t" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    width = len(docs.columns)
+    if ("text", "string") in docs.dtypes:  # sent as it is, once
+        at = docs.columns.index("text")
+        return docs.mapInArrow(kept, docs.schema)
+    at, other = width, "t" * (1 + max(map(len, docs.columns)))  # a name that no column has
     return docs.select("*", F.col("text").cast("string").alias(other)).mapInArrow(kept, docs.schema)

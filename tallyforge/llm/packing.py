@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import table
+from .common import small_batches, table
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length bigint"
@@ -36,8 +36,8 @@ SCHEMA = (
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Frequent words whose ids are kept.
 KNOWN_WORDS = 100_000
-#: Long texts are encoded in slices of about so many characters, short ones in runs of twice as many.
-SLICE = 1 << 20
+#: Long texts are encoded in slices of about so many characters, short ones in runs of RUN.
+SLICE, RUN = 1 << 20, 1 << 19
 LEADING_SPACE = r"^(?:$|[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
 
 
@@ -262,7 +262,7 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=columns)
 
         for b in batches:
-            for first, texts in hashing.batches(b.column(1), 2 * SLICE):
+            for first, texts in hashing.batches(b.column(1), RUN):
                 rows = []
                 for doc_id, ids in zip(b.column(0).slice(first, len(texts)).to_pylist(), encode(texts), strict=True):
                     rows += packer.add(doc_id, np.concatenate([ids, tail]))
@@ -272,6 +272,7 @@ def pack(
             yield batch(rows)
         pa.default_memory_pool().release_unused()  # workers go on to other stages
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(packed, SCHEMA)
 
 

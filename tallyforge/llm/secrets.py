@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, small_batches, table
 
 PRIVATE_KEY = r"PRIVATE KEY(?: BLOCK)?-----"
 #: A key runs to its END line, headers included; without one, over the lines that look like a key's.
@@ -230,6 +230,7 @@ def candidates(docs: DataFrame, known: frozenset[str] = STARTING) -> DataFrame:
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4, *[pa.float64()] * len(FEATURES)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     return docs.where(text.isNotNull()).select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("h"), text).mapInArrow(found, SCHEMA)
 
