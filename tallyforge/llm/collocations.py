@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import shared_path, small_batches, table
 from .hashing import LETTER, U, mix, powers
 
 BREAKS = re.compile(rb"[.,;:!?\x0A-\x0D]")
@@ -31,7 +31,9 @@ BREAK, EDGE = np.zeros(256, bool), np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 EDGE[[0x20, 0x09, *np.flatnonzero(BREAK)]] = True
 #: Bytes that are hashed at once; a longer piece of a text makes a longer buffer.
-BYTES = 1 << 21
+BYTES = 1 << 19
+#: Runs whose counts a task holds, over its buffers, until it sends them.
+HELD = 1 << 18
 #: Letters of the check values, independent of those of the fingerprints.
 OTHER = np.random.default_rng(20250911).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 #: What tells runs of different lengths apart.
@@ -157,6 +159,43 @@ def runs_of_equal(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return order, first, np.diff(np.append(first, len(own)))
 
 
+def summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """keys, n, checks, row of the runs in all of held, each key once."""
+    keys, n, checks, row = (np.concatenate(x) for x in zip(*held, strict=True))
+    order, first, _ = runs_of_equal(keys)
+    return keys[order[first]], np.add.reduceat(n[order], first), np.add.reduceat(checks[order], first), np.minimum.reduceat(row[order], first)
+
+
+def run_counts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], shorter: Bitmap | None, bits: int) -> Iterator[pa.RecordBatch]:
+    """key, n, checks, row of the runs in batches of row, lang, text; a key comes again only after others have filled HELD."""
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, *others = summed(held)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), *others)], names=["key", "n", "checks", "row"])
+
+    held, size = [], 0
+    for buffer, numbers in buffers(batches, bits):
+        for k in lengths:
+            at = buffer.places(k)
+            if shorter is not None:
+                at = at[shorter.has(buffer.keys(k - 1, at))]
+                at = at[shorter.has(buffer.keys(k - 1, at + 1))]
+            if len(at):
+                keys = buffer.keys(k, at)
+                order, first, n = runs_of_equal(keys)
+                checks = np.add.reduceat(buffer.checks(k, at)[order], first)
+                held.append((keys[order[first]], n, checks, np.minimum.reduceat(numbers[buffer.text[at[order]]], first)))
+                size += len(first)
+        if size > HELD:
+            held = [summed(held)]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield sent(held)
+                held, size = [], 0
+    if held:
+        yield sent(held)
+
+
 def fingerprints(rows: DataFrame, lengths: tuple[int, ...], shorter: Bitmap | None, bits: int) -> DataFrame:
     """key, n, checks, row of the runs of these lengths in rows(row, lang, text): occurrences, sum of check values, and the smallest row with one.
 
@@ -165,18 +204,7 @@ def fingerprints(rows: DataFrame, lengths: tuple[int, ...], shorter: Bitmap | No
     held = rows.sparkSession.sparkContext.broadcast(shorter)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buffer, numbers in buffers(batches, bits):
-            for k in lengths:
-                at = buffer.places(k)
-                if held.value is not None:
-                    at = at[held.value.has(buffer.keys(k - 1, at))]
-                    at = at[held.value.has(buffer.keys(k - 1, at + 1))]
-                if len(at):
-                    keys = buffer.keys(k, at)
-                    order, first, n = runs_of_equal(keys)
-                    checks = np.add.reduceat(buffer.checks(k, at)[order], first)
-                    row = np.minimum.reduceat(numbers[buffer.text[at[order]]], first)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[order[first]].view(np.int64), n, checks, row)], names=["key", "n", "checks", "row"])
+        return run_counts(batches, lengths, held.value, bits)
 
     return rows.mapInArrow(counted, COUNTED).groupBy("key").agg(F.sum("n").alias("n"), F.sum("checks").alias("checks"), F.min("row").alias("row"))
 
@@ -218,6 +246,7 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100, bits: int = 64)
 
     bits: width of the fingerprints; fewer make more of them collide, which changes nothing but the work.
     """
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = docs.where(text.isNotNull()).select(F.xxhash64(lang, text).alias("row"), lang.alias("lang"), text.alias("text"))
