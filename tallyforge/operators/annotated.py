@@ -6,6 +6,9 @@ is shuffled; a line is read by each pattern once, and only where a cheap test sa
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +82,16 @@ def cleaned(c: Column) -> Column:
     return stripped(F.regexp_replace(c, BLANKS, " "), " '‘’“”")
 
 
-#: What makes a text's lines need to be cleaned: other than ASCII, two blanks in a row, blanks or quotes at a line's ends.
-ODD = r"[^ -~\n]|[ '][ \n]|\n[ ']|^[ ']|[ ']$"
+#: What makes a text's lines need to be cleaned: blanks and breaks other than ASCII's blank and line feed, and what stands at a line's ends.
+ODD_BLANKS, OTHER_BLANKS = [*"\t\x0b\f\r\x1c\x1d\x1e\x1f", "  "], [*"\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+AT_ENDS, OTHER_AT_ENDS = " '", "‘’“”"
 
 
 def odd(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(ODD)
+    """By plain words, as a pattern would be tried at each letter; what isn't ASCII is looked for where letters have more bytes."""
+    ends = lambda marks: functools.reduce(operator.or_, (text.contains(f"{m}\n") | text.contains(f"\n{m}") | text.startswith(m) | text.endswith(m) for m in marks))
+    other = (F.octet_length(text) != F.length(text)) & (any_of(text, OTHER_BLANKS) | ends(OTHER_AT_ENDS))
+    return F.coalesce(any_of(text, ODD_BLANKS) | ends(AT_ENDS) | other, F.lit(False))
 
 
 def as_printed(text: Column) -> Column:
@@ -103,7 +110,12 @@ def lines(text: Column) -> Column:
 
 def take(c: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null without one; letters of either case."""
-    return F.nullif(F.regexp_extract(c, "(?i)" + pattern, group), F.lit(""))
+    return filled(F.regexp_extract(c, "(?i)" + pattern, group))
+
+
+def filled(value: Column) -> Column:
+    """A text that isn't empty; nullif would work it out twice."""
+    return bound(value, lambda x: F.when(x != "", x))
 
 
 def money_in(c: Column) -> Column:
@@ -149,8 +161,7 @@ def has_digit(c: Column) -> Column:
 
 def party(c: Column) -> Column:
     """A name without the full stop that ends a line, Inc. written alike."""
-    t = F.regexp_replace(F.regexp_replace(cleaned(c), r"(?i)\binc\.?$", "Inc."), r"(?i)(?<!\binc)\.+$", "")
-    return F.nullif(t, F.lit(""))
+    return filled(F.regexp_replace(F.regexp_replace(cleaned(c), r"(?i)\binc\.?$", "Inc."), r"(?i)(?<!\binc)\.+$", ""))
 
 
 def plausible(name: Column) -> Column:
@@ -186,7 +197,7 @@ def marked(s: Column, marks: list[str]) -> Column:
     has = lambda words: any_of(low, words)
     here = lambda c, v: F.when(c, F.struct(v.alias("here")))
     after = lambda words, reject=None: here(has(words) & (~has(reject) if reject else F.lit(True)), F.when(digit, first_money(from_first(raw, low, words))))
-    whole = F.when(raw.rlike("[$£€]"), F.regexp_extract_all(raw, F.lit(WHOLE_MONEY), F.lit(1)))
+    whole = F.when(any_of(raw, ["$", "£", "€"]), F.regexp_extract_all(raw, F.lit(WHOLE_MONEY), F.lit(1)))
     none = F.array().cast("array<string>")
     each = {
         "money": F.when(digit, F.concat(F.regexp_extract_all(raw, F.lit(MONEY), F.lit(1)), F.coalesce(whole, none))).otherwise(none), "skip": has(SKIPPED),
@@ -229,13 +240,23 @@ def annotated(docs: DataFrame, marks: list[str] = MARKS) -> DataFrame:
     plain = F.zip_with(as_printed(text), as_printed(F.col("low")), lambda x, y: F.struct(x.alias("raw"), y.alias("low"), digit(x)))
     both = F.when(odd(text), F.transform(cleaned_lines(text), lambda x: F.struct(x.alias("raw"), F.lower(x).alias("low"), digit(x)))).otherwise(plain)
     rows = rows.select("doc_id", "text", "low", both.alias("l"))
-    return rows.select("doc_id", "text", "low", F.array_join(F.transform("l", lambda s: s["raw"]), " ").alias("flat"), F.col("low").rlike("|".join(S.DAY_FIRST)).alias("hint"), F.transform("l", lambda s: marked(s, marks)).alias("a"))
+    return rows.select("doc_id", "text", "low", F.array_join(F.transform("l", lambda s: s["raw"]), " ").alias("flat"), any_of(F.col("low"), S.DAY_FIRST).alias("hint"), F.transform("l", lambda s: marked(s, marks)).alias("a"))
 
 
 def first_of(values: Column) -> Column:
     return F.get(F.array_compact(values), F.lit(0))
 
 
+def place(some: Column, test) -> Column:
+    """The index of the first line that passes, if any."""
+    return bound(F.array_position(F.transform(some, test), True).cast("int"), lambda n: F.when(n > 0, n - 1))
+
+
+def first_that(some: Column, value) -> Column:
+    """first_of the lines' values (texts), which are not worked out beyond it."""
+    return F.aggregate(some, F.lit(None).cast("string"), lambda found, s: F.coalesce(found, value(s)))
+
+
 def line(i: Column) -> Column:
     return F.get("a", i)
 
@@ -262,28 +283,29 @@ def with_header(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
     asked = {m for n in (names or HEADER_MARKS) for m in HEADER_MARKS.get(n, [])}
     label = lambda m, value: at_label(m, value) if m in asked else F.lit(None).cast("string")
     a, size, flat, hint, low = F.col("a"), F.size("a"), F.col("flat"), F.col("hint"), F.col("low")
-    before = lambda test, most: F.slice(a, 1, F.coalesce(F.nullif(F.array_position(F.transform(F.slice(a, 1, most), test), True), F.lit(0)).cast("int") - 1, F.lit(most)))
+    before = lambda test, most: F.slice(a, 1, F.coalesce(place(F.slice(a, 1, most), test), F.lit(most)))
     # numbers: whole texts without the words are passed over
     rows = rows.withColumns({
-        "worded": low.rlike(r"rec[i1]b|fatura|factura|doc|№|(?m)^\W*n[º°o]?\.?\s*[:#-]?\s*[a-z0-9]"), "headed": low.contains("fatura") | low.contains("factura"), "of_terminal": low.rlike("tpa|a[0-9]{12}|501649"),
-        "taxed": low.rlike("n ?i ?f|nipc|contr|c0ntr|n11|cont"), "tax_named": low.rlike("(?m)^\\W*pt"),
+        "worded": any_of(low, ["recib", "rec1b", "fatura", "factura", "doc", "№"]) | low.rlike(r"(?m)^\W*n[º°o]?\.?\s*[:#-]?\s*[a-z0-9]"), "headed": low.contains("fatura") | low.contains("factura"), "of_terminal": any_of(low, ["tpa", "501649"]) | low.rlike("a[0-9]{12}"),
+        "taxed": any_of(low, ["nif", "n if", "ni f", "n i f", "nipc", "cont", "c0ntr", "n11"]), "tax_named": low.contains("pt") & low.rlike("(?m)^\\W*pt"),
     })
+    rows = rows.withColumn("issue_", label("issue", first_date)).withColumn("issued", S.day(F.col("issue_"), hint))
     in_line = lambda s: F.when(s["digit"] & s["low"].rlike(NUMBER_WORD), F.coalesce(*(bound(trimmed_number(take(s["raw"], p)), has_digit) for p in NUMBER_IN_LINE)))
     fits = lambda n: F.when(n.contains("/") | n.rlike(r"(?i)^[A-Z]?\d{5,}$"), n)
     below = lambda t: F.when(t["digit"] & ~t["low"].rlike(r"\b(?:data|date)\b"), bound(trimmed_number(t["raw"]), fits))
     heads = F.transform(a, lambda s, i: F.when(s["low"].rlike(NUMBER_HEADING), first_of(F.transform(F.slice(a, i + 2, 8), below))))
-    terminal = lambda p: F.when(F.col("of_terminal"), first_of(F.transform(a, lambda s: F.when(s["digit"], F.upper(take(s["raw"], p))))))
+    terminal = lambda p: F.when(F.col("of_terminal"), first_that(a, lambda s: F.when(s["digit"], F.upper(take(s["raw"], p)))))
     sender = lambda s: F.when(~s["digit"] & ~any_of(s["low"], NO_SUPPLIER) & s["raw"].rlike("[A-Za-z]{3,}") & ~fact(s), bound(party(s["raw"]), plausible))
     opening = lambda s: F.when(~s["digit"] & (stripped(s["low"], " :.") != "invoice") & ~s["low"].rlike(r"no\.|upload logo|bill to"), party(s["raw"]))
     named = lambda t: F.when(~t["digit"], bound(party(t["raw"]), plausible))
     billed = lambda: F.transform(a, lambda s, i: F.when(s["bill_to"].isNotNull(), F.coalesce(s["bill_to"]["here"], first_of(F.transform(F.slice(a, i + 2, 7), named)))))
     rows = rows.withColumns({
         "number": F.coalesce(
-            F.when(F.col("worded"), first_of(F.transform(a, in_line))), F.when(F.col("headed"), first_of(heads)), *map(terminal, NUMBER_OF_TERMINAL), *(F.when(any_of(low, w), number_in_text(flat, p)) for w, p in zip(WORDS_IN_TEXT, NUMBER_IN_TEXT, strict=True)), label("number_label", first_word)
+            F.when(F.col("worded"), first_that(a, in_line)), F.when(F.col("headed"), first_of(heads)), *map(terminal, NUMBER_OF_TERMINAL), *(F.when(any_of(low, w), number_in_text(flat, p)) for w, p in zip(WORDS_IN_TEXT, NUMBER_IN_TEXT, strict=True)), label("number_label", first_word)
         ),
-        "issue_": label("issue", first_date), "alone_": first_of(F.transform(before(lambda s: any_of(s["low"], ["due date", "bill to"]), 12), lambda s: F.when(s["digit"], first_date(s["raw"])))), "due_": label("due", first_date),
-        "customer_at": F.when(low.rlike("client|customer|bill"), F.nullif(F.array_position(F.transform(a, lambda s: s["low"].rlike(CUSTOMER_SECTION)), True), F.lit(0)) - 1), "currency": S.inferred_currency(F.col("text")),
-        "supplier": F.coalesce(first_of(F.transform(before(lambda s: stripped(s["low"], " :.").isin(SENDER_ENDS), 18), sender)), party(take(flat, COMPANY)), first_of(F.transform(F.slice(a, 1, 8), opening))),
+        "alone_": F.when(F.col("issued").isNull(), first_that(before(lambda s: any_of(s["low"], ["due date", "bill to"]), 12), lambda s: F.when(s["digit"], first_date(s["raw"])))), "due_": label("due", first_date),
+        "customer_at": F.when(any_of(low, ["client", "customer", "bill"]), place(a, lambda s: any_of(s["low"], ["client", "customer", "bill"]) & s["low"].rlike(CUSTOMER_SECTION))), "currency": S.inferred_currency(F.col("text")),
+        "supplier": F.coalesce(first_that(before(lambda s: stripped(s["low"], " :.").isin(SENDER_ENDS), 18), sender), party(take(flat, COMPANY)), first_that(F.slice(a, 1, 8), opening)),
         "customer": F.coalesce(first_of(billed()) if "bill_to" in asked else F.lit(None).cast("string"), party(take(flat, CUSTOMER_IN_TEXT)), F.when(flat.rlike(r"(?i)\bcustomer\s+name\b"), "Customer Name")),
     })
     start = F.coalesce("customer_at", size)
@@ -291,7 +313,7 @@ def with_header(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
     near = lambda s, i, limit: F.coalesce(tax_id(s), F.when(i + 1 < limit, tax_id(line(i + 1), True)))
     of_supplier = lambda s: key(s).rlike(SUPPLIER_TAX_ID) | s["low"].rlike(r"\bcontrib[.:]")
     rows = rows.withColumns({
-        "issue_date": F.coalesce(S.day(F.col("issue_"), hint), S.day(F.col("alone_"), hint)), "labelled_due": S.day(F.col("due_"), hint),
+        "issue_date": F.coalesce("issued", S.day(F.col("alone_"), hint)), "labelled_due": S.day(F.col("due_"), hint),
         "supplier_tax_id": F.coalesce(F.when(F.col("taxed"), first_of(F.transform(a, lambda s, i: F.when((i < start) & of_supplier(s), near(s, i, start))))), F.when(F.col("tax_named"), first_of(F.transform(a, lambda s, i: F.when(s["digit"] & (i < start), take(s["raw"], r"^PT\s*(\d{9})$")))))),
         "customer_tax_id": F.when(F.col("taxed") | low.contains("tax"), first_of(F.transform(a, lambda s, i: F.when((i >= start) & key(s).rlike(CUSTOMER_TAX_ID), near(s, i, size))))),
         "every_tax_id": F.when(F.col("customer_at").isNull() & F.col("taxed"), F.array_distinct(F.array_compact(F.transform(a, lambda s: F.when(key(s).rlike(ANY_TAX_ID), tax_id(s)))))),
@@ -313,7 +335,7 @@ def tax_values(at: Column) -> Column:
 
     def add(done: Column, s: Column) -> Column:
         full = (F.size(done["v"]) >= 4) | (done["rates"] & (F.size(done["v"]) >= 3))
-        more = F.struct(F.concat(done["v"], F.array_compact(F.transform(s["money"], S.clean_money))).alias("v"), done["rates"].alias("rates"))
+        more = F.struct(F.concat(done["v"], F.array_compact(F.transform(F.transform(s["money"], S.money_signs), S.money_of_signs))).alias("v"), done["rates"].alias("rates"))
         return F.when(full, done).when(s["low"].contains("%"), F.struct(done["v"].alias("v"), F.lit(True).alias("rates"))).otherwise(more)
 
     return F.aggregate(F.slice("a", at + 2, 12), start, add, lambda d: d["v"])
@@ -323,36 +345,52 @@ def is_tax_heading(i: Column) -> Column:
     s = line(i)
     low = lambda x: x["low"]
     around = F.array_join(F.transform(F.slice("a", F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3)) + 4), low), " ")
-    return s["low"].rlike(TAX_HEADING) | (F.col("names_iva") & in_tax_summary(i)) | (s["low"].rlike("^(?:iva|imposto)$") & around.rlike("taxa|sujeito|incid|base"))
+    return (any_of(s["low"], ["tax", "resumo", "summary", "valor"]) & s["low"].rlike(TAX_HEADING)) | (F.col("names_iva") & in_tax_summary(i)) | (s["low"].rlike("^(?:iva|imposto)$") & around.rlike("taxa|sujeito|incid|base"))
 
 
 def in_tax_summary(i: Column) -> Column:
-    """Whether a line is a column of a VAT table: two of its words stand around, or it is a summary. Lines after it count until one with an amount."""
-    after = F.slice("a", i + 2, 4)
-    amounts = F.array_position(F.transform(after, lambda s: F.size(s["money"]) > 0), True)
-    head = F.slice("a", F.greatest(i - 4, F.lit(0)) + 1, F.least(i, F.lit(4)) + 1)
-    window = F.array_join(F.transform(F.concat(head, F.slice(after, 1, F.when(amounts > 0, amounts.cast("int") - 1).otherwise(4))), lambda s: s["low"]), " ")
-    words = [F.when(window.rlike(rf"\b{m}\b"), 1).otherwise(0) for m in TAX_MARKS]
-    n = words[0]
-    for w in words[1:]:
-        n = n + w
-    return F.when(window.rlike("taxa|base|iva|imposto|incid|resumo|summary"), (n >= 2) | window.rlike(SUMMARY)).otherwise(False)
+    """Whether a line is a column of a VAT table: two of its words stand around, or it is a summary. Lines after it count until one with an amount.
+
+    Lines have marked their words (`tax_words`), so that no line is searched once a window; none of the words spans lines, but a summary may.
+    """
+    first = F.greatest(i - 4, F.lit(0)) + 1
+    after = lambda at: F.least(i, F.lit(4)) + F.when(at > 0, at).otherwise(5)
+    size = bound(F.array_position(F.transform(F.slice("a", i + 2, 4), lambda s: F.size(s["money"]) > 0), True).cast("int"), after)
+    window = lambda some, n: F.slice(some, first, n)
+    spans = lambda n: F.array_join(F.transform(window("a", n), lambda s: s["low"]), " ").rlike(SUMMARY)
+    has = lambda w, bits: w.bitwiseAND(bits)
+    either = lambda w, n: F.when(has(w, ANY_MARK) != 0, (F.bit_count(has(w, ANY_MARK - 1)) >= 2) | ((has(w, OF_SUMMARY) != 0) & spans(n))).otherwise(False)
+    every = lambda n: F.aggregate(window("tax_words", n), F.lit(0), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size("tax_words") > 0, bound(size, lambda n: bound(every(n), lambda w: either(w, n)))).otherwise(False)
+
+
+#: Bits of a line's words beside those of TAX_MARKS: any of VAT tables, and one that a summary begins with.
+ANY_MARK, OF_SUMMARY = 1 << len(TAX_MARKS), 2 << len(TAX_MARKS)
+ANY_TAX_WORD = ["taxa", "base", "iva", "imposto", "incid", "resumo", "summary"]
+
+
+def tax_words() -> Column:
+    """Which words of VAT tables each line has, as bits; nothing for a text without any."""
+    low = lambda s: s["low"]
+    bit = lambda test, n: F.when(test, n).otherwise(0)
+    marks = lambda s: functools.reduce(operator.add, (bit(low(s).rlike(rf"\b{m}\b"), 1 << n) for n, m in enumerate(TAX_MARKS)), F.lit(ANY_MARK) + bit(any_of(low(s), ["resumo", "summary"]), OF_SUMMARY))
+    return F.when(any_of(F.col("low"), ANY_TAX_WORD), F.transform("a", lambda s: F.when(any_of(low(s), ANY_TAX_WORD), marks(s)).otherwise(0)))
 
 
-def total_candidates() -> Column:
-    """Amounts of the lines that name the total, in their order: subtotals and VAT tables aside."""
+def labelled_total() -> Column:
+    """The amount of the last line that names the total and has one: subtotals and VAT tables aside."""
     a = F.col("a")
 
     def candidate(i: Column) -> Column:
         s = line(i)
         near = F.array_join(F.transform(F.slice(a, F.greatest(i - 4, F.lit(0)) + 1, F.least(i, F.lit(4)) + 2), lambda t: t["low"]), " ")
-        taxed = s["low"].contains("sujeito") | F.coalesce(line(i + 1)["low"].contains("sujeito"), F.lit(False)) | (near.contains("taxa") & near.contains("iva"))
+        taxed = s["low"].contains("sujeito") | F.coalesce(line(i + 1)["low"].contains("sujeito"), F.lit(False)) | bound(near, lambda x: x.contains("taxa") & x.contains("iva"))
         below = first_of(F.transform(F.slice(a, i + 2, 3), lambda t: F.get(t["money"], F.lit(0))))
         value = F.coalesce(s["total"]["here"], F.try_element_at(s["money"], F.lit(-1)), below)
         return F.when(~taxed & ~s["total"]["sub"] & ~in_tax_summary(i), value)
 
-    every = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: line(i)["total"].isNotNull())
-    return F.when(F.size(a) > 0, F.array_compact(F.transform(every, candidate)))
+    named = lambda i: F.when(line(i)["total"].isNotNull(), candidate(i))
+    return F.when(F.size(a) > 0, F.aggregate(F.sequence(F.size(a) - 1, F.lit(0), F.lit(-1)), F.lit(None).cast("string"), lambda found, i: F.coalesce(found, named(i))))
 
 
 def money_at(mark: str) -> Column:
@@ -384,13 +422,15 @@ def with_totals(rows: DataFrame) -> DataFrame:
     """
     a, low = F.col("a"), F.col("low")
     euro = F.try_element_at(F.flatten(F.array_compact(F.transform(a, lambda s: s["in_euro"]))), F.lit(-1))
-    taxed = low.rlike("taxa|base|iva|imposto|incid|resumo|summary|tax")
-    rows = rows.withColumns({"names_iva": low.rlike(r"\biva\b"), "totals": total_candidates()})
-    rows = rows.withColumns({"tax_at": F.when(taxed & (F.size(a) > 0), F.get(F.filter(F.sequence(F.lit(0), F.size(a) - 1), is_tax_heading), F.lit(0))), "labelled_": F.coalesce(F.try_element_at("totals", F.lit(-1)), money_at("payment")), "euro_": euro, "subtotal_": money_at("subtotal"), "given_": money_at("tax")})
+    taxed = any_of(low, [*ANY_TAX_WORD, "tax"])
+    # neither search goes on once it has found its line
+    heading = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.lit(None).cast("int"), lambda at, i: F.coalesce(at, F.when(is_tax_heading(i), i)))
+    rows = rows.withColumns({"names_iva": low.contains("iva") & low.rlike(r"\biva\b"), "tax_words": tax_words()})
+    rows = rows.withColumns({"tax_at": F.when(taxed & (F.size(a) > 0), heading), "labelled_": F.coalesce(labelled_total(), money_at("payment")), "euro_": euro, "subtotal_": money_at("subtotal"), "given_": money_at("tax")})
     rows = rows.withColumns({"tax_values": F.when(F.col("tax_at").isNotNull(), tax_values(F.col("tax_at"))), "labelled": S.clean_money(F.col("labelled_")), "subtotal": S.clean_money(F.col("subtotal_")), "given": S.clean_money(F.col("given_"))})
     rows = rows.withColumns({"total": F.coalesce("labelled", S.clean_money(F.col("euro_"))), "in_table": vat_amount(F.col("tax_values"))})
     rows = rows.withColumn("tax", F.coalesce("in_table", "given", S.inferred_tax(F.col("subtotal"), F.col("total"))))
-    open_ = low.rlike(r"\b(?:iva|vat|imposto)\b") & low.rlike(r"\b(?:taxa|base|sujeito|incidencia|incidência)\b") & F.col("tax").isNull()
+    open_ = F.col("tax").isNull() & any_of(low, ["iva", "vat", "imposto"]) & low.rlike(r"\b(?:iva|vat|imposto)\b") & low.rlike(r"\b(?:taxa|base|sujeito|incidencia|incidência)\b")
     sure = F.col("labelled").isNotNull() & S.consistent(F.col("subtotal"), F.col("tax"), F.col("total")) & ~F.coalesce(open_, F.lit(False))
     something = F.coalesce("subtotal", "tax", "total").isNotNull() | S.inferred_currency(F.col("text")).isNotNull()
     return rows.withColumn("confidence", F.when(sure, "high").when(something, "medium").otherwise("unknown"))
@@ -413,11 +453,13 @@ def with_items(rows: DataFrame) -> DataFrame:
 
     first = lambda low, words: F.least(*(F.when(F.instr(low, w) > 0, F.instr(low, w)) for w in words))
     plain = F.coalesce(F.size("starts"), F.lit(0)) <= 0
-    rows = rows.withColumn("region", F.when(plain, F.substr(flat, F.coalesce(first(F.lower(flat), TABLE_BEGINS), F.lit(1)))))
-    end = first(F.lower(F.substr("region", F.lit(2))), TABLE_ENDS)
+    rows = rows.withColumn("region", F.when(plain, F.substr(flat, F.coalesce(bound(F.lower(flat), lambda low: first(low, TABLE_BEGINS)), F.lit(1)))))
+    end = bound(F.lower(F.substr("region", F.lit(2))), lambda low: first(low, TABLE_ENDS))
     rows = rows.withColumn("region", F.when(end.isNull(), F.col("region")).otherwise(F.substr("region", F.lit(1), end)))
-    cell = lambda x, g: F.regexp_extract(x, "(?i)" + ITEM_IN_TEXT, g)
-    within = F.transform(F.regexp_extract_all("region", F.lit("(?i)" + ITEM_IN_TEXT), F.lit(0)), lambda x: printed(S.line_description(cleaned(cell(x, 2))), cell(x, 1), cell(x, 3), cell(x, 4)))
+    # without what stands before the quantity, which would be looked for from each place anew
+    row = "(?i)" + ITEM_IN_TEXT.removeprefix(r"[^\d]*")
+    cell = lambda x, g: F.regexp_extract(x, row, g)
+    within = F.transform(F.regexp_extract_all("region", F.lit(row), F.lit(0)), lambda x: printed(S.line_description(cleaned(cell(x, 2))), cell(x, 1), cell(x, 3), cell(x, 4)))
     within = F.filter(within, lambda x: ~F.lower(x["description"]).rlike(NO_ITEM))
     rows = rows.withColumn("n_items", F.when(plain, F.size(F.coalesce(within, F.array().cast(PRINTED)))).otherwise(F.size("starts")))
     rows = rows.withColumn("printed", F.when(plain, F.coalesce(within, F.array().cast(PRINTED))).otherwise(F.transform("starts", whole)))

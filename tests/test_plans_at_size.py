@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import documents, reconcile, validate
+from tallyforge.operators import annotated, documents, reconcile, validate
 from tallyforge.sources import payloads, views
 
 
@@ -54,3 +54,20 @@ def test_candidate_pairs_join_amounts_once(spark):
     got = reconcile.candidate_pairs(i, t, 1)
     assert sorted(map(tuple, got.collect())) == [(1, 1, "a", "window"), (1, 2, "b", "recent")]
     assert plan_of(got).count("explode(sequence(") == 1
+
+
+def test_lines_are_cleaned_where_they_have_to_be(spark):
+    """Letters beyond ASCII alone don't make a text odd; other blanks, breaks and what stands at a line's ends do, and lines are as ever."""
+    plain, odd = ["Incidência\nTotal 1,00 €", "a ' b", "", None], ["a b", "a  b", "x\t", "a b", "‘a", "a \nb", "a'\nb", "é”\nb", "a\x1fb", "a\r\nb"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(plain + odd)], "i int, text string").select("i", annotated.odd(F.col("text")).alias("odd"), documents.lines(F.col("text")).alias("l"))
+    got = sorted(rows.collect())
+    assert [r.odd for r in got] == [False] * len(plain) + [True] * len(odd)
+    assert [r.l for r in got[len(plain) :]] == [["a b"], ["a b"], ["x"], ["a", "b"], ["a"], ["a", "b"], ["a", "b"], ["é", "b"], ["a b"], ["a", "b"]]
+
+
+def test_windows_of_tax_tables_are_made_once(spark):
+    """A window of lines is made once, not once a word of VAT tables; what is found is the same."""
+    text = "ACME LDA.\nResumo do\nIVA\nTaxa\nBase\n10.00%\n90.00\n10.00\n100.00\nTotal Documento: 100,00 EUR"
+    got = documents.totals(spark.createDataFrame([(1, text), (2, "Taxa\nTotal 5.00")], "doc_id int, text string"))
+    assert [(r.doc_id, str(r.tax), str(r.total), r.confidence) for r in sorted(got.collect())] == [(1, "10.00", "100.00", "high"), (2, "5.00", "5.00", "high")]
+    assert plan_of(got).count("array_position(") <= 4
