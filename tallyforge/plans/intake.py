@@ -379,14 +379,15 @@ def sm_01(s, d):
     each lot is met with the invoices that have no proposal yet."""
     folder, path = store.shared_folder(s, "intake"), store.shared_folder(s, "drop")
     checkpoint = store.shared_folder(s, "checkpoint")
-    of_file = F.concat(F.lit("tenant-"), c("tenant_id").cast("string"), F.lit("-"), F.floor(c("account_id") / SHARE).cast("string"))
-    rows = V.booked(s, d).withColumn("lot", F.floor(c("account_id") / SHARE) % 2)
+    share = F.floor(c("account_id") / SHARE)
     body = F.array_join(F.collect_list(normal_line()), "\n")
-    files = rows.groupBy("lot", of_file.alias("file")).agg(F.concat(F.lit(",".join(NORMAL_COLUMNS) + "\n"), body).alias("text"))
+    files = V.booked(s, d).groupBy("tenant_id", share.alias("share")).agg(F.concat(F.lit(",".join(NORMAL_COLUMNS) + "\n"), body).alias("text"))
+    # statements lie in a few folders by tenant, a file each: a folder of its own for each would be listed and moved one by one
+    files = files.select((c("share") % 2).alias("lot"), F.concat(F.lit("tenant-"), c("tenant_id").cast("string"), F.lit("-"), (c("share") % 16).cast("string")).alias("file"), "text")
     for lot in (0, 1):
-        statements.render(files.where(c("lot") == lot), path)
+        statements.render(files.where(c("lot") == lot), path, 1)
         if lot:
-            statements.render(files.where(c("lot") == 0).withColumn("file", F.concat("file", F.lit("-again"))), path)
+            statements.render(files.where(c("lot") == 0).withColumn("file", F.concat("file", F.lit("-again"))), path, 1)
         q = ingest.start_proposals(statements.stream(s, path), inv(s, d), folder, checkpoint)
         q.awaitTermination()
         if q.exception():

@@ -26,9 +26,9 @@ def named(files: DataFrame) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
-def render(files: DataFrame, path: str) -> None:
-    """files(file, text) as text files of their own below the path, in folders file=..., beside what is there."""
-    files.select("file", "text").repartition("file").write.mode("append").partitionBy("file").text(path)
+def render(files: DataFrame, path: str, most: int = 0) -> None:
+    """files(file, text) as text files below the path, in folders file=..., beside what is there; of a folder's texts, `most` go into one file (0: all)."""
+    files.select("file", "text").repartition("file").write.mode("append").option("maxRecordsPerFile", most).partitionBy("file").text(path)
 
 
 def name_of(file: Column) -> Column:

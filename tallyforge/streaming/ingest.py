@@ -20,13 +20,17 @@ def append_new(batch: DataFrame, batch_id: int, path: str, key: list[str]) -> No
     The store is laid out by a hash of the key, and of it only the parts that the batch's keys fall into are read, their key columns alone.
     """
     spark = batch.sparkSession
-    rows = batch.dropDuplicates(key).withColumn("key_part", F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int"))
-    rows.limit(0).write.mode("overwrite").parquet(f"{path}/batch_id=-1/key_part=-1")  # makes the store where there is none
-    parts = [r[0] for r in rows.select("key_part").distinct().collect()]  # PARTS at most
-    schema = rows.schema.add("batch_id", "integer")
-    seen = spark.read.schema(schema).parquet(path).where((F.col("batch_id") != batch_id) & F.col("key_part").isin(parts)).select(key)
-    new = rows.join(seen, key, "left_anti")
-    new.write.mode("overwrite").partitionBy("key_part").parquet(f"{path}/batch_id={batch_id}")
+    # kept until it is written: else the batch's files would be read and parsed again for each use
+    rows = batch.dropDuplicates(key).withColumn("key_part", F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int")).persist()
+    try:
+        rows.limit(0).write.mode("overwrite").parquet(f"{path}/batch_id=-1/key_part=-1")  # makes the store where there is none
+        parts = [r[0] for r in rows.select("key_part").distinct().collect()]  # PARTS at most
+        schema = rows.schema.add("batch_id", "integer")
+        seen = spark.read.schema(schema).parquet(path).where((F.col("batch_id") != batch_id) & F.col("key_part").isin(parts)).select(key)
+        new = rows.join(seen, key, "left_anti")
+        new.write.mode("overwrite").partitionBy("key_part").parquet(f"{path}/batch_id={batch_id}")
+    finally:
+        rows.unpersist()
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, key: list[str], fresh: bool = True) -> StreamingQuery:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallyforge.operators import annotated, documents, reconcile, validate
-from tallyforge.sources import payloads, views
+from tallyforge.sources import payloads, statements, views
+from tallyforge.streaming import ingest
 
 
 def plan_of(df):
@@ -71,3 +72,31 @@ def test_windows_of_tax_tables_are_made_once(spark):
     got = documents.totals(spark.createDataFrame([(1, text), (2, "Taxa\nTotal 5.00")], "doc_id int, text string"))
     assert [(r.doc_id, str(r.tax), str(r.total), r.confidence) for r in sorted(got.collect())] == [(1, "10.00", "100.00", "high"), (2, "5.00", "5.00", "high")]
     assert plan_of(got).count("array_position(") <= 4
+
+
+def test_near_amounts_compare_whole_cents(spark):
+    """Both ends count; pairs compare longs, as the ends' decimals would be objects."""
+    money = lambda df, c: df.withColumn(c, F.col(c).cast("decimal(18,2)"))
+    i = money(spark.createDataFrame([(1, 1, "100.00"), (1, 2, "0.05"), (1, 3, None), (2, 4, "100.05")], "tenant_id int, invoice_id long, total string"), "total")
+    t = money(spark.createDataFrame([(n, f"{a}", a) for n, a in ((1, "89.99"), (1, "90.00"), (1, "110.00"), (1, "110.01"), (1, "-100.00"), (1, "0.05"), (1, "0.04"), (2, "90.04"), (2, "90.05"), (2, "110.05"), (2, "110.06"), (2, None))], "tenant_id int, transaction_id string, amount string"), "amount")
+    got = reconcile.near_amounts(i, t)
+    assert sorted((r.invoice_id, r.transaction_id) for r in got.collect()) == [(1, "110.00"), (1, "90.00"), (2, "0.05"), (4, "110.05"), (4, "90.05")]
+    assert all("decimal" not in x and "t_cents" in x for x in plan_of(got).splitlines() if "Join Inner" in x)
+
+
+def test_texts_of_a_folder_as_files_of_their_own(spark, tmp_path):
+    """Many statements lie in few folders, a file each, and are read as whole texts."""
+    statements.render(spark.createDataFrame([("a", "1\n2"), ("a", "3"), ("b", "4")], "file string, text string"), str(tmp_path / "x"), 1)
+    got = statements.read(spark, str(tmp_path / "x")).select(statements.name_of(F.col("file")).alias("name"), "text")
+    assert sorted(map(tuple, got.collect())) == [("a", "1\n2\n"), ("a", "3\n"), ("b", "4\n")]
+
+
+def test_a_batch_is_read_once(spark, tmp_path):
+    """Rows of a batch are worked out once, though their parts are looked up before they are written; nothing stays in memory."""
+    seen = spark.sparkContext.accumulator(0)
+    read = F.udf(lambda x: seen.add(1) or x, "long").asNondeterministic()
+    batch = spark.range(0, 50, numPartitions=2).select(read("id").alias("k"), F.lit("x").alias("v"))
+    for n in (0, 1):
+        ingest.append_new(batch, n, str(tmp_path / "store"), ["k"])
+    assert seen.value == 100 and spark.read.parquet(str(tmp_path / "store")).count() == 50
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
